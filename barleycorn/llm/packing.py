@@ -26,9 +26,10 @@ END_ID = 2
 #: Lengths to FINE are classes of their own; longer ones are rounded up to a multiple of STEP.
 FINE, STEP = 128, 8
 #: Words whose ids a worker remembers; others are encoded each time they occur.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
 #: White space to str.split() but ordinary text to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?*#$%&|)\\]}]*)")
 ASCII_SPACE = re.compile("[ \t-\r]+")
 #: Pieces of one length class are ranked in so many rows at a time.
 RANKED_ROWS = 200_000
@@ -36,28 +37,55 @@ RANKED_ROWS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: A worker's encoders by tokenizer, kept from task to task.
+_ENCODERS: dict = {}
+
+
 def encoder(tokenizer_path: str):
     """A function from a list of texts to the little-endian 32-bit ids of each.
 
     The tokenizer drops white space and never joins what white space separates, so the ids of a text are
-    those of its chunks between ASCII white space, of which a bounded number is remembered.
+    those of its chunks between ASCII white space.  Nor does it join a run of letters with the signs after
+    it, and it ignores case.  Bounded numbers of chunks and of such words are remembered.
     """
+    if tokenizer_path in _ENCODERS:
+        return _ENCODERS[tokenizer_path]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, bytes] = {}
+    model = tokenizer.model
+    letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+    chunks: dict[str, bytes] = {}
+    known: dict[str, bytes] = {"": b""}
+
+    def whole(chunk: str) -> bytes:
+        return np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(low: str) -> bytes:
+        plain = low if low.isascii() else low.translate(letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(plain)])
+
+    def remembered(part: str, make) -> bytes:
+        ids = known.get(part)
+        if ids is None:
+            ids = make(part)
+            if len(known) < CACHE_WORDS:
+                known[part] = ids
+        return ids
+
+    def chunk(text: str) -> bytes:
+        ids = chunks.get(text)
+        if ids is None:
+            m = PLAIN.fullmatch(text) if len(text) <= CACHE_CHARS else None
+            ids = remembered(m[1].lower(), word) + remembered(m[2], whole) if m else whole(text)
+            if len(chunks) < CACHE_WORDS and len(text) <= CACHE_CHARS:
+                chunks[text] = ids
+        return ids
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [ASCII_SPACE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        fresh = {w: np.asarray(e.ids, "<u4").tobytes() for i in range(0, len(new), 4096) for w, e in zip(new[i : i + 4096], tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True)}
-        if len(known) < CACHE_WORDS:
-            known.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_CHARS)
-        look = lambda w: known[w] if w in known else fresh[w]
-        if all(w in known for w in fresh):
-            look = known.__getitem__
-        return [b"".join(map(look, ws)) for ws in split]
+        return [b"".join([chunks.get(w) or chunk(w) for w in (ASCII_SPACE.split(t) if SEPARATORS.search(t) else t.split()) if w]) for t in texts]
 
+    _ENCODERS[tokenizer_path] = encode
     return encode
 
 
@@ -69,10 +97,10 @@ def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         encode = encoder(tokenizer_path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
+            for at in range(0, len(ids), 64):
                 out: list[list] = [[], [], [], [], []]
-                few = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                for doc_id, packed in zip(ids[at : at + 256], encode(few), strict=True):
+                few = [t or "" for t in texts.slice(at, 64).to_pylist()]
+                for doc_id, packed in zip(ids[at : at + 64], encode(few), strict=True):
                     packed += end
                     for start in range(0, len(packed), 4 * WINDOW):
                         piece = packed[start : start + 4 * WINDOW]
