@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, packing
+from . import caps, chat, html, lines, minhash, mixing, packing, quality, secrets
 from .common import table
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_mixing": mixing.sql()}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -17,10 +17,35 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(words=4))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
+    return quality.judged(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op5_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -32,4 +57,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES |= {f.__name__: f for f in (op3_packing, op9_chat_formatting, op10_html_extraction)}
+QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_packing, op4_quality_rules, op5_embedding_caps, op6_mixing, op8_secret_scan, op9_chat_formatting, op10_html_extraction)}
