@@ -48,3 +48,12 @@ def words(text):
 def let(value, body):
     """body(value) with value computed once a row and not again in every lambda call."""
     return F.transform(F.array(value), body)[0]
+
+
+#: Rows up to this number, of a few numbers each, are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def light(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, of a few numbers a row and cheap to read, marked for a broadcast if its size allows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -28,6 +28,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head"}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HINTS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "skip",
@@ -38,7 +39,7 @@ HINTS = {
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^>]*)?)(?:>|\Z)",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -52,6 +53,7 @@ class Line:
     links: int
     outside: bool
     article: bool
+    heading: bool
 
 
 def shut_out(tag: str, attributes: str, inside: bool) -> bool:
@@ -90,7 +92,7 @@ def lines(page: str) -> list[Line]:
         nonlocal links
         if parts:
             if joined := " ".join(html.unescape("".join(parts)).split()):
-                found.append(Line(joined, min(links, len(joined)), any(s[1] for s in stack), any(s[2] for s in stack)))
+                found.append(Line(joined, min(links, len(joined)), any(s[1] for s in stack), any(s[2] for s in stack), any(s[0] in HEADINGS for s in stack)))
             parts.clear()
         links = 0
 
@@ -152,6 +154,19 @@ def between(weights: list[int], least: int) -> list[tuple[int, int]]:
     return runs
 
 
+def trimmed(run: tuple[int, int], found: list[Line], weights: list[int]) -> tuple[int, int]:
+    """A run without the short lines around its long ones, but for headings before and sentences after them."""
+    long = [k for k in range(run[0], run[1] + 1) if weights[k] >= SURGE]
+    if not long:
+        return run
+    first, last = long[0], long[-1]
+    while first > run[0] and found[first - 1].heading:
+        first -= 1
+    while last < run[1] and weights[last + 1] and found[last + 1].text[-1] in ".!?…:\"'»”":
+        last += 1
+    return first, last
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line breaks; empty for null, empty and textless pages."""
     found = lines(page or "")
@@ -160,7 +175,7 @@ def main_text(page: str | None) -> str:
     runs = between(weights, 1 if marked else SURGE) or between(weights, 1)
     if runs and not marked:
         size = {r: sum(weights[r[0] : r[1] + 1]) for r in runs}
-        runs = [r for r in runs if size[r] >= SHARE * max(size.values())]
+        runs = [trimmed(r, found, weights) for r in runs if size[r] >= SHARE * max(size.values())]
     return "\n".join(found[k].text for a, b in runs for k in range(a, b + 1) if weights[k])
 
 

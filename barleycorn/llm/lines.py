@@ -17,12 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, let, words, written
+from .common import WORD_BREAK, let, light, words, written
 
 #: Cells of the table of word frequencies, an array of this many small numbers whatever the input's size.
 CELLS = 1 << 17
-#: Documents up to this number are broadcast as ids or with their removed lines; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -84,17 +82,13 @@ def candidates(late: DataFrame, early: DataFrame, how: Similar) -> DataFrame:
     return joined.select("doc_a", "line_a", "doc_b", "line_b").distinct()
 
 
-def small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
 def matched(pairs: DataFrame, docs: DataFrame, ranks: Column, how: Similar) -> DataFrame:
     """The later lines (doc, line) of pairs that are similar by their full sets."""
     pairs = written(pairs, "candidates")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")), F.struct(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")))).alias("e")).select("e.*").distinct()
     ids = ends.select(F.col("doc").alias("doc_id")).distinct()
-    some = docs.join(F.broadcast(ids) if small(ids) else ids, "doc_id", "left_semi")
-    lines = split_lines(some).join(F.broadcast(ends) if small(ends) else ends, ["doc", "line"], "left_semi")
+    some = docs.join(light(ids), "doc_id", "left_semi")
+    lines = split_lines(some).join(light(ends), ["doc", "line"], "left_semi")
     sets = written(with_tokens(lines, ranks), "sets").dropDuplicates(["doc", "line"])
     one, two = (sets.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -134,7 +128,7 @@ def deduplicated(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     late = later_matches(plain, how)
     removed = written(late.groupBy("doc").agg(F.array_distinct(F.collect_list("line")).alias("__removed")).withColumnRenamed("doc", "__doc"), "removed")
-    joined = docs.join(F.broadcast(removed) if small(removed) else removed, docs["doc_id"].cast("long") == removed["__doc"], "left").drop("__doc")
+    joined = docs.join(light(removed), docs["doc_id"].cast("long") == removed["__doc"], "left").drop("__doc")
     kept = let(F.split("text", "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__removed")), lambda i: F.get(x, i)))
     counts = {"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), "n_removed": F.coalesce(F.size("__removed"), F.lit(0))}
     text = F.when(F.col("__removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

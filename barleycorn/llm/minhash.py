@@ -6,8 +6,9 @@ of samples are candidates; pairs whose sketches are too far apart are passed ove
 confirmed on their full shingle sets.
 
 Groups of any size stay linear: documents with equal sets are one node; in each bucket of a band the
-members are first compared with one hub; only members that are then still in different components are
-compared with each other.
+members are first compared with one hub.  Of members that are then still in different components, all pairs
+of a small bucket are looked at; in a large one, where a common passage has brought many documents together,
+those pairs that share one of their rarest shingles, as all similar sets must.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import light, written
 from .components import components
 
 CACHE_WORDS = 400_000
-#: Ids up to this number are broadcast to find their texts; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Members of a bucket that are all compared; more are told apart by rare shingles.
+SMALL = 32
+#: Cells of a table of shingle frequencies.
+CELLS = 1 << 17
 
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _N = np.uint64(0x94D049BB133111EB)
@@ -141,24 +144,69 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, how: MinHash) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([few.column(0), listed], names=["id", "shingles"])
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = docs.join(light(ids), "id", "left_semi")
     return wanted.select("id", "text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
-    """The pairs (a, b) that are similar enough: by their sketches, then exactly, on their full sets."""
-    sketch = nodes.select("id", "n", "sketch")
-    one, two = (sketch.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    sizes = 100 * F.least("n_a", "n_b") >= how.percent * F.greatest("n_a", "n_b")
-    near = written(pairs.join(one, "a").join(two, "b").where(sizes & (apart <= how.most_bits)).select("a", "b", "n_a", "n_b"), "near")
-    sets = written(shingle_sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), how), "sets")
+def apart(x: str = "s_a", y: str = "s_b"):
+    """How many bits of two sketches differ."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+
+
+def sizes_allow(how: MinHash):
+    return F.expr(f"100 * least(n_a, n_b) >= {how.percent} * greatest(n_a, n_b)")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, how: MinHash) -> DataFrame:
+    """(a, b, n_a, n_b) of the pairs (a, b) whose sketches allow the similarity."""
+    one, two = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(sizes_allow(how) & (apart() <= how.most_bits)).select("a", "b", "n_a", "n_b")
+
+
+def confirmed(near: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
+    """The pairs (a, b) of near that are similar enough by their full sets."""
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
     return near.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= how.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def rare_prefixes(sets: DataFrame, how: MinHash) -> DataFrame:
+    """(id, n, place, shingle): the first shingles of each set in the order of rarity, so many that similar sets have one in common.
+
+    Rarity is counted over all the given sets, in CELLS cells of hashes; any order gives all pairs.
+    """
+    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(CELLS)).cast("int").alias("cell")).count().collect()  # CELLS rows at most
+    counts = np.zeros(CELLS, np.int64)
+    counts[[r["cell"] for r in counted]] = [r["count"] for r in counted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = []
+            for s in batch.column(1):
+                h = s.values.to_numpy()
+                firsts.append(h[np.lexsort((h, counts[h % CELLS]))][: len(h) - (how.percent * len(h) + 99) // 100 + 1])
+            n = pa.array([len(s.values) for s in batch.column(1)], pa.int64())
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, listed], names=["id", "n", "prefix"])
+
+    return sets.mapInArrow(run, "id long, n long, prefix array<long>").select("id", "n", F.posexplode("prefix").alias("place", "shingle"))
+
+
+def across(rows: DataFrame, of: DataFrame, how: MinHash) -> DataFrame:
+    """(a, b) of rows (id, n, place, shingle) of different components that share a shingle and leave room for enough others."""
+    placed = rows.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    parted = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle")
+    placed = written(placed.join(parted, "shingle", "left_semi"), "parted")
+    one, two = (placed.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    need = F.expr(f"({how.percent} * (n_a + n_b) + {99 + how.percent}) div {100 + how.percent}")
+    room = F.expr("least(p_a, p_b) + least(n_a - p_a, n_b - p_b)") >= need
+    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & room).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -176,18 +224,32 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     shared = written(buckets.join(hubs.select("key", "hub", "far"), "key"), "buckets")
     nodes = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "nodes")
     stars = shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    links = confirmed(stars, nodes, known, how)
-    of = written(components(links), "components")
-    # members of one bucket that are not connected yet
+    near = written(likely(stars, nodes, how), "near")
+    sets = written(shingle_sets(known, ends(near), how), "sets")
+    of = written(components(confirmed(near, sets, how)), "components")
+    # members of one bucket that are not connected yet: all pairs of a small bucket whose sketches allow it
     placed = shared.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    parted = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    placed = written(placed.join(parted, "key", "left_semi"), "parted")
-    other = placed.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    rest = placed.withColumnRenamed("id", "a").join(other, "key").where("a < b and c <> d").select("a", "b").distinct()
-    more = confirmed(rest.join(stars, ["a", "b"], "left_anti"), nodes, known, how)
-    found = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    parted = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+    placed = written(placed.join(parted, "key").join(nodes, "id"), "parted")
+    few = placed.where(F.col("size") <= SMALL)
+    one, two = (few.select("key", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    more = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & (apart() <= how.most_bits))
+    more = written(more.select("a", "b", "n_a", "n_b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
+    # and of a large one those that share a rare shingle
+    crowd = placed.where(F.col("size") > SMALL).select("id").distinct()
+    sets = written(shingle_sets(known, crowd.unionByName(ends(more)).distinct(), how), "sets")
+    rare = across(rare_prefixes(sets.join(crowd, "id", "left_semi"), how), of, how)
+    most = written(likely(rare.join(near.select("a", "b"), ["a", "b"], "left_anti"), nodes, how), "near")
+    links = confirmed(more.unionByName(most).distinct(), sets, how)
+    found = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     # back to all documents: a class of equal sets has its smallest document's component
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps."""
+    gone = written(near_duplicates(docs, how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(light(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

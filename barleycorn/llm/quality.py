@@ -14,11 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words, written
+from .common import let, light, words, written
 
 SYMBOLS = "[#*$%&|<>]"
 #: Share of a group's distinct vectors in the subset, concentration steps, vectors that an estimate needs, bins a unit of log distance.
 SHARE, STEPS, LEAST, BINS = 0.75, 5, 60, 64
+#: Estimates of up to so many groups are broadcast.
+GROUPS = 20_000
 #: Squared distance beyond which a vector is an outlier, in units of a chi-squared variable of five degrees; its median.
 CUTOFF, MEDIAN = 90.0, 4.351
 #: Transformed statistics with the least standard deviation that counts as spread.
@@ -115,7 +117,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
     # the start: medians, and spreads by the median distance from them, feature by feature
     long = vectors.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(FEATURES)])).alias("e")).select(F.struct("group", "e.i").alias("group"), "e.x")
     middle = quantiles(long, F.col("x") * BINS, 0.5).select("group", ((F.col("bin") + 0.5) / BINS).alias("median"))
-    apart = long.join(F.broadcast(middle), "group")
+    apart = long.join(light(middle, GROUPS * P), "group")
     spread = quantiles(apart, F.abs(F.col("x") - F.col("median")) * BINS, 0.5).select("group", ((F.col("bin") + 0.5) / BINS * 1.4826).alias("spread"))
     both = middle.join(spread, "group").select(F.col("group.group").alias("group"), F.col("group.i").alias("i"), "median", "spread")
     pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
@@ -123,10 +125,10 @@ def estimates(vectors: DataFrame) -> DataFrame:
     now = now.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)} | {"n": F.lit(0).cast("long")})
     now = written(solved(now), "estimates")
     for _ in range(STEPS):
-        placed = vectors.join(now.drop("n"), "group").select("group", *FEATURES, F.floor(log_d2()).alias("at"))
+        placed = vectors.join(light(now.drop("n"), GROUPS), "group").select("group", *FEATURES, F.floor(log_d2()).alias("at"))
         near = quantiles(placed, F.col("at"), SHARE)
-        now = written(solved(moments(placed.join(near, "group").where(F.col("at") <= F.col("bin")).select("group", *FEATURES))), "estimates")
-    placed = vectors.join(now, "group").select("group", log_d2().alias("at"))
+        now = written(solved(moments(placed.join(light(written(near, "near"), GROUPS), "group").where(F.col("at") <= F.col("bin")).select("group", *FEATURES))), "estimates")
+    placed = vectors.join(light(now, GROUPS), "group").select("group", log_d2().alias("at"))
     scale = quantiles(placed, F.col("at"), 0.5).select("group", F.greatest(F.exp((F.col("bin") + 0.5) / BINS) / MEDIAN, F.lit(0.5)).alias("scale"))
     return now.join(scale, "group")
 
@@ -156,7 +158,15 @@ def verdicts(counted: DataFrame) -> DataFrame:
     chosen = written(all_sizes.select("own", "language", group.alias("group")), "groups")
     needed = chosen.select("group").distinct()
     keyed = vectors.withColumn("group", F.explode(F.array("own", "language", everything))).join(needed, "group", "left_semi").select("group", *FEATURES).distinct()
-    found = estimates(written(keyed, "vectors")).where(F.col("n") >= LEAST * SHARE)
-    out = marked.join(chosen.select("own", "group"), "own", "left").join(found, "group", "left").withColumn("distance", distance() / F.col("scale"))
+    found = light(written(estimates(written(keyed, "vectors")).where(F.col("n") >= LEAST * SHARE), "found"), GROUPS)
+    out = marked.join(light(chosen.select("own", "group"), GROUPS), "own", "left").join(found, "group", "left").withColumn("distance", distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept).select(*counted.columns, "base_failed", "distance", "kept")
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that judged() keeps; rows of one doc_id are told apart by their texts."""
+    print_of = F.xxhash64("text")
+    counted = written(statistics(docs.select("doc_id", "text", "lang", "source")).withColumn("print", print_of).drop("text"), "statistics")
+    gone = written(verdicts(counted).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).distinct(), "gone")
+    return docs.join(light(gone), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__print")), "left_anti")

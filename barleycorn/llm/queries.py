@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, chat, html, lines, minhash, mixing, packing, quality, secrets
+from . import caps, chat, html, lines, minhash, mixing, packing, quality, secrets, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -42,6 +42,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learned(docs, labels.where(~toxicity.held_out("doc_id")))
+    return toxicity.scored(docs, model)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
@@ -57,4 +63,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_packing, op4_quality_rules, op5_embedding_caps, op6_mixing, op8_secret_scan, op9_chat_formatting, op10_html_extraction)}
+QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_packing, op4_quality_rules, op5_embedding_caps, op6_mixing, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_html_extraction)}
