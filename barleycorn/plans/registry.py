@@ -1,7 +1,620 @@
-"""The queries of the core package by name, and SQL with the same rows."""
+"""The queries of the core package by name, and DuckDB SQL with the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Classify, Scoring, Template
+from ..functions.estimators import ln_mean, percentile_of_score, stars, two_sided
+from ..functions.sequence import expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, piece, reverse_complement
+from ..operators import align, annotate, cohorts, demux, denoise, fits, multiple, quantify, resample, tumors
+from ..operators import reads as rd
+from ..sources.fastq import fastq_text, header_fields
+from ..sources.tables import merge_replicates, transition_matrix, with_metadata
+from . import adapters as ad
+from .adapters import ANNOTATE, CLUSTERS, COMBINED, GUIDES, INERT_BRANDS, QUANTIFY, READS, SPIKE_BRAND, TESTS, TUMORS
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "relative_ln_means"
+
+INERT_SQL = ", ".join(f"'{b}'" for b in INERT_BRANDS)
+
+
+def query(sql: str | None = None):
+    """Register a function as a query, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Sums of floating-point numbers depend on their order in the last digits."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- tumour sizes
+
+LN_MEANS = f"""{TUMORS}, means as (
+  select target, count(*) as n, exp(avg(ln(cells)) + var_pop(ln(cells)) / 2) as ln_mean from tumors group by target)"""
+
+
+@query(f"with {LN_MEANS} select target, n, round(ln_mean, 6) as ln_mean, round(ln_mean / (select median(ln_mean) from means where target in ({INERT_SQL})), 6) as relative from means")
+def relative_ln_means(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.relative_ln_means(ad.tumors(spark, d), INERT_BRANDS), "ln_mean", "relative")
+
+
+@query(f"with {TUMORS} select sample, target, count(*) as n, round(exp(avg(ln(cells)) + var_pop(ln(cells)) / 2), 6) as ln_mean from tumors group by sample, target")
+def ln_means_by_sample(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.ln_means(ad.tumors(spark, d), ("sample", "target")), "ln_mean")
+
+
+@query(f"""with {TUMORS}, p as (select unnest([50, 60, 70, 80, 90, 95, 99]) as percent)
+select target, percent, round(quantile_cont(cells, percent / 100), 6) as cells from tumors, p group by target, percent""".replace("quantile_cont(cells, percent / 100)", "case percent " + " ".join(f"when {p} then quantile_cont(cells, {p / 100})" for p in (50, 60, 70, 80, 90, 95, 99)) + " end"))
+def size_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.size_percentiles(ad.tumors(spark, d)), "cells").select("target", "percent", "cells")
+
+
+@query(f"""with {TUMORS}, levels as (select sample, median(cells) as level from tumors where target in ({INERT_SQL}) group by sample)
+select sample, target, barcode, cells, round(cells / nullif(level, 0), 6) as relative from tumors left join levels using (sample)""")
+def inert_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.inert_normalized(ad.tumors(spark, d), INERT_BRANDS), "relative").select("sample", "target", "barcode", "cells", "relative")
+
+
+@query(f"""with {TUMORS}, counts as (select target, cast(floor(log10(cells)) as integer) as decade, count(*) as n from tumors where cells > 0 group by all)
+select target, decade, n, round(n / sum(n) over (partition by target), 9) as share from counts""")
+def decade_shares(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.decade_shares(ad.tumors(spark, d)), "share", digits=9)
+
+
+@query(f"""with {TUMORS}, counts as (select target, cast(floor(log10(cells) * 4) as integer) as bin, count(*) as n from tumors where cells > 0 group by all)
+select target, bin, n, round(n / sum(n) over (partition by target) / (pow(10.0, (bin + 1) / 4) - pow(10.0, bin / 4)), 12) as density from counts""")
+def log_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.log_histogram(ad.tumors(spark, d)), "density", digits=12)
+
+
+@query(f"""with {TUMORS}, y as (select target, ln(cells) as y from tumors), sums as (select target, count(*) as n, sum(y) as s, sum(y * y) as q from y group by target),
+m as (select target, n, y, q, (s - y) / (n - 1) as m from y join sums using (target) where n > 1),
+o as (select target, exp(m + ((q - y * y) / (n - 1) - m * m) / 2) as o from m),
+d as (select target, o - avg(o) over (partition by target) as d from o)
+select target, round(sum(pow(d, 3)) / nullif(6 * pow(sum(pow(d, 2)), 1.5), 0), 6) as acceleration from d group by target""")
+def jackknife_ln_means(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.jackknife_ln_means(ad.tumors(spark, d)), "acceleration")
+
+
+@query(f"""with {TUMORS}, sums as (select sample, target, avg(ln(cells)) as m, count(*) as n, sum(ln(cells) * ln(cells)) as q, sum(ln(cells)) as s from tumors group by all)
+select round(1 - sum(q - n * m * m) / (sum(q) - sum(s) * sum(s) / sum(n)), 6) as r2 from sums""")
+def levels_r2(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.levels_r2(ad.tumors(spark, d).withColumn("y", F.ln("cells")), ["sample", "target"], "y"), "r2")
+
+
+@query(f"""with {TUMORS}, one as (select distinct sample, target, barcode from tumors)
+select x.sample as a, y.sample as b, count(*) as shared from one x join one y using (target, barcode) where x.sample < y.sample group by all""")
+def barcode_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return tumors.barcode_overlaps(ad.tumors(spark, d))
+
+
+@query(f"""with {TUMORS}, seen as (select target, barcode, count(distinct sample) as k from tumors group by all)
+select target, count(*) as observed, round(avg(k), 6) as mean_samples from seen group by target""")
+def observed_barcodes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(tumors.observed_barcodes(ad.tumors(spark, d)), "mean_samples")
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    s = ad.table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").cast("string").alias("sample"), F.col("s_nationkey").alias("genotype"), (F.col("s_acctbal") < 0).alias("dropped"), F.concat(F.lit("merged"), (F.col("s_suppkey") % 10).cast("string")).alias("merger"))
+
+
+@query(f"""with {TUMORS}, meta as (select cast(s_suppkey as varchar) as sample, s_nationkey as genotype, s_acctbal < 0 as dropped, 'merged' || (s_suppkey % 10) as merger from supplier)
+select genotype, merger as sample, target, barcode, round(avg(cells), 6) as cells from tumors join meta using (sample) where not coalesce(dropped, false) group by all""")
+def meta_join_drop_merge(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(with_metadata(ad.tumors(spark, d), _metadata(spark, d), ["genotype"], "dropped", "merger"), "cells")
+
+
+@query(f"with {TUMORS} select target, barcode, round(median(cells), 6) as cells from tumors group by all")
+def replicate_merge(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(merge_replicates(ad.tumors(spark, d), ["target", "barcode"], "median"), "cells")
+
+
+@query(f"""with {TUMORS}, means as (select sample, target, exp(avg(ln(cells)) + var_pop(ln(cells)) / 2) as v from tumors group by all),
+cohort as (select target, exp(avg(ln(cells)) + var_pop(ln(cells)) / 2) as c from tumors group by all),
+p as (select target, avg(cast(v < c as integer)) * 0.5 + avg(cast(v <= c as integer)) * 0.5 as place from means join cohort using (target) group by target)
+select target, round(place, 9) as place, round(2 * least(place, 1 - place), 9) as p,
+  case when round(2 * least(place, 1 - place), 9) < 0.0001 then '****' when round(2 * least(place, 1 - place), 9) < 0.001 then '***' when round(2 * least(place, 1 - place), 9) < 0.01 then '**' when round(2 * least(place, 1 - place), 9) < 0.05 then '*' else '' end as stars from p""")
+def cohort_places(spark: SparkSession, d: str) -> DataFrame:
+    t = ad.tumors(spark, d)
+    means = tumors.ln_means(t, ("sample", "target")).withColumnRenamed("ln_mean", "v")
+    cohort = t.groupBy("target").agg(ln_mean(F.col("cells")).alias("c"))
+    place = means.join(cohort, "target").groupBy("target").agg(percentile_of_score(F.col("v"), F.col("c")).alias("place"))
+    out = place.select("target", F.round("place", 9).alias("place"), F.round(two_sided(F.col("place")), 9).alias("p"))
+    return out.withColumn("stars", stars(F.col("p")))
+
+
+# ---- many P-values
+
+_M = "(select count(*) from tests)"
+
+
+@query(f"with {TESTS} select name, p, p <= 0.05 / {_M} as reject from tests")
+def fwer_bonferroni(spark: SparkSession, d: str) -> DataFrame:
+    return multiple.bonferroni(ad.tests(spark, d))
+
+
+@query(f"with {TESTS} select name, p, p <= 1 - pow(0.95, 1.0 / {_M}) as reject from tests")
+def fwer_sidak(spark: SparkSession, d: str) -> DataFrame:
+    return multiple.sidak(ad.tests(spark, d))
+
+
+_RANKED = f"ranked as (select name, p, row_number() over (order by p, name) - 1 as k, {_M} as m from tests), marked as (select *, p > 0.05 / (m + 1 - k) as over from ranked)"
+
+
+@query(f"with {TESTS}, {_RANKED.replace(' as over ', ' as above ')} select name, p, coalesce(p < (select min(p) from marked where above), true) as reject from marked")
+def fwer_holm(spark: SparkSession, d: str) -> DataFrame:
+    return multiple.holm(ad.tests(spark, d))
+
+
+@query(f"with {TESTS}, {_RANKED.replace(' as over ', ' as above ')} select name, p, coalesce(k < (select min(k) from marked where above), true) as reject from marked")
+def fwer_hochberg(spark: SparkSession, d: str) -> DataFrame:
+    return multiple.hochberg(ad.tests(spark, d))
+
+
+# ---- reads
+
+
+@query(f"with {READS} select sample, read_id, header, dna, qc from reads where not contains(header, ':Y:')")
+def chastity_filter(spark: SparkSession, d: str) -> DataFrame:
+    return rd.chaste(ad.reads(spark, d))
+
+
+@query(f"with {READS} select sample, read_id, dna from reads where not contains(dna, 'N')")
+def degenerate_filter(spark: SparkSession, d: str) -> DataFrame:
+    return rd.without_degenerate(ad.reads(spark, d)).select("sample", "read_id", "dna")
+
+
+@query(f"""with {READS}, cut as (select read_id, substr(dna, 1, 28 + cast(read_id % 5 as integer) // 4) as dna from reads),
+few as (select length(dna) as n from cut order by read_id limit 999) select read_id, dna from cut where length(dna) = (select cast(floor(median(n)) as integer) from few)""")
+def length_mode_filter(spark: SparkSession, d: str) -> DataFrame:
+    cut = ad.reads(spark, d).select("read_id", F.substring("dna", F.lit(1), F.lit(28) + F.floor((F.col("read_id") % 5) / 4).cast("int")).alias("dna"))
+    return rd.usual_length(cut)
+
+
+@query(f"with {READS} select read_id, substr(dna, 5, 12) as dna, substr(qc, 5, 12) as qc from reads")
+def co_slice(spark: SparkSession, d: str) -> DataFrame:
+    return rd.co_sliced(ad.reads(spark, d), 4, 16).select("read_id", "dna", "qc")
+
+
+@query(f"""with {READS}, b as (select *, cast(read_id % 7 as integer) as s from reads)
+select read_id, substr(dna, s + 1, 8) || substr(dna, s + 13, 4) as dna, substr(qc, s + 1, 8) || substr(qc, s + 13, 4) as qc from b""")
+def vector_slice(spark: SparkSession, d: str) -> DataFrame:
+    s = (F.col("read_id") % 7).cast("int")
+    bounded = ad.reads(spark, d).withColumns({"a": s, "b": s + 8, "a2": s + 12, "b2": s + 16})
+    return rd.sliced_by(bounded, "a", "b", "a2", "b2").select("read_id", "dna", "qc")
+
+
+@query(f"with {READS} select read_id, round(list_sum(list_transform(string_split(qc, ''), lambda c: pow(10.0, (33 - ascii(c)) / 10.0))), 6) as ee from reads")
+def expected_error_sums(spark: SparkSession, d: str) -> DataFrame:
+    return ad.reads(spark, d).select("read_id", F.round(expected_errors(F.col("qc")), 6).alias("ee"))
+
+
+@query(f"with {READS} select read_id from reads where list_sum(list_transform(string_split(qc, ''), lambda c: pow(10.0, (33 - ascii(c)) / 10.0))) <= 3.0")
+def max_expected_errors(spark: SparkSession, d: str) -> DataFrame:
+    return rd.few_errors(ad.reads(spark, d), 3.0).select("read_id")
+
+
+@query(f"with {READS} select read_id from reads where not contains(qc, '#')")
+def trusted_quality(spark: SparkSession, d: str) -> DataFrame:
+    return rd.trusted_quality(ad.reads(spark, d)).select("read_id")
+
+
+@query(f"with {READS}, cut as (select sample, substr(dna, 1, 4) as dna from reads) select sample, dna as sequence, count(*) as abundance from cut group by all")
+def derep(spark: SparkSession, d: str) -> DataFrame:
+    return rd.dereplicated(ad.reads(spark, d).withColumn("dna", F.substring("dna", 1, 4)))
+
+
+@query(f"""with {READS}, cut as (select sample, substr(dna, 1, 3) as dna, substr(qc, 1, 3) as qc from reads),
+p as (select sample, dna, i, avg(ascii(substr(qc, i, 1)) - 33) as q, count(*) as n from cut, (select unnest([1, 2, 3]) as i) group by all)
+select sample, dna as sequence, max(n) as abundance, round(max(case when i = 1 then q end), 6) as q1, round(max(case when i = 3 then q end), 6) as q3 from p group by all""")
+def derep_mean_quality(spark: SparkSession, d: str) -> DataFrame:
+    cut = ad.reads(spark, d).withColumns({c: F.substring(c, 1, 3) for c in ("dna", "qc")})
+    return rd.mean_qualities(cut).select("sample", "sequence", "abundance", *[F.round(F.get("mean_q", F.lit(k)), 6).alias(f"q{k + 1}") for k in (0, 2)])
+
+
+@query(f"with {READS}, g as (select length(regexp_replace(dna, '[^GC]', '', 'g')) as gc, count(*) as n from reads group by all) select cast(i as integer) as gc, coalesce(n, 0) as n from range(33) r(i) left join g on g.gc = r.i")
+def gc_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rd.dense_counts(ad.reads(spark, d).select(gc_count(F.col("dna")).alias("gc")), "gc", 32)
+
+
+@query(f"""with {READS}, g as (select cast(length(regexp_replace(dna, '[^GC]', '', 'g')) as integer) as gc, count(*) as n from reads group by all)
+select (select gc from g order by n desc, gc limit 1) as gc, round(max(n) / sum(n), 9) as share from g""")
+def commonest_gc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rd.commonest(rd.dense_counts(ad.reads(spark, d).select(gc_count(F.col("dna")).alias("gc")), "gc", 32), "gc"), "share", digits=9)
+
+
+@query(f"""with {READS}, cut as (select substr(dna, 1, 3) as s from reads), g as (select s, count(*) as n from cut group by s)
+select s as sequence, n, round(n / (select count(*) from cut), 9) as share from g where n / (select count(*) from cut) >= 0.015""")
+def unaligned_top_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rd.frequent(ad.reads(spark, d).withColumn("dna", F.substring("dna", 1, 3)), 0.015), "share", digits=9)
+
+
+@query(f"""with {READS}, known as (select distinct substr(translate(md5(cast(n_nationkey as varchar)), '{ad.HEX}', '{ad.BASES}'), i, 6) as k from nation, range(1, 28) r(i))
+select read_id from reads where len(list_intersect(list_transform(range(1, 28), lambda i: substr(dna, i, 6)), (select list(k) from known))) > 0""")
+def contaminant_kmers(spark: SparkSession, d: str) -> DataFrame:
+    known = ad.table(spark, d, "nation").select(F.translate(F.md5(F.col("n_nationkey").cast("string").cast("binary")), ad.HEX, ad.BASES).alias("seq"))
+    return rd.sharing_kmers(ad.reads(spark, d), known, 6).select("read_id")
+
+
+@query(f"""with {READS}, b as (select dna as barcode from reads), p as (select cast(i - 1 as integer) as place, substr(barcode, i, 1) as base, count(*) as n from b, range(1, 33) r(i) group by all)
+select place, base, n, round(n / sum(n) over (partition by place), 9) as share from p""".replace("cast(i - 1", "cast(r.i - 1").replace("barcode, i, 1", "barcode, cast(r.i as integer), 1"))
+def barcode_pwm(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rd.position_weights(ad.reads(spark, d).select(F.col("dna").alias("barcode"))), "share", digits=9)
+
+
+@query(f"with {READS} select header || chr(10) || dna || chr(10) || '+' || chr(10) || qc as value from reads")
+def fastq_records(spark: SparkSession, d: str) -> DataFrame:
+    return fastq_text(ad.reads(spark, d))
+
+
+@query(f"with {READS} select read_id, 'M' as instrument, '1' as run, 'FC' as flowcell, split_part(split_part(header, ' ', 1), ':', 4) as lane, '1' as mate, split_part(split_part(header, ' ', 2), ':', 4) as \"index\" from reads")
+def header_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return header_fields(ad.reads(spark, d)).select("read_id", "instrument", "run", "flowcell", "lane", "mate", "index")
+
+
+@query(f"with {READS} select read_id, reverse(translate(dna, 'ACGT', 'TGCA')) as dna from reads")
+def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
+    return ad.reads(spark, d).select("read_id", reverse_complement(F.col("dna")).alias("dna"))
+
+
+@query(f"""with {READS} select read_id, cast(coalesce(list_filter(range(0, 27), lambda i: hamming(substr(dna, cast(i as integer) + 1, 6), 'ACGTAC') <= 2)[1], -1) as integer) as place from reads""")
+def find_motif(spark: SparkSession, d: str) -> DataFrame:
+    return ad.reads(spark, d).select("read_id", find_with_substitutions(F.col("dna"), "ACGTAC", 2).alias("place"))
+
+
+@query(f"with {READS} select read_id, cast(hamming(substr(dna, 1, 16), substr(dna, 17, 16)) as integer) as distance from reads")
+def half_distances(spark: SparkSession, d: str) -> DataFrame:
+    return ad.reads(spark, d).select("read_id", hamming(F.substring("dna", 1, 16), F.substring("dna", 17, 16)).alias("distance"))
+
+
+@query(f"""with {READS}, ids as (select distinct substr(dna, 1, 8) as id from reads where not contains(dna, 'N'))
+select id from ids where length(regexp_replace(id, '[^GC]', '', 'g')) = 4 and not regexp_matches(id, 'AAA|CCC|GGG|TTT') and not contains('GC' || id || 'AT', 'GAATTC') and not contains('GC' || id || 'AT', 'GGATCC')""")
+def sgid_design_filters(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.design import usable
+
+    ids = rd.without_degenerate(ad.reads(spark, d)).select(F.substring("dna", 1, 8).alias("id")).distinct()
+    return usable(ids, 8, ("GAATTC", "GGATCC"), "GC", "AT")
+
+
+@query(f"""with {READS} select read_id, cast(list_max(list_transform(regexp_extract_all(dna, 'A+|C+|G+|T+|N+'), lambda r: length(r))) as integer) as longest from reads""")
+def longest_runs(spark: SparkSession, d: str) -> DataFrame:
+    return ad.reads(spark, d).select("read_id", longest_run(F.col("dna")).alias("longest"))
+
+
+# ---- demultiplexing
+
+_INDEX = f"""known as (select substr(translate(md5(cast(s_suppkey as varchar)), '{ad.HEX}', '{ad.BASES}'), 1, 6) as barcode, min(cast(s_suppkey as varchar)) as sample from supplier group by 1)"""
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    s = ad.table(spark, d, "supplier")
+    index = F.substring(F.translate(F.md5(F.col("s_suppkey").cast("string").cast("binary")), ad.HEX, ad.BASES), 1, 6)
+    return s.groupBy(index.alias("barcode")).agg(F.min(F.col("s_suppkey").cast("string")).alias("sample"))
+
+
+_MATCHED = """hits as (select o.index, max(case when k.barcode = o.index then k.sample end) as exact, count(k.barcode) as hits, min(k.sample) as only_one
+  from observed o left join known k on hamming(o.index, k.barcode) <= 1 group by o.index),
+matched as (select index, case when exact is not null then exact when hits = 1 then only_one when hits > 1 then 'conflict' else 'unknown' end as assigned,
+  case when exact is not null then 'exact' when hits = 1 then 'recovered' when hits > 1 then 'conflict' else 'unknown' end as how from hits)""".replace("index", '"index"').replace('o."index"', 'o."index"')
+
+
+@query(f"""with {READS}, {_INDEX}, observed as (select distinct substr(dna, 8, 6) as "index" from reads), {_MATCHED} select "index", assigned, how from matched""")
+def match_indices(spark: SparkSession, d: str) -> DataFrame:
+    return demux.matched_indices(ad.reads(spark, d).select(F.substring("dna", 8, 6).alias("index")).distinct(), _known(spark, d))
+
+
+def _dual(spark: SparkSession, d: str) -> DataFrame:
+    mate = F.when(F.col("read_id") % 4 == 0, F.substring("dna", 20, 6)).otherwise(F.translate(F.substring("dna", 8, 6), "N", "A"))
+    return ad.reads(spark, d).select("read_id", F.substring("dna", 8, 6).alias("index1"), mate.alias("index2"))
+
+
+_DUAL = f"""{READS}, {_INDEX}, dual as (select read_id, substr(dna, 8, 6) as index1, case when read_id % 4 = 0 then substr(dna, 20, 6) else replace(substr(dna, 8, 6), 'N', 'A') end as index2 from reads),
+filled as (select *, list_aggregate(list_transform(range(1, 7), lambda i: case when substr(index1, cast(i as integer), 1) = 'N' then substr(index2, cast(i as integer), 1) else substr(index1, cast(i as integer), 1) end), 'string_agg', '') as f1,
+  list_aggregate(list_transform(range(1, 7), lambda i: case when substr(index2, cast(i as integer), 1) = 'N' then substr(index1, cast(i as integer), 1) else substr(index2, cast(i as integer), 1) end), 'string_agg', '') as f2 from dual),
+observed as (select f1 as "index" from filled union select f2 from filled), {_MATCHED},
+assigned as (select f.read_id, f.index1, f.index2, case when a.assigned = b.assigned then a.assigned else 'conflict' end as assigned from filled f join matched a on a."index" = f.f1 join matched b on b."index" = f.f2)"""
+
+
+@query(f"with {_DUAL} select read_id, index1, index2, assigned from assigned")
+def demux_dual_index(spark: SparkSession, d: str) -> DataFrame:
+    return demux.dual_index(_dual(spark, d), _known(spark, d))
+
+
+@query(f"with {_DUAL} select assigned, count(*) as n, round(count(*) / (select count(*) from assigned), 9) as share from assigned group by assigned")
+def demux_tallies(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(demux.tallied(demux.dual_index(_dual(spark, d), _known(spark, d)), ["assigned"]), "share", digits=9)
+
+
+_SPACED = f"""{READS}, placed as (select read_id, sample, cast(coalesce(list_filter(range(0, 29), lambda i: hamming(substr(dna, cast(i as integer) + 1, 4), 'ACGT') <= 1)[1], -1) as integer) as p,
+  cast(coalesce(list_filter(range(0, 29), lambda i: hamming(substr(reverse(translate(dna, 'ACGT', 'TGCA')), cast(i as integer) + 1, 4), 'CATG') <= 1)[1], -1) as integer) as q from reads),
+spaced as (select read_id, sample, cast(case when p between 1 and 3 then 2 when p between 4 and 6 then 5 when p between 7 and 9 then 8 end as integer) as forward,
+  cast(case when q between 1 and 3 then 2 when q between 4 and 6 then 5 when q between 7 and 9 then 8 end as integer) as reverse from placed),
+routes as (select cast(n_nationkey % 3 * 3 + 2 as integer) as forward, cast(n_nationkey // 3 % 3 * 3 + 2 as integer) as reverse, min(n_name) as sample from nation where n_nationkey < 7 group by all),
+routed as (select s.read_id, s.sample as file, s.forward, s.reverse, coalesce(r.sample, (select min_by(sample, t.reverse) from routes t where t.forward = s.forward), 'Failed') as assigned from spaced s left join routes r on r.forward = s.forward and r.reverse = s.reverse)"""
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    r = ad.reads(spark, d).select("read_id", F.col("sample").alias("file"), "dna").withColumn("dna2", reverse_complement(F.col("dna")))
+    spaced = demux.with_spacers(demux.with_spacers(r, "dna", "ACGT", [2, 5, 8], 1, 1, "forward"), "dna2", "CATG", [2, 5, 8], 1, 1, "reverse")
+    k = F.col("n_nationkey")
+    routes = ad.table(spark, d, "nation").where(k < 7).groupBy((k % 3 * 3 + 2).cast("int").alias("forward"), (F.floor(k / 3) % 3 * 3 + 2).cast("int").alias("reverse")).agg(F.min("n_name").alias("sample"))
+    return demux.routed_by_spacer(spaced.drop("dna", "dna2"), routes)
+
+
+@query(f"with {_SPACED} select read_id, file, forward, reverse, assigned from routed")
+def spacer_route(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(spark, d).select("read_id", "file", "forward", "reverse", "assigned")
+
+
+@query(f"with {_SPACED} select file, count(*) as n, round(avg(cast(assigned = 'Failed' as integer)), 9) as failed from routed group by rollup (file)")
+def spacer_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(demux.spacer_summary(_routed(spark, d), "file"), "failed", digits=9)
+
+
+@query("""with f as (select distinct l_suppkey as name from lineitem where l_returnflag = 'R'), r as (select distinct s_suppkey as name from supplier where s_acctbal > 0)
+select coalesce(f.name, r.name) as name, case when f.name is not null and r.name is not null then 'both' when f.name is not null then 'forward' else 'reverse' end as mates from f full join r on f.name = r.name""")
+def mate_match(spark: SparkSession, d: str) -> DataFrame:
+    f = ad.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("name"))
+    return demux.mate_files(f, ad.table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("name")))
+
+
+# ---- clusters
+
+_A, _K = ANNOTATE.flank, ANNOTATE.id_length
+_ANNOTATED = f"""{CLUSTERS}, {GUIDES},
+exact as (select c.*, substr(sequence, {_A + 1}, {_K}) as xid, substr(sequence, {_A + _K + 1}, length(sequence) - {2 * _A + _K}) as xbarcode, substr(sequence, {_A - 1 + 1}, {_K + 3}) as w, g.target as xtarget
+  from clusters c left join guides g on g.id = substr(sequence, {_A + 1}, {_K})),
+misses as (select distinct sequence, w from exact where xtarget is null),
+places as (select sequence, id as gid, target as gtarget, list_filter(range(0, 4), lambda i: hamming(substr(w, cast(i as integer) + 1, {_K}), id) <= 1)[1] as place from misses, guides),
+hits as (select sequence, count(place) as n, count(case when place = 1 then 1 end) as there, max(case when place = 1 then gtarget end) as there_target, max(case when place is not null then gtarget end) as any_target,
+  max(case when place is not null then gid end) as any_id, max(place) as any_place from places group by sequence),
+annotated as (select e.sample, e.sequence, e.abundance, e.n0, e.n1, e.nunq, e.pval, e.birth_pval, e.birth_ham,
+  case when coalesce(h.there, 0) <> 1 and h.n = 1 then h.any_id else xid end as id,
+  coalesce(xtarget, case when h.there = 1 then there_target when h.n = 1 then any_target else 'Unknown' end) as target,
+  case when coalesce(h.there, 0) <> 1 and h.n = 1 then substr(e.sequence, cast(any_place as integer) + {_A - 1 + _K + 1}, length(e.sequence) - {_A} - (cast(any_place as integer) + {_A - 1 + _K})) else xbarcode end as barcode,
+  case when xtarget is not null then 'exact' when h.there = 1 or h.n = 1 then 'salvaged' else 'unknown' end as found
+  from exact e left join hits h on h.sequence = e.sequence)"""
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.annotated(ad.clusters(spark, d), ad.guides(spark, d), ANNOTATE)
+
+
+@query(f"with {CLUSTERS}, {GUIDES} select sample, sequence, id, target from clusters join guides on id = substr(sequence, {_A + 1}, {_K})")
+def sgid_annotate_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _annotated(spark, d).where("found = 'exact'").select("sample", "sequence", "id", "target")
+
+
+@query(f"with {_ANNOTATED} select sample, sequence, id, target, barcode, found from annotated")
+def sgid_annotate_salvage(spark: SparkSession, d: str) -> DataFrame:
+    return _annotated(spark, d).select("sample", "sequence", "id", "target", "barcode", "found")
+
+
+@query(f"""with {_ANNOTATED}, short as (select *, substr(barcode, 1, 2) as b2 from annotated), ids as (select sample, target, b2, id, count(*) as k from short group by all),
+ranked as (select *, row_number() over (partition by sample, target, b2 order by k desc, id) as r from ids)
+select s.sample, s.target, s.b2 as barcode, max(r.id) as id, cast(sum(abundance) as bigint) as abundance, cast(sum(n0) as bigint) as n0, cast(sum(n1) as bigint) as n1, cast(sum(nunq) as bigint) as nunq,
+  round(product(pval), 9) as pval, round(product(birth_pval), 9) as birth_pval, min(birth_ham) as birth_ham
+from short s join ranked r on r.sample = s.sample and r.target = s.target and r.b2 = s.b2 and r.r = 1 group by s.sample, s.target, s.b2""")
+def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(annotate.merged(_annotated(spark, d).withColumn("barcode", F.substring("barcode", 1, 2))), "pval", "birth_pval", digits=9)
+
+
+_SHARES = ", ".join(f"round(avg(cast(found = '{k}' as integer)), 9) as {k}_share, round(sum(case when found = '{k}' then abundance else 0 end) / sum(abundance), 9) as {k}_abundance" for k in ("exact", "salvaged", "unknown"))
+
+
+@query(f"with {_ANNOTATED} select sample, count(*) as clusters, {_SHARES} from annotated group by sample")
+def annotation_summary(spark: SparkSession, d: str) -> DataFrame:
+    kinds = ("exact", "salvaged", "unknown")
+    return rounded(annotate.annotation_summary(_annotated(spark, d)), *[f"{k}_{c}" for k in kinds for c in ("share", "abundance")], digits=9)
+
+
+@query(f"with {CLUSTERS} select sample, round(max(abundance) / sum(abundance), 9) as share from clusters group by sample")
+def largest_cluster_share(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(denoise.largest_shares(ad.clusters(spark, d)), "share", digits=9)
+
+
+# ---- quantification
+
+_RESIDUALS = f"""{COMBINED}, y as (select *, length(regexp_replace(id || barcode, '[^GC]', '', 'g')) as gcs, ln(cast(n0 + n1 as double)) as y from combined),
+residuals as (select *, y - avg(y) over (partition by sample, target) as residual from y)"""
+_FIT = f"""{_RESIDUALS}, ranked as (select gcs, residual, row_number() over (partition by gcs order by residual) as r, count(*) over (partition by gcs) as n from residuals),
+points as (select gcs, avg(residual) as trimmed, max(n) as n from ranked where r > floor(0.01 * n) and r <= n - floor(0.01 * n) group by gcs),
+sums as (select sum(n) as w, sum(n * gcs) as wx, sum(n * trimmed) as wy, sum(n * gcs * gcs) as wxx, sum(n * gcs * trimmed) as wxy from points),
+fit as (select (wxy * w - wx * wy) / (wxx * w - wx * wx) as slope, (wy - (wxy * w - wx * wy) / (wxx * w - wx * wx) * wx) / w as intercept from sums)"""
+_CORRECTED = f"{_FIT}, corrected as (select r.*, exp(y - (select intercept from fit) - (select slope from fit) * gcs) as gc_corrected from residuals r)"
+_SPIKES = f"""{_CORRECTED}, spike_sums as (select barcode, sum(gc_corrected) as s from corrected where target = '{SPIKE_BRAND}' group by barcode),
+spikes as (select barcode, s / (select sum(s) from spike_sums) as share from spike_sums where s / (select sum(s) from spike_sums) > {QUANTIFY.spike_share})"""
+_CELLS = f"""{_SPIKES}, scales as (select sample, {QUANTIFY.spike_cells} / avg(gc_corrected) as scale from corrected where target = '{SPIKE_BRAND}' and barcode in (select barcode from spikes) group by sample),
+cells as (select c.*, gc_corrected * scale as cells, case when abundance - n1 - n0 = 0 then case when n0 = 0 then cast('nan' as double) else cast('infinity' as double) end else cast(n0 as double) / (abundance - n1 - n0) end as concentration
+  from corrected c left join scales using (sample)),
+final as (select *, coalesce((concentration >= 1 and cells >= 500) or cells >= 5000, false) as pass_filter from cells),
+marked as (select *, target = '{SPIKE_BRAND}' and pass_filter and barcode not in (select barcode from spikes) as false_positive from final)"""
+
+
+def _residuals(spark: SparkSession, d: str) -> DataFrame:
+    return quantify.gc_residuals(ad.combined(spark, d), QUANTIFY)
+
+
+def _corrected(spark: SparkSession, d: str) -> DataFrame:
+    r = _residuals(spark, d)
+    return quantify.gc_corrected(r, quantify.gc_fit(r, QUANTIFY)[0])
+
+
+@query(f"with {_RESIDUALS} select sample, target, barcode, gcs, round(residual, 6) as residual from residuals".replace("gcs, round", "cast(gcs as integer) as gcs, round"))
+def gc_residual(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_residuals(spark, d), "residual").select("sample", "target", "barcode", "gcs", "residual")
+
+
+@query(f"with {_FIT} select cast(gcs as integer) as gcs, round(trimmed, 6) as trimmed, n from points")
+def trimmed_mean_by_gc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quantify.trimmed_means(_residuals(spark, d), "gcs", "residual", 0.01), "trimmed")
+
+
+@query(f"with {_CORRECTED} select sample, target, barcode, round(gc_corrected, 5) as gc_corrected from corrected")
+def gc_fit_order1(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_corrected(spark, d), "gc_corrected", digits=5).select("sample", "target", "barcode", "gc_corrected")
+
+
+@query(f"with {_SPIKES} select barcode, round(share, 7) as share from spikes")
+def spike_infer(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quantify.spikes(_corrected(spark, d), QUANTIFY), "share", digits=7)
+
+
+@query(f"with {_CELLS} select sample, target, barcode, round(cells, 2) as cells, round(case when isfinite(concentration) then concentration end, 6) as concentration, pass_filter, false_positive from marked")
+def spike_scale_cells(spark: SparkSession, d: str) -> DataFrame:
+    out = quantify.quantified(ad.combined(spark, d), QUANTIFY)
+    finite = F.when(F.abs("concentration") < float("inf"), F.col("concentration"))
+    return out.select("sample", "target", "barcode", F.round("cells", 2).alias("cells"), F.round(finite, 6).alias("concentration"), "pass_filter", "false_positive")
+
+
+@query(f"with {_CELLS} select cast(count(*) filter (pass_filter) as bigint) as passed, cast(count(*) filter (false_positive) as bigint) as false_positives, round(count(*) filter (false_positive) / nullif(count(*) filter (pass_filter), 0), 9) as fdr from marked")
+def final_filter_fdr(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quantify.false_discovery(quantify.quantified(ad.combined(spark, d), QUANTIFY)), "fdr", digits=9)
+
+
+# ---- errors
+
+_REF = f"translate(md5('reference'), '{ad.HEX}', '{ad.BASES}')"
+_TALLIES = f"""{READS}, tallies as (select sample, substr({_REF}, cast(r.i as integer), 1) || '2' || substr(dna, cast(r.i as integer), 1) as mutation, cast(ascii(substr(qc, cast(r.i as integer), 1)) - 33 as integer) as phred, count(*) as n
+  from reads, range(1, 33) r(i) where substr(dna, cast(r.i as integer), 1) <> 'N' group by all)"""
+
+
+def _tallies(spark: SparkSession, d: str) -> DataFrame:
+    return denoise.transitions(ad.reads(spark, d), F.translate(F.md5(F.lit("reference").cast("binary")), ad.HEX, ad.BASES))
+
+
+@query(f"with {_TALLIES} select sample, mutation, phred, n from tallies")
+def transition_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _tallies(spark, d)
+
+
+_ERRORS = f"""{_TALLIES}, rates as (select sample, phred, cast(sum(n) as bigint) as n, 1 - sum(case when mutation[1] = mutation[3] then n else 0 end) / sum(n) as error from tallies group by all)"""
+
+
+@query(f"with {_ERRORS} select sample, phred, n, round(error, 9) as error from rates")
+def error_rate_by_phred(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(denoise.error_rates(_tallies(spark, d)), "error", digits=9)
+
+
+@query(f"with {_ERRORS} select sample, round(sum((error - pow(10.0, -phred / 10.0)) * n) / sum(n), 9) as excess from rates group by sample")
+def error_excess(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(denoise.error_excess(denoise.error_rates(_tallies(spark, d))), "excess", digits=9)
+
+
+@query(f"""with {_TALLIES}, totals as (select mutation[1] as base, phred, sum(n) as total from tallies group by all), each as (select mutation, phred, sum(n) as n from tallies where mutation[1] <> mutation[3] group by all)
+select mutation, round(sum((n / total - pow(10.0, -e.phred / 10.0) / 3) * total) / sum(total), 9) as excess from each e join totals t on t.base = e.mutation[1] and t.phred = e.phred group by mutation""")
+def mutation_excess(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(denoise.mutation_excess(_tallies(spark, d)), "excess", digits=9)
+
+
+@query(f"""with {_TALLIES} select cast((phred >= 10)::int + (phred >= 20)::int + (phred >= 25)::int + (phred >= 30)::int + (phred >= 35)::int as integer) as cohort, cast(sum(n) as bigint) as n,
+  round(1 - sum(case when mutation[1] = mutation[3] then n else 0 end) / sum(n), 9) as error from tallies group by 1""")
+def error_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(denoise.cohort_errors(_tallies(spark, d)), "error", digits=9)
+
+
+@query(f"with {_TALLIES} select mutation, {', '.join(f'cast(coalesce(sum(case when phred = {p} then n end), 0) as bigint) as \"{p}\"' for p in range(41))} from tallies group by mutation")
+def transition_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
+    return transition_matrix(_tallies(spark, d), 40)
+
+
+# ---- kernels, tested against plain versions
+
+TEMPLATE = Template("ACGTTGCA" + "N" * 8 + "CATGGACT", flank=8)
+STRICT = Scoring(mismatch=-1)
+
+
+def _amplicons(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with the template's flanks around a barcode of their own, some of them with substitutions or short."""
+    r, k = ad.reads(spark, d), F.col("read_id")
+    whole = F.concat(F.lit("ACGTTGCA"), piece(F.col("dna"), 8, 16), F.lit("CATGGACT"))
+    changed = F.when(k % 11 == 0, F.concat(F.substring(whole, 1, 2), F.lit("T"), F.substring(whole, 4, 30))).when(k % 13 == 0, F.substring(whole, 4, 30)).when(k % 17 == 0, F.col("dna")).otherwise(whole)
+    return r.withColumn("dna", changed).withColumn("qc", F.substring("qc", F.lit(1), F.length("dna")))
+
+
+@query()
+def sw_align(spark: SparkSession, d: str) -> DataFrame:
+    return align.align_reads(_amplicons(spark, d), TEMPLATE.reference, STRICT).withColumn("mapq", align.mapping_quality(F.col("score"), F.col("score2")))
+
+
+@query()
+def classify_reads(spark: SparkSession, d: str) -> DataFrame:
+    how = Classify(training_flank=6, cluster_flank=6)
+    return align.classified(_amplicons(spark, d), TEMPLATE, how, STRICT).select("sample", "read_id", "score", "outcome", "training", "cluster")
+
+
+@query()
+def read_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return align.outcomes(classify_reads(spark, d))
+
+
+@query()
+def denoise_clusters(spark: SparkSession, d: str) -> DataFrame:
+    derep_table = rd.dereplicated(rd.without_degenerate(ad.reads(spark, d)).withColumn("dna", F.substring("dna", 1, 6)))
+    return denoise.clustered(derep_table, 6, error=0.01)
+
+
+@query()
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    t = ad.tumors(spark, d)
+    return resample.intervals(resample.bootstrap_ln_means(t, 500), tumors.ln_means(t))
+
+
+@query()
+def inert_p_values(spark: SparkSession, d: str) -> DataFrame:
+    return resample.inert_p_values(ad.tumors(spark, d), INERT_BRANDS, 300)
+
+
+@query()
+def power_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return resample.power(ad.tumors(spark, d), [10, 50], 100, INERT_BRANDS, trials=200)
+
+
+@query()
+def outlier_mice(spark: SparkSession, d: str) -> DataFrame:
+    return resample.outlier_mice(ad.tumors(spark, d), 200)
+
+
+@query()
+def contamination(spark: SparkSession, d: str) -> DataFrame:
+    return cohorts.contaminated_pairs(ad.tumors(spark, d), 1000.0, alpha=0.6)
+
+
+@query()
+def contamination_mixture(spark: SparkSession, d: str) -> DataFrame:
+    t = ad.tumors(spark, d).groupBy("sample", "target", "barcode").agg(F.sum("cells").alias("cells"))
+    pairs = tumors.barcode_overlaps(t).orderBy(F.desc("shared"), "a", "b").limit(20).select("a", "b")
+    return cohorts.ratio_mixtures(cohorts.size_ratios(t, pairs))
+
+
+@query()
+def library_diversity(spark: SparkSession, d: str) -> DataFrame:
+    return cohorts.diversity(ad.tumors(spark, d))
+
+
+@query()
+def power_law_fit(spark: SparkSession, d: str) -> DataFrame:
+    return fits.power_law_fits(ad.tumors(spark, d))
+
+
+@query()
+def best_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return fits.best_families(ad.tumors(spark, d))
+
+
+@query(f"with {READS} select sample, count(*) as n, cast(count(*) filter (not contains(header, ':Y:')) as bigint) as passed from reads group by sample")
+def chastity_tallies(spark: SparkSession, d: str) -> DataFrame:
+    return ad.reads(spark, d).groupBy("sample").agg(F.count("*").alias("n"), F.sum(passes_chastity(F.col("header")).cast("long")).alias("passed"))
