@@ -6,8 +6,9 @@ each (the prefix), have sizes within a factor t, and leave room for enough commo
 where the shared word stands.  Candidate pairs that pass these filters are verified on the full sets, and
 a line with an earlier match is removed.
 
-DataFrame expressions only.  For a line one earlier match is enough, so each word's classes are first
-compared with those of the earliest document alone, and only classes that are left look at all the others.
+DataFrame expressions only.  For a line one earlier match is enough, so where a word is in many classes'
+prefixes they are first compared with those of the earliest document alone, and only classes that are left
+look at all the others.
 """
 
 from __future__ import annotations
@@ -17,27 +18,36 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, let, light, words, written
+from .common import let, light, written
 
 #: Cells of the table of word frequencies, an array of this many small numbers whatever the input's size.
-CELLS = 1 << 17
+CELLS = 1 << 19
 
 
 @dataclass(frozen=True)
 class Similar:
-    """percent: the least Jaccard similarity; words: lines with fewer distinct words always stay."""
+    """percent: the least Jaccard similarity; words: lines with fewer distinct words always stay; crowd: lines with one word in their prefixes that are all compared at once."""
 
     percent: int = 80
     words: int = 5
+    crowd: int = 200
 
 
 def cell(token: Column) -> Column:
     return F.pmod(token, F.lit(CELLS)).cast("int")
 
 
+def spaced(docs: DataFrame) -> DataFrame:
+    """docs with all white space but line ends as spaces."""
+    return docs.withColumn("text", F.when(F.col("text").rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace("text", "[\\t\\x0B\\f\\r]", " ")).otherwise(F.coalesce("text", F.lit(""))))
+
+
 def frequencies(docs: DataFrame) -> Column:
-    """A literal array: for each cell of word hashes a rank that grows with how often its words occur, over all documents."""
-    hashed = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), WORD_BREAK)).alias("w")).select(cell(F.xxhash64("w")).alias("cell"))
+    """A literal array: for each cell of word hashes a rank that grows with how often its words occur, over all documents; it fills a long's top byte.
+
+    docs: from spaced().
+    """
+    hashed = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(cell(F.xxhash64("w")).alias("cell"))
     # logarithms are enough for an order
     ranked = hashed.groupBy("cell").count().select("cell", F.least(F.lit(120), F.floor(F.log2("count") * 3)).cast("int").alias("rank"))
     ranks = [0] * CELLS
@@ -47,39 +57,40 @@ def frequencies(docs: DataFrame) -> Column:
 
 
 def rare_first(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as 64-bit numbers in the order of rarity: the rank above, a hash below."""
-    found = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
+    """The distinct words of a line as positive 64-bit numbers in the order of rarity: the rank above, a hash below."""
+    found = F.transform(F.array_remove(F.array_distinct(F.split(line, " ")), ""), lambda w: F.xxhash64(w))
     return F.sort_array(F.transform(found, lambda t: F.shiftleft(F.get(ranks, cell(t)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc, line, text) of each line of each document that has a doc_id."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    return docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
 def with_tokens(lines: DataFrame, ranks: Column) -> DataFrame:
     return lines.select("doc", "line", rare_first(F.col("text"), ranks).alias("tokens"))
 
 
-def least_common(n: Column, m: Column, percent: int) -> Column:
-    """The least number of common words of similar sets of sizes n and m: the ceiling of percent (n + m) / (100 + percent)."""
-    return F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+def prefixes(lines: DataFrame, how: Similar) -> DataFrame:
+    """A row for each word of each line's prefix: token, doc, line, n, place, bits.
+
+    A line of n words shares one of its first n - ceil(t n) + 1 with any similar line.
+    """
+    return lines.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("place", "token"))
 
 
 def candidates(late: DataFrame, early: DataFrame, how: Similar) -> DataFrame:
-    """Pairs of classes with a common word in their prefixes that pass the length, positional and bitmap filters."""
-    columns = ("doc", "line", "n", "place", "bits")
-    a = late.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = early.select("token", *[F.col(c).alias(f"{c}_b") for c in columns])
-    need = least_common("n_a", "n_b", how.percent)
-    later = F.expr("doc_b < doc_a or doc_b = doc_a and line_b < line_a")
-    length = F.expr(f"100 * least(n_a, n_b) >= {how.percent} * greatest(n_a, n_b)")
+    """Pairs (doc_a, line_a) after (doc_b, line_b) with a common word in their prefixes that pass the length, positional and bitmap filters."""
+    a, b = late.alias("a"), early.alias("b")
+    need = F.expr(f"({how.percent} * (a.n + b.n) + {99 + how.percent}) div {100 + how.percent}")
+    later = F.expr("b.doc < a.doc or b.doc = a.doc and b.line < a.line")
+    length = F.expr(f"100 * least(a.n, b.n) >= {how.percent} * greatest(a.n, b.n)")
     # before the shared word at most the smaller place's words are common, after it at most the smaller rest
-    positional = F.expr("least(place_a, place_b) + least(n_a - place_a, n_b - place_b)") >= need
+    positional = F.expr("least(a.place, b.place) + least(a.n - a.place, b.n - b.place)") >= need
     # each word that only one has changes the parity of one bit at most
-    bitmap = F.expr("bit_count(bits_a ^ bits_b)") <= F.expr("n_a + n_b") - 2 * need
-    joined = a.join(b, "token").where(later & length & positional & bitmap)
-    return joined.select("doc_a", "line_a", "doc_b", "line_b").distinct()
+    bitmap = F.expr("bit_count(a.bits ^ b.bits)") <= F.expr("a.n + b.n") - 2 * need
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & later & length & positional & bitmap)
+    return joined.selectExpr("a.doc as doc_a", "a.line as line_a", "b.doc as doc_b", "b.line as line_b").distinct()
 
 
 def matched(pairs: DataFrame, docs: DataFrame, ranks: Column, how: Similar) -> DataFrame:
@@ -98,22 +109,31 @@ def matched(pairs: DataFrame, docs: DataFrame, ranks: Column, how: Similar) -> D
 
 
 def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
-    """(doc, line) of each line with an earlier line that is at least as similar as how says; lines are ordered by doc_id and place."""
+    """(doc, line) of each line with an earlier line that is at least as similar as how says; lines are ordered by doc_id and place.
+
+    docs: from spaced().
+    """
     ranks = frequencies(docs)
     n = F.col("n")
     sized = with_tokens(split_lines(docs), ranks).withColumn("n", F.size("tokens")).where(n >= how.words)
     prefix = F.transform(F.slice("tokens", 1, n - F.expr(f"({how.percent} * n + 99) div 100").cast("int") + 1), lambda t: F.hash(t))
     bits = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, int(t & 63)))")
     lines = written(sized.select("doc", "line", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"), "n", bits.alias("bits"), prefix.alias("prefix")), "lines")
-    classes = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "line", "n", "bits", "prefix")).alias("c")).select("h", "g", "c.*")
-    rows = classes.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("place", "token"))
-    several = rows.groupBy("token").agg(F.count("*").alias("count"), F.min("doc").alias("hub")).where("count > 1").select("token", "hub")
-    shared = written(rows.join(several, "token").select("token", "doc", "line", "n", "place", "bits", (F.col("doc") == F.col("hub")).alias("hub")), "prefixes")
-    first = written(matched(candidates(shared, shared.where("hub"), how), docs, ranks, how), "matched")
-    left = shared.join(first, ["doc", "line"], "left_anti")
-    second = matched(candidates(left, shared.where("not hub"), how), docs, ranks, how)
+    # equal sets: all but the first of each class go, and the first stands for it
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "line")).alias("c"), F.count("*").alias("count")).where("count > 1").select("h", "g", F.col("c.doc").alias("d"), F.col("c.line").alias("k"))
-    equal = lines.join(firsts, ["h", "g"]).where("doc <> d or line <> k").select("doc", "line")
+    firsts = light(written(firsts, "firsts"))
+    equal = written(lines.select("doc", "line", "h", "g").join(firsts, ["h", "g"]).where("doc <> d or line <> k").select("doc", "line"), "equal")
+    rows = prefixes(lines.join(light(equal), ["doc", "line"], "left_anti"), how)
+    crowds = written(rows.groupBy("token").agg(F.count("*").alias("count"), F.min("doc").alias("hub")).where(F.col("count") > how.crowd).select("token", "hub"), "crowds")
+    # all pairs of lines with a rare word
+    rare = rows.join(light(crowds.select("token")), "token", "left_anti")
+    pairs = candidates(rare, rare, how)
+    # lines with a word that many have: first against the earliest document's, then what is left against the others
+    crowded = written(rows.join(light(crowds), "token"), "crowded")
+    hubs = crowded.where("doc = hub").drop("hub")
+    first = written(matched(pairs.unionByName(candidates(crowded.drop("hub"), hubs, how)).distinct(), docs, ranks, how), "matched")
+    left = crowded.join(light(first), ["doc", "line"], "left_anti").drop("hub")
+    second = matched(candidates(left, crowded.where("doc <> hub").drop("hub"), how), docs, ranks, how)
     return equal.unionByName(first).unionByName(second)
 
 
@@ -126,7 +146,7 @@ def deduplicated(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     that repeat a doc_id are one document and are treated alike.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    late = later_matches(plain, how)
+    late = later_matches(spaced(plain), how)
     removed = written(late.groupBy("doc").agg(F.array_distinct(F.collect_list("line")).alias("__removed")).withColumnRenamed("doc", "__doc"), "removed")
     joined = docs.join(light(removed), docs["doc_id"].cast("long") == removed["__doc"], "left").drop("__doc")
     kept = let(F.split("text", "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__removed")), lambda i: F.get(x, i)))

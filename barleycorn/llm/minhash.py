@@ -48,7 +48,7 @@ class MinHash:
     bands: int = 32
     rows: int = 5
     bits: int = 512
-    slack: float = 5.0
+    slack: float = 4.0
     seed: int = 7
 
     @property
@@ -148,9 +148,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, how: MinHash) -> DataFrame:
     return wanted.select("id", "text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def apart(x: str = "s_a", y: str = "s_b"):
+def apart(how: MinHash, x: str = "s_a", y: str = "s_b"):
     """How many bits of two sketches differ."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+    return F.expr(" + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(how.bits // 64)))
 
 
 def sizes_allow(how: MinHash):
@@ -160,7 +160,7 @@ def sizes_allow(how: MinHash):
 def likely(pairs: DataFrame, nodes: DataFrame, how: MinHash) -> DataFrame:
     """(a, b, n_a, n_b) of the pairs (a, b) whose sketches allow the similarity."""
     one, two = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where(sizes_allow(how) & (apart() <= how.most_bits)).select("a", "b", "n_a", "n_b")
+    return pairs.join(one, "a").join(two, "b").where(sizes_allow(how) & (apart(how) <= how.most_bits)).select("a", "b", "n_a", "n_b")
 
 
 def confirmed(near: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
@@ -196,15 +196,15 @@ def rare_prefixes(sets: DataFrame, how: MinHash) -> DataFrame:
     return sets.mapInArrow(run, "id long, n long, prefix array<long>").select("id", "n", F.posexplode("prefix").alias("place", "shingle"))
 
 
-def across(rows: DataFrame, of: DataFrame, how: MinHash) -> DataFrame:
-    """(a, b) of rows (id, n, place, shingle) of different components that share a shingle and leave room for enough others."""
+def across(rows: DataFrame, of: DataFrame, nodes: DataFrame, how: MinHash) -> DataFrame:
+    """(a, b, n_a, n_b) of rows (id, n, place, shingle) of different components that share a shingle, leave room for enough others and have sketches that allow the similarity."""
     placed = rows.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     parted = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle")
-    placed = written(placed.join(parted, "shingle", "left_semi"), "parted")
-    one, two = (placed.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    placed = written(placed.join(parted, "shingle", "left_semi").join(nodes.select("id", "sketch"), "id"), "parted")
+    one, two = (placed.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("c").alias(f"c_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     need = F.expr(f"({how.percent} * (n_a + n_b) + {99 + how.percent}) div {100 + how.percent}")
     room = F.expr("least(p_a, p_b) + least(n_a - p_a, n_b - p_b)") >= need
-    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & room).select("a", "b").distinct()
+    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & room & (apart(how) <= how.most_bits)).select("a", "b", "n_a", "n_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
@@ -233,13 +233,13 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     placed = written(placed.join(parted, "key").join(nodes, "id"), "parted")
     few = placed.where(F.col("size") <= SMALL)
     one, two = (few.select("key", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    more = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & (apart() <= how.most_bits))
+    more = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & (apart(how) <= how.most_bits))
     more = written(more.select("a", "b", "n_a", "n_b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
     # and of a large one those that share a rare shingle
     crowd = placed.where(F.col("size") > SMALL).select("id").distinct()
     sets = written(shingle_sets(known, crowd.unionByName(ends(more)).distinct(), how), "sets")
-    rare = across(rare_prefixes(sets.join(crowd, "id", "left_semi"), how), of, how)
-    most = written(likely(rare.join(near.select("a", "b"), ["a", "b"], "left_anti"), nodes, how), "near")
+    rare = across(rare_prefixes(sets.join(crowd, "id", "left_semi"), how), of, nodes, how)
+    most = written(rare.join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
     links = confirmed(more.unionByName(most).distinct(), sets, how)
     found = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     # back to all documents: a class of equal sets has its smallest document's component

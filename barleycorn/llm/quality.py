@@ -63,10 +63,10 @@ def vector() -> dict[str, Column]:
     logit = lambda part, whole, prior: F.log((part + prior) / (whole - part + 20 * prior))
     return {
         "x_length": F.log((chars + 50) / (n + 10)),
-        "x_symbols": logit(F.col("n_symbols"), F.greatest(chars, F.col("n_symbols")), 20.0),
+        "x_symbols": logit(F.col("n_symbols"), F.greatest(chars, F.col("n_symbols")), 6.0),
         "x_lines": logit(F.col("n_dup_lines"), F.col("n_dup_lines") + 20, 5.0),
         "x_repeats": logit(F.col("n_repeat_words"), n, 20.0),
-        "x_shout": logit(F.col("n_shouted"), F.greatest(chars, F.col("n_shouted")), 20.0),
+        "x_shout": logit(F.col("n_shouted"), F.greatest(chars, F.col("n_shouted")), 10.0),
     }
 
 

@@ -12,6 +12,7 @@ of them come to the driver to be fitted.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ class Supervision:
     voters: int = 12
     odds: float = 6.0
     sure: float = 5.0
-    support: int = 2
+    support: int = 3
     beginnings: tuple[int, ...] = (4, 5)
     rounds: int = 30
     seed: int = 17
@@ -42,12 +43,41 @@ class Supervision:
 _SIGNS = re.compile(r"[^\w]+")
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """The words of a text in lower case, without signs."""
+    return [w for w in _SIGNS.split((text or "").lower()) if w]
+
+
 def terms_of(text: str | None, beginnings: tuple[int, ...]) -> set[str]:
-    """The words of a text in lower case without signs, and the beginnings of longer ones, marked by a hyphen."""
-    found = {w for w in _SIGNS.split((text or "").lower()) if w}
+    """The words of a text, and the beginnings of longer ones, marked by a hyphen."""
+    found = set(tokens_of(text))
     return found | {w[:n] + "-" for n in beginnings for w in found if len(w) > n}
 
 
+class Features:
+    """The known terms of a text, and numbers that sum them up: their strength, how many there are and how dense they stand."""
+
+    WIDTH = 7
+
+    def __init__(self, terms: list[tuple[str, float]]) -> None:
+        self.number = {t: i for i, (t, _) in enumerate(terms)}
+        self.odds = np.array([o for _, o in terms])
+        self.words = {t for t, _ in terms if not t.endswith("-")}
+        self.begun = {t[:-1]: i for i, (t, _) in enumerate(terms) if t.endswith("-")}
+        self.lengths = sorted({len(t) for t in self.begun})
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[float]]:
+        tokens = tokens_of(text)
+        distinct = set(tokens)
+        words = distinct & self.words
+        begun = [(w, b) for n in self.lengths for w in distinct if len(w) > n and (b := w[:n]) in self.begun]
+        heads = {self.begun[b] for _, b in begun}
+        total = sum(tokens.count(w) for w in words | {w for w, _ in begun})
+        own, other = sorted(self.odds[self.number[w]] for w in words), sorted(self.odds[h] for h in heads)
+        summed = [max(own, default=0.0), sum(own[-10:]), max(other, default=0.0), sum(other[-10:]), math.log1p(total), math.log((total + 0.5) / (len(tokens) + 20)), float(len(words))]
+        return sorted({self.number[w] for w in words} | heads), [float(x) for x in summed]
+
+
 def fitted_votes(votes: np.ndarray, prior: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The posterior of class 1 of each row of votes (0 or 1), the rates of votes by class, the weights of voters and their correlations.
 
@@ -76,25 +106,41 @@ def fitted_votes(votes: np.ndarray, prior: np.ndarray, rounds: int) -> tuple[np.
     return post, rates, weights, correlation
 
 
-def linear(rows: list[np.ndarray], width: int, target: np.ndarray, rounds: int = 300, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression of target (0 to 1) on sets of features, by Adam on the whole matrix."""
+def linear(rows: list[np.ndarray], width: int, dense: np.ndarray, target: np.ndarray, rounds: int = 600, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of sparse and dense features and the bias of a logistic regression of target (0 to 1), by Adam on the whole matrix."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     columns = np.concatenate([np.empty(0, np.int64), *rows])
-    w, m, v = (np.zeros(width + 1) for _ in range(3))
+    k = dense.shape[1]
+    w, m, v = (np.zeros(width + k + 1) for _ in range(3))
+    shrink = np.concatenate([np.full(width, decay), np.full(k, decay / 10), [0.0]])
     for step in range(1, rounds + 1):
-        z = np.bincount(at, w[columns], len(rows)) + w[-1]
+        z = np.bincount(at, w[columns], len(rows)) + dense @ w[width:-1] + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
-        g = np.append(np.bincount(columns, error[at], width) + decay * w[:-1] / 10, error.sum())
+        g = np.concatenate([np.bincount(columns, error[at], width), dense.T @ error, [error.sum()]]) + shrink * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return w[:-1], float(w[-1])
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+    return w[:width], w[width:-1], float(w[-1])
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
+    """terms with their odds, and the classifier's weights of them and of their sums."""
+
+    terms: tuple[tuple[str, float], ...]
+    weights: tuple[float, ...]
+    dense: tuple[float, ...]
     bias: float
-    beginnings: tuple[int, ...]
+
+    def scorer(self):
+        """A function from a text to its score."""
+        features, weights, dense = Features(list(self.terms)), np.array(self.weights), np.array(self.dense)
+
+        def score(text: str | None) -> float:
+            hits, sums = features(text)
+            z = self.bias + float(weights[hits].sum() if hits else 0.0) + float(np.dot(dense, sums))
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+        return score
 
 
 def learned(docs: DataFrame, labels: DataFrame, how: Supervision = Supervision()) -> Model:
@@ -117,34 +163,44 @@ def learned(docs: DataFrame, labels: DataFrame, how: Supervision = Supervision()
     totals = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
-        return Model({}, -3.0 if not bad else 3.0, how.beginnings)
+        return Model((), (), (0.0,) * Features.WIDTH, -3.0 if not bad else 3.0)
     counts = chosen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
-    rate = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("all") - F.col("bad") + 0.5) / (good + 1))
+    clean = F.col("all") - F.col("bad")
+    rate = ((F.col("bad") + 0.5) / (bad + 1)) / ((clean + 2.0) / (good + 2))
     both = F.col("all") / (bad + good)
-    apart = (F.col("bad") / bad - (F.col("all") - F.col("bad")) / good) / F.sqrt(both * (1 - both) * (1 / bad + 1 / good) + 1e-12)
+    apart = (F.col("bad") / bad - clean / good) / F.sqrt(both * (1 - both) * (1 / bad + 1 / good) + 1e-12)
     telling = counts.where(F.col("bad") >= how.support).withColumns({"odds": rate, "apart": apart}).where((F.col("odds") >= how.odds) & (F.col("apart") >= how.sure))
-    top = telling.orderBy(F.desc(F.col("bad") * F.log("odds")), "term").limit(how.terms).collect()
-    if not top:
-        return Model({}, float(np.log(bad / good)), how.beginnings)
-    terms = [r["term"] for r in top]
-    number = {t: i for i, t in enumerate(terms)}
-    numbers = chosen.sparkSession.createDataFrame([(t, i) for t, i in number.items()], "term string, i int")
-    hits = chosen.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(numbers), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list("i")).alias("hits"))
-    fitted = chosen.select("doc_id", "toxic").join(hits, "doc_id", "left").orderBy("doc_id").collect()
-    rows = [np.array(r["hits"] or [], np.int64) for r in fitted]
-    label = np.array([r["toxic"] for r in fitted])
-    # terms are dealt to voters by turns, so that each voter has strong and weak ones
-    lexicon = [i for i, t in enumerate(terms) if not t.endswith("-")]
-    patterns = [i for i, t in enumerate(terms) if t.endswith("-")]
+    terms = [(r["term"], math.log(r["odds"])) for r in telling.orderBy(F.desc(F.col("bad") * F.log("odds")), "term").limit(how.terms).collect()]
+    if not terms:
+        return Model((), (), (0.0,) * Features.WIDTH, math.log(bad / good))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(terms)
+        for batch in batches:
+            found = [features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "hits", "sums"])
+
+    fitted = joined.select("doc_id", "toxic", "text").mapInArrow(measured, "doc_id long, toxic int, hits array<int>, sums array<double>").collect()  # most_rows at most
+    fitted.sort(key=lambda r: (r["doc_id"], r["sums"]))
+    rows = [np.array(r["hits"], np.int64) for r in fitted]
+    sums, label = np.array([r["sums"] for r in fitted]), np.array([r["toxic"] for r in fitted], float)
+    # each voter holds terms of like strength
     voter = np.zeros(len(terms), np.int64)
-    for first, own in ((0, lexicon), (how.voters, patterns)):
-        voter[own] = first + np.arange(len(own)) % how.voters
+    odds = np.array([o for _, o in terms])
+    for first, ends in ((0, False), (how.voters, True)):
+        own = np.array([i for i, (t, _) in enumerate(terms) if t.endswith("-") == ends], np.int64)
+        own = own[np.argsort(-odds[own], kind="stable")]
+        voter[own] = first + np.arange(len(own)) * how.voters // max(1, len(own))
     votes = np.zeros((len(rows), 2 * how.voters))
     for i, r in enumerate(rows):
         votes[i, voter[r]] = 1
-    post = fitted_votes(votes, 0.1 + 0.8 * label, how.rounds)[0]
-    weights, bias = linear(rows, len(terms), post)
-    return Model(dict(zip(terms, weights.tolist(), strict=True)), bias, how.beginnings)
+    # more patterns: several terms, dense terms, and the given label as one voter among the others
+    more = [sums[:, 6] >= 2, sums[:, 6] >= 4, *(sums[:, 5] >= math.log(x) for x in (0.005, 0.01, 0.02, 0.04)), label > 0]
+    votes = np.column_stack([votes, *more]).astype(float)
+    post = fitted_votes(votes, 0.05 + 0.9 * label, how.rounds)[0]
+    mean, spread = sums.mean(0), sums.std(0) + 1e-9
+    weights, dense, bias = linear(rows, len(terms), (sums - mean) / spread, post)
+    return Model(tuple(terms), tuple(weights.tolist()), tuple((dense / spread).tolist()), bias - float((dense * mean / spread).sum()))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -154,18 +210,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = {t for t in model.weights if not t.endswith("-")}
-        begun = {t[:-1]: t for t in model.weights if t.endswith("-")}
-        lengths = sorted({len(t) for t in begun})
+        score = model.scorer()
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                found = set(_SIGNS.split((text.as_py() or "").lower()))
-                hit = found & words
-                for n in lengths:
-                    hit |= {begun[b] for b in {w[:n] for w in found if len(w) > n} & begun.keys()}
-                z = model.bias + sum(model.weights[t] for t in sorted(hit))
-                scores.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+            scores = [score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

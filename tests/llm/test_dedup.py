@@ -43,8 +43,9 @@ def frame(spark, docs):
     return spark.createDataFrame([(k, t, 1, 2, "x", "y") for k, t in docs.items()], "doc_id long, text string, id long, key int, n string, doc string")
 
 
-@pytest.mark.parametrize("n", [4, 5])
-def test_minhash_of_a_crowd(spark, crowd, n):
+@pytest.mark.parametrize("n, small", [(4, 32), (5, 32), (5, 2)])
+def test_minhash_of_a_crowd(spark, crowd, n, small, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", small)
     rows = minhash.near_duplicates(frame(spark, crowd), minhash.MinHash(words=n)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near_duplicates(crowd, n)
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows) and len(rows) == len(crowd)
@@ -93,9 +94,10 @@ def removed(before, rows):
     return out
 
 
-def test_line_matches_are_exact(spark):
+@pytest.mark.parametrize("crowd", [2, 200])
+def test_line_matches_are_exact(spark, crowd):
     docs = line_crowd()
-    late = {(r.doc, r.line) for r in lines.later_matches(frame(spark, docs).select("doc_id", "text")).collect()}
+    late = {(r.doc, r.line) for r in lines.later_matches(lines.spaced(frame(spark, docs).select("doc_id", "text")), lines.Similar(crowd=crowd)).collect()}
     assert late == brute.later_lines(docs)
 
 
