@@ -105,3 +105,12 @@ def outcomes(classed: DataFrame) -> DataFrame:
     counts = classed.groupBy("outcome").agg(F.count("*").alias("n"))
     total = classed.agg(F.count("*").alias("total"))
     return counts.withColumn("share", F.col("n") / total.scalar())
+
+
+def best_hits(queries: DataFrame, targets: list[tuple[str, str]], scoring: Scoring = Scoring(mismatch=-2), most_e: float = 1e-10, lam: float = 1.28, k: float = 0.46) -> DataFrame:
+    """dna, target, score, e of each distinct query's best target, by Karlin and Altschul's expectation over all targets' bases."""
+    bases = sum(len(s) for _, s in targets)
+    found = align_all_pairs(queries.select("dna").distinct(), targets, scoring)
+    best = found.groupBy("dna").agg(F.max_by(F.struct("target", "score"), F.struct("score", "target")).alias("b")).select("dna", "b.*")
+    e = F.lit(k * bases) * F.length("dna") * F.exp(F.lit(-lam) * F.col("score"))
+    return best.withColumn("e", e).where(F.col("e") <= most_e)

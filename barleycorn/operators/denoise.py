@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import bases, hamming, piece
-from ..functions.special import poisson_cdf
+from ..functions.special import poisson_cdf, poisson_interval
 
 
 def transitions(reads: DataFrame, reference: str | Column) -> DataFrame:
@@ -99,3 +99,13 @@ def clustered(derep: DataFrame, length: int, error: float = 0.003, omega: float
     n1 = F.sum(F.when((F.col("sequence") != F.col("root")) & (F.col("ham") == 1), F.col("abundance")).otherwise(0))
     sums = placed.groupBy("sample", "root").agg(F.sum("abundance").alias("abundance"), n0.alias("n0"), n1.alias("n1"), F.count("*").alias("nunq"), F.min(F.when(F.col("sequence") != F.col("root"), F.col("p"))).alias("pval"))
     return sums.withColumnRenamed("root", "sequence").join(own, ["sample", "sequence"]).select("sample", "sequence", "abundance", "n0", "n1", "nunq", F.coalesce("pval", F.lit(1.0)).alias("pval"), "birth_pval", "birth_ham")
+
+
+def _interval(n: pd.Series) -> pd.DataFrame:
+    known = {k: poisson_interval(int(k)) for k in set(n)}
+    return pd.DataFrame([known[k] for k in n], columns=["low", "high"])
+
+
+def with_intervals(counts: DataFrame, n: str = "n") -> DataFrame:
+    """counts with the exact 95 % interval of each count's mean: low, high."""
+    return counts.withColumn("i", F.pandas_udf(_interval, "low double, high double")(F.col(n))).select("*", "i.*").drop("i")

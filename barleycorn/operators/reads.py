@@ -93,3 +93,42 @@ def position_weights(tumors: DataFrame) -> DataFrame:
     found = tumors.select(F.posexplode(F.filter(F.split("barcode", ""), lambda c: c != "")).alias("place", "base"))
     counts = found.groupBy("place", "base").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("place")))
+
+
+def between_kmers(reads: DataFrame, before: tuple[str, str], after: tuple[str, str], expected: tuple[int, int], off: int = 4, substitutions: int = 1) -> DataFrame:
+    """reads with start and stop of the barcode: after the k-mer that ends the flank before it, before the one that begins the other.
+
+    Each side has a second k-mer, next to the first and away from the barcode, that stands in where the first
+    isn't found.  Places more than off bases from the expected ones are null.
+    """
+    from ..functions.sequence import find_with_substitutions
+
+    place = lambda k: F.nullif(find_with_substitutions(F.col("dna"), k, substitutions), F.lit(-1))
+    near, far = before
+    start = F.coalesce(place(near) + len(near), place(far) + len(far) + len(near))
+    stop = F.coalesce(place(after[0]), place(after[1]) - len(after[0]))
+    kept = lambda c, e: F.when(F.abs(c - e) <= off, c)
+    return reads.withColumns({"start": kept(start, expected[0]), "stop": kept(stop, expected[1])})
+
+
+def repaired_by_template(reads: DataFrame, template: str, most: int = 3, around: int = 3) -> DataFrame:
+    """reads with N bases replaced where the bases around them stand in the template once N is any base; reads with more N, and N without a match, stay.
+
+    The template's places are tried from the left.  Each N is looked at in the order of the read.
+    """
+    width = 2 * around + 1
+    windows = [template[i : i + width] for i in range(len(template) - width + 1)]
+
+    def fix(dna):
+        place = F.instr(dna, "N")
+        inside = (place > around) & (place <= F.length(dna) - around)
+        context = F.substr(dna, F.greatest(F.lit(1), place - around), F.lit(width))
+        found = F.get(F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: F.forall(F.zip_with(F.split(w, ""), F.split(context, ""), lambda a, b: (a == b) | (b == "N")), lambda x: x)), F.lit(0))
+        base = F.coalesce(F.substr(found, F.lit(around + 1), F.lit(1)), F.lit("n"))
+        return F.when((place > 0) & inside, F.overlay(dna, base, place)).when(place > 0, F.overlay(dna, F.lit("n"), place)).otherwise(dna)
+
+    count = F.length("dna") - F.length(F.replace("dna", F.lit("N"), F.lit("")))
+    out = reads.withColumn("__fixed", F.col("dna"))
+    for _ in range(most):
+        out = out.withColumn("__fixed", fix(F.col("__fixed")))
+    return out.withColumn("dna", F.when(count <= most, F.upper("__fixed")).otherwise(F.col("dna"))).drop("__fixed")

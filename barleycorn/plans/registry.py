@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..config import Classify, Scoring, Template
 from ..functions.estimators import ln_mean, percentile_of_score, stars, two_sided
 from ..functions.sequence import expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, piece, reverse_complement
-from ..operators import align, annotate, cohorts, demux, denoise, fits, multiple, quantify, resample, tumors
+from ..operators import align, annotate, cohorts, demux, denoise, fits, multiple, pairs, quantify, resample, tumors
 from ..operators import reads as rd
 from ..sources.fastq import fastq_text, header_fields
-from ..sources.tables import merge_replicates, transition_matrix, with_metadata
+from ..sources.tables import merge_replicates, sam_lines, transition_matrix, with_metadata
 from . import adapters as ad
 from .adapters import ANNOTATE, CLUSTERS, COMBINED, GUIDES, INERT_BRANDS, QUANTIFY, READS, SPIKE_BRAND, TESTS, TUMORS
 
@@ -618,3 +618,61 @@ def best_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {READS} select sample, count(*) as n, cast(count(*) filter (not contains(header, ':Y:')) as bigint) as passed from reads group by sample")
 def chastity_tallies(spark: SparkSession, d: str) -> DataFrame:
     return ad.reads(spark, d).groupBy("sample").agg(F.count("*").alias("n"), F.sum(passes_chastity(F.col("header")).cast("long")).alias("passed"))
+
+
+@query()
+def bca_intervals(spark: SparkSession, d: str) -> DataFrame:
+    t = ad.tumors(spark, d)
+    return resample.bca_intervals(resample.bootstrap_ln_means(t, 500), tumors.ln_means(t), tumors.jackknife_ln_means(t))
+
+
+@query()
+def histogram_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return denoise.with_intervals(tumors.log_histogram(ad.tumors(spark, d)))
+
+
+@query()
+def merge_pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = rd.without_degenerate(ad.reads(spark, d))
+    forward = r.select(F.col("read_id").cast("string").alias("name"), F.substring("dna", 1, 24).alias("dna"), F.substring("qc", 1, 24).alias("qc"))
+    reverse = r.select(F.col("read_id").cast("string").alias("name"), reverse_complement(F.substring("dna", 9, 24)).alias("dna"), F.reverse(F.substring("qc", 9, 24)).alias("qc"))
+    return pairs.merged_pairs(forward, reverse, least_overlap=12, least_length=30, wrong=0.05)
+
+
+@query()
+def both_strands(spark: SparkSession, d: str) -> DataFrame:
+    r = _amplicons(spark, d).select("sample", "read_id", "dna")
+    turned = r.withColumn("dna", F.when(F.col("read_id") % 2 == 0, F.col("dna")).otherwise(reverse_complement(F.col("dna"))))
+    return align.align_both_strands(turned, TEMPLATE.reference, STRICT)
+
+
+@query()
+def sam_records(spark: SparkSession, d: str) -> DataFrame:
+    found = align.align_reads(_amplicons(spark, d), TEMPLATE.reference, STRICT)
+    return sam_lines(found.withColumns({"name": F.col("read_id").cast("string"), "reverse": F.lit(False)}), "amplicon")
+
+
+@query()
+def guide_hits(spark: SparkSession, d: str) -> DataFrame:
+    known = [(r["id"], r["target"]) for r in ad.guides(spark, d).orderBy("id").limit(4).collect()]
+    return align.best_hits(ad.reads(spark, d).select(F.substring("dna", 1, 12).alias("dna")), [(t, i * 3) for i, t in known], most_e=1e-3)
+
+
+@query()
+def target_components(spark: SparkSession, d: str) -> DataFrame:
+    names, weights, _ = cohorts.target_components(ad.tumors(spark, d).withColumn("value", F.ln("cells")))
+    return spark.createDataFrame(list(zip(names, [round(float(w), 6) for w in weights], strict=True)), "target string, weight double")
+
+
+_P = lambda k: f"nullif(cast(coalesce(list_filter(range(0, {33 - 4}), lambda i: hamming(substr(dna, cast(i as integer) + 1, 4), '{k}') <= 1)[1], -1) as integer), -1)"
+
+
+@query(f"""with {READS}, placed as (select read_id, coalesce({_P("ACGT")} + 4, {_P("TTGA")} + 8) as start, coalesce({_P("CATG")}, {_P("GGAC")} - 4) as stop from reads)
+select read_id, cast(case when abs(start - 8) <= 4 then start end as integer) as start, cast(case when abs(stop - 16) <= 4 then stop end as integer) as stop from placed""")
+def kmer_flanks(spark: SparkSession, d: str) -> DataFrame:
+    return rd.between_kmers(ad.reads(spark, d), ("ACGT", "TTGA"), ("CATG", "GGAC"), (8, 16)).select("read_id", "start", "stop")
+
+
+@query()
+def template_repair(spark: SparkSession, d: str) -> DataFrame:
+    return rd.repaired_by_template(ad.reads(spark, d), "ACGTTGCAGGCTAACCATGGACTTACGATCCGAT").select("read_id", "dna")

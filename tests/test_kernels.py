@@ -261,3 +261,25 @@ def test_gc_fit_finds_the_slope(spark):
     coefficients, r2 = quantify.fit_polynomial(x, 1 + 0.5 * x - 0.1 * x**2, np.ones(10), 2)
     assert coefficients == pytest.approx([1, 0.5, -0.1]) and r2 == pytest.approx(1)
     assert quantify.Quantify().order == 4
+
+
+def test_template_repair(spark):
+    from barleycorn.operators.reads import repaired_by_template
+
+    cases = {"ACGTTNCAGG": "ACGTTGCAGG", "TTTTTNTTTT": "TTTTTNTTTT", "NCGT": "NCGT", "ACGTTNNAGG": "ACGTTGCAGG", "ANNNNAAAA": "ANNNNAAAA", "ACGT": "ACGT"}
+    df = spark.createDataFrame([(k, k) for k in cases], "name string, dna string")
+    assert {r.name: r.dna for r in repaired_by_template(df, "ACGTTGCAGGCTA").collect()} == cases
+
+
+def test_reads_on_a_stream(spark, tmp_path):
+    from barleycorn.streaming.reads import running_tallies, written_stream
+
+    rows = [(f"s{k % 3}", k, f"@M:1 1:{'Y' if k % 4 == 0 else 'N'}:0", "ACGTN"[: 1 + k % 5], "IIIII"[: 1 + k % 5]) for k in range(200)]
+    spark.createDataFrame(rows, "sample string, read_id long, header string, dna string, qc string").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sample string, read_id long, header string, dna string, qc string").parquet(str(tmp_path / "in"))
+    written_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    want = {k for _, k, h, d, _ in rows if ":Y:" not in h and "N" not in d}
+    assert {r.read_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    query = running_tallies(stream).writeStream.outputMode("complete").format("memory").queryName("tallied").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.sample: r.n for r in spark.table("tallied").collect()} == {f"s{i}": sum(k % 3 == i for k in range(200)) for i in range(3)}
