@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from .common import let, light, written
 
 #: Cells of the table of word frequencies, an array of this many small numbers whatever the input's size.
-CELLS = 1 << 19
+CELLS = 1 << 18
+
+
+#: Lines of more distinct words have a second bitmap.
+LONG = 40
 
 
 @dataclass(frozen=True)
@@ -72,15 +76,15 @@ def with_tokens(lines: DataFrame, ranks: Column) -> DataFrame:
 
 
 def prefixes(lines: DataFrame, how: Similar) -> DataFrame:
-    """A row for each word of each line's prefix: token, doc, line, n, place, bits.
+    """A row for each word of each line's prefix: token, doc, line, n, place, bits, more.
 
     A line of n words shares one of its first n - ceil(t n) + 1 with any similar line.
     """
-    return lines.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("place", "token"))
+    return lines.select("doc", "line", "n", "bits", "more", F.posexplode("prefix").alias("place", "token"))
 
 
 def candidates(late: DataFrame, early: DataFrame, how: Similar) -> DataFrame:
-    """Pairs (doc_a, line_a) after (doc_b, line_b) with a common word in their prefixes that pass the length, positional and bitmap filters."""
+    """Pairs (doc_a, line_a, n_a) after (doc_b, line_b, n_b) with a common word in their prefixes that pass the length, positional and bitmap filters; far is the bitmaps' distance."""
     a, b = late.alias("a"), early.alias("b")
     need = F.expr(f"({how.percent} * (a.n + b.n) + {99 + how.percent}) div {100 + how.percent}")
     later = F.expr("b.doc < a.doc or b.doc = a.doc and b.line < a.line")
@@ -88,26 +92,35 @@ def candidates(late: DataFrame, early: DataFrame, how: Similar) -> DataFrame:
     # before the shared word at most the smaller place's words are common, after it at most the smaller rest
     positional = F.expr("least(a.place, b.place) + least(a.n - a.place, b.n - b.place)") >= need
     # each word that only one has changes the parity of one bit at most
-    bitmap = F.expr("bit_count(a.bits ^ b.bits)") <= F.expr("a.n + b.n") - 2 * need
+    far = "if(a.more is null or b.more is null, bit_count(a.bits ^ coalesce(a.more, 0L) ^ b.bits ^ coalesce(b.more, 0L)), bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more))"
+    bitmap = F.expr(far) <= F.expr("a.n + b.n") - 2 * need
     joined = a.join(b, (F.col("a.token") == F.col("b.token")) & later & length & positional & bitmap)
-    return joined.selectExpr("a.doc as doc_a", "a.line as line_a", "b.doc as doc_b", "b.line as line_b").distinct()
+    return joined.selectExpr("a.doc as doc_a", "a.line as line_a", "a.n as n_a", "b.doc as doc_b", "b.line as line_b", "b.n as n_b", f"{far} as far").distinct()
 
 
-def matched(pairs: DataFrame, docs: DataFrame, ranks: Column, how: Similar) -> DataFrame:
-    """The later lines (doc, line) of pairs that are similar by their full sets."""
-    pairs = written(pairs, "candidates")
+def verified(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
+    """The later lines (doc, line) of the pairs that are similar by their full sets of words; lines' texts are read again, and compared as they are."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")), F.struct(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")))).alias("e")).select("e.*").distinct()
-    ids = ends.select(F.col("doc").alias("doc_id")).distinct()
-    some = docs.join(light(ids), "doc_id", "left_semi")
-    lines = split_lines(some).join(light(ends), ["doc", "line"], "left_semi")
-    sets = written(with_tokens(lines, ranks), "sets").dropDuplicates(["doc", "line"])
-    one, two = (sets.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    some = docs.join(light(ends.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    texts = written(split_lines(some).join(light(ends), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]), "texts")
+    one, two = (texts.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = F.size(F.array_intersect(F.array_remove(F.split("text_a", " "), ""), F.array_remove(F.split("text_b", " "), "")))
     joined = pairs.join(one, ["doc_a", "line_a"]).join(two, ["doc_b", "line_b"]).withColumn("both", both)
-    similar = joined.where(100 * F.col("both") >= how.percent * (F.size("tokens_a") + F.size("tokens_b") - F.col("both")))
+    similar = joined.where(100 * F.col("both") >= how.percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
     return similar.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
 
 
+def matched(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
+    """The later lines (doc, line) that have a similar line among their pairs: each line's nearest one is verified first, and the others only if it isn't similar."""
+    pairs = written(pairs, "candidates")
+    nearest = pairs.groupBy("doc_a", "line_a").agg(F.min(F.struct("far", "doc_b", "line_b", "n_a", "n_b")).alias("m")).select("doc_a", "line_a", "m.*")
+    nearest = written(nearest, "nearest")
+    first = written(verified(nearest, docs, how), "matched")
+    left = pairs.join(light(first.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"))), ["doc_a", "line_a"], "left_anti")
+    left = written(left.join(nearest.select("doc_a", "line_a", "doc_b", "line_b"), ["doc_a", "line_a", "doc_b", "line_b"], "left_anti"), "left")
+    return written(first.unionByName(verified(left, docs, how)), "matched")
+
+
 def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     """(doc, line) of each line with an earlier line that is at least as similar as how says; lines are ordered by doc_id and place.
 
@@ -115,10 +128,14 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     """
     ranks = frequencies(docs)
     n = F.col("n")
-    sized = with_tokens(split_lines(docs), ranks).withColumn("n", F.size("tokens")).where(n >= how.words)
+    # short lines are left out after they are written: a condition on the words would have them made twice
+    sized = with_tokens(split_lines(docs), ranks).withColumn("n", F.size("tokens"))
     prefix = F.transform(F.slice("tokens", 1, n - F.expr(f"({how.percent} * n + 99) div 100").cast("int") + 1), lambda t: F.hash(t))
     bits = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, int(t & 63)))")
-    lines = written(sized.select("doc", "line", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"), "n", bits.alias("bits"), prefix.alias("prefix")), "lines")
+    # a bitmap for each half of a long line's words
+    long = n > LONG
+    halves = {"bits": F.when(long, F.expr("aggregate(tokens, 0L, (a, t) -> if(t & 64 = 0, a ^ shiftleft(1L, int(t & 63)), a))")).otherwise(bits), "more": F.when(long, F.expr("aggregate(tokens, 0L, (a, t) -> if(t & 64 = 0, a, a ^ shiftleft(1L, int(t & 63))))"))}
+    lines = written(sized.select("doc", "line", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"), "n", *[c.alias(k) for k, c in halves.items()], prefix.alias("prefix")), "lines").where(n >= how.words)
     # equal sets: all but the first of each class go, and the first stands for it
     firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "line")).alias("c"), F.count("*").alias("count")).where("count > 1").select("h", "g", F.col("c.doc").alias("d"), F.col("c.line").alias("k"))
     firsts = light(written(firsts, "firsts"))
@@ -131,9 +148,9 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     # lines with a word that many have: first against the earliest document's, then what is left against the others
     crowded = written(rows.join(light(crowds), "token"), "crowded")
     hubs = crowded.where("doc = hub").drop("hub")
-    first = written(matched(pairs.unionByName(candidates(crowded.drop("hub"), hubs, how)).distinct(), docs, ranks, how), "matched")
+    first = matched(pairs.unionByName(candidates(crowded.drop("hub"), hubs, how)).distinct(), docs, how)
     left = crowded.join(light(first), ["doc", "line"], "left_anti").drop("hub")
-    second = matched(candidates(left, crowded.where("doc <> hub").drop("hub"), how), docs, ranks, how)
+    second = matched(candidates(left, crowded.where("doc <> hub").drop("hub"), how), docs, how)
     return equal.unionByName(first).unionByName(second)
 
 
@@ -150,6 +167,6 @@ def deduplicated(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     removed = written(late.groupBy("doc").agg(F.array_distinct(F.collect_list("line")).alias("__removed")).withColumnRenamed("doc", "__doc"), "removed")
     joined = docs.join(light(removed), docs["doc_id"].cast("long") == removed["__doc"], "left").drop("__doc")
     kept = let(F.split("text", "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__removed")), lambda i: F.get(x, i)))
-    counts = {"n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), "n_removed": F.coalesce(F.size("__removed"), F.lit(0))}
+    counts = {"n_lines": F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, "n_removed": F.coalesce(F.size("__removed"), F.lit(0))}
     text = F.when(F.col("__removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(counts["n_lines"]), "n_removed": F.when(F.col("__removed").isNull(), 0).otherwise(counts["n_removed"]), "text": text}).drop("__removed")
