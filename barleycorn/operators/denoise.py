@@ -89,10 +89,11 @@ def clustered(derep: DataFrame, length: int, error: float = 0.003, omega: float
     tested = best.select("sample", "sequence", "b.*", "abundance").withColumn("p", F.pandas_udf(abundance_p, "double")(F.col("abundance").cast("double"), "expected"))
     up = derep.where(F.length("sequence") == length).join(tested.drop("abundance"), ["sample", "sequence"], "left")
     up = up.withColumn("root", F.when(F.col("p") >= omega, F.col("parent")).otherwise(F.col("sequence")))
+    up = up.persist()
     ends = up.select("sample", "sequence", "root")
-    for _ in range(rounds.bit_length()):
+    for _ in range(rounds.bit_length()):  # each round reads the last one twice, so it is kept
         nxt = ends.select("sample", F.col("sequence").alias("root"), F.col("root").alias("next"))
-        ends = ends.join(nxt, ["sample", "root"]).select("sample", "sequence", F.col("next").alias("root"))
+        ends = ends.join(nxt, ["sample", "root"]).select("sample", "sequence", F.col("next").alias("root")).persist()
     placed = up.drop("root").join(ends, ["sample", "sequence"])
     own = placed.where("sequence = root").select("sample", "sequence", F.coalesce("p", F.lit(0.0)).alias("birth_pval"), F.coalesce("ham", F.lit(0)).alias("birth_ham"))
     n0 = F.sum(F.when(F.col("sequence") == F.col("root"), F.col("abundance")).otherwise(0))

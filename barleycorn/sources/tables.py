@@ -18,7 +18,7 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(sample().alias("sample"), *[F.col(c).cast(_KINDS.get(c, "long")).alias(c) for c in CLUSTER_COLUMNS])
 
 
-def read_bartender(spark: SparkSession, path: str) -> DataFrame:
+def read_ranked_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Cluster tables by position: id, sequence, score, abundance."""
     raw = spark.read.option("header", True).schema("id long, sequence string, score double, abundance long").csv(path)
     return raw.select(sample().alias("sample"), "sequence", "abundance")
