@@ -54,10 +54,10 @@ def frequencies(docs: DataFrame) -> Column:
     hashed = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(cell(F.xxhash64("w")).alias("cell"))
     # logarithms are enough for an order
     ranked = hashed.groupBy("cell").count().select("cell", F.least(F.lit(120), F.floor(F.log2("count") * 3)).cast("int").alias("rank"))
-    ranks = [0] * CELLS
-    for row in ranked.collect():  # CELLS rows at most
-        ranks[row["cell"]] = row["rank"]
-    return F.from_json(F.lit(str(ranks)), "array<tinyint>")
+    full = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(ranked, "cell", "left").select("cell", F.coalesce("rank", F.lit(0)).alias("rank"))
+    listed = full.agg(F.sort_array(F.collect_list(F.struct("cell", "rank"))).alias("r"))
+    ranks = listed.select(F.to_json(F.transform("r", lambda x: x["rank"]))).first()[0]  # CELLS small numbers
+    return F.from_json(F.lit(ranks), "array<tinyint>")
 
 
 def rare_first(line: Column, ranks: Column) -> Column:
@@ -141,12 +141,14 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     firsts = light(written(firsts, "firsts"))
     equal = written(lines.select("doc", "line", "h", "g").join(firsts, ["h", "g"]).where("doc <> d or line <> k").select("doc", "line"), "equal")
     rows = prefixes(lines.join(light(equal), ["doc", "line"], "left_anti"), how)
-    crowds = written(rows.groupBy("token").agg(F.count("*").alias("count"), F.min("doc").alias("hub")).where(F.col("count") > how.crowd).select("token", "hub"), "crowds")
+    crowds = written(rows.groupBy("token").count().where(F.col("count") > how.crowd).select("token"), "crowds")
     # all pairs of lines with a rare word
-    rare = rows.join(light(crowds.select("token")), "token", "left_anti")
+    rare = rows.join(light(crowds), "token", "left_anti")
     pairs = candidates(rare, rare, how)
     # lines with a word that many have: first against the earliest document's, then what is left against the others
     crowded = written(rows.join(light(crowds), "token"), "crowded")
+    earliest = crowded.groupBy("token").agg(F.min("doc").alias("hub"))
+    crowded = written(crowded.join(earliest, "token"), "crowded")
     hubs = crowded.where("doc = hub").drop("hub")
     first = matched(pairs.unionByName(candidates(crowded.drop("hub"), hubs, how)).distinct(), docs, how)
     left = crowded.join(light(first), ["doc", "line"], "left_anti").drop("hub")
