@@ -6,7 +6,7 @@ of samples are candidates; pairs whose sketches are too far apart are passed ove
 confirmed on their full shingle sets.
 
 Groups of any size stay linear: documents with equal sets are one node; in each bucket of a band the
-members are first compared with one hub.  Of members that are then still in different components, all pairs
+members are first compared with one hub, a member in the middle of a group.  Of members that are then still in different components, all pairs
 of a small bucket are looked at; in a large one, where a common passage has brought many documents together,
 those pairs that share one of their rarest shingles, as all similar sets must.
 """
@@ -29,6 +29,8 @@ from .components import components
 CACHE_WORDS = 400_000
 #: Members of a bucket that are all compared; more are told apart by rare shingles.
 SMALL = 32
+#: Shingles of a set that goes along with each row of its prefix.
+CARRIED = 400
 #: Cells of a table of shingle frequencies.
 CELLS = 1 << 17
 
@@ -179,9 +181,9 @@ def rare_prefixes(sets: DataFrame, how: MinHash) -> DataFrame:
 
     Rarity is counted over all the given sets, in CELLS cells of hashes; any order gives all pairs.
     """
-    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(CELLS)).cast("int").alias("cell")).count().collect()  # CELLS rows at most
+    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(CELLS)).cast("int").alias("cell")).count().toArrow()  # CELLS rows at most
     counts = np.zeros(CELLS, np.int64)
-    counts[[r["cell"] for r in counted]] = [r["count"] for r in counted]
+    counts[counted["cell"].to_numpy()] = counted["count"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,15 +198,20 @@ def rare_prefixes(sets: DataFrame, how: MinHash) -> DataFrame:
     return sets.mapInArrow(run, "id long, n long, prefix array<long>").select("id", "n", F.posexplode("prefix").alias("place", "shingle"))
 
 
-def across(rows: DataFrame, of: DataFrame, nodes: DataFrame, how: MinHash) -> DataFrame:
-    """(a, b, n_a, n_b) of rows (id, n, place, shingle) of different components that share a shingle, leave room for enough others and have sketches that allow the similarity."""
+def across(rows: DataFrame, of: DataFrame, nodes: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
+    """(a, b, n_a, n_b) of rows (id, n, place, shingle) of different components that share a shingle, leave room for enough others and have sketches that allow the similarity.
+
+    Sets of up to CARRIED shingles go along with their rows, so that only similar pairs come out of the join;
+    those of longer documents are left to be confirmed.
+    """
     placed = rows.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     parted = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle")
-    placed = written(placed.join(parted, "shingle", "left_semi").join(nodes.select("id", "sketch"), "id"), "parted")
-    one, two = (placed.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"p_{x}"), F.col("c").alias(f"c_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    placed = written(placed.join(parted, "shingle", "left_semi").join(nodes.select("id", "sketch"), "id").join(sets.where(F.size("shingles") <= CARRIED).withColumnRenamed("shingles", "all"), "id", "left"), "parted")
+    one, two = (placed.select("shingle", F.col("id").alias(x), *[F.col(c).alias(f"{k}_{x}") for c, k in (("n", "n"), ("place", "p"), ("c", "c"), ("sketch", "s"), ("all", "all"))]) for x in "ab")
+    exact = F.expr(f"all_a is null or all_b is null or {100 + how.percent} * size(array_intersect(all_a, all_b)) >= {how.percent} * (n_a + n_b)")
     need = F.expr(f"({how.percent} * (n_a + n_b) + {99 + how.percent}) div {100 + how.percent}")
     room = F.expr("least(p_a, p_b) + least(n_a - p_a, n_b - p_b)") >= need
-    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & room & (apart(how) <= how.most_bits)).select("a", "b", "n_a", "n_b").distinct()
+    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & room & (apart(how) <= how.most_bits) & exact).select("a", "b", "n_a", "n_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
@@ -220,10 +227,13 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     classes = signed.where("id is not null and digest is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     nodes = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
     buckets = nodes.select("id", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub <> far")
-    shared = written(buckets.join(hubs.select("key", "hub", "far"), "key"), "buckets")
+    several = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "size")
+    shared = written(buckets.join(several, "key"), "buckets")
     nodes = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "nodes")
-    stars = shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    # the hub of a bucket is the member that meets most others in all its buckets: one in the middle of a group
+    central = shared.groupBy("id").agg(F.sum("size").alias("met"))
+    hubs = shared.join(central, "id").groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("back"))).alias("h")).select("key", (-F.col("h.back")).alias("hub"))
+    stars = shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     near = written(likely(stars, nodes, how), "near")
     sets = written(shingle_sets(known, ends(near), how), "sets")
     of = written(components(confirmed(near, sets, how)), "components")
@@ -238,7 +248,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     # and of a large one those that share a rare shingle
     crowd = placed.where(F.col("size") > SMALL).select("id").distinct()
     sets = written(shingle_sets(known, crowd.unionByName(ends(more)).distinct(), how), "sets")
-    rare = across(rare_prefixes(sets.join(crowd, "id", "left_semi"), how), of, nodes, how)
+    rare = across(rare_prefixes(sets.join(crowd, "id", "left_semi"), how), of, nodes, sets.join(crowd, "id", "left_semi"), how)
     most = written(rare.join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
     links = confirmed(more.unionByName(most).distinct(), sets, how)
     found = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
