@@ -37,11 +37,13 @@ def contaminated_pairs(tumors: DataFrame, min_size: float, smallest: float = 0.0
     return out.withColumn("fwer", F.least(F.lit(0.5), F.col("p") * n * (n - 1))).where(F.col("fwer") < alpha).select("a", "b", "expected", "observed", "p", "fwer")
 
 
-def size_ratios(tumors: DataFrame, pairs: DataFrame, least: float = 0.75, bins: int = 64) -> DataFrame:
-    """(a, b, bin, n): the square roots of the ratios of sizes of shared barcodes, counted in bins of 1 / bins."""
+def size_ratios(tumors: DataFrame, pairs: DataFrame | None = None, least: float = 0.75, bins: int = 64) -> DataFrame:
+    """(a, b, bin, n): the square roots of the ratios of sizes of shared barcodes, counted in bins of 1 / bins; of all ordered pairs of samples if none are given."""
     one = tumors.select(F.col("sample").alias("a"), "target", "barcode", F.col("cells").alias("x"))
     two = tumors.select(F.col("sample").alias("b"), "target", "barcode", F.col("cells").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, ["b", "target", "barcode"]).withColumn("ratio", F.try_divide("x", "y")).where(F.col("ratio") >= least)
+    both = one.join(two, ["target", "barcode"]).where("a <> b").withColumn("ratio", F.try_divide("x", "y")).where(F.col("ratio") >= least)
+    if pairs is not None:
+        both = both.join(pairs.select("a", "b").distinct(), ["a", "b"])
     return both.groupBy("a", "b", F.floor(F.least(F.sqrt("ratio"), F.lit(1000.0)) * bins).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -70,18 +72,85 @@ def mixture(x: np.ndarray, n: np.ndarray, parts: int = 3, starts: int = 50, seed
     return best[1], best[2], best[3], -2 * best[0] + (3 * parts - 1) * math.log(total)
 
 
+def mixtures(x: np.ndarray, n: np.ndarray, parts: int, starts: int = 50, seed: int = 0, cells: int = 400_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """mixture() of many histograms at once: means, spreads, weights (a row each) and BIC.
+
+    x, n: a row for each histogram, padded by places where n is 0.  All starts of a block of histograms take
+    their steps together; those that have settled leave.
+    """
+    k, width = x.shape
+    draws = np.random.default_rng(seed).random((starts, parts))
+    out = [np.empty((k, parts)) for _ in range(3)]
+    best = np.empty(k)
+    step = max(1, cells // (starts * width))
+    for at in range(0, k, step):
+        hx, hn = x[at : at + step], n[at : at + step]
+        m, total = len(hx), hn.sum(1)
+        centre = np.array([r[c > 0].std() for r, c in zip(hx, hn, strict=True)])
+        cdf = (hn / total[:, None]).cumsum(1)
+        cdf /= cdf[:, -1:]
+        first = (cdf[:, None, None, :] <= draws[None, :, :, None]).sum(3)
+        # one row for each histogram and start; the parts are lists of columns
+        own = np.repeat(np.arange(m), starts)
+        mean = list(np.take_along_axis(hx, first.reshape(m, -1), 1).reshape(m * starts, parts).T.copy())
+        spread, weight = [np.maximum(centre, 1e-3)[own]] * parts, [np.full(m * starts, 1 / parts)] * parts
+        last, active = np.full(m * starts, -np.inf), np.arange(m * starts)
+        ended = [np.empty(m * starts)] + [np.empty((m * starts, parts)) for _ in range(3)]
+        xs, ns, sums = hx[own], hn[own], total[own]
+        for turn in range(200):
+            log = [(xs - u[:, None]) * (math.sqrt(0.5) / v)[:, None] for u, v in zip(mean, spread, strict=True)]
+            log = [(np.log(w + 1e-300) - np.log(v) - 0.5 * math.log(2 * math.pi))[:, None] - z * z for z, v, w in zip(log, spread, weight, strict=True)]
+            top = log[0]
+            for z in log[1:]:
+                top = np.maximum(top, z)
+            share = [np.exp(z - top) for z in log]
+            norm = sum(share[1:], share[0])
+            whole = (ns * (top + np.log(norm))).sum(1)
+            norm = ns / norm
+            share = [z * norm for z in share]
+            size = [z.sum(1) + 1e-12 for z in share]
+            mean = [(z * xs).sum(1) / c for z, c in zip(share, size, strict=True)]
+            spread = [np.sqrt((z * (xs - u[:, None]) ** 2).sum(1) / c + 1e-6) for z, u, c in zip(share, mean, size, strict=True)]
+            all_sizes = sum(size[1:], size[0])
+            weight = [c / all_sizes for c in size]
+            done = (whole - last < 1e-6 * sums) | (turn == 199)
+            if done.any():
+                ended[0][active[done]] = whole[done]
+                for to, columns in zip(ended[1:], (mean, spread, weight), strict=True):
+                    to[active[done]] = np.column_stack([c[done] for c in columns])
+                left = ~done
+                active, whole, xs, ns, sums = active[left], whole[left], xs[left], ns[left], sums[left]
+                mean, spread, weight = ([c[left] for c in columns] for columns in (mean, spread, weight))
+                if not len(active):
+                    break
+            last = whole
+        chosen = np.arange(m) * starts + ended[0].reshape(m, starts).argmax(1)
+        for to, found in zip(out, ended[1:], strict=True):
+            to[at : at + m] = found[chosen]
+        best[at : at + m] = -2 * ended[0][chosen] + (3 * parts - 1) * np.log(total)
+    return *out, best
+
+
 def ratio_mixtures(ratios: DataFrame, bins: int = 64, most: float = 0.5) -> DataFrame:
     """a, b, mean, spread, weight, bic, contaminant, fraction: the mixture's narrow component, if there is just one, over each pair's bounded histogram."""
 
     @F.pandas_udf("mean double, spread double, weight double, bic double, contaminant boolean, fraction double")
     def fit(histogram: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h in histogram:
-            x, n = (np.array([(r["bin"] + 0.5) / bins for r in h]), np.array([float(r["n"]) for r in h]))
-            mean, spread, weight, bic = mixture(x, n, parts=min(3, len(x)))
-            narrow = np.flatnonzero((spread / mean < most) & (weight > 0.1))
-            k = int(narrow[0]) if len(narrow) else 0
-            rows.append((mean[k], spread[k], weight[k], bic, len(narrow) == 1 and bic < 0, 1 / (1 + mean[k] ** 2)))
+        lengths = histogram.map(len).to_numpy()
+        rows: list = [None] * len(lengths)
+        # histograms of like length together, so that little is padded
+        order = np.argsort(lengths, kind="stable")
+        for few in np.split(order, np.flatnonzero(np.diff(np.minimum(lengths[order], 3 + lengths[order] // 4 * 4))) + 1):
+            if not len(few):
+                continue
+            x, n = np.zeros((len(few), lengths[few].max())), np.zeros((len(few), lengths[few].max()))
+            for i, at in enumerate(few):
+                x[i, : lengths[at]] = [(r["bin"] + 0.5) / bins for r in histogram.iloc[at]]
+                n[i, : lengths[at]] = [r["n"] for r in histogram.iloc[at]]
+            for at, mean, spread, weight, bic in zip(few, *mixtures(x, n, parts=min(3, int(lengths[few].min()))), strict=True):
+                narrow = np.flatnonzero((spread / mean < most) & (weight > 0.1))
+                k = int(narrow[0]) if len(narrow) else 0
+                rows[at] = (mean[k], spread[k], weight[k], bic, len(narrow) == 1 and bic < 0, 1 / (1 + mean[k] ** 2))
         return pd.DataFrame(rows, columns=["mean", "spread", "weight", "bic", "contaminant", "fraction"])
 
     listed = ratios.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"))

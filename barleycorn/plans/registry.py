@@ -596,8 +596,7 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def contamination_mixture(spark: SparkSession, d: str) -> DataFrame:
     t = ad.tumors(spark, d).groupBy("sample", "target", "barcode").agg(F.sum("cells").alias("cells"))
-    pairs = tumors.barcode_overlaps(t).orderBy(F.desc("shared"), "a", "b").limit(20).select("a", "b")
-    return cohorts.ratio_mixtures(cohorts.size_ratios(t, pairs))
+    return cohorts.ratio_mixtures(cohorts.size_ratios(t))
 
 
 @query()
