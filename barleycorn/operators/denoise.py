@@ -1,7 +1,7 @@
 """Denoising: error rates from training reads, and clusters of barcodes by an abundance test.
 
 Our own implementation of the published idea: a sequence belongs to a more abundant one close to it unless it
-is too abundant to be its errors, under the error rates at its qualities.
+is too abundant to be its errors, under one error rate or under rates by quality.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import bases, hamming, piece
 from ..functions.special import poisson_cdf, poisson_interval
+from ..storage import written
 
 
 def transitions(reads: DataFrame, reference: str | Column) -> DataFrame:
@@ -62,44 +63,78 @@ def abundance_p(abundance: pd.Series, expected: pd.Series) -> pd.Series:
     return pd.Series([min(1.0, (1 - poisson_cdf(a - 1, e)) / max(1 - poisson_cdf(0, e), 1e-300)) for a, e in zip(abundance, expected, strict=True)])
 
 
-def close_pairs(derep: DataFrame, most: int, length: int) -> DataFrame:
-    """(sample, sequence, parent, ham): pairs of sequences of one length and sample with few substitutions, parent the more abundant.
+def close_pairs(derep: DataFrame, most: int, length: int | None = None) -> DataFrame:
+    """(sample, sequence, abundance, parent, larger, ham): pairs of sequences of one length and sample with few substitutions, parent the more abundant.
 
     Sequences are cut into most + 1 parts, one of which a close pair has in common: an equi-join on parts.
+    length: only sequences of that length.
     """
-    cuts = [round(k * length / (most + 1)) for k in range(most + 2)]
-    parts = F.array(*[F.struct(F.lit(k).alias("k"), piece(F.col("sequence"), a, b).alias("part")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    keyed = derep.where(F.length("sequence") == length).select("sample", "sequence", "abundance", F.explode(parts).alias("p")).select("sample", "sequence", "abundance", "p.*")
-    other = keyed.select("sample", F.col("sequence").alias("parent"), F.col("abundance").alias("larger"), "k", "part")
+    n = F.length("sequence")
+    cut = lambda k: F.floor(n * k / (most + 1)).cast("int")
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), piece(F.col("sequence"), cut(k), cut(k + 1)).alias("part")) for k in range(most + 1)])
+    keyed = of_length(derep, length).select("sample", "sequence", "abundance", n.alias("length"), F.explode(parts).alias("p")).select("sample", "sequence", "abundance", "length", "p.*")
+    other = keyed.select("sample", F.col("sequence").alias("parent"), F.col("abundance").alias("larger"), "length", "k", "part")
     more = (F.col("larger") > F.col("abundance")) | (F.col("larger") == F.col("abundance")) & (F.col("parent") < F.col("sequence"))
-    joined = keyed.join(other, ["sample", "k", "part"]).where(more).withColumn("ham", hamming(F.col("sequence"), F.col("parent"))).where(F.col("ham") <= most)
+    joined = keyed.join(other, ["sample", "length", "k", "part"]).where(more).withColumn("ham", hamming(F.col("sequence"), F.col("parent"))).where(F.col("ham") <= most)
     return joined.select("sample", "sequence", "abundance", "parent", "larger", "ham").distinct()
 
 
-def clustered(derep: DataFrame, length: int, error: float = 0.003, omega: float = 1e-10, most: int = 2, rounds: int = 12) -> DataFrame:
+def of_length(derep: DataFrame, length: int | None) -> DataFrame:
+    return derep if length is None else derep.where(F.length("sequence") == length)
+
+
+def rate_of_errors(sequence: Column, parent: Column, mean_q: Column, rates: dict[int, float], error: float) -> Column:
+    """The chance that parent is read as sequence, from the rates at the sequence's mean qualities; error where a quality has no rate."""
+    known = F.create_map(*[F.lit(x) for q, r in rates.items() for x in (int(q), min(max(float(r), 1e-9), 0.75))]) if rates else None
+    at = lambda q: F.lit(error) if known is None else F.coalesce(F.try_element_at(known, F.round(q).cast("int")), F.lit(error))
+    places = F.zip_with(F.zip_with(bases(sequence), bases(parent), lambda a, b: a == b), mean_q, lambda same, q: F.when(same, 1 - at(q)).otherwise(at(q) / 3))
+    return F.aggregate(places, F.lit(1.0), lambda p, x: p * x)
+
+
+def followed(up: DataFrame, what: str = "roots") -> DataFrame:
+    """(sample, sequence, root) with chains of roots followed to their ends, doubling the step until no root has a root of its own.
+
+    Each round is written, so that lineage ends there.
+    """
+    ends = written(up.select("sample", "sequence", "root"), what)
+    while True:
+        nxt = ends.select("sample", F.col("sequence").alias("root"), F.col("root").alias("next"))
+        both = written(ends.join(nxt, ["sample", "root"]).select("sample", "sequence", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), what)
+        moved, ends = not both.where("moved").isEmpty(), both.drop("moved")
+        if not moved:
+            return ends
+
+
+def clustered(derep: DataFrame, length: int | None = None, error: float = 0.003, omega: float = 1e-10, most: int = 2, rates: dict[int, float] | None = None) -> DataFrame:
     """sample, sequence, abundance, n0, n1, nunq, pval, birth_pval, birth_ham of each cluster.
 
-    derep: sample, sequence, abundance.  Each sequence's parent is the one that explains most of it; one whose
-    abundance it can't explain (P below omega) is a cluster of its own.  Chains of parents are followed to
-    their ends, doubling the step each round.
+    derep: sample, sequence, abundance, and mean_q (an array) if rates are given: error rates by quality, as
+    error_rates() finds them; otherwise all bases have one rate, error.  Each sequence's parent is the one of
+    its length that explains most of it; one whose abundance it can't explain (P below omega) is a cluster of
+    its own.  Chains of parents are followed to their ends.  length: only sequences of that length are looked at.
     """
-    lam = F.col("larger") * F.pow(F.lit(error / 3), F.col("ham")) * F.pow(F.lit(1 - error), F.lit(length) - F.col("ham"))
-    pairs = close_pairs(derep, most, length).withColumn("expected", lam)
+    derep = of_length(derep, length)
+    if rates is None:
+        lam = F.pow(F.lit(error / 3), F.col("ham")) * F.pow(F.lit(1 - error), F.length("sequence") - F.col("ham"))
+        pairs = close_pairs(derep, most).withColumn("expected", F.col("larger") * lam)
+    else:
+        pairs = close_pairs(derep, most).join(derep.select("sample", "sequence", "mean_q"), ["sample", "sequence"])
+        pairs = pairs.withColumn("expected", F.col("larger") * rate_of_errors(F.col("sequence"), F.col("parent"), F.col("mean_q"), rates, error)).drop("mean_q")
     best = pairs.groupBy("sample", "sequence").agg(F.max_by(F.struct("parent", "expected", "ham"), F.struct("expected", "parent")).alias("b"), F.max("abundance").alias("abundance"))
     tested = best.select("sample", "sequence", "b.*", "abundance").withColumn("p", F.pandas_udf(abundance_p, "double")(F.col("abundance").cast("double"), "expected"))
-    up = derep.where(F.length("sequence") == length).join(tested.drop("abundance"), ["sample", "sequence"], "left")
-    up = up.withColumn("root", F.when(F.col("p") >= omega, F.col("parent")).otherwise(F.col("sequence")))
-    up = up.persist()
-    ends = up.select("sample", "sequence", "root")
-    for _ in range(rounds.bit_length()):  # each round reads the last one twice, so it is kept
-        nxt = ends.select("sample", F.col("sequence").alias("root"), F.col("root").alias("next"))
-        ends = ends.join(nxt, ["sample", "root"]).select("sample", "sequence", F.col("next").alias("root")).persist()
-    placed = up.drop("root").join(ends, ["sample", "sequence"])
+    up = derep.select("sample", "sequence", "abundance").join(tested.drop("abundance"), ["sample", "sequence"], "left")
+    up = written(up.withColumn("root", F.when(F.col("p") >= omega, F.col("parent")).otherwise(F.col("sequence"))), "parents")
+    placed = up.drop("root").join(followed(up), ["sample", "sequence"])
     own = placed.where("sequence = root").select("sample", "sequence", F.coalesce("p", F.lit(0.0)).alias("birth_pval"), F.coalesce("ham", F.lit(0)).alias("birth_ham"))
     n0 = F.sum(F.when(F.col("sequence") == F.col("root"), F.col("abundance")).otherwise(0))
     n1 = F.sum(F.when((F.col("sequence") != F.col("root")) & (F.col("ham") == 1), F.col("abundance")).otherwise(0))
     sums = placed.groupBy("sample", "root").agg(F.sum("abundance").alias("abundance"), n0.alias("n0"), n1.alias("n1"), F.count("*").alias("nunq"), F.min(F.when(F.col("sequence") != F.col("root"), F.col("p"))).alias("pval"))
-    return sums.withColumnRenamed("root", "sequence").join(own, ["sample", "sequence"]).select("sample", "sequence", "abundance", "n0", "n1", "nunq", F.coalesce("pval", F.lit(1.0)).alias("pval"), "birth_pval", "birth_ham")
+    out = sums.withColumnRenamed("root", "sequence").join(own, ["sample", "sequence"]).select("sample", "sequence", "abundance", "n0", "n1", "nunq", F.coalesce("pval", F.lit(1.0)).alias("pval"), "birth_pval", "birth_ham")
+    out = written(out, "clusters")
+    before, after = (t.agg(F.sum("abundance")).first()[0] or 0 for t in (up, out))
+    if before != after:
+        raise AssertionError(f"clusters hold {after} reads of {before}")
+    return out
 
 
 def _interval(n: pd.Series) -> pd.DataFrame:

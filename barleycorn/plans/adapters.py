@@ -7,7 +7,7 @@ target, the part the barcode, the price the number of cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Annotate, Quantify
@@ -30,8 +30,19 @@ def _digest(*columns: str):
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, read_id, header, dna, qc; the third line of an order has an N, returned lines failed the filter."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
-    dna = F.translate(_digest("l_orderkey", "l_linenumber"), HEX, BASES)
+    return _reads(spark, sf_dir, F.translate(_digest("l_orderkey", "l_linenumber"), HEX, BASES))
+
+
+def amplified(spark: SparkSession, sf_dir: str, molecules: int = 40, wrong: int = 100) -> DataFrame:
+    """reads() of molecules that are read more than once: the DNA is a digest of the sample and the part's number modulo molecules, and one base in wrong of a read is another one."""
+    molecule = F.translate(F.md5(F.concat_ws("-", F.col("l_suppkey").cast("string"), (F.col("l_partkey") % molecules).cast("string")).cast("binary")), HEX, BASES)
+    hit = lambda i: F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", i), F.lit(wrong)) == 0
+    copied = F.transform(F.filter(F.split(molecule, ""), lambda c: c != ""), lambda c, i: F.when(hit(i), F.translate(c, "ACGT", "CGTA")).otherwise(c))
+    return _reads(spark, sf_dir, F.array_join(copied, ""))
+
+
+def _reads(spark: SparkSession, sf_dir: str, dna: Column) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
     masked = F.when(F.col("l_linenumber") == 3, F.concat(F.substring("d", 1, 10), F.lit("N"), F.substring("d", 12, 21))).otherwise(F.col("d"))
     flag = F.when(F.col("l_returnflag") == "R", "Y").otherwise("N")
     header = F.concat(F.lit("@M:1:FC:"), F.col("l_suppkey").cast("string"), F.lit(":"), F.col("l_orderkey").cast("string"), F.lit(" 1:"), flag, F.lit(":0:"), F.col("l_linenumber").cast("string"))

@@ -563,8 +563,7 @@ def read_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def denoise_clusters(spark: SparkSession, d: str) -> DataFrame:
-    derep_table = rd.dereplicated(rd.without_degenerate(ad.reads(spark, d)).withColumn("dna", F.substring("dna", 1, 6)))
-    return denoise.clustered(derep_table, 6, error=0.01)
+    return denoise.clustered(rd.dereplicated(rd.without_degenerate(ad.amplified(spark, d))), error=0.01)
 
 
 @query()

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barleycorn.operators import cohorts
+from barleycorn.operators import cohorts, denoise
+from barleycorn.operators import reads as rd
 from barleycorn.plans import adapters as ad
 from barleycorn.plans import registry
 
@@ -31,3 +32,24 @@ def test_mixtures_together_equal_mixtures_alone():
             alone = cohorts.mixture(x[i], n[i], parts=min(3, length))
             assert found[3][i] == pytest.approx(alone[3], rel=1e-6, abs=1e-6)
             assert np.sort(found[0][i]) == pytest.approx(np.sort(alone[0]), rel=1e-3)
+
+
+def test_long_chains_keep_their_reads(spark):
+    chain = ["C" * k + "A" * (40 - k) for k in range(41)]
+    rows = [("s", c, 1) for c in chain] + [("s", "GATTACA" * 3, 5), ("t", "GATTACA" * 3, 2)]
+    found = denoise.clustered(spark.createDataFrame(rows, "sample string, sequence string, abundance long"), error=0.01).collect()
+    assert {(r.sample, r.sequence): (r.abundance, r.nunq) for r in found} == {("s", "A" * 40): (41, 41), ("s", "GATTACA" * 3): (5, 1), ("t", "GATTACA" * 3): (2, 1)}
+
+
+def test_denoising_by_quality(spark):
+    whole, q = "ACGTTGCATTGACCGTAAGC", [40.0] * 20
+    rows = [("s", whole, 1000, q), ("s", "C" + whole[1:], 20, [10.0] + q[1:]), ("s", whole[:-1] + "G", 20, q)]
+    derep = spark.createDataFrame(rows, "sample string, sequence string, abundance long, mean_q array<double>")
+    found = {r.sequence: r.abundance for r in denoise.clustered(derep, rates={10: 0.1, 40: 0.0001}).collect()}
+    assert found == {whole: 1020, whole[:-1] + "G": 20}
+
+
+def test_denoising_takes_whole_reads(spark, tables):
+    found = registry.QUERIES["denoise_clusters"](spark, tables).agg(F.sum("abundance").alias("n"), F.min(F.length("sequence")).alias("least"), F.max("nunq").alias("most")).first()
+    assert found.n == rd.without_degenerate(ad.reads(spark, tables)).count()
+    assert found.least == 32 and found.most > 1
