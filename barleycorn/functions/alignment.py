@@ -116,6 +116,30 @@ def align(reads: list[str], reference: str, scoring: Scoring = Scoring(), mask:
     return out
 
 
+def best_scores(reads: np.ndarray, reference: str, scoring: Scoring = Scoring(), n_score: int = 0) -> np.ndarray:
+    """The score of the best local alignment of each coded read of one length; axes: read, place.
+
+    Rows of the programme are the places of the reference; only the last one is kept.
+    """
+    ref, scores = encode(reference), matrix(scoring, n_score).astype(np.int32)
+    n, length = reads.shape
+    by_base = {b: np.ascontiguousarray(scores[b][reads].T) for b in set(ref.tolist())}
+    h, e = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -(10**6), np.int32)
+    best = np.zeros(n, np.int32)
+    for b in ref.tolist():
+        np.maximum(h - scoring.gap_open, e - scoring.gap_extend, out=e)
+        new = np.zeros_like(h)
+        np.maximum(h[:-1] + by_base[b], e[1:], out=new[1:])
+        np.maximum(new, 0, out=new)
+        gap = np.full(n, -(10**6), np.int32)
+        for j in range(1, length + 1):
+            gap = np.maximum(new[j - 1] - scoring.gap_open, gap - scoring.gap_extend)
+            np.maximum(new[j], gap, out=new[j])
+        np.maximum(best, new.max(0), out=best)
+        h = new
+    return best
+
+
 def parse_cigar(text: str) -> list[tuple[str, int]]:
     runs, n = [], 0
     for c in text:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,10 +108,28 @@ def outcomes(classed: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total.scalar())
 
 
-def best_hits(queries: DataFrame, targets: list[tuple[str, str]], scoring: Scoring = Scoring(mismatch=-2), most_e: float = 1e-10, lam: float = 1.28, k: float = 0.46) -> DataFrame:
-    """dna, target, score, e of each distinct query's best target, by Karlin and Altschul's expectation over all targets' bases."""
-    bases = sum(len(s) for _, s in targets)
-    found = align_all_pairs(queries.select("dna").distinct(), targets, scoring)
-    best = found.groupBy("dna").agg(F.max_by(F.struct("target", "score"), F.struct("score", "target")).alias("b")).select("dna", "b.*")
+def best_hits(queries: DataFrame, targets: DataFrame, scoring: Scoring = Scoring(mismatch=-2), most_e: float = 1e-10, lam: float = 1.28, k: float = 0.46) -> DataFrame:
+    """dna, target, score, e of each distinct query's best target, the last by name of the best, by Karlin and Altschul's expectation over all targets' bases.
+
+    targets: name, sequence; a small table, of which each task has a copy.  Each distinct query meets all
+    targets in one pass.
+    """
+    known = sorted((r["name"], r["sequence"]) for r in targets.select("name", "sequence").collect())
+    bases = sum(len(s) for _, s in known)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, same in frame.groupby(frame["dna"].str.len()):
+                for at in range(0, len(same), 4096):
+                    dna = same["dna"].iloc[at : at + 4096]
+                    coded = np.stack([al.encode(d) for d in dna])
+                    found, score = np.zeros(len(dna), np.int64), np.full(len(dna), -1, np.int32)
+                    for t, (_, sequence) in enumerate(known):
+                        own = al.best_scores(coded, sequence, scoring)
+                        better = own >= score
+                        found[better], score[better] = t, own[better]
+                    yield pd.DataFrame({"dna": dna.to_numpy(), "target": [known[t][0] for t in found], "score": score})
+
+    best = queries.select("dna").where("dna <> ''").distinct().mapInPandas(run, "dna string, target string, score int") if known else queries.sparkSession.createDataFrame([], "dna string, target string, score int")
     e = F.lit(k * bases) * F.length("dna") * F.exp(F.lit(-lam) * F.col("score"))
     return best.withColumn("e", e).where(F.col("e") <= most_e)

@@ -652,8 +652,8 @@ def sam_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def guide_hits(spark: SparkSession, d: str) -> DataFrame:
-    known = [(r["id"], r["target"]) for r in ad.guides(spark, d).orderBy("id").limit(4).collect()]
-    return align.best_hits(ad.reads(spark, d).select(F.substring("dna", 1, 12).alias("dna")), [(t, i * 3) for i, t in known], most_e=1e-3)
+    known = ad.guides(spark, d).select(F.col("target").alias("name"), F.repeat("id", 3).alias("sequence"))
+    return align.best_hits(ad.reads(spark, d), known, most_e=1e-3)
 
 
 @query()

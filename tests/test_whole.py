@@ -1,10 +1,14 @@
 """Queries and operators do the whole job: nothing is capped, cut or left out."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barleycorn.operators import cohorts, denoise
+from barleycorn.config import Scoring
+from barleycorn.functions import alignment as al
+from barleycorn.operators import align, cohorts, denoise
 from barleycorn.operators import reads as rd
 from barleycorn.plans import adapters as ad
 from barleycorn.plans import registry
@@ -53,3 +57,27 @@ def test_denoising_takes_whole_reads(spark, tables):
     found = registry.QUERIES["denoise_clusters"](spark, tables).agg(F.sum("abundance").alias("n"), F.min(F.length("sequence")).alias("least"), F.max("nunq").alias("most")).first()
     assert found.n == rd.without_degenerate(ad.reads(spark, tables)).count()
     assert found.least == 32 and found.most > 1
+
+
+def test_scores_alone_equal_alignments():
+    rng = random.Random(4)
+    for scoring in (Scoring(mismatch=-2), Scoring(mismatch=-1), Scoring()):
+        ref = "".join(rng.choices("ACGTN", weights=[4, 4, 4, 4, 1], k=rng.randrange(5, 30)))
+        reads = ["".join(rng.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=25)) for _ in range(30)]
+        assert al.best_scores(np.stack([al.encode(r) for r in reads]), ref, scoring).tolist() == [f["score"] for f in al.align(reads, ref, scoring)]
+
+
+def test_guides_at_the_end_of_a_read_are_found(spark):
+    rng = random.Random(5)
+    guides = [(f"g{k:02}", "".join(rng.choices("ACGT", k=12))) for k in range(24)]
+    reads = {"".join(rng.choices("ACGT", k=20)) + s: t for t, s in guides}
+    found = align.best_hits(spark.createDataFrame([(r,) for r in reads], "dna string"), spark.createDataFrame(guides, "name string, sequence string"), most_e=1e-3).collect()
+    assert {r.dna: r.target for r in found} == reads and {r.score for r in found} == {24}
+
+
+def test_guide_hits_takes_all_guides_and_whole_reads(spark, tables):
+    found = registry.QUERIES["guide_hits"](spark, tables).collect()
+    guides = [(r.target, r.id * 3) for r in ad.guides(spark, tables).collect()]
+    assert len({r.target for r in found}) > 4 and {len(r.dna) for r in found} == {32}
+    for r in random.Random(6).sample(sorted(found), 5):
+        assert (r.score, r.target) == max((al.align([r.dna], s, Scoring(mismatch=-2))[0]["score"], t) for t, s in guides)
