@@ -579,7 +579,7 @@ def inert_p_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def power_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return resample.power(ad.tumors(spark, d), [10, 50], 100, INERT_BRANDS, trials=200)
+    return resample.power(ad.tumors(spark, d), [10, 50], inerts=INERT_BRANDS)
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barleycorn.config import Scoring
 from barleycorn.functions import alignment as al
-from barleycorn.operators import align, cohorts, denoise
+from barleycorn.operators import align, cohorts, denoise, resample
 from barleycorn.operators import reads as rd
 from barleycorn.plans import adapters as ad
 from barleycorn.plans import registry
@@ -81,3 +81,26 @@ def test_guide_hits_takes_all_guides_and_whole_reads(spark, tables):
     assert len({r.target for r in found}) > 4 and {len(r.dna) for r in found} == {32}
     for r in random.Random(6).sample(sorted(found), 5):
         assert (r.score, r.target) == max((al.align([r.dna], s, Scoring(mismatch=-2))[0]["score"], t) for t, s in guides)
+
+
+def cohort(spark, mice):
+    """Tumours of a mouse are alike, so that what varies between trials is the mice drawn."""
+    rng = np.random.default_rng(8)
+    rows = [(f"m{m}", t, f"b{k}", float(np.exp(level + 0.01 * k))) for m, level in enumerate(rng.normal(8, 1, mice)) for t in ("Neo1", "Neo2", "Big") for k in range(5)]
+    return spark.createDataFrame(rows, "sample string, target string, barcode string, cells double")
+
+
+def test_a_cohort_has_as_many_mice_as_it_says(spark):
+    t = cohort(spark, 200)
+    means = resample.weighted_sums(t, ["target"], 400, 5, mouse="sample", scale=10 / 200).where("target = 'Big'").toPandas()
+    assert (means.s / means.w).std() == pytest.approx(1 / 10**0.5, rel=0.35)
+    blocks = resample.weighted_sums(t, ["target"], 400, 5, mouse="sample", scale=10 / 200, cells=300).where("target = 'Big'").toPandas()
+    assert blocks.sort_values("rep").s.to_numpy() == pytest.approx(means.sort_values("rep").s.to_numpy())
+
+
+def test_power_counts_mice_and_trials(spark):
+    t = cohort(spark, 30)
+    by = lambda df: sorted((r.mice, r.target, r.sensitivity) for r in df.collect())
+    found = by(resample.power(t, [5], inerts=("Neo1", "Neo2")))
+    assert found == by(resample.power(t, [5], 30, ("Neo1", "Neo2"), trials=9071))
+    assert found != by(resample.power(t, [5], 100, ("Neo1", "Neo2"), trials=200))
