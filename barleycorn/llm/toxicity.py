@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS
 
 
 @dataclass(frozen=True)
@@ -147,24 +148,38 @@ def learned(docs: DataFrame, labels: DataFrame, how: Supervision = Supervision()
     """A model from the documents (doc_id, text) that have a label (doc_id, toxic); null labels are none, and rows that repeat a label count once."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([sorted(terms_of(t.as_py(), how.beginnings)) for t in few.column(2)], pa.list_(pa.string()))], names=["doc_id", "toxic", "terms"])
-
-    # a bounded number of rows, the same ones each time; their labels can be broadcast
+    # all labelled documents, of which the same bounded share is fitted each time
+    known = known.select(F.col("doc_id").cast("long"), "toxic")
     sizes = known.count()
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(how.seed)), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * how.most_rows / max(1, sizes)))
-    few = known.where(part).select(F.col("doc_id").cast("long"), "toxic")
-    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id")
-    chosen = joined.select("doc_id", "toxic", "text").mapInArrow(listed, "doc_id long, toxic int, terms array<string>")
-    chosen = written(chosen, "labelled")
-    totals = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    part = F.pmod(F.xxhash64("doc_id", F.lit(how.seed)), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * how.most_rows / max(1, sizes)))
+    labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known) if sizes <= BROADCAST_ROWS else known, "doc_id")
+    joined = labelled.where(part)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad: Counter = Counter()
+        every: Counter = Counter()
+
+        def table() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array([bad[t] for t in every], pa.int64()), pa.array(list(every.values()), pa.int64())], names=["term", "bad", "all"])
+            bad.clear()
+            every.clear()
+            return out
+
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = terms_of(text.as_py(), how.beginnings)
+                every.update(found)
+                if toxic:
+                    bad.update(found)
+                if len(every) > 200_000:
+                    yield table()
+        yield table()
+
+    totals = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Model((), (), (0.0,) * Features.WIDTH, -3.0 if not bad else 3.0)
-    counts = chosen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+    counts = labelled.select("toxic", "text").mapInArrow(counted, "term string, bad long, all long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
     clean = F.col("all") - F.col("bad")
     rate = ((F.col("bad") + 0.5) / (bad + 1)) / ((clean + 2.0) / (good + 2))
     both = F.col("all") / (bad + good)

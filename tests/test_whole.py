@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barleycorn.config import Scoring
 from barleycorn.functions import alignment as al
+from barleycorn.llm import toxicity
 from barleycorn.operators import align, cohorts, denoise, resample
 from barleycorn.operators import reads as rd
 from barleycorn.plans import adapters as ad
@@ -104,3 +105,12 @@ def test_power_counts_mice_and_trials(spark):
     found = by(resample.power(t, [5], inerts=("Neo1", "Neo2")))
     assert found == by(resample.power(t, [5], 30, ("Neo1", "Neo2"), trials=9071))
     assert found != by(resample.power(t, [5], 100, ("Neo1", "Neo2"), trials=200))
+
+
+def test_terms_are_counted_in_all_labelled_documents(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices(["tree", "house", "river", "stone"], k=6)) + (" vile" if k % 10 == 0 else ""), int(k % 10 == 0)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole = toxicity.learned(df, df.select("doc_id", "toxic"))
+    part = toxicity.learned(df, df.select("doc_id", "toxic"), toxicity.Supervision(most_rows=200))
+    assert dict(part.terms) == dict(whole.terms) and "vile" in dict(part.terms)
