@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Classify, Scoring, Template
 from ..functions.estimators import ln_mean, percentile_of_score, stars, two_sided
-from ..functions.sequence import expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, piece, reverse_complement
+from ..functions.sequence import expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, reverse_complement
 from ..operators import align, annotate, cohorts, demux, denoise, fits, multiple, pairs, quantify, resample, tumors
 from ..operators import reads as rd
 from ..sources.fastq import fastq_text, header_fields
@@ -533,16 +533,16 @@ def transition_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- kernels, tested against plain versions
 
-TEMPLATE = Template("ACGTTGCA" + "N" * 8 + "CATGGACT", flank=8)
+TEMPLATE = Template("ACGTTGCA" + "N" * 29 + "CATGGACT", flank=8)
 STRICT = Scoring(mismatch=-1)
 
 
 def _amplicons(spark: SparkSession, d: str) -> DataFrame:
     """Reads with the template's flanks around a barcode of their own, some of them with substitutions or short."""
     r, k = ad.reads(spark, d), F.col("read_id")
-    whole = F.concat(F.lit("ACGTTGCA"), piece(F.col("dna"), 8, 16), F.lit("CATGGACT"))
-    changed = F.when(k % 11 == 0, F.concat(F.substring(whole, 1, 2), F.lit("T"), F.substring(whole, 4, 30))).when(k % 13 == 0, F.substring(whole, 4, 30)).when(k % 17 == 0, F.col("dna")).otherwise(whole)
-    return r.withColumn("dna", changed).withColumn("qc", F.substring("qc", F.lit(1), F.length("dna")))
+    whole = F.concat(F.lit("ACGTTGCA"), F.substring("dna", 1, TEMPLATE.barcode_length), F.lit("CATGGACT"))
+    changed = F.when(k % 11 == 0, F.concat(F.substring(whole, 1, 2), F.lit("T"), F.substring(whole, 4, len(TEMPLATE.full)))).when(k % 13 == 0, F.substring(whole, 4, len(TEMPLATE.full))).when(k % 17 == 0, F.col("dna")).otherwise(whole)
+    return r.withColumn("dna", changed).withColumn("qc", F.substring(F.repeat("qc", 2), F.lit(1), F.length("dna")))
 
 
 @query()

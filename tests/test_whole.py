@@ -114,3 +114,12 @@ def test_terms_are_counted_in_all_labelled_documents(spark):
     whole = toxicity.learned(df, df.select("doc_id", "toxic"))
     part = toxicity.learned(df, df.select("doc_id", "toxic"), toxicity.Supervision(most_rows=200))
     assert dict(part.terms) == dict(whole.terms) and "vile" in dict(part.terms)
+
+
+def test_amplicons_have_barcodes_of_the_whole_digest(spark, tables):
+    reads = registry._amplicons(spark, tables)
+    assert reads.where("length(dna) <> length(qc)").isEmpty()
+    # as many sequences as reads of their own, for 8 bases are too few to tell them apart
+    assert reads.select("dna").distinct().count() >= 0.99 * ad.reads(spark, tables).select("dna").distinct().count()
+    found = registry.QUERIES["classify_reads"](spark, tables).where("outcome = 'Clustered'").agg(F.count("*").alias("n"), F.max(F.length("cluster")).alias("longest")).first()
+    assert found.n > 0 and found.longest >= 6 + 29 + 6
