@@ -6,9 +6,10 @@ of samples are candidates; pairs whose sketches are too far apart are passed ove
 confirmed on their full shingle sets.
 
 Groups of any size stay linear: documents with equal sets are one node; in each bucket of a band the
-members are first compared with one hub, a member in the middle of a group.  Of members that are then still in different components, all pairs
-of a small bucket are looked at; in a large one, where a common passage has brought many documents together,
-those pairs that share one of their rarest shingles, as all similar sets must.
+members are first compared with one hub, a member in the middle of a group.  Those that aren't connected
+with the hub then meet all members of another component, each pair in its first common band only.  Where
+very many are left, as where a common passage has brought documents together, they meet by their rarest
+shingles instead, of which similar sets share one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,8 @@ from .common import light, written
 from .components import components
 
 CACHE_WORDS = 400_000
-#: Members of a bucket that are all compared; more are told apart by rare shingles.
-SMALL = 32
-#: Shingles of a set that goes along with each row of its prefix.
-CARRIED = 400
+#: Comparisons of sketches within a bucket; documents of buckets that need more meet by rare shingles.
+COMPARED = 1 << 20
 #: Cells of a table of shingle frequencies.
 CELLS = 1 << 17
 
@@ -198,28 +199,38 @@ def rare_prefixes(sets: DataFrame, how: MinHash) -> DataFrame:
     return sets.mapInArrow(run, "id long, n long, prefix array<long>").select("id", "n", F.posexplode("prefix").alias("place", "shingle"))
 
 
-def across(rows: DataFrame, of: DataFrame, nodes: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
-    """(a, b, n_a, n_b) of rows (id, n, place, shingle) of different components that share a shingle, leave room for enough others and have sketches that allow the similarity.
+def unlike(one: DataFrame, two: DataFrame, on: str, how: MinHash, *also) -> DataFrame:
+    """(a, b, n_a, n_b) of rows (on, id, c, n, sketch) with one key, of different components, whose sizes and sketches allow the similarity and for which also holds."""
+    of = lambda df, x: df.select(on, *[F.col(c).alias(f"{k}_{x}") for c, k in (("id", "id"), ("c", "c"), ("n", "n"), ("sketch", "s"), ("place", "p"), ("bands", "g")) if c in df.columns])
+    met = of(one, "a").join(of(two, "b"), on).where((F.col("c_a") != F.col("c_b")) & sizes_allow(how) & (apart(how) <= how.most_bits) & reduce(and_, also, F.lit(True)))
+    first = F.col("id_a") < F.col("id_b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return met.select(pick("id_a", "id_b").alias("a"), pick("id_b", "id_a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
 
-    Sets of up to CARRIED shingles go along with their rows, so that only similar pairs come out of the join;
-    those of longer documents are left to be confirmed.
-    """
-    placed = rows.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    parted = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle")
-    placed = written(placed.join(parted, "shingle", "left_semi").join(nodes.select("id", "sketch"), "id").join(sets.where(F.size("shingles") <= CARRIED).withColumnRenamed("shingles", "all"), "id", "left"), "parted")
-    one, two = (placed.select("shingle", F.col("id").alias(x), *[F.col(c).alias(f"{k}_{x}") for c, k in (("n", "n"), ("place", "p"), ("c", "c"), ("sketch", "s"), ("all", "all"))]) for x in "ab")
-    exact = F.expr(f"all_a is null or all_b is null or {100 + how.percent} * size(array_intersect(all_a, all_b)) >= {how.percent} * (n_a + n_b)")
+
+def in_buckets(placed: DataFrame, few: DataFrame, how: MinHash) -> DataFrame:
+    """Pairs of the buckets of few: members outside the hub's component meet those of other components, in their first common band."""
+    rows = placed.join(few, "key")
+    minor = rows.where(F.col("c") != F.col("main"))
+    return unlike(minor, rows, "key", how, F.element_at(F.array_intersect("g_a", "g_b"), 1) == F.col("key"))
+
+
+def by_rare_shingles(sets: DataFrame, placed: DataFrame, how: MinHash) -> DataFrame:
+    """Pairs of sets that share one of their rarest shingles and leave room for enough others after it."""
+    rows = rare_prefixes(sets, how).join(placed, "id")
+    parted = rows.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle")
+    rows = written(rows.join(parted, "shingle", "left_semi"), "rare")
     need = F.expr(f"({how.percent} * (n_a + n_b) + {99 + how.percent}) div {100 + how.percent}")
-    room = F.expr("least(p_a, p_b) + least(n_a - p_a, n_b - p_b)") >= need
-    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & room & (apart(how) <= how.most_bits) & exact).select("a", "b", "n_a", "n_b").distinct()
+    return unlike(rows, rows, "shingle", how, F.col("id_a") < F.col("id_b"), F.expr("least(p_a, p_b) + least(n_a - p_a, n_b - p_b)") >= need)
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
-    docs: doc_id and text; other columns are ignored.  Documents without words are linked with nothing.
-    doc_id names a document: rows that repeat one are linked.  A row without doc_id is kept, without
-    component.  component_id is the smallest doc_id reachable by links, and the document that has it is kept.
+    docs: doc_id and text; other columns are ignored.  Null, empty and blank texts have no shingles and are
+    linked with nothing; a text of any length counts whole.  doc_id names a document: rows that repeat one
+    are linked.  A row without doc_id is kept, without component.  component_id is the smallest doc_id
+    reachable by links, and the document that has it is kept.  No rows give no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     known = plain.where("id is not null")
@@ -229,29 +240,34 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     buckets = nodes.select("id", F.explode("bands").alias("key"))
     several = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", "size")
     shared = written(buckets.join(several, "key"), "buckets")
-    nodes = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "nodes")
+    nodes = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "bands"), "nodes")
     # the hub of a bucket is the member that meets most others in all its buckets: one in the middle of a group
     central = shared.groupBy("id").agg(F.sum("size").alias("met"))
     hubs = shared.join(central, "id").groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("back"))).alias("h")).select("key", (-F.col("h.back")).alias("hub"))
+    hubs = written(hubs, "hubs")
     stars = shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    near = written(likely(stars, nodes, how), "near")
+    near = written(likely(stars, nodes.drop("bands"), how), "near")
     sets = written(shingle_sets(known, ends(near), how), "sets")
     of = written(components(confirmed(near, sets, how)), "components")
-    # members of one bucket that are not connected yet: all pairs of a small bucket whose sketches allow it
+    # members that aren't connected with their bucket's hub yet
     placed = shared.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    parted = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-    placed = written(placed.join(parted, "key").join(nodes, "id"), "parted")
-    few = placed.where(F.col("size") <= SMALL)
-    one, two = (few.select("key", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    more = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(how) & (apart(how) <= how.most_bits))
-    more = written(more.select("a", "b", "n_a", "n_b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
-    # and of a large one those that share a rare shingle
-    crowd = placed.where(F.col("size") > SMALL).select("id").distinct()
-    sets = written(shingle_sets(known, crowd.unionByName(ends(more)).distinct(), how), "sets")
-    rare = across(rare_prefixes(sets.join(crowd, "id", "left_semi"), how), of, nodes, sets.join(crowd, "id", "left_semi"), how)
-    most = written(rare.join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
-    links = confirmed(more.unionByName(most).distinct(), sets, how)
-    found = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+    main = hubs.join(of.withColumnRenamed("id", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("main"))
+    left = placed.join(main, "key").groupBy("key", "main").agg(F.count("*").alias("size"), F.count_if(F.col("c") != F.col("main")).alias("minor")).where("minor > 0")
+    left = written(left, "left")
+    placed = written(placed.join(left.select("key"), "key", "left_semi").join(nodes, "id"), "parted")
+    many = F.col("minor") * F.col("size") > COMPARED
+    pairs = in_buckets(placed, left.where(~many).select("key", "main"), how)
+    crowded = left.where(many).select("key")
+    if not crowded.isEmpty():
+        crowd = written(placed.drop("bands").join(crowded, "key", "left_semi").drop("key", "n").dropDuplicates(["id"]), "crowd")
+        pairs = pairs.unionByName(by_rare_shingles(written(shingle_sets(known, crowd.select("id"), how), "sets"), crowd, how)).distinct()
+    more = written(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
+    found = of
+    if not more.isEmpty():
+        sets = sets.unionByName(written(shingle_sets(known, ends(more).join(sets.select("id"), "id", "left_anti"), how), "sets"))
+        links = written(confirmed(more, sets, how), "links")
+        if not links.isEmpty():
+            found = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     # back to all documents: a class of equal sets has its smallest document's component
     of_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
