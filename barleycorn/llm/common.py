@@ -15,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a written() table that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of written() tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def words(text):
@@ -36,6 +38,8 @@ def let(value, body):
 BROADCAST_ROWS = 1_000_000
 
 
-def light(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, of a few numbers a row and cheap to read, marked for a broadcast if its size allows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def light(df: DataFrame, most: int = BROADCAST_ROWS, weight=None) -> DataFrame:
+    """df, of a few numbers a row and cheap to read, marked for a broadcast if its size allows; weight: how many numbers a row has beyond these."""
+    if df.limit(most + 1).count() > most or weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > most:
+        return df
+    return F.broadcast(df)

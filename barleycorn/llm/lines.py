@@ -1,14 +1,13 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words.  Lines with equal sets are one class, known by its first line.  The words
-of a class are ordered by rarity; two classes of Jaccard similarity t share a word among the first few of
-each (the prefix), have sizes within a factor t, and leave room for enough common words after the places
-where the shared word stands.  Candidate pairs that pass these filters are verified on the full sets, and
-a line with an earlier match is removed.
-
-DataFrame expressions only.  For a line one earlier match is enough, so where a word is in many classes'
-prefixes they are first compared with those of the earliest document alone, and only classes that are left
-look at all the others.
+A line is the set of its words.  Lines of equal sets are one class, known by its first line.  The words of a
+class are ordered by rarity; two classes of Jaccard similarity t share a word among the first few of each (the
+prefix), have sizes within a factor t, and leave room for enough common words after the places where the
+shared word stands.  Candidate pairs that pass these filters are verified on the full sets, and a line with an
+earlier match is removed.
+
+DataFrame expressions only.  For a line one earlier match is enough, so lines that share a common word are
+first compared with the earliest line that has it, and only those that are left look at all the others.
 """
 
 from __future__ import annotations
@@ -18,76 +17,102 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, light, written
+from .common import dropped, let, light, written
 
 #: Cells of the table of word frequencies, an array of this many small numbers whatever the input's size.
-CELLS = 1 << 18
-
-
+CELLS = 1 << 20
 #: Lines of more distinct words have a second bitmap.
 LONG = 40
+#: What names a line, in the order of lines: its document, a text's own number where rows repeat a doc_id, its place.
+LINE = ("doc", "twin", "line")
 
 
 @dataclass(frozen=True)
 class Similar:
-    """percent: the least Jaccard similarity; words: lines with fewer distinct words always stay; crowd: lines with one word in their prefixes that are all compared at once."""
+    """percent: the least Jaccard similarity; words: lines with fewer distinct words always stay; crowd: a word that occurs more often is common."""
 
     percent: int = 80
-    words: int = 5
+    words: int = 1
     crowd: int = 200
 
 
 def cell(token: Column) -> Column:
-    return F.pmod(token, F.lit(CELLS)).cast("int")
+    return F.shiftright(token, 32).bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
-def spaced(docs: DataFrame) -> DataFrame:
-    """docs with all white space but line ends as spaces."""
-    return docs.withColumn("text", F.when(F.col("text").rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace("text", "[\\t\\x0B\\f\\r]", " ")).otherwise(F.coalesce("text", F.lit(""))))
+def rank(count: Column) -> Column:
+    """A small number that grows with a word's occurrences: thirds of their logarithm."""
+    return F.least(F.lit(120), F.floor(F.log2(count) * 3)).cast("tinyint")
 
 
-def frequencies(docs: DataFrame) -> Column:
-    """A literal array: for each cell of word hashes a rank that grows with how often its words occur, over all documents; it fills a long's top byte.
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc, twin, text) of each row with a doc_id: white space but line ends as spaces, null texts left out; twin is 0 unless other rows repeat the doc_id."""
+    text = F.when(F.col("text").rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace("text", "[\\t\\x0B\\f\\r]", " ")).otherwise(F.col("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
+    return with_twin(plain, repeated(docs)).select("doc", "twin", text.alias("text"))
 
-    docs: from spaced().
-    """
-    hashed = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(cell(F.xxhash64("w")).alias("cell"))
-    # logarithms are enough for an order
-    ranked = hashed.groupBy("cell").count().select("cell", F.least(F.lit(120), F.floor(F.log2("count") * 3)).cast("int").alias("rank"))
-    full = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(ranked, "cell", "left").select("cell", F.coalesce("rank", F.lit(0)).alias("rank"))
-    listed = full.agg(F.sort_array(F.collect_list(F.struct("cell", "rank"))).alias("r"))
-    ranks = listed.select(F.to_json(F.transform("r", lambda x: x["rank"]))).first()[0]  # CELLS small numbers
-    return F.from_json(F.lit(ranks), "array<tinyint>")
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """The doc_ids of several rows."""
+    return light(written(docs.groupBy(F.col("doc_id").cast("long").alias("doc")).count().where("count > 1 and doc is not null").select("doc", F.lit(True).alias("again")), "repeated"))
 
-def rare_first(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as positive 64-bit numbers in the order of rarity: the rank above, a hash below."""
-    found = F.transform(F.array_remove(F.array_distinct(F.split(line, " ")), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(found, lambda t: F.shiftleft(F.get(ranks, cell(t)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
+
+def with_twin(docs: DataFrame, again: DataFrame) -> DataFrame:
+    return docs.join(again, "doc", "left").withColumn("twin", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("again")
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """One row with an array: for each cell of word hashes the rank of the most frequent word in it, by its occurrences in all documents.
+
+    docs: from numbered().  Words are counted one by one, and only their ranks share cells.
+    """
+    hashed = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.shiftright(F.xxhash64("w"), 32).cast("int").alias("h"))
+    ranked = hashed.groupBy("h").count().groupBy(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.max("count").alias("n")).select("cell", rank(F.col("n")).alias("rank"))
+    full = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(ranked, "cell", "left").select("cell", F.coalesce("rank", F.lit(0).cast("tinyint")).alias("rank"))
+    return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "rank"))), lambda x: x["rank"]).alias("ranks"))  # CELLS small numbers
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, text) of each line of each document that has a doc_id."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    """(doc, twin, line, text) of each line of numbered() documents."""
+    return docs.select("doc", "twin", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
-def with_tokens(lines: DataFrame, ranks: Column) -> DataFrame:
-    return lines.select("doc", "line", rare_first(F.col("text"), ranks).alias("tokens"))
+def rare_first(line: Column, ranks: Column) -> Column:
+    """The distinct words of a line as positive 64-bit numbers in the order of rarity: the rank above, a hash below."""
+    hashed = F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    return F.sort_array(F.transform(hashed, lambda t: F.shiftleft(F.coalesce(F.get(ranks, cell(t)), F.lit(0).cast("tinyint")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
 
-def prefixes(lines: DataFrame, how: Similar) -> DataFrame:
-    """A row for each word of each line's prefix: token, doc, line, n, place, bits, more.
+def with_prefix(lines: DataFrame, ranks: Column, how: Similar) -> DataFrame:
+    """LINE, n, h and g (a digest of the set), bits and more (the parity of words by bit), prefix, and common: the place from which its words are common ones.
 
     A line of n words shares one of its first n - ceil(t n) + 1 with any similar line.
     """
-    return lines.select("doc", "line", "n", "bits", "more", F.posexplode("prefix").alias("place", "token"))
+    n, long = F.col("n"), F.col("n") > LONG
+    sized = lines.select(*LINE, rare_first(F.col("text"), ranks).alias("tokens")).withColumn("n", F.size("tokens"))
+    flip = "a ^ shiftleft(1L, int(t & 63))"
+    parity = lambda step: F.expr(f"aggregate(tokens, 0L, (a, t) -> {step})")
+    first = F.slice("tokens", 1, F.greatest(F.lit(0), n - F.expr(f"({how.percent} * n + 99) div 100").cast("int") + 1))
+    return sized.select(
+        *LINE, "n", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"),
+        # a bitmap for each half of a long line's words
+        F.when(long, parity(f"if(t & 64 = 0, {flip}, a)")).otherwise(parity(flip)).alias("bits"), F.when(long, parity(f"if(t & 64 = 0, a, {flip})")).alias("more"),
+        F.transform(first, lambda t: F.hash(t)).alias("prefix"), F.size(F.filter(first, lambda t: F.shiftright(t, 56) < rank(F.lit(how.crowd)))).alias("common"),
+    )
+
+
+def side(names, x: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{x}") for c in names]
+
+
+ENDS = [f"{c}_{x}" for x in "ab" for c in LINE]
 
 
 def candidates(late: DataFrame, early: DataFrame, how: Similar) -> DataFrame:
-    """Pairs (doc_a, line_a, n_a) after (doc_b, line_b, n_b) with a common word in their prefixes that pass the length, positional and bitmap filters; far is the bitmaps' distance."""
+    """ENDS, n_a, n_b and far, the bitmaps' distance, of the pairs of a line of late and an earlier one of early with a common word in their prefixes that pass the length, positional and bitmap filters."""
     a, b = late.alias("a"), early.alias("b")
     need = F.expr(f"({how.percent} * (a.n + b.n) + {99 + how.percent}) div {100 + how.percent}")
-    later = F.expr("b.doc < a.doc or b.doc = a.doc and b.line < a.line")
+    later = F.expr("b.doc < a.doc or b.doc = a.doc and (b.twin < a.twin or b.twin = a.twin and b.line < a.line)")
     length = F.expr(f"100 * least(a.n, b.n) >= {how.percent} * greatest(a.n, b.n)")
     # before the shared word at most the smaller place's words are common, after it at most the smaller rest
     positional = F.expr("least(a.place, b.place) + least(a.n - a.place, b.n - b.place)") >= need
@@ -95,79 +120,81 @@ def candidates(late: DataFrame, early: DataFrame, how: Similar) -> DataFrame:
     far = "if(a.more is null or b.more is null, bit_count(a.bits ^ coalesce(a.more, 0L) ^ b.bits ^ coalesce(b.more, 0L)), bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more))"
     bitmap = F.expr(far) <= F.expr("a.n + b.n") - 2 * need
     joined = a.join(b, (F.col("a.token") == F.col("b.token")) & later & length & positional & bitmap)
-    return joined.selectExpr("a.doc as doc_a", "a.line as line_a", "a.n as n_a", "b.doc as doc_b", "b.line as line_b", "b.n as n_b", f"{far} as far").distinct()
+    return joined.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in (*LINE, "n")], F.expr(far).alias("far")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
-    """The later lines (doc, line) of the pairs that are similar by their full sets of words; lines' texts are read again, and compared as they are."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")), F.struct(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")))).alias("e")).select("e.*").distinct()
-    some = docs.join(light(ends.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    texts = written(split_lines(some).join(light(ends), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]), "texts")
-    one, two = (texts.select(F.col("doc").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    """The later lines (LINE) of the pairs that are similar by their full sets of words; lines' texts are read again, and compared as they are."""
+    ends = written(pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{c}_{x}").alias(c) for c in LINE]) for x in "ab"])).alias("e")).select("e.*").distinct(), "ends")
+    some = docs.join(light(ends.select("doc", "twin").distinct()), ["doc", "twin"], "left_semi")
+    texts = written(split_lines(some).join(light(ends), list(LINE), "left_semi").dropDuplicates(list(LINE)), "texts")
+    one, two = (texts.select(*side((*LINE, "text"), x)) for x in "ab")
     both = F.size(F.array_intersect(F.array_remove(F.split("text_a", " "), ""), F.array_remove(F.split("text_b", " "), "")))
-    joined = pairs.join(one, ["doc_a", "line_a"]).join(two, ["doc_b", "line_b"]).withColumn("both", both)
+    joined = pairs.join(one, [f"{c}_a" for c in LINE]).join(two, [f"{c}_b" for c in LINE]).withColumn("both", both)
     similar = joined.where(100 * F.col("both") >= how.percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
-    return similar.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
+    found = written(similar.select(*[F.col(f"{c}_a").alias(c) for c in LINE]).distinct(), "matched")
+    dropped(ends, texts)
+    return found
 
 
-def matched(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
-    """The later lines (doc, line) that have a similar line among their pairs: each line's nearest one is verified first, and the others only if it isn't similar."""
-    pairs = written(pairs, "candidates")
-    nearest = pairs.groupBy("doc_a", "line_a").agg(F.min(F.struct("far", "doc_b", "line_b", "n_a", "n_b")).alias("m")).select("doc_a", "line_a", "m.*")
-    nearest = written(nearest, "nearest")
-    first = written(verified(nearest, docs, how), "matched")
-    left = pairs.join(light(first.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"))), ["doc_a", "line_a"], "left_anti")
-    left = written(left.join(nearest.select("doc_a", "line_a", "doc_b", "line_b"), ["doc_a", "line_a", "doc_b", "line_b"], "left_anti"), "left")
-    return written(first.unionByName(verified(left, docs, how)), "matched")
+def unmatched(pairs: DataFrame, matched: DataFrame) -> DataFrame:
+    return pairs.join(light(matched.select(*side(LINE, "a"))), [f"{c}_a" for c in LINE], "left_anti")
 
 
 def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
-    """(doc, line) of each line with an earlier line that is at least as similar as how says; lines are ordered by doc_id and place.
+    """(doc, twin, line) of each line with an earlier line that is at least as similar as how says.
 
-    docs: from spaced().
+    docs: from numbered().
     """
-    ranks = frequencies(docs)
-    n = F.col("n")
+    ranks = written(frequencies(docs), "ranks")
     # short lines are left out after they are written: a condition on the words would have them made twice
-    sized = with_tokens(split_lines(docs), ranks).withColumn("n", F.size("tokens"))
-    prefix = F.transform(F.slice("tokens", 1, n - F.expr(f"({how.percent} * n + 99) div 100").cast("int") + 1), lambda t: F.hash(t))
-    bits = F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, int(t & 63)))")
-    # a bitmap for each half of a long line's words
-    long = n > LONG
-    halves = {"bits": F.when(long, F.expr("aggregate(tokens, 0L, (a, t) -> if(t & 64 = 0, a ^ shiftleft(1L, int(t & 63)), a))")).otherwise(bits), "more": F.when(long, F.expr("aggregate(tokens, 0L, (a, t) -> if(t & 64 = 0, a, a ^ shiftleft(1L, int(t & 63))))"))}
-    lines = written(sized.select("doc", "line", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"), "n", *[c.alias(k) for k, c in halves.items()], prefix.alias("prefix")), "lines").where(n >= how.words)
+    ranked = split_lines(docs).withColumn("ranks", ranks.scalar())
+    all_lines = written(with_prefix(ranked, F.col("ranks"), how), "lines")
+    lines = all_lines.where(F.col("n") >= how.words)
     # equal sets: all but the first of each class go, and the first stands for it
-    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc", "line")).alias("c"), F.count("*").alias("count")).where("count > 1").select("h", "g", F.col("c.doc").alias("d"), F.col("c.line").alias("k"))
-    firsts = light(written(firsts, "firsts"))
-    equal = written(lines.select("doc", "line", "h", "g").join(firsts, ["h", "g"]).where("doc <> d or line <> k").select("doc", "line"), "equal")
-    rows = prefixes(lines.join(light(equal), ["doc", "line"], "left_anti"), how)
-    crowds = written(rows.groupBy("token").count().where(F.col("count") > how.crowd).select("token"), "crowds")
-    # all pairs of lines with a rare word
-    rare = rows.join(light(crowds), "token", "left_anti")
-    pairs = candidates(rare, rare, how)
-    # lines with a word that many have: first against the earliest document's, then what is left against the others
-    crowded = written(rows.join(light(crowds), "token"), "crowded")
-    earliest = crowded.groupBy("token").agg(F.min("doc").alias("hub"))
-    crowded = written(crowded.join(earliest, "token"), "crowded")
-    hubs = crowded.where("doc = hub").drop("hub")
-    first = matched(pairs.unionByName(candidates(crowded.drop("hub"), hubs, how)).distinct(), docs, how)
-    left = crowded.join(light(first), ["doc", "line"], "left_anti").drop("hub")
-    second = matched(candidates(left, crowded.where("doc <> hub").drop("hub"), how), docs, how)
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*LINE)).alias("c"), F.count("*").alias("count")).where("count > 1").select("h", "g", F.col("c").alias("first"))
+    firsts = written(firsts, "firsts")
+    placed = lines.join(light(firsts), ["h", "g"], "left").withColumn("again", F.coalesce(F.struct(*LINE) != F.col("first"), F.lit(False)))
+    equal = written(placed.where("again").select(*LINE), "equal")
+    rows = placed.where("not again").select(*LINE, "n", "bits", "more", "common", F.posexplode("prefix").alias("place", "token"))
+    # all pairs of lines that share a word of few occurrences
+    rare = rows.where("place < common").drop("common")
+    # lines that share a common word: at first with the earliest line that has it
+    crowded = rows.where("place >= common").drop("common")
+    crowded = written(crowded.join(crowded.groupBy("token").agg(F.min("doc").alias("hub")), "token"), "crowded")
+    hub = F.min(F.struct("twin", "line", "doc", "n", "bits", "more", "place"))
+    hubs = crowded.where("doc = hub").groupBy("token").agg(hub.alias("h")).select("token", "h.*")
+    pairs = written(candidates(rare, rare, how).unionByName(candidates(crowded, hubs, how)).distinct(), "pairs")
+    # each line's nearest one is verified first, the others only if it isn't similar
+    ends = [F.col(c) for c in ENDS]
+    nearest = pairs.groupBy(*ends[:3]).agg(F.min(F.struct("far", *ends[3:], "n_a", "n_b")).alias("m")).select(*ends[:3], "m.*")
+    nearest = written(nearest, "nearest")
+    first = verified(nearest, docs, how)
+    others = unmatched(pairs, first).join(nearest.select(*ends), ENDS, "left_anti")
+    left = crowded.join(light(first), list(LINE), "left_anti")
+    rest = written(others.unionByName(candidates(left, crowded, how)).distinct(), "pairs")
+    second = verified(rest, docs, how)
+    dropped(ranks, all_lines, firsts, crowded, pairs, nearest, rest)
     return equal.unionByName(first).unionByName(second)
 
 
 def deduplicated(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     """docs with text rid of each line that an earlier one matches, and with n_lines and n_removed.
 
-    docs: doc_id, text and whatever else, which stays.  Lines end at \\n, words are divided by ASCII white
-    space, and a line is its set of words; lines with fewer than how.words distinct words stay, as do empty
-    ones.  Null text stays null with no lines.  Rows without doc_id stay as they are and match nothing; rows
-    that repeat a doc_id are one document and are treated alike.
+    docs: doc_id, text and whatever else, which stays; given columns n_lines and n_removed are replaced.
+    Lines end at \\n, words are divided by ASCII white space, and a line is its set of words; lines are
+    ordered by doc_id and place, and of equal ones the first stays.  Lines without words stay, as do those
+    with fewer than how.words distinct words.  Lines and texts of any length count whole.  Null text stays
+    null with no lines.  Rows without doc_id stay as they are and match nothing.  Rows that repeat a doc_id
+    are documents of their own where their texts differ, in an order of hashes; those of equal text are one
+    document, and each gets the text that is left of it.  No rows give no rows.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    late = later_matches(spaced(plain), how)
-    removed = written(late.groupBy("doc").agg(F.array_distinct(F.collect_list("line")).alias("__removed")).withColumnRenamed("doc", "__doc"), "removed")
-    joined = docs.join(light(removed), docs["doc_id"].cast("long") == removed["__doc"], "left").drop("__doc")
+    late = later_matches(numbered(docs), how)
+    removed = written(late.groupBy("doc", "twin").agg(F.array_distinct(F.collect_list("line")).alias("__removed")), "removed")
+    removed = light(removed, weight=F.size("__removed"))
+    again = repeated(docs).withColumnRenamed("doc", "__doc").withColumnRenamed("again", "__again")
+    keyed = docs.join(again, docs["doc_id"].cast("long") == F.col("__doc"), "left").withColumn("__twin", F.when(F.col("__again"), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))).drop("__doc", "__again")
+    joined = keyed.join(removed.withColumnsRenamed({"doc": "__doc", "twin": "__also"}), (keyed["doc_id"].cast("long") == F.col("__doc")) & (F.col("__twin") == F.col("__also")), "left").drop("__doc", "__also", "__twin")
     kept = let(F.split("text", "\n"), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__removed")), lambda i: F.get(x, i)))
     counts = {"n_lines": F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, "n_removed": F.coalesce(F.size("__removed"), F.lit(0))}
     text = F.when(F.col("__removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

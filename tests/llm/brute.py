@@ -50,7 +50,7 @@ def near_duplicates(docs: dict[int, str | None], n: int = 5, percent: int = 80)
     return {k: (len(s), u.root(k)) for k, s in sets.items()}
 
 
-def later_lines(docs: dict[int, str | None], percent: int = 80, least: int = 5) -> set[tuple[int, int]]:
+def later_lines(docs: dict[int, str | None], percent: int = 80, least: int = 1) -> set[tuple[int, int]]:
     seen, at, out = [], defaultdict(list), set()
     for k in sorted(docs):
         if docs[k] is None:

@@ -43,9 +43,9 @@ def frame(spark, docs):
     return spark.createDataFrame([(k, t, 1, 2, "x", "y") for k, t in docs.items()], "doc_id long, text string, id long, key int, n string, doc string")
 
 
-@pytest.mark.parametrize("n, small", [(4, 32), (5, 32), (5, 2)])
-def test_minhash_of_a_crowd(spark, crowd, n, small, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("n, compared", [(4, 1 << 20), (5, 1 << 20), (5, 2)])
+def test_minhash_of_a_crowd(spark, crowd, n, compared, monkeypatch):
+    monkeypatch.setattr(minhash, "COMPARED", compared)
     rows = minhash.near_duplicates(frame(spark, crowd), minhash.MinHash(words=n)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near_duplicates(crowd, n)
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows) and len(rows) == len(crowd)
@@ -97,8 +97,9 @@ def removed(before, rows):
 @pytest.mark.parametrize("crowd", [2, 200])
 def test_line_matches_are_exact(spark, crowd):
     docs = line_crowd()
-    late = {(r.doc, r.line) for r in lines.later_matches(lines.spaced(frame(spark, docs).select("doc_id", "text")), lines.Similar(crowd=crowd)).collect()}
+    late = {(r.doc, r.line) for r in lines.later_matches(lines.numbered(frame(spark, docs)), lines.Similar(crowd=crowd)).collect()}
     assert late == brute.later_lines(docs)
+    assert {t for t in late if len(set(brute.words(docs[t[0]].split("\n")[t[1]]))) < 5}
 
 
 def test_line_dedup_keeps_columns_and_rows(spark):
@@ -111,6 +112,15 @@ def test_line_dedup_keeps_columns_and_rows(spark):
     assert [r.n_removed for r in lines.deduplicated(twice).collect()] == [0, 0, 0]
 
 
+def test_line_dedup_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 3), (5, "p q r s t u", 3), (5, "f e d c b a", 3), (5, "f e d c b a", 3), (6, "", 3), (7, "u t s r q p\n" + "w " * 30_000, 3), (8, "x" * 50_000 + "\nx\nx", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int")
+    out = lines.deduplicated(df)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "n_removed", "n_lines"])
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in out.collect())
+    assert got == sorted([(1, "a b c d e f", 0), (5, "p q r s t u", 0), (5, "", 1), (5, "", 1), (6, "", 0), (7, "w " * 30_000, 1), (8, "x" * 50_000 + "\nx", 1)])
+
+
 def test_line_dedup_of_documents(spark, tables):
     before = texts(spark, tables)
     rows = op1_line_dedup(spark, tables).collect()
