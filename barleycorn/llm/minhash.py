@@ -3,7 +3,8 @@
 Each document's MinHash samples are folded into a parity bitmap (an odd sketch): the population count of
 two bitmaps' XOR tells how many samples differ, most precisely where few do.  Documents that share a band
 of samples are candidates; pairs whose sketches are too far apart are passed over, and the rest are
-confirmed on their full shingle sets.
+confirmed on their full shingle sets.  A second bitmap has the parity of all shingles: it differs in at most
+as many bits as sets differ in shingles, and tells near misses from matches where sets are small.
 
 Groups of any size stay linear: documents with equal sets are one node; in each bucket of a band the
 members are first compared with one hub, a member in the middle of a group.  Those that aren't connected
@@ -41,7 +42,7 @@ _N = np.uint64(0x94D049BB133111EB)
 
 @dataclass(frozen=True)
 class MinHash:
-    """words a shingle, the least similarity in per cent, bands of rows samples, bits of a sketch, and how many standard deviations below the similarity an estimate may lie.
+    """words a shingle, the least similarity in per cent, bands of rows samples, bits of a sketch and of a set's parity, and how many standard deviations below the similarity an estimate may lie.
 
     32 bands of 5 miss a pair at 0.8 with probability 3e-6.
     """
@@ -51,6 +52,7 @@ class MinHash:
     bands: int = 32
     rows: int = 5
     bits: int = 512
+    set_bits: int = 1024
     slack: float = 4.0
     seed: int = 7
 
@@ -102,7 +104,7 @@ def shingler(n: int):
 
 
 def sketched(docs: DataFrame, how: MinHash) -> DataFrame:
-    """(id, n, digest, bands, sketch) of each document; digest identifies the set, and is null for an empty one."""
+    """(id, n, digest, bands, sketch) of each document; digest identifies the set, and is null for an empty one; sketch has the odd sketch and then the set's parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, rng = shingler(how.words), np.random.default_rng(how.seed)
@@ -128,7 +130,9 @@ def sketched(docs: DataFrame, how: MinHash) -> DataFrame:
                         np.minimum(least, (a[:, None] * s[None, k : k + 512] + b[:, None]).min(1), out=least)
                     bands.append(mixed((least.reshape(how.bands, how.rows) * of_row).sum(1, dtype=np.uint64) + of_band))
                     places = (mixed(least ^ of_sample) % np.uint64(how.bits)).astype(np.int64)
-                    sketches.append(np.packbits((np.bincount(places, minlength=how.bits) & 1).astype(np.uint8)).view(np.int64))
+                    own = (s >> np.uint64(20)) % np.uint64(how.set_bits)
+                    odd = [np.bincount(x, minlength=size) & 1 for x, size in ((places, how.bits), (own.astype(np.int64), how.set_bits))]
+                    sketches.append(np.packbits(np.concatenate(odd).astype(np.uint8)).view(np.int64))
                 listed = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x).view(np.int64))) for x in (bands, sketches)]
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *listed], names=["id", "n", "digest", "bands", "sketch"])
 
@@ -151,19 +155,20 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, how: MinHash) -> DataFrame:
     return wanted.select("id", "text").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def apart(how: MinHash, x: str = "s_a", y: str = "s_b"):
-    """How many bits of two sketches differ."""
-    return F.expr(" + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(how.bits // 64)))
-
-
-def sizes_allow(how: MinHash):
-    return F.expr(f"100 * least(n_a, n_b) >= {how.percent} * greatest(n_a, n_b)")
+def near_enough(how: MinHash, x: str = "s_a", y: str = "s_b"):
+    """Whether sizes, odd sketches and parities of two sets, n_a and n_b, allow the similarity."""
+    far = lambda first, last: " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(first // 64, last // 64))
+    most, half = f"({100 - how.percent} * (n_a + n_b) div {100 + how.percent})", how.set_bits / 2
+    # so many shingles differ at most, and so many bits of a parity with them
+    chance = f"{half} * (1 - pow({1 - 1 / half}D, {most})) + {(how.slack + 1) * math.sqrt(how.set_bits) / 2}"
+    sizes = f"100 * least(n_a, n_b) >= {how.percent} * greatest(n_a, n_b)"
+    return F.expr(f"{sizes} and {far(0, how.bits)} <= {how.most_bits} and {far(how.bits, how.bits + how.set_bits)} <= least({most}, {chance})")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, how: MinHash) -> DataFrame:
     """(a, b, n_a, n_b) of the pairs (a, b) whose sketches allow the similarity."""
     one, two = (nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where(sizes_allow(how) & (apart(how) <= how.most_bits)).select("a", "b", "n_a", "n_b")
+    return pairs.join(one, "a").join(two, "b").where(near_enough(how)).select("a", "b", "n_a", "n_b")
 
 
 def confirmed(near: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
@@ -202,7 +207,7 @@ def rare_prefixes(sets: DataFrame, how: MinHash) -> DataFrame:
 def unlike(one: DataFrame, two: DataFrame, on: str, how: MinHash, *also) -> DataFrame:
     """(a, b, n_a, n_b) of rows (on, id, c, n, sketch) with one key, of different components, whose sizes and sketches allow the similarity and for which also holds."""
     of = lambda df, x: df.select(on, *[F.col(c).alias(f"{k}_{x}") for c, k in (("id", "id"), ("c", "c"), ("n", "n"), ("sketch", "s"), ("place", "p"), ("bands", "g")) if c in df.columns])
-    met = of(one, "a").join(of(two, "b"), on).where((F.col("c_a") != F.col("c_b")) & sizes_allow(how) & (apart(how) <= how.most_bits) & reduce(and_, also, F.lit(True)))
+    met = of(one, "a").join(of(two, "b"), on).where((F.col("c_a") != F.col("c_b")) & near_enough(how) & reduce(and_, also, F.lit(True)))
     first = F.col("id_a") < F.col("id_b")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return met.select(pick("id_a", "id_b").alias("a"), pick("id_b", "id_a").alias("b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b")).distinct()
