@@ -6,15 +6,15 @@ prefix), have sizes within a factor t, and leave room for enough common words af
 shared word stands.  Candidate pairs that pass these filters are verified on the full sets, and a line with an
 earlier match is removed.
 
-DataFrame expressions only.  For a line one earlier match is enough, so lines that share a common word are
-first compared with the earliest line that has it, and only those that are left look at all the others.
+DataFrame expressions only.  For a line one earlier match is enough: lines are first compared with the earliest
+line that has one of their HEADS rarest words, and only those that are left look at all the others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, let, light, written
@@ -23,13 +23,15 @@ from .common import dropped, let, light, written
 CELLS = 1 << 20
 #: Lines of more distinct words have a second bitmap.
 LONG = 40
+#: A line's rarest words by which it finds an earliest line; parts of the lines of a common word, each with its own.
+HEADS, PARTS = 3, 32
 #: What names a line, in the order of lines: its document, a text's own number where rows repeat a doc_id, its place.
 LINE = ("doc", "twin", "line")
 
 
 @dataclass(frozen=True)
 class Similar:
-    """percent: the least Jaccard similarity; words: lines with fewer distinct words always stay; crowd: a word that occurs more often is common."""
+    """percent: the least Jaccard similarity; words: lines with fewer distinct words always stay; crowd: the lines of a word that occurs more often are dealt out in parts."""
 
     percent: int = 80
     words: int = 1
@@ -84,7 +86,7 @@ def rare_first(line: Column, ranks: Column) -> Column:
 
 
 def with_prefix(lines: DataFrame, ranks: Column, how: Similar) -> DataFrame:
-    """LINE, n, h and g (a digest of the set), bits and more (the parity of words by bit), prefix, and common: the place from which its words are common ones.
+    """LINE, n, h and g (a digest of the set), bits and more (the parity of words by bit), prefix, and crowded: the place from which its words are common ones, HEADS at most.
 
     A line of n words shares one of its first n - ceil(t n) + 1 with any similar line.
     """
@@ -97,7 +99,7 @@ def with_prefix(lines: DataFrame, ranks: Column, how: Similar) -> DataFrame:
         *LINE, "n", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"),
         # a bitmap for each half of a long line's words
         F.when(long, parity(f"if(t & 64 = 0, {flip}, a)")).otherwise(parity(flip)).alias("bits"), F.when(long, parity(f"if(t & 64 = 0, a, {flip})")).alias("more"),
-        F.transform(first, lambda t: F.hash(t)).alias("prefix"), F.size(F.filter(first, lambda t: F.shiftright(t, 56) < rank(F.lit(how.crowd)))).alias("common"),
+        F.transform(first, lambda t: F.hash(t)).alias("prefix"), F.size(F.filter(F.slice(first, 1, HEADS), lambda t: F.shiftright(t, 56) < rank(F.lit(how.crowd)))).alias("crowded"),
     )
 
 
@@ -108,19 +110,38 @@ def side(names, x: str) -> list[Column]:
 ENDS = [f"{c}_{x}" for x in "ab" for c in LINE]
 
 
-def candidates(late: DataFrame, early: DataFrame, how: Similar) -> DataFrame:
-    """ENDS, n_a, n_b and far, the bitmaps' distance, of the pairs of a line of late and an earlier one of early with a common word in their prefixes that pass the length, positional and bitmap filters."""
-    a, b = late.alias("a"), early.alias("b")
-    need = F.expr(f"({how.percent} * (a.n + b.n) + {99 + how.percent}) div {100 + how.percent}")
-    later = F.expr("b.doc < a.doc or b.doc = a.doc and (b.twin < a.twin or b.twin = a.twin and b.line < a.line)")
-    length = F.expr(f"100 * least(a.n, b.n) >= {how.percent} * greatest(a.n, b.n)")
+#: far, the distance of two lines' bitmaps.
+FAR = "if(a.more is null or b.more is null, bit_count(a.bits ^ coalesce(a.more, 0L) ^ b.bits ^ coalesce(b.more, 0L)), bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more))"
+
+
+def allowed(how: Similar) -> Column:
+    """Whether b is earlier than a, and two lines with a common word in their prefixes pass the length, positional and bitmap filters; a line that is done looks at no other."""
+    need = f"({how.percent} * (a.n + b.n) + {99 + how.percent}) div {100 + how.percent}"
+    later = "(b.doc < a.doc or b.doc = a.doc and (b.twin < a.twin or b.twin = a.twin and b.line < a.line))"
+    length = f"100 * least(a.n, b.n) >= {how.percent} * greatest(a.n, b.n)"
     # before the shared word at most the smaller place's words are common, after it at most the smaller rest
-    positional = F.expr("least(a.place, b.place) + least(a.n - a.place, b.n - b.place)") >= need
+    positional = f"if(a.done, -1, least(a.place, b.place) + least(a.n - a.place, b.n - b.place)) >= {need}"
     # each word that only one has changes the parity of one bit at most
-    far = "if(a.more is null or b.more is null, bit_count(a.bits ^ coalesce(a.more, 0L) ^ b.bits ^ coalesce(b.more, 0L)), bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more))"
-    bitmap = F.expr(far) <= F.expr("a.n + b.n") - 2 * need
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & later & length & positional & bitmap)
-    return joined.select(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in (*LINE, "n")], F.expr(far).alias("far")).distinct()
+    return F.expr(f"{later} and {length} and {positional} and {FAR} <= a.n + b.n - 2 * ({need})")
+
+
+def both_ends() -> list[Column]:
+    return [*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in (*LINE, "n")], F.expr(FAR).alias("far")]
+
+
+def earliest(rows: DataFrame, how: Similar) -> DataFrame:
+    """Pairs of a line and the earliest one of a word; of a common word, of the line's part of it."""
+    part = F.when(F.col("place") >= F.col("crowded"), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    few = ("n", "bits", "more", "place")
+    heads = rows.where(F.col("place") < HEADS).select("token", part.alias("part"), "done", *LINE, *few)
+    first = F.first(F.struct(*LINE, *few)).over(Window.partitionBy("token", "part").orderBy(*LINE))
+    return heads.withColumn("b", first).alias("a").where(allowed(how)).select(*both_ends())
+
+
+def candidates(rows: DataFrame, how: Similar) -> DataFrame:
+    """Pairs of a line that isn't done and an earlier one with a common word in their prefixes."""
+    # done stays in a condition on both sides, so that both read one shuffle
+    return rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & allowed(how)).select(*both_ends()).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
@@ -137,10 +158,6 @@ def verified(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
     return found
 
 
-def unmatched(pairs: DataFrame, matched: DataFrame) -> DataFrame:
-    return pairs.join(light(matched.select(*side(LINE, "a"))), [f"{c}_a" for c in LINE], "left_anti")
-
-
 def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     """(doc, twin, line) of each line with an earlier line that is at least as similar as how says.
 
@@ -156,25 +173,19 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     firsts = written(firsts, "firsts")
     placed = lines.join(light(firsts), ["h", "g"], "left").withColumn("again", F.coalesce(F.struct(*LINE) != F.col("first"), F.lit(False)))
     equal = written(placed.where("again").select(*LINE), "equal")
-    rows = placed.where("not again").select(*LINE, "n", "bits", "more", "common", F.posexplode("prefix").alias("place", "token"))
-    # all pairs of lines that share a word of few occurrences
-    rare = rows.where("place < common").drop("common")
-    # lines that share a common word: at first with the earliest line that has it
-    crowded = rows.where("place >= common").drop("common")
-    crowded = written(crowded.join(crowded.groupBy("token").agg(F.min("doc").alias("hub")), "token"), "crowded")
-    hub = F.min(F.struct("twin", "line", "doc", "n", "bits", "more", "place"))
-    hubs = crowded.where("doc = hub").groupBy("token").agg(hub.alias("h")).select("token", "h.*")
-    pairs = written(candidates(rare, rare, how).unionByName(candidates(crowded, hubs, how)).distinct(), "pairs")
-    # each line's nearest one is verified first, the others only if it isn't similar
+    reps = placed.where("not again").select(*LINE, "n", "bits", "more", "crowded", "prefix")
+    words = lambda df: df.select(*[c for c in df.columns if c != "prefix"], F.posexplode("prefix").alias("place", "token"))
+    # each line's nearest one is enough here
+    near = earliest(words(reps.withColumn("prefix", F.slice("prefix", 1, HEADS)).withColumn("done", F.lit(False))), how)
     ends = [F.col(c) for c in ENDS]
-    nearest = pairs.groupBy(*ends[:3]).agg(F.min(F.struct("far", *ends[3:], "n_a", "n_b")).alias("m")).select(*ends[:3], "m.*")
+    nearest = near.groupBy(*ends[:3]).agg(F.min(F.struct("far", *ends[3:], "n_a", "n_b")).alias("m")).select(*ends[:3], "m.*")
     nearest = written(nearest, "nearest")
     first = verified(nearest, docs, how)
-    others = unmatched(pairs, first).join(nearest.select(*ends), ENDS, "left_anti")
-    left = crowded.join(light(first), list(LINE), "left_anti")
-    rest = written(others.unionByName(candidates(left, crowded, how)).distinct(), "pairs")
+    # those that are left look at all lines
+    marked = reps.drop("crowded").join(light(first.withColumn("found", F.lit(True))), list(LINE), "left").withColumn("done", F.coalesce("found", F.lit(False))).drop("found")
+    rest = written(candidates(words(marked), how), "pairs")
     second = verified(rest, docs, how)
-    dropped(ranks, all_lines, firsts, crowded, pairs, nearest, rest)
+    dropped(ranks, all_lines, firsts, nearest, rest)
     return equal.unionByName(first).unionByName(second)
 
 
