@@ -1,7 +1,9 @@
 """Secret scans: base patterns, and candidate strings with a window of high Shannon entropy.
 
 DataFrame expressions only.  Positions are code points: they are sums of the lengths of matches and of what
-a split at the same pattern leaves between them.
+a split at the same pattern leaves between them.  A window's characters are counted as it slides: one count
+goes down, one up, and the counts are carried along, packed into a few numbers.  Time is in proportion to
+the length of texts, candidates of any length among them.
 """
 
 from __future__ import annotations
@@ -29,12 +31,18 @@ ALLOWED = (
     "(?i)example|sample|dummy|placeholder|redacted|changeme|lorem",
     "(.)\\1{5}",
     "(?i)0123456789|abcdefgh|qwerty|123456789",
-    "^(/|//)?([A-Za-z]+[_./=+-]+)*[A-Za-z]+[0-9]{0,4}$",
-    "^(/?[A-Za-z]+[_./-])+[0-9]+([_./-][A-Za-z0-9]{0,8})*$",
+    # possessive repeats: what they take can't be taken otherwise, and long candidates need no deep recursion
+    "^/{0,2}+(?:[A-Za-z]++[_./=+-]++)*+[A-Za-z]++[0-9]{0,4}+$",
+    "^(?:/?+[A-Za-z]++[_./-])++[0-9]++(?:[_./-][A-Za-z0-9]{0,8}+)*+$",
     "^[0-9+/_=-]+$",
 )
 
 _WEIGHTS = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+#: The characters of candidates; their counts take 5 bits each, 12 in a number.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+WORDS = -(-len(ALPHABET) // 12)
+#: Matches whose places are summed up together.
+BLOCK = 64
 
 
 def spans(text: Column, kind: str, pattern: str, keep) -> Column:
@@ -43,14 +51,19 @@ def spans(text: Column, kind: str, pattern: str, keep) -> Column:
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
 
     def walk(f: Column, b: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+        none = F.array().cast("array<struct<start:int,end:int>>")
 
         def step(s: Column, i: Column) -> Column:
             begin = s["at"] + F.get(b, i)
             end = begin + F.length(F.get(f, i))
             return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(f) - 1), start, step)["out"]
+        def block(s: Column, i: Column) -> Column:
+            own = F.aggregate(F.sequence(i, F.least(i + BLOCK, F.size(f)) - 1), F.struct(s["at"].alias("at"), none.alias("out")), step)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(s["out"], F.array(o["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(f) - 1, F.lit(BLOCK)), start, block)["out"])
 
     placed = let(found, lambda f: let(between, lambda b: F.zip_with(f, walk(f, b), lambda m, p: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end"), m.alias("value")))))
     none = F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>")
@@ -58,24 +71,34 @@ def spans(text: Column, kind: str, pattern: str, keep) -> Column:
 
 
 def entropy(value: Column) -> Column:
-    """The greatest Shannon entropy of a window of WINDOW characters; each step takes one character out of the counts and one in."""
+    """The greatest Shannon entropy of a window of WINDOW characters of a candidate; each step takes one character out of the counts and one in."""
     weights = F.array(*[F.lit(w) for w in _WEIGHTS])
     weight = lambda n: F.get(weights, n)
-    count = lambda window, c: F.length(window) - F.length(F.replace(window, c, F.lit("")))
-    first = F.substring(value, 1, WINDOW)
-    sum_first = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda t, c: t + F.when(c == "", 0.0).otherwise(weight(count(first, c))))
-    begin = let(sum_first, lambda s: F.struct(s.alias("now"), s.alias("least")))
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    word = lambda c: F.floor(c / 12).cast("int")
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (5 * (c % 12)).cast("int"))
+    count = lambda counts, c: F.call_function("shiftright", F.get(counts, word(c)), (5 * (c % 12)).cast("int")).bitwiseAND(F.lit(31)).cast("int")
+    add = lambda counts, c, sign: F.transform(counts, lambda n, k: n + F.when(k == word(c), sign * one(c)).otherwise(F.lit(0).cast("long")))
+    state = lambda counts, now, least: F.struct(counts.alias("counts"), now.alias("now"), least.alias("least"))
+
+    def slid(c: Column) -> Column:
+        none = F.array(*[F.lit(0).cast("long")] * WORDS)
+        grown = lambda s, i: let(F.get(c, i), lambda x: let(count(s["counts"], x), lambda n: state(add(s["counts"], x, 1), s["now"] - weight(n) + weight(n + 1), F.lit(0.0))))
+        first = F.aggregate(F.sequence(F.lit(0), F.lit(WINDOW - 1)), state(none, F.lit(0.0), F.lit(0.0)), grown)
+
+        def step(s: Column, i: Column) -> Column:
+            def in_(counts: Column, now: Column, new: Column) -> Column:
+                return let(count(counts, new), lambda n: let(now - weight(n) + weight(n + 1), lambda w: state(add(counts, new, 1), w, F.least(w, s["least"]))))
+
+            def out(old: Column) -> Column:
+                return let(count(s["counts"], old), lambda n: let(add(s["counts"], old, -1), lambda rest: in_(rest, s["now"] - weight(n) + weight(n - 1), F.get(c, i))))
+
+            return let(F.get(c, i - WINDOW), out)
 
-    def step(state: Column, i: Column) -> Column:
-        out, new = value.substr(i, F.lit(1)), value.substr(i + WINDOW, F.lit(1))
-        window = value.substr(i, F.lit(WINDOW))
-        n_out = count(window, out)
-        n_new = count(window, new) - F.when(out == new, 1).otherwise(0)
-        now = state["now"] - weight(n_out) + weight(n_out - 1) + weight(n_new + 1) - weight(n_new)
-        return let(now, lambda x: F.struct(x.alias("now"), F.least(x, state["least"]).alias("least")))
+        steps = F.when(F.size(c) > WINDOW, F.sequence(F.lit(WINDOW), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, let(first, lambda s: state(s["counts"], s["now"], s["now"])), step)["least"]
 
-    steps = F.when(F.length(value) > WINDOW, F.sequence(F.lit(1), F.length(value) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    return F.lit(math.log2(WINDOW)) - F.aggregate(steps, begin, step)["least"] / WINDOW
+    return F.lit(math.log2(WINDOW)) - let(codes, slid) / WINDOW
 
 
 def suspicious(value: Column) -> Column:
@@ -93,7 +116,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy of every row.
 
     docs: doc_id and text; other columns are ignored.  Null text is empty, and an empty one has no spans.
-    Spans of the method are those that touch no base span.  Repeated rows are repeated.
+    Texts and candidates of any length are scanned whole.  Spans of the method are those that touch no base
+    span.  Spans that start together are listed in the order of their kinds.  Repeated rows are repeated,
+    and no rows give no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>")

@@ -95,6 +95,30 @@ def base_secrets(text: str | None) -> tuple[list[int], str]:
     return counts, hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
 
 
+def entropy_spans(text: str | None) -> list[tuple[int, int]]:
+    """Candidates with digits and letters that aren't allowed and have a window of high entropy."""
+    least = [("[0-9A-F-]+", 3.2), ("[0-9a-z]+", 3.55), ("[0-9A-Z]+", 3.55), ("[A-Za-z0-9]+", 3.65), (".*", 3.75)]
+    found = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+        v = m[0]
+        plain = re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+        plain = plain and not re.search("(?i:example|sample|dummy|placeholder|redacted|changeme|lorem|0123456789|abcdefgh|qwerty|123456789)|(.)\\1{5}", v)
+        parts = re.split("[_./=+-]+", re.sub("^//?", "", v))
+        words_only = all(re.fullmatch("[A-Za-z]+", p) for p in parts[:-1]) and re.fullmatch("[A-Za-z]+[0-9]{0,4}", parts[-1])
+        if not plain or words_only or re.fullmatch("(?:/?[A-Za-z]+[_./-])+[0-9]+(?:[_./-][A-Za-z0-9]{0,8})*", v):
+            continue
+        bits = max(sum(-n / 20 * math.log2(n / 20) for n in Counter(v[i : i + 20]).values()) for i in range(len(v) - 19))
+        if bits >= next(b for p, b in least if re.fullmatch(p, v)) - 1e-12:
+            found.append(m.span())
+    return found
+
+
+def secret_spans(text: str | None) -> str:
+    base = [(m.start(), rank, kind, m.end()) for rank, (kind, (pattern, group, least)) in enumerate(KINDS.items()) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    own = [(a, 3, "entropy", b) for a, b in entropy_spans(text) if not any(x[0] < b and a < x[3] for x in base)]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base + own))
+
+
 def near_vectors(rows: list[tuple], cosine: float = 0.98) -> dict[int, tuple[int, int]]:
     """vec_id: (links, component); rows: vec_id, label, vector."""
     u, count, by = Union(), Counter(), defaultdict(list)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -63,6 +64,7 @@ def test_secret_spans(spark):
     for r in rows:
         counts, digest = brute.base_secrets(SECRETS[r.doc_id])
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (counts, digest), SECRETS[r.doc_id]
+        assert r.spans == brute.secret_spans(SECRETS[r.doc_id]), SECRETS[r.doc_id]
     spans = {r.doc_id: r.spans for r in rows}
     assert spans[10] == "entropy:4:28" and not spans[11] and not spans[16]
     assert secrets.scanned(docs_of(spark, SECRETS).limit(0)).count() == 0
@@ -86,6 +88,18 @@ def test_secrets_of_documents(spark, tables):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
     rows = op8_secret_scan(spark, tables).collect()
     assert {r.doc_id: ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) for r in rows} == {k: brute.base_secrets(t) for k, t in texts.items()}
+    assert {r.doc_id: r.spans for r in rows} == {k: brute.secret_spans(t) for k, t in texts.items()}
+
+
+def test_secrets_in_very_long_texts(spark):
+    rng = random.Random(6)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=100_000))
+    texts = ["ab-" * 3000 + "cd9_9", "ab-" * 350_000 + "cd9_9", "x/" * 300_000 + "2024", "token=abcdef " * 20_000, run, "z1" * 300_000]
+    started = time.monotonic()
+    rows = {r.doc_id: r for r in secrets.scanned(docs_of(spark, texts)).collect()}
+    assert time.monotonic() - started < 60
+    assert not rows[1].spans and not rows[2].spans and rows[3].n_assign == 20_000 and rows[4].spans == "entropy:0:100000" and not rows[5].spans
+    assert rows[3].base_sha256 == brute.base_secrets(texts[3])[1] and rows[0].spans == brute.secret_spans(texts[0])
 
 
 def turn_digests(turns):
