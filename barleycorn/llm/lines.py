@@ -120,7 +120,7 @@ def allowed(how: Similar) -> Column:
     later = "(b.doc < a.doc or b.doc = a.doc and (b.twin < a.twin or b.twin = a.twin and b.line < a.line))"
     length = f"100 * least(a.n, b.n) >= {how.percent} * greatest(a.n, b.n)"
     # before the shared word at most the smaller place's words are common, after it at most the smaller rest
-    positional = f"if(a.done, -1, least(a.place, b.place) + least(a.n - a.place, b.n - b.place)) >= {need}"
+    positional = f"if(a.done, -1 - int(b.done), least(a.place, b.place) + least(a.n - a.place, b.n - b.place)) >= {need}"
     # each word that only one has changes the parity of one bit at most
     return F.expr(f"{later} and {length} and {positional} and {FAR} <= a.n + b.n - 2 * ({need})")
 
@@ -140,7 +140,7 @@ def earliest(rows: DataFrame, how: Similar) -> DataFrame:
 
 def candidates(rows: DataFrame, how: Similar) -> DataFrame:
     """Pairs of a line that isn't done and an earlier one with a common word in their prefixes."""
-    # done stays in a condition on both sides, so that both read one shuffle
+    # the condition reads done of either side, so that both have one shuffle
     return rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & allowed(how)).select(*both_ends()).distinct()
 
 
