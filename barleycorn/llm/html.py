@@ -1,26 +1,32 @@
 """Main text of web pages by line-block distribution.
 
 A page's markup is stripped into lines, one per block element.  Lines inside menus, headers, footers and
-the like weigh nothing, others the length of their text outside links.  Weights are summed over sliding
-windows of lines; where the sums surge a text begins, where they dive to nothing it ends, and the lines
-between belong to the article.
+the like weigh nothing, others the length of their text outside links; a marked article adds to the weight of
+its lines, and takes from that of all others.  Weights are summed over sliding windows of lines; where the sums
+surge a text begins, where they dive to nothing it ends, and all lines between that aren't shut out belong to
+the article, but for short ones at its ends that are no sentence and no heading.  Time is in proportion to the
+page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; text characters in a window that make a surge where the page marks no article.
+#: Lines in a window; text characters in a window that make a surge, which a line of a marked article has at once.
 LINES, SURGE = 3, 40
-#: A text of a page without marked article is kept if it has this share of the longest one's characters.
-SHARE = 0.2
+#: Where an article is marked, other lines weigh their length divided by this.
+UNMARKED = 10
+#: A text is kept if it has this share of the heaviest one's weight, or begins within so many lines of one that is kept.
+SHARE, CLOSE = 0.2, 6
 
 # Elements of HTML by what they mean here.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video", "xmp")
@@ -73,26 +79,66 @@ def shut_out(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+class Open:
+    """The open elements of a page, with how many of them shut their content out, are an article, a heading or a link."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # element, shut out, an article
+        self.names: Counter = Counter()
+        self.outside = self.article = 0
+
+    def push(self, tag: str, outside: bool, article: bool) -> None:
+        self.stack.append((tag, outside, article))
+        self.names[tag] += 1
+        self.outside += outside
+        self.article += article
+
+    def pop(self) -> str:
+        tag, outside, article = self.stack.pop()
+        self.names[tag] -= 1
+        self.outside -= outside
+        self.article -= article
+        return tag
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def heading(self) -> bool:
+        return any(self.names[h] for h in HEADINGS)
+
+    def end(self, tag: str) -> None:
+        """Close the last element of this name and all in it; an inline one closes none outside its block."""
+        if not self.names[tag]:
+            return
+        if tag in INLINE:
+            for name, _, _ in reversed(self.stack):
+                if name == tag:
+                    break
+                if name not in INLINE:
+                    return
+        while self.pop() != tag:
+            pass
+
+
 def lines(page: str) -> list[Line]:
     """The page's text by block, in order, with the characters inside links and whether the block stands in the article or outside of any."""
     found: list[Line] = []
     parts: list[str] = []
-    links = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, shut out, in the article
-    at = 0
+    links = at = 0
+    opened = Open()
 
     def text(raw: str) -> None:
         nonlocal links
         if raw:
             parts.append(raw)
-            if any(s[0] == "a" for s in stack):
+            if opened.names["a"]:
                 links += len(raw.strip())
 
     def close() -> None:
         nonlocal links
         if parts:
             if joined := " ".join(html.unescape("".join(parts)).split()):
-                found.append(Line(joined, min(links, len(joined)), any(s[1] for s in stack), any(s[2] for s in stack), any(s[0] in HEADINGS for s in stack)))
+                found.append(Line(joined, min(links, len(joined)), opened.outside > 0, opened.article > 0, opened.heading()))
             parts.clear()
         links = 0
 
@@ -113,12 +159,7 @@ def lines(page: str) -> list[Line]:
         elif m[1]:
             if tag not in INLINE:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            opened.end(tag)
         elif tag in RAW_END:
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -128,18 +169,25 @@ def lines(page: str) -> list[Line]:
         else:
             if tag not in INLINE:
                 close()
-                while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" and tag in ENDS_P or stack[-1][0] == tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    stack.pop()
-            inside = any(s[2] for s in stack)
+                while opened.stack and (opened.top() in INLINE or opened.top() == "p" and tag in ENDS_P or opened.top() == tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                    opened.pop()
             if not m[3].rstrip().endswith("/") or tag not in INLINE:
-                stack.append((tag, shut_out(tag, m[3], inside), tag in ("article", "main") or "itemprop" in m[3] and "articleBody" in m[3]))
+                opened.push(tag, shut_out(tag, m[3], opened.article > 0), tag in ("article", "main") or "itemprop" in m[3] and "articleBody" in m[3])
     close()
     return found
 
 
+def weighed(found: list[Line]) -> list[int]:
+    """What each line counts for in the windows."""
+    marked = any(x.article and not x.outside for x in found)
+    plain = [0 if x.outside else len(x.text) - x.links for x in found]
+    return [w // UNMARKED if marked and not x.article else w + SURGE if x.article and not x.outside else w for x, w in zip(found, plain, strict=True)]
+
+
 def between(weights: list[int], least: int) -> list[tuple[int, int]]:
     """(first, last) of each run of lines between a surge, where the sum of LINES lines reaches least, and the dive to nothing after it."""
-    sums = [sum(weights[i : i + LINES]) for i in range(len(weights))]
+    so_far = [0, *accumulate(weights)]
+    sums = [so_far[min(i + LINES, len(weights))] - so_far[i] for i in range(len(weights))]
     runs, i = [], 0
     while i < len(weights):
         if weights[i] and sums[i] >= least:
@@ -155,32 +203,47 @@ def between(weights: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def trimmed(run: tuple[int, int], found: list[Line], weights: list[int]) -> tuple[int, int]:
-    """A run without the short lines around its long ones, but for headings before and sentences after them."""
+    """A run without the short lines around its long ones, but for headings and sentences next to them."""
     long = [k for k in range(run[0], run[1] + 1) if weights[k] >= SURGE]
     if not long:
         return run
+    said = lambda x: not x.outside and (x.heading or x.text[-1] in ".!?…:\"'»”")
     first, last = long[0], long[-1]
-    while first > run[0] and found[first - 1].heading:
+    while first > run[0] and said(found[first - 1]):
         first -= 1
-    while last < run[1] and weights[last + 1] and found[last + 1].text[-1] in ".!?…:\"'»”":
+    while last < run[1] and said(found[last + 1]):
         last += 1
     return first, last
 
 
+def kept(runs: list[tuple[int, int]], weights: list[int]) -> list[tuple[int, int]]:
+    """The runs of enough weight, and those close after one that is kept."""
+    size = [sum(weights[a : b + 1]) for a, b in runs]
+    out: list[tuple[int, int]] = []
+    for run, own in zip(runs, size, strict=True):
+        if own >= SHARE * max(size) or out and run[0] - out[-1][1] <= CLOSE:
+            out.append(run)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line breaks; empty for null, empty and textless pages."""
     found = lines(page or "")
+    weights = weighed(found)
+    runs = between(weights, SURGE) or between(weights, 1)
     marked = any(x.article and not x.outside for x in found)
-    weights = [0 if x.outside or marked and not x.article else len(x.text) if marked else len(x.text) - x.links for x in found]
-    runs = between(weights, 1 if marked else SURGE) or between(weights, 1)
-    if runs and not marked:
-        size = {r: sum(weights[r[0] : r[1] + 1]) for r in runs}
-        runs = [trimmed(r, found, weights) for r in runs if size[r] >= SHARE * max(size.values())]
-    return "\n".join(found[k].text for a, b in runs for k in range(a, b + 1) if weights[k])
+    runs = runs if marked else kept(runs, weights)
+    ends = [trimmed(r, found, weights) for r in runs]
+    return "\n".join(found[k].text for a, b in ends for k in range(a, b + 1) if not found[k].outside and (weights[k] >= SURGE or not marked or found[k].article))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page; null and empty html give the empty text.  Other columns are ignored; repeated rows are repeated."""
+    """page_id, url, text, n_chars of every page.
+
+    pages: page_id, url and html; other columns are ignored.  Null and empty html and pages without text give
+    the empty text; pages of any length and depth are read whole.  Repeated rows are repeated, and no rows give
+    no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

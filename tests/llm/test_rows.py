@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 
 import pytest
@@ -163,3 +164,20 @@ def test_pages(spark, tables):
     assert all(r.n_chars == len(r.text) and r.text for r in rows)
     df = spark.createDataFrame([(k, None, p, "t", 1) for k, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string, n_chars int")
     assert {r.page_id: r.text for r in html.extracted(df).collect()} == {k: t for k, (_, t) in enumerate(PAGES)}
+
+
+def test_pages_without_marks_read_alike(spark, tables):
+    pages = [r.html for r in spark.read.parquet(f"{tables}/pages.parquet").collect()]
+    same = 0
+    for page in pages:
+        stripped = re.sub(r"</?(?:article|main)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", page)
+        same += html.main_text(stripped) == html.main_text(page)
+    assert same >= 0.95 * len(pages)
+
+
+def test_deep_and_long_pages():
+    started = time.monotonic()
+    assert html.main_text("<div>x" * 100_000).count("\n") == 99_999
+    assert html.main_text("<b>" * 100_000 + "y" + "</i>" * 100_000) == "y"
+    assert html.main_text("<article>" + "<p>a long enough paragraph of text.</p>" * 50_000 + "</article>").count("\n") == 49_999
+    assert time.monotonic() - started < 30
