@@ -97,13 +97,13 @@ def decoded(x: np.ndarray, code: Code, parts: tuple) -> list[np.ndarray]:
     return out
 
 
-def compared(sorted_rows: DataFrame, how: Caps, width: int) -> DataFrame:
-    """(id, links, root) of the vectors of each block pair; rows are sorted by label, direction and pair."""
+def compared(sorted_rows: DataFrame, how: Caps) -> DataFrame:
+    """(id, links, root) of the vectors of each block pair; rows are sorted by label, width, direction and pair."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list = []
         for batch in batches:
-            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "direction", "pair")])
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "width", "direction", "pair")])
             cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cut, cut[1:], strict=False):
                 if held and (held[0][0] != keys[a]).any():
@@ -120,7 +120,7 @@ def compared(sorted_rows: DataFrame, how: Caps, width: int) -> DataFrame:
                 continue
             ident = group["id"].to_numpy()
             count, side, direction = group["copies"].to_numpy(), group["side"].to_numpy(), int(group["direction"][0].as_py())
-            x = np.frombuffer(b"".join(group["unit"].to_pylist()), np.float64).reshape(len(ident), width)
+            x = np.frombuffer(b"".join(group["unit"].to_pylist()), np.float64).reshape(len(ident), -1)
             near = x @ x.T >= how.cosine
             np.fill_diagonal(near, False)
             if side.any():  # two blocks: only what lies between them
@@ -158,42 +158,42 @@ def near_vectors(vectors: DataFrame, how: Caps = Caps()) -> DataFrame:
 
     vectors: vec_id, embedding (an array of numbers) and label; other columns are ignored.  Rows without
     label and vectors that are null, empty, zero or hold null or non-finite components are linked with
-    nothing, as are vectors of another width than most.  Rows that repeat a vec_id count as vectors of their
-    own and share a component.
+    nothing.  Vectors of different widths are never linked; numbers of any size are scaled first.  Rows that
+    repeat a vec_id count as vectors of their own and share a component.  No rows give no rows.
     """
     plain = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
-    fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce((squares > 0) & (squares < float("inf")), F.lit(False))
-    sizes = plain.where(fit).groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if sizes is None:
-        alone = F.col("id")
-        return plain.select(alone.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"), F.lit(True).alias("kept"))
-    width, n = sizes["width"], sizes["count"]
-    code = code_for(n, width, how)
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
+    fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
+    classes = plain.where(fit).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    decodable = written(classes.select("id", "label", "copies", "v"), "vectors")
+    # a code for each width that occurs
+    codes = {r["width"]: code_for(r["count"], r["width"], how) for r in decodable.groupBy(F.size("v").alias("width")).count().collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = code.parts()
+        parts = {w: c.parts() for w, c in codes.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                few = batch.slice(at, 1024)
-                x = few.column(3).flatten().to_numpy().reshape(few.num_rows, width)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                found = decoded(x, code, parts)
-                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), few.column(2), pa.array([r.tobytes() for r in x], pa.binary()), listed], names=["id", "label", "copies", "unit", "directions"])
-
-    classes = plain.where(fit & (F.size("v") == width)).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    decodable = written(classes.select("id", "label", "copies", "v"), "vectors")
-    nodes = written(decodable.mapInArrow(decode, "id long, label long, copies long, unit binary, directions array<long>"), "directions")
+            widths = np.array([len(v) for v in batch.column(3)], np.int64)
+            for width in np.unique(widths).tolist():
+                of_width = batch.take(pa.array(np.flatnonzero(widths == width)))
+                for at in range(0, of_width.num_rows, 1024):
+                    few = of_width.slice(at, 1024)
+                    x = few.column(3).flatten().to_numpy().reshape(few.num_rows, width)
+                    x = x / np.abs(x).max(1, keepdims=True)
+                    x /= np.sqrt((x * x).sum(1, keepdims=True))
+                    found = decoded(x, codes[width], parts[width])
+                    listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+                    same = pa.array(np.full(few.num_rows, width), pa.int64())
+                    yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), few.column(2), same, pa.array([r.tobytes() for r in x], pa.binary()), listed], names=["id", "label", "copies", "width", "unit", "directions"])
+
+    nodes = written(decodable.mapInArrow(decode, "id long, label long, copies long, width long, unit binary, directions array<long>"), "directions")
     rows = nodes.select("*", F.explode("directions").alias("direction"))
-    crowds = rows.groupBy("label", "direction").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / how.block).cast("int"))
-    parted = rows.join(crowds.drop("count"), ["label", "direction"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    crowds = rows.groupBy("label", "width", "direction").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / how.block).cast("int"))
+    parted = rows.join(crowds.drop("count"), ["label", "width", "direction"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # each pair of parts meets once; side tells them apart, and is 0 for all where a part meets itself
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct((F.least("part", k) * F.col("parts") + F.greatest("part", k)).alias("pair"), (F.col("part") > k).cast("int").alias("side")))
-    met = parted.withColumn("p", F.explode(pairs)).select("label", "direction", "p.pair", "p.side", "id", "copies", "unit", "directions")
-    placed = met.repartition("label", "direction", "pair").sortWithinPartitions("label", "direction", "pair")
-    links = written(compared(placed, how, width), "links")
+    met = parted.withColumn("p", F.explode(pairs)).select("label", "width", "direction", "p.pair", "p.side", "id", "copies", "unit", "directions")
+    placed = met.repartition("label", "width", "direction", "pair").sortWithinPartitions("label", "width", "direction", "pair")
+    links = written(compared(placed, how), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     # back to all rows, by the class of equal vectors

@@ -153,3 +153,16 @@ def test_a_crowd_of_vectors(spark):
     assert sum(g[0] for g in got.values()) >= 0.99 * links
     assert sum(got[k][1] == want[k][1] for k in want) >= 0.99 * len(want)
     assert caps.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_any_width_and_size(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, 1, rng.normal(size=4).tolist()) for k in range(60)] + [(100 + k, 1, [1.0, 2.0, 3.0]) for k in range(2)] + [(110 + k, 1, [x, 0.0, 0.0, 0.0]) for k, x in enumerate((1e200, 3e200, 1e-200, 5e-310))]
+    rows += [(120, 1, [7.0]), (121, 1, [2.0]), (122, 1, [-2.0]), (120, 2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_vectors(df.where("label = 1")).collect()}
+    want = {}
+    for width in (4, 3, 1):  # by hand: scaled, as squares of such numbers overflow
+        own = [(k, lab, [x / max(map(abs, v)) for x in v]) for k, lab, v in rows if len(v) == width and lab == 1]
+        want |= brute.near_vectors(own)
+    assert got == want and got[111] == (got[110][0], got[110][1]) and got[100] == (1, 100) and got[121] == (1, 120)
