@@ -1,9 +1,9 @@
 """Quality rules: fixed base rules, and robust multivariate outliers among what passes them.
 
 Every text's statistics are transformed into a vector.  For each language and source a
-minimum-covariance-determinant estimate is made: concentration steps over the distinct vectors, each
-taking the share of vectors nearest by Mahalanobis distance.  Documents far from their group's estimate
-are rejected.  All of it is DataFrame expressions; group sums are partial aggregates, and quantiles come
+minimum-covariance-determinant estimate is made: from several starts, concentration steps over the distinct
+vectors, each taking the share of vectors nearest by Mahalanobis distance; the start that ends with the least
+determinant wins.  Documents far from their group's estimate are rejected.  All of it is DataFrame expressions; group sums are partial aggregates, and quantiles come
 from counts in bins of fixed width, so a group of any size is spread over all tasks.
 """
 
@@ -19,10 +19,13 @@ from .common import let, light, words, written
 SYMBOLS = "[#*$%&|<>]"
 #: Share of a group's distinct vectors in the subset, concentration steps, vectors that an estimate needs, bins a unit of log distance.
 SHARE, STEPS, LEAST, BINS = 0.75, 5, 60, 64
+#: Starts: the first from medians, the others from random parts of a group's vectors, one of PARTS each.
+STARTS, PARTS = 3, 8
 #: Estimates of up to so many groups are broadcast.
 GROUPS = 20_000
-#: Squared distance beyond which a vector is an outlier, in units of a chi-squared variable of five degrees; its median.
-CUTOFF, MEDIAN = 90.0, 4.351
+#: Median of a chi-squared variable of five degrees, by which distances are scaled as the subset is too narrow, and the squared
+#: distance beyond which a vector is an outlier: a quantile of tail 7e-18, as texts' statistics have far longer tails than a normal law.
+MEDIAN, CUTOFF = 4.351, 90.0
 #: Transformed statistics with the least standard deviation that counts as spread.
 FEATURES = {"x_length": 0.08, "x_symbols": 0.25, "x_lines": 0.25, "x_repeats": 0.35, "x_shout": 0.25}
 P = len(FEATURES)
@@ -83,7 +86,8 @@ def solved(groups: DataFrame) -> DataFrame:
         for j in range(i):
             dot = reduce(lambda a, k: a + F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}"), range(j + 1, i), F.col(f"l_{i}_{j}") * F.col(f"w_{j}_{j}"))
             out = out.withColumn(f"w_{i}_{j}", -dot / F.col(f"l_{i}_{i}"))
-    return out.select("group", "n", *[f"m_{i}" for i in range(P)], *[f"w_{i}_{j}" for i in range(P) for j in range(i + 1)])
+    log_det = reduce(lambda a, i: a + F.log(f"l_{i}_{i}"), range(P), F.lit(0.0)) * 2
+    return out.select("group", "n", log_det.alias("log_det"), *[f"m_{i}" for i in range(P)], *[f"w_{i}_{j}" for i in range(P) for j in range(i + 1)])
 
 
 def distance() -> Column:
@@ -112,34 +116,44 @@ def quantiles(vectors: DataFrame, value: Column, share: float) -> DataFrame:
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """(group, n, m_i, w_i_j, scale): the concentrated estimate of each group; vectors: group and the features, distinct."""
+    """(group, n, log_det, m_i, w_i_j, scale): of each group the concentrated estimate of least determinant; vectors: group and the features, distinct."""
     log_d2 = lambda: F.log(distance() + 1e-9) * BINS
-    # the start: medians, and spreads by the median distance from them, feature by feature
+    few = vectors.select("group").distinct().count() <= GROUPS
+    small = lambda df: F.broadcast(df) if few else df
+    # the first start: medians, and spreads by the median distance from them, feature by feature
     long = vectors.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(FEATURES)])).alias("e")).select(F.struct("group", "e.i").alias("group"), "e.x")
     middle = quantiles(long, F.col("x") * BINS, 0.5).select("group", ((F.col("bin") + 0.5) / BINS).alias("median"))
-    apart = long.join(light(middle, GROUPS * P), "group")
-    spread = quantiles(apart, F.abs(F.col("x") - F.col("median")) * BINS, 0.5).select("group", ((F.col("bin") + 0.5) / BINS * 1.4826).alias("spread"))
+    middle = written(middle, "medians")
+    spread = quantiles(long.join(small(middle), "group"), F.abs(F.col("x") - F.col("median")) * BINS, 0.5).select("group", ((F.col("bin") + 0.5) / BINS * 1.4826).alias("spread"))
     both = middle.join(spread, "group").select(F.col("group.group").alias("group"), F.col("group.i").alias("i"), "median", "spread")
     pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
-    now = both.groupBy("group").agg(*[pick(i, "median").alias(f"m_{i}") for i in range(P)], *[(pick(i, "spread") ** 2 + least**2).alias(f"c_{i}_{i}") for i, least in enumerate(FEATURES.values())])
-    now = now.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)} | {"n": F.lit(0).cast("long")})
-    now = written(solved(now), "estimates")
+    central = both.groupBy("group").agg(*[pick(i, "median").alias(f"m_{i}") for i in range(P)], *[(pick(i, "spread") ** 2 + least**2).alias(f"c_{i}_{i}") for i, least in enumerate(FEATURES.values())])
+    central = central.withColumns({f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)} | {"n": F.lit(0).cast("long"), "group": F.struct("group", F.lit(0).alias("start"))})
+    # the others: moments of a random part
+    started = lambda k: F.struct("group", k.cast("int").alias("start"))
+    part = F.pmod(F.xxhash64(*FEATURES), F.lit(PARTS))
+    parts = moments(vectors.where(part < STARTS - 1).select(started(part + 1).alias("group"), *FEATURES))
+    now = written(solved(central.unionByName(parts.select(*central.columns))), "estimates")
+    tried = vectors.select(F.explode(F.array(*[started(F.lit(k)) for k in range(STARTS)])).alias("group"), *FEATURES)
     for _ in range(STEPS):
-        placed = vectors.join(light(now.drop("n"), GROUPS), "group").select("group", *FEATURES, F.floor(log_d2()).alias("at"))
+        placed = tried.join(small(now.drop("n", "log_det")), "group").select("group", *FEATURES, F.floor(log_d2()).alias("at"))
         near = quantiles(placed, F.col("at"), SHARE)
-        now = written(solved(moments(placed.join(light(written(near, "near"), GROUPS), "group").where(F.col("at") <= F.col("bin")).select("group", *FEATURES))), "estimates")
-    placed = vectors.join(light(now, GROUPS), "group").select("group", log_d2().alias("at"))
+        now = written(solved(moments(placed.join(small(near), "group").where(F.col("at") <= F.col("bin")).select("group", *FEATURES))), "estimates")
+    best = now.groupBy(F.col("group.group").alias("of")).agg(F.min_by(F.struct(*now.columns), F.struct("log_det", "group.start")).alias("e")).select(F.col("of").alias("group"), *[F.col(f"e.{c}") for c in now.columns if c != "group"])
+    best = written(best, "best")
+    placed = vectors.join(small(best), "group").select("group", log_d2().alias("at"))
     scale = quantiles(placed, F.col("at"), 0.5).select("group", F.greatest(F.exp((F.col("bin") + 0.5) / BINS) / MEDIAN, F.lit(0.5)).alias("scale"))
-    return now.join(scale, "group")
+    return best.join(scale, "group")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs with the statistics, base_failed, distance and kept of each row.
 
-    docs: text, lang, source and whatever else, which stays.  Null text has no words; null languages and
+    docs: doc_id, text, lang and source; other columns are ignored.  Null text has no words; null languages and
     sources are groups of their own.  A group with fewer than LEAST distinct vectors takes its language's
     estimate, a small language the estimate of all; if that is small too, nothing more than the base rules
-    rejects.  Repeated rows count once in the estimates.  Outliers by the estimate alone are rejected.
+    rejects.  Repeated rows count once in the estimates.  Outliers by the estimate alone are rejected.  Texts
+    of any length are measured whole.  Given columns of these names aren't read.  No rows give no rows.
     """
     counted = written(statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "statistics")
     return verdicts(counted)
@@ -165,8 +179,9 @@ def verdicts(counted: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that judged() keeps; rows of one doc_id are told apart by their texts."""
-    print_of = F.xxhash64("text")
+    """The rows of docs, with all their columns, that judged() keeps; rows of one doc_id are told apart by text, lang and source."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
+    print_of = F.xxhash64("text", name("lang"), name("source"))
     counted = written(statistics(docs.select("doc_id", "text", "lang", "source")).withColumn("print", print_of).drop("text"), "statistics")
     gone = written(verdicts(counted).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).distinct(), "gone")
-    return docs.join(light(gone), docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__print")), "left_anti")
+    return docs.join(light(gone), docs["doc_id"].eqNullSafe(F.col("__doc")) & (print_of == F.col("__print")), "left_anti")

@@ -1,10 +1,12 @@
 """Operators that look at one row or group at a time."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from barleycorn.llm import chat, html, quality, secrets
@@ -181,3 +183,36 @@ def test_deep_and_long_pages():
     assert html.main_text("<b>" * 100_000 + "y" + "</i>" * 100_000) == "y"
     assert html.main_text("<article>" + "<p>a long enough paragraph of text.</p>" * 50_000 + "</article>").count("\n") == 49_999
     assert time.monotonic() - started < 30
+
+
+def least_determinant(x: np.ndarray, least: np.ndarray, rng, starts: int = 60) -> tuple[float, np.ndarray]:
+    """log of the least determinant of a subset's covariance and that subset's mean, by concentration steps from many starts."""
+    h, best = math.ceil(quality.SHARE * len(x)), None
+    for _ in range(starts):
+        own = x[rng.choice(len(x), 8, replace=False)]
+        for _ in range(60):
+            mean, cov = own.mean(0), np.cov(own.T, bias=True) + np.diag(least**2)
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            own = x[np.argsort(d2)[:h]]
+        found = np.linalg.slogdet(np.cov(own.T, bias=True) + np.diag(least**2))[1]
+        if best is None or found < best[0]:
+            best = found, own.mean(0)
+    return best
+
+
+def test_estimates_have_the_least_determinant(spark):
+    rng = np.random.default_rng(9)
+    mix, least = rng.normal(size=(5, 5)), np.array(list(quality.FEATURES.values()))
+    x = np.concatenate([rng.normal(size=(400, 5)) @ mix, rng.normal(size=(90, 5)) * 0.3 + 9])
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], ["group", *quality.FEATURES])
+    got = quality.estimates(df).collect()
+    want, mean = least_determinant(x, least, rng)
+    assert len(got) == 1 and got[0]["log_det"] <= want + 0.1
+    assert np.abs(np.array([got[0][f"m_{i}"] for i in range(5)]) - mean).max() < 0.2
+
+
+def test_quality_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(3)
+    text = " ".join("wo" + "r" * rng.randrange(1, 6) + str(k) for k in range(80))
+    df = spark.createDataFrame([(1, text, "en", None), (1, "short", "en", None), (1, text, None, "s"), (None, text, None, None), (1, text, None, "s")], "doc_id long, text string, lang string, source string")
+    assert sorted(r.text == text for r in quality.kept_rows(df).collect()) == [True] * 4
