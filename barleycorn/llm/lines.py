@@ -132,8 +132,8 @@ def both_ends() -> list[Column]:
 def earliest(rows: DataFrame, how: Similar) -> DataFrame:
     """Pairs of a line and the earliest one of a word; of a common word, of the line's part of it."""
     part = F.when(F.col("place") >= F.col("crowded"), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
-    few = ("n", "bits", "more", "place")
-    heads = rows.where(F.col("place") < HEADS).select("token", part.alias("part"), "done", *LINE, *few)
+    few = ("n", "bits", "more", "place", "done")
+    heads = rows.where(F.col("place") < HEADS).select("token", part.alias("part"), *LINE, *few)
     first = F.first(F.struct(*LINE, *few)).over(Window.partitionBy("token", "part").orderBy(*LINE))
     return heads.withColumn("b", first).alias("a").where(allowed(how)).select(*both_ends())
 
