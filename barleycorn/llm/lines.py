@@ -144,6 +144,12 @@ def candidates(rows: DataFrame, how: Similar) -> DataFrame:
     return rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & allowed(how)).select(*both_ends()).distinct()
 
 
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of each later line the pair of least distance."""
+    a, b = [F.col(c) for c in ENDS[:3]], [F.col(c) for c in ENDS[3:]]
+    return pairs.groupBy(*a).agg(F.min(F.struct("far", *b, "n_a", "n_b")).alias("m")).select(*a, "m.*")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, how: Similar) -> DataFrame:
     """The later lines (LINE) of the pairs that are similar by their full sets of words; lines' texts are read again, and compared as they are."""
     ends = written(pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{c}_{x}").alias(c) for c in LINE]) for x in "ab"])).alias("e")).select("e.*").distinct(), "ends")
@@ -176,17 +182,17 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     reps = placed.where("not again").select(*LINE, "n", "bits", "more", "crowded", "prefix")
     words = lambda df: df.select(*[c for c in df.columns if c != "prefix"], F.posexplode("prefix").alias("place", "token"))
     # each line's nearest one is enough here
-    near = earliest(words(reps.withColumn("prefix", F.slice("prefix", 1, HEADS)).withColumn("done", F.lit(False))), how)
-    ends = [F.col(c) for c in ENDS]
-    nearest = near.groupBy(*ends[:3]).agg(F.min(F.struct("far", *ends[3:], "n_a", "n_b")).alias("m")).select(*ends[:3], "m.*")
-    nearest = written(nearest, "nearest")
-    first = verified(nearest, docs, how)
-    # those that are left look at all lines
+    first = verified(written(nearest(earliest(words(reps.withColumn("prefix", F.slice("prefix", 1, HEADS)).withColumn("done", F.lit(False))), how)), "nearest"), docs, how)
+    # those that are left look at all lines, and again at the nearest one first
     marked = reps.drop("crowded").join(light(first.withColumn("found", F.lit(True))), list(LINE), "left").withColumn("done", F.coalesce("found", F.lit(False))).drop("found")
-    rest = written(candidates(words(marked), how), "pairs")
-    second = verified(rest, docs, how)
-    dropped(ranks, all_lines, firsts, nearest, rest)
-    return equal.unionByName(first).unionByName(second)
+    pairs = written(candidates(words(marked), how), "pairs")
+    near = written(nearest(pairs), "nearest")
+    second = verified(near, docs, how)
+    ends = [f"{c}_a" for c in LINE]
+    others = pairs.join(light(second.select(*side(LINE, "a"))), ends, "left_anti").join(near.select(*ENDS), ENDS, "left_anti")
+    third = verified(written(others, "others"), docs, how)
+    dropped(ranks, all_lines, firsts, pairs, near)
+    return equal.unionByName(first).unionByName(second).unionByName(third)
 
 
 def deduplicated(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
