@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import Annotate, Quantify
 
+#: Barcodes of the spike-in, which repeat; other barcodes hardly do.
+SPIKE_BARCODES = 150
 INERT_BRANDS = tuple(f"Brand#{k}" for k in range(1, 6))
 SPIKE_BRAND = "Brand#25"
 ANNOTATE = Annotate(flank=6, id_length=4, indel=1, substitutions=1)
@@ -75,6 +77,17 @@ TUMORS = """tumors as (
   from lineitem join part on l_partkey = p_partkey)"""
 
 
+def contaminated(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFrame:
+    """tumors(), and a hundredth of each tumour of one sample in every once more in the next sample."""
+    own = tumors(spark, sf_dir)
+    number = F.col("sample").cast("long")
+    return own.unionByName(own.where(number % every == 0).withColumns({"sample": (number + 1).cast("string"), "cells": F.col("cells") / 100}))
+
+
+CONTAMINATED = f"""{TUMORS}, contaminated as (
+  select * from tumors union all select cast(cast(sample as bigint) + 1 as varchar) as sample, target, barcode, cells / 100 as cells from tumors where cast(sample as bigint) % 25 = 0)"""
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cluster for each read without N."""
     items = table(spark, sf_dir, "lineitem").where("l_linenumber <> 3")
@@ -104,19 +117,21 @@ GUIDES = f"""guides as (
 
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters with the brand as target and parts of the sequence as id and barcode."""
+    """Clusters with the brand as target and parts of the sequence as id and barcode; spike-ins have one of SPIKE_BARCODES."""
     items = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     dna = F.translate(_digest("l_orderkey", "l_linenumber"), HEX, BASES)
     n0, n1 = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    spiked = F.concat(F.lit("S"), (F.col("l_orderkey") % SPIKE_BARCODES).cast("string"))
+    barcode = F.when(F.col("p_brand") == SPIKE_BRAND, spiked).otherwise(F.concat(F.col("l_partkey").cast("string"), F.substring(dna, 9, 12)))
     return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_suppkey").cast("string").alias("sample"), F.col("p_brand").alias("target"), F.substring(dna, 1, 8).alias("id"), F.concat(F.col("l_partkey").cast("string"), F.substring(dna, 9, 12)).alias("barcode"),
+        F.col("l_suppkey").cast("string").alias("sample"), F.col("p_brand").alias("target"), F.substring(dna, 1, 8).alias("id"), barcode.alias("barcode"),
         (n0 + n1 + F.col("l_suppkey") % 3).alias("abundance"), n0.alias("n0"), n1.alias("n1"),
     )
 
 
 COMBINED = f"""combined as (
-  select cast(l_suppkey as varchar) as sample, p_brand as target, substr(d, 1, 8) as id, l_partkey || substr(d, 9, 12) as barcode,
+  select cast(l_suppkey as varchar) as sample, p_brand as target, substr(d, 1, 8) as id, case when p_brand = '{SPIKE_BRAND}' then 'S' || (l_orderkey % {SPIKE_BARCODES}) else l_partkey || substr(d, 9, 12) end as barcode,
     cast(l_quantity as bigint) + l_linenumber + l_suppkey % 3 as abundance, cast(l_quantity as bigint) as n0, cast(l_linenumber as bigint) as n1
   from (select *, translate(md5(l_orderkey || '-' || l_linenumber), '{HEX}', '{BASES}') as d from lineitem) join part on l_partkey = p_partkey)"""
 

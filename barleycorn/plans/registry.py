@@ -431,12 +431,12 @@ def largest_cluster_share(spark: SparkSession, d: str) -> DataFrame:
 _RESIDUALS = f"""{COMBINED}, y as (select *, length(regexp_replace(id || barcode, '[^GC]', '', 'g')) as gcs, ln(cast(n0 + n1 as double)) as y from combined),
 residuals as (select *, y - avg(y) over (partition by sample, target) as residual from y)"""
 _FIT = f"""{_RESIDUALS}, ranked as (select gcs, residual, row_number() over (partition by gcs order by residual) as r, count(*) over (partition by gcs) as n from residuals),
-points as (select gcs, avg(residual) as trimmed, max(n) as n from ranked where r > floor(0.01 * n) and r <= n - floor(0.01 * n) group by gcs),
+points as materialized (select gcs, avg(residual) as trimmed, max(n) as n from ranked where r > floor(0.01 * n) and r <= n - floor(0.01 * n) group by gcs),
 sums as (select sum(n) as w, sum(n * gcs) as wx, sum(n * trimmed) as wy, sum(n * gcs * gcs) as wxx, sum(n * gcs * trimmed) as wxy from points),
-fit as (select (wxy * w - wx * wy) / (wxx * w - wx * wx) as slope, (wy - (wxy * w - wx * wy) / (wxx * w - wx * wx) * wx) / w as intercept from sums)"""
-_CORRECTED = f"{_FIT}, corrected as (select r.*, exp(y - (select intercept from fit) - (select slope from fit) * gcs) as gc_corrected from residuals r)"
+fit as materialized (select (wxy * w - wx * wy) / (wxx * w - wx * wx) as slope, (wy - (wxy * w - wx * wy) / (wxx * w - wx * wx) * wx) / w as intercept from sums)"""
+_CORRECTED = f"{_FIT}, corrected as (select r.*, exp(y - intercept - slope * gcs) as gc_corrected from residuals r, fit)"
 _SPIKES = f"""{_CORRECTED}, spike_sums as (select barcode, sum(gc_corrected) as s from corrected where target = '{SPIKE_BRAND}' group by barcode),
-spikes as (select barcode, s / (select sum(s) from spike_sums) as share from spike_sums where s / (select sum(s) from spike_sums) > {QUANTIFY.spike_share})"""
+spikes as materialized (select barcode, s / whole as share from spike_sums, (select sum(s) as whole from spike_sums) where s / whole > {QUANTIFY.spike_share})"""
 _CELLS = f"""{_SPIKES}, scales as (select sample, {QUANTIFY.spike_cells} / avg(gc_corrected) as scale from corrected where target = '{SPIKE_BRAND}' and barcode in (select barcode from spikes) group by sample),
 cells as (select c.*, gc_corrected * scale as cells, case when abundance - n1 - n0 = 0 then case when n0 = 0 then cast('nan' as double) else cast('infinity' as double) end else cast(n0 as double) / (abundance - n1 - n0) end as concentration
   from corrected c left join scales using (sample)),
@@ -589,7 +589,7 @@ def outlier_mice(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def contamination(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.contaminated_pairs(ad.tumors(spark, d), 1000.0, alpha=0.6)
+    return cohorts.contaminated_pairs(ad.contaminated(spark, d), 1000.0, alpha=0.01)
 
 
 @query()

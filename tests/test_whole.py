@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from barleycorn.config import Scoring
 from barleycorn.functions import alignment as al
-from barleycorn.llm import toxicity
 from barleycorn.operators import align, cohorts, denoise, resample
 from barleycorn.operators import reads as rd
 from barleycorn.plans import adapters as ad
@@ -107,15 +106,6 @@ def test_power_counts_mice_and_trials(spark):
     assert found != by(resample.power(t, [5], 100, ("Neo1", "Neo2"), trials=200))
 
 
-def test_terms_are_counted_in_all_labelled_documents(spark):
-    rng = random.Random(9)
-    rows = [(k, " ".join(rng.choices(["tree", "house", "river", "stone"], k=6)) + (" vile" if k % 10 == 0 else ""), int(k % 10 == 0)) for k in range(2000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    whole = toxicity.learned(df, df.select("doc_id", "toxic"))
-    part = toxicity.learned(df, df.select("doc_id", "toxic"), toxicity.Supervision(most_rows=200))
-    assert dict(part.terms) == dict(whole.terms) and "vile" in dict(part.terms)
-
-
 def test_amplicons_have_barcodes_of_the_whole_digest(spark, tables):
     reads = registry._amplicons(spark, tables)
     assert reads.where("length(dna) <> length(qc)").isEmpty()
@@ -123,3 +113,16 @@ def test_amplicons_have_barcodes_of_the_whole_digest(spark, tables):
     assert reads.select("dna").distinct().count() >= 0.99 * ad.reads(spark, tables).select("dna").distinct().count()
     found = registry.QUERIES["classify_reads"](spark, tables).where("outcome = 'Clustered'").agg(F.count("*").alias("n"), F.max(F.length("cluster")).alias("longest")).first()
     assert found.n > 0 and found.longest >= 6 + 29 + 6
+
+
+def test_planted_contamination_is_found(spark):
+    rows = registry.QUERIES["contamination"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r.a, r.b) for r in rows} == {("0", "1"), ("25", "26"), ("50", "51"), ("75", "76")}
+    assert all(r.observed > r.expected and r.fwer < 0.01 for r in rows)
+
+
+def test_spikes_and_filters_decide(spark, tables):
+    cells = registry.QUERIES["spike_scale_cells"](spark, tables).collect()
+    assert sum(r.cells is not None for r in cells) > 0.99 * len(cells)
+    final = registry.QUERIES["final_filter_fdr"](spark, tables).first()
+    assert 0 < final.false_positives < final.passed and 0 < final.fdr < 1
