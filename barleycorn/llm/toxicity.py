@@ -3,8 +3,9 @@
 Voters are found in labelled documents: lexicon voters hold words, pattern voters hold word beginnings,
 which labelled documents tie to toxicity.  A generative model of the votes is fitted by expectation
 maximisation: each voter's accuracy on either class, and the correlations of voters within a class, by which
-voters that repeat each other lose weight.  Its posterior labels train a linear classifier on the words and
-beginnings themselves, and that scores the whole of every text.
+voters that repeat each other lose weight.  Accuracies come from how voters agree: given labels choose the
+terms, tell which class is which and place the cut between them.  The posterior labels train a linear
+classifier on the words and beginnings themselves, and that scores the whole of every text.
 
 Words and beginnings are counted by Spark over all labelled documents; only the matrices of a bounded number
 of them come to the driver to be fitted.
@@ -28,7 +29,7 @@ from .common import BROADCAST_ROWS
 
 @dataclass(frozen=True)
 class Supervision:
-    """most_rows: labelled documents that the models are fitted on; terms: words and beginnings that are features; voters: of each kind; odds: the least ratio of a term's rates among toxic and other documents; sure: how many standard deviations the rates must differ by; support: toxic documents that it needs."""
+    """most_rows: labelled documents that the models are fitted on; terms: words and beginnings that are features; voters: of each kind; odds: the least ratio of a term's rates among toxic and other documents; sure: how many standard deviations the rates must differ by; support: toxic documents that it needs; agreed: voters that find something in a text that is toxic at first sight."""
 
     most_rows: int = 20_000
     terms: int = 4000
@@ -38,6 +39,7 @@ class Supervision:
     support: int = 3
     beginnings: tuple[int, ...] = (4, 5)
     rounds: int = 30
+    agreed: int = 6
     seed: int = 17
 
 
@@ -73,7 +75,8 @@ class Features:
         words = distinct & self.words
         begun = [(w, b) for n in self.lengths for w in distinct if len(w) > n and (b := w[:n]) in self.begun]
         heads = {self.begun[b] for _, b in begun}
-        total = sum(tokens.count(w) for w in words | {w for w, _ in begun})
+        telling = words | {w for w, _ in begun}
+        total = sum(t in telling for t in tokens)
         own, other = sorted(self.odds[self.number[w]] for w in words), sorted(self.odds[h] for h in heads)
         summed = [max(own, default=0.0), sum(own[-10:]), max(other, default=0.0), sum(other[-10:]), math.log1p(total), math.log((total + 0.5) / (len(tokens) + 20)), float(len(words))]
         return sorted({self.number[w] for w in words} | heads), [float(x) for x in summed]
@@ -123,6 +126,19 @@ def linear(rows: list[np.ndarray], width: int, dense: np.ndarray, target: np.nda
     return w[:width], w[width:-1], float(w[-1])
 
 
+def cut(z: np.ndarray, label: np.ndarray) -> float:
+    """Of the cuts of scores z that part given labels best the one nearest to 0."""
+    order = np.argsort(z, kind="stable")
+    z, label = z[order], label[order]
+    ends = np.concatenate([[True], z[1:] > z[:-1], [True]])  # between equal scores there is no cut
+    right = np.concatenate([[0], np.cumsum(1 - label)]) + label.sum() - np.concatenate([[0], np.cumsum(label)])
+    low, high = np.concatenate([[-np.inf], z]), np.concatenate([z, [np.inf]])
+    best = ends & (right >= right[ends].max())
+    # a cut may lie anywhere between its neighbours
+    at = np.clip(0.0, low + np.minimum(0.05, (high - low) / 2), high - np.minimum(0.05, (high - low) / 2))
+    return float(min(at[best], key=abs))
+
+
 @dataclass(frozen=True)
 class Model:
     """terms with their odds, and the classifier's weights of them and of their sums."""
@@ -209,13 +225,17 @@ def learned(docs: DataFrame, labels: DataFrame, how: Supervision = Supervision()
     votes = np.zeros((len(rows), 2 * how.voters))
     for i, r in enumerate(rows):
         votes[i, voter[r]] = 1
-    # more patterns: several terms, dense terms, and the given label as one voter among the others
-    more = [sums[:, 6] >= 2, sums[:, 6] >= 4, *(sums[:, 5] >= math.log(x) for x in (0.005, 0.01, 0.02, 0.04)), label > 0]
+    # more patterns: several terms, dense terms
+    more = [sums[:, 6] >= 2, sums[:, 6] >= 4, *(sums[:, 5] >= math.log(x) for x in (0.005, 0.01, 0.02, 0.04))]
     votes = np.column_stack([votes, *more]).astype(float)
-    post = fitted_votes(votes, 0.05 + 0.9 * label, how.rounds)[0]
+    # the first guess: how many voters find something; the given labels only tell which class is which
+    post = fitted_votes(votes, 0.05 + 0.9 * np.clip(votes.sum(1) / how.agreed, 0, 1), how.rounds)[0]
+    if (post * label).sum() * (1 - label).sum() < (post * (1 - label)).sum() * label.sum():
+        post = 1 - post
     mean, spread = sums.mean(0), sums.std(0) + 1e-9
     weights, dense, bias = linear(rows, len(terms), (sums - mean) / spread, post)
-    return Model(tuple(terms), tuple(weights.tolist()), tuple((dense / spread).tolist()), bias - float((dense * mean / spread).sum()))
+    z = np.array([weights[r].sum() for r in rows]) + (sums - mean) / spread @ dense + bias
+    return Model(tuple(terms), tuple(weights.tolist()), tuple((dense / spread).tolist()), bias - cut(z, label) - float((dense * mean / spread).sum()))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -162,3 +162,18 @@ def test_terms_are_counted_in_all_labelled_documents(spark):
     whole = toxicity.learned(df, df.select("doc_id", "toxic"))
     part = toxicity.learned(df, df.select("doc_id", "toxic"), toxicity.Supervision(most_rows=200))
     assert dict(part.terms) == dict(whole.terms) and "vile" in dict(part.terms)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    tables = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{tables}/labels.parquet").where("quality = 1")
+    held = op7_toxicity(spark, tables).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    caught = sum(r.toxic == r.predicted == 1 for r in held)
+    assert caught >= 0.95 * sum(r.toxic for r in held) > 50 and caught >= 0.95 * sum(r.predicted for r in held)
+
+
+def test_a_cut_parts_labels_best():
+    z, label = np.array([-3.0, -1.0, 0.2, 0.3, 2.0]), np.array([0, 0, 0, 1, 1.0])
+    assert 0.2 < toxicity.cut(z, label) < 0.3
+    assert toxicity.cut(np.array([-1.0, 1.0]), np.array([0, 1.0])) == 0.0
+    assert np.isfinite(toxicity.cut(np.zeros(4), np.array([0, 1, 0, 1.0])))
