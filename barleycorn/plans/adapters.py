@@ -63,6 +63,27 @@ READS = f"""reads as (
     from lineitem))"""
 
 
+def copied(molecules: int) -> Column:
+    """The DNA of one of so many molecules, by the part's number; in a tenth of the reads one base, anywhere, is another one."""
+    m = F.translate(F.md5((F.col("l_partkey") % molecules).cast("string").cast("binary")), HEX, BASES)
+    place = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 320).cast("int")
+    changed = F.concat(F.substring(m, F.lit(1), place), F.translate(F.substring(m, place + 1, F.lit(1)), "ACGT", "CGTA"), F.substring(m, place + 2, F.lit(32)))
+    return F.when(place < 32, changed).otherwise(m)
+
+
+def _copied_sql(molecules: int) -> str:
+    m, place = f"translate(md5(cast(l_partkey % {molecules} as varchar)), '{HEX}', '{BASES}')", "cast((l_orderkey * 7 + l_linenumber) % 320 as integer)"
+    return f"case when {place} < 32 then substr({m}, 1, {place}) || translate(substr({m}, {place} + 1, 1), 'ACGT', 'CGTA') || substr({m}, {place} + 2, 32) else {m} end"
+
+
+def copies(spark: SparkSession, sf_dir: str, molecules: int = 40) -> DataFrame:
+    """reads() of few molecules, each read many times over whole, as copied() has them."""
+    return _reads(spark, sf_dir, copied(molecules))
+
+
+COPIES = READS.replace(f"translate(md5(l_orderkey || '-' || l_linenumber), '{HEX}', '{BASES}')", _copied_sql(40))
+
+
 def tumors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, target, barcode, cells."""
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice")
@@ -88,10 +109,10 @@ CONTAMINATED = f"""{TUMORS}, contaminated as (
   select * from tumors union all select cast(cast(sample as bigint) + 1 as varchar) as sample, target, barcode, cells / 100 as cells from tumors where cast(sample as bigint) % 25 = 0)"""
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cluster for each read without N."""
+def clusters(spark: SparkSession, sf_dir: str, molecules: int = 0) -> DataFrame:
+    """A cluster for each read without N; with molecules, for each of copies()."""
     items = table(spark, sf_dir, "lineitem").where("l_linenumber <> 3")
-    dna = F.translate(_digest("l_orderkey", "l_linenumber"), HEX, BASES)
+    dna = copied(molecules) if molecules else F.translate(_digest("l_orderkey", "l_linenumber"), HEX, BASES)
     n0, n1 = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
     return items.select(
         F.col("l_suppkey").cast("string").alias("sample"), dna.alias("sequence"), (n0 + n1 + F.col("l_suppkey") % 3).alias("abundance"), n0.alias("n0"), n1.alias("n1"),
@@ -106,6 +127,9 @@ CLUSTERS = f"""clusters as (
   from lineitem where l_linenumber <> 3)"""
 
 
+COPIED_CLUSTERS = CLUSTERS.replace(f"translate(md5(l_orderkey || '-' || l_linenumber), '{HEX}', '{BASES}')", _copied_sql(400))
+
+
 def guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, target: a guide for each nation, the first of those with one id."""
     nations = table(spark, sf_dir, "nation").select(F.substring(F.translate(_digest("n_nationkey"), HEX, BASES), 1, ANNOTATE.id_length).alias("id"), F.col("n_name").alias("target"))

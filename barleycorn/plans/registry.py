@@ -212,17 +212,17 @@ def trusted_quality(spark: SparkSession, d: str) -> DataFrame:
     return rd.trusted_quality(ad.reads(spark, d)).select("read_id")
 
 
-@query(f"with {READS}, cut as (select sample, substr(dna, 1, 4) as dna from reads) select sample, dna as sequence, count(*) as abundance from cut group by all")
+@query(f"with {ad.COPIES} select sample, dna as sequence, count(*) as abundance from reads group by all")
 def derep(spark: SparkSession, d: str) -> DataFrame:
-    return rd.dereplicated(ad.reads(spark, d).withColumn("dna", F.substring("dna", 1, 4)))
+    return rd.dereplicated(ad.copies(spark, d))
 
 
-@query(f"""with {READS}, cut as (select sample, substr(dna, 1, 3) as dna, substr(qc, 1, 3) as qc from reads),
-p as (select sample, dna, i, avg(ascii(substr(qc, i, 1)) - 33) as q, count(*) as n from cut, (select unnest([1, 2, 3]) as i) group by all)
-select sample, dna as sequence, max(n) as abundance, round(max(case when i = 1 then q end), 6) as q1, round(max(case when i = 3 then q end), 6) as q3 from p group by all""")
+@query(f"""with {ad.COPIES}
+select sample, dna as sequence, count(*) as abundance, cast(r.i as integer) as place, round(avg(ascii(substr(qc, cast(r.i as integer), 1)) - 33), 6) as mean_q
+from reads, range(1, 33) r(i) group by sample, dna, r.i""")
 def derep_mean_quality(spark: SparkSession, d: str) -> DataFrame:
-    cut = ad.reads(spark, d).withColumns({c: F.substring(c, 1, 3) for c in ("dna", "qc")})
-    return rd.mean_qualities(cut).select("sample", "sequence", "abundance", *[F.round(F.get("mean_q", F.lit(k)), 6).alias(f"q{k + 1}") for k in (0, 2)])
+    means = rd.mean_qualities(ad.copies(spark, d)).select("sample", "sequence", "abundance", F.posexplode("mean_q").alias("k", "q"))
+    return means.select("sample", "sequence", "abundance", (F.col("k") + 1).alias("place"), F.round("q", 6).alias("mean_q"))
 
 
 @query(f"with {READS}, g as (select length(regexp_replace(dna, '[^GC]', '', 'g')) as gc, count(*) as n from reads group by all) select cast(i as integer) as gc, coalesce(n, 0) as n from range(33) r(i) left join g on g.gc = r.i")
@@ -236,10 +236,10 @@ def commonest_gc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rd.commonest(rd.dense_counts(ad.reads(spark, d).select(gc_count(F.col("dna")).alias("gc")), "gc", 32), "gc"), "share", digits=9)
 
 
-@query(f"""with {READS}, cut as (select substr(dna, 1, 3) as s from reads), g as (select s, count(*) as n from cut group by s)
-select s as sequence, n, round(n / (select count(*) from cut), 9) as share from g where n / (select count(*) from cut) >= 0.015""")
+@query(f"""with {ad.COPIES}, g as (select dna as s, count(*) as n from reads group by dna)
+select s as sequence, n, round(n / (select count(*) from reads), 9) as share from g where n / (select count(*) from reads) >= 0.015""")
 def unaligned_top_fraction(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rd.frequent(ad.reads(spark, d).withColumn("dna", F.substring("dna", 1, 3)), 0.015), "share", digits=9)
+    return rounded(rd.frequent(ad.copies(spark, d), 0.015), "share", digits=9)
 
 
 @query(f"""with {READS}, known as (select distinct substr(translate(md5(cast(n_nationkey as varchar)), '{ad.HEX}', '{ad.BASES}'), i, 6) as k from nation, range(1, 28) r(i))
@@ -374,7 +374,7 @@ def mate_match(spark: SparkSession, d: str) -> DataFrame:
 # ---- clusters
 
 _A, _K = ANNOTATE.flank, ANNOTATE.id_length
-_ANNOTATED = f"""{CLUSTERS}, {GUIDES},
+_OF_CLUSTERS = f"""{GUIDES},
 exact as (select c.*, substr(sequence, {_A + 1}, {_K}) as xid, substr(sequence, {_A + _K + 1}, length(sequence) - {2 * _A + _K}) as xbarcode, substr(sequence, {_A - 1 + 1}, {_K + 3}) as w, g.target as xtarget
   from clusters c left join guides g on g.id = substr(sequence, {_A + 1}, {_K})),
 misses as (select distinct sequence, w from exact where xtarget is null),
@@ -387,6 +387,7 @@ annotated as (select e.sample, e.sequence, e.abundance, e.n0, e.n1, e.nunq, e.pv
   case when coalesce(h.there, 0) <> 1 and h.n = 1 then substr(e.sequence, cast(any_place as integer) + {_A - 1 + _K + 1}, length(e.sequence) - {_A} - (cast(any_place as integer) + {_A - 1 + _K})) else xbarcode end as barcode,
   case when xtarget is not null then 'exact' when h.there = 1 or h.n = 1 then 'salvaged' else 'unknown' end as found
   from exact e left join hits h on h.sequence = e.sequence)"""
+_ANNOTATED, _COPIES_ANNOTATED = f"{CLUSTERS}, {_OF_CLUSTERS}", f"{ad.COPIED_CLUSTERS}, {_OF_CLUSTERS}"
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
@@ -403,13 +404,16 @@ def sgid_annotate_salvage(spark: SparkSession, d: str) -> DataFrame:
     return _annotated(spark, d).select("sample", "sequence", "id", "target", "barcode", "found")
 
 
-@query(f"""with {_ANNOTATED}, short as (select *, substr(barcode, 1, 2) as b2 from annotated), ids as (select sample, target, b2, id, count(*) as k from short group by all),
-ranked as (select *, row_number() over (partition by sample, target, b2 order by k desc, id) as r from ids)
-select s.sample, s.target, s.b2 as barcode, max(r.id) as id, cast(sum(abundance) as bigint) as abundance, cast(sum(n0) as bigint) as n0, cast(sum(n1) as bigint) as n1, cast(sum(nunq) as bigint) as nunq,
-  round(product(pval), 9) as pval, round(product(birth_pval), 9) as birth_pval, min(birth_ham) as birth_ham
-from short s join ranked r on r.sample = s.sample and r.target = s.target and r.b2 = s.b2 and r.r = 1 group by s.sample, s.target, s.b2""")
+@query(f"""with {_COPIES_ANNOTATED}, ids as (select sample, target, barcode, id, count(*) as k from annotated group by all),
+ranked as (select *, row_number() over (partition by sample, target, barcode order by k desc, id) as r from ids)
+select s.sample, s.target, s.barcode, max(r.id) as id, cast(sum(abundance) as bigint) as abundance, cast(sum(n0) as bigint) as n0, cast(sum(n1) as bigint) as n1, cast(sum(nunq) as bigint) as nunq,
+  case when product(pval) > 0 then round(log10(product(pval)), 6) end as log_pval, case when product(birth_pval) > 0 then round(log10(product(birth_pval)), 6) end as log_birth_pval, min(birth_ham) as birth_ham
+from annotated s join ranked r on r.sample = s.sample and r.target = s.target and r.barcode = s.barcode and r.r = 1 group by s.sample, s.target, s.barcode""")
 def cluster_merge(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(annotate.merged(_annotated(spark, d).withColumn("barcode", F.substring("barcode", 1, 2))), "pval", "birth_pval", digits=9)
+    merged = annotate.merged(annotate.annotated(ad.clusters(spark, d, molecules=400), ad.guides(spark, d), ANNOTATE))
+    # products of many probabilities are told apart by their logarithms; that of 0 is null
+    logs = [F.round(F.log10(c), 6).alias(f"log_{c}") for c in ("pval", "birth_pval")]
+    return merged.select(*[c for c in merged.columns if "pval" not in c], *logs)
 
 
 _SHARES = ", ".join(f"round(avg(cast(found = '{k}' as integer)), 9) as {k}_share, round(sum(case when found = '{k}' then abundance else 0 end) / sum(abundance), 9) as {k}_abundance" for k in ("exact", "salvaged", "unknown"))
