@@ -283,3 +283,19 @@ def test_reads_on_a_stream(spark, tmp_path):
     query = running_tallies(stream).writeStream.outputMode("complete").format("memory").queryName("tallied").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r.sample: r.n for r in spark.table("tallied").collect()} == {f"s{i}": sum(k % 3 == i for k in range(200)) for i in range(3)}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.2, 0.4999])
+def test_trimmed_means_are_those_of_sorted_groups(spark, share):
+    r = np.random.default_rng(1)
+    group = np.repeat(np.arange(5), [30_000, 5_000, 37, 2, 1])
+    value = r.normal(size=len(group))
+    value[group == 1] = np.round(value[group == 1], 1)
+    value[:9_000] = 0.25  # a third of a group at one value
+    df = spark.createDataFrame([*zip(group.tolist(), value.tolist()), (7, None), (0, None)], "g int, v double")
+    found = {x.g: (x.trimmed, x.n) for x in quantify.trimmed_means(df, "g", "v", share).collect()}
+    assert sorted(found) == [0, 1, 2, 3, 4]
+    for k, (mean, n) in found.items():
+        s = np.sort(value[group == k])
+        cut = int(share * len(s))
+        assert n == len(s) and abs(mean - s[cut : len(s) - cut].mean()) < 1e-9
