@@ -79,12 +79,13 @@ class Classify:
 
 @dataclass(frozen=True)
 class Annotate:
-    """flank: bases before the guide's id; id_length; indel: places that an id may be off; substitutions that it may have."""
+    """flank: bases before the guide's id; id_length; indel: places that an id may be off; substitutions that it may have; barcode_length: of id and barcode where an id is off its place, else the barcode ends at the flank."""
 
     flank: int = 22
     id_length: int = 8
     indel: int = 1
     substitutions: int = 1
+    barcode_length: int | None = None
 
 
 @dataclass(frozen=True)

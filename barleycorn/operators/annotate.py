@@ -36,12 +36,13 @@ def annotated(clusters: DataFrame, guides: DataFrame, how: Annotate = Annotate()
     ) if rows else misses.select("sequence", F.lit("Unknown").alias("s_target"), F.lit(None).cast("string").alias("s_id"), F.lit(None).cast("int").alias("s_place"))
     out = exact.join(salvaged, "sequence", "left")
     begin = F.col("s_place") + a - how.indel + n
+    stop = begin + how.barcode_length - n if how.barcode_length else F.length("sequence") - a
     found = F.when(F.col("target").isNotNull(), "exact").when(F.col("s_target") == "Unknown", "unknown").otherwise("salvaged")
     return out.select(
         *clusters.columns,
         F.coalesce("s_id", "id").alias("id"),
         F.coalesce("target", "s_target").alias("target"),
-        F.when(F.col("s_place").isNotNull(), piece(F.col("sequence"), begin, F.length("sequence") - a)).otherwise(F.col("barcode")).alias("barcode"),
+        F.when(F.col("s_place").isNotNull(), piece(F.col("sequence"), begin, stop)).otherwise(F.col("barcode")).alias("barcode"),
         found.alias("found"),
     )
 
@@ -56,6 +57,12 @@ def merged(clusters: DataFrame, by: tuple[str, ...] = ("sample", "target", "barc
     )
 
 
+def merged_counts(found: DataFrame, by: tuple[str, ...] = ("sample", "target", "barcode")) -> DataFrame:
+    """The older merge: abundance, nunq and n10 (n0 and n1 together) of the clusters of one sample, target (as RNA) and barcode."""
+    sums = found.groupBy(*by).agg(F.sum("abundance").alias("abundance"), F.sum("nunq").alias("nunq"), F.sum(F.col("n0") + F.col("n1")).alias("n10"))
+    return sums.withColumnRenamed("target", "RNA")
+
+
 def annotation_summary(found: DataFrame) -> DataFrame:
     """For each sample: clusters, and the shares found exactly, salvaged and not, by cluster and by abundance."""
     kinds = ("exact", "salvaged", "unknown")

@@ -65,6 +65,19 @@ def dense_counts(df: DataFrame, column: str, most: int) -> DataFrame:
     return every.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def score_histogram(scores: DataFrame, column: str, most: int, least: int) -> DataFrame:
+    """(column, n, passed) for each score from 0 to most; passed where it is at least the least an alignment may have."""
+    return dense_counts(scores, column, most).withColumn("passed", F.col(column) >= least)
+
+
+def cluster_slices(reads: DataFrame, start: str, length: int = 29, flank: int = 7) -> DataFrame:
+    """reads with dna and qc cut to the barcode at the 0-based place start and flank bases on either side; reads without start, those that end before the cut does, and cuts with an N go."""
+    width = length + 2 * flank
+    cut = lambda c: F.substr(F.col(c), F.col(start) - flank + 1, F.lit(width))
+    inside = (F.col(start) >= flank) & (F.length("dna") >= F.col(start) - flank + width)
+    return reads.where(inside).withColumns({"dna": cut("dna"), "qc": cut("qc")}).where(~F.contains("dna", F.lit("N")))
+
+
 def commonest(counts: DataFrame, column: str) -> DataFrame:
     """The value with the largest n, the smallest of equals, and its share."""
     return counts.agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias(column), (F.max("n") / F.sum("n")).alias("share"))

@@ -76,3 +76,29 @@ def observed_barcodes(tumors: DataFrame) -> DataFrame:
     """target, observed barcodes, and in how many samples one is seen on average."""
     seen = tumors.groupBy("target", "barcode").agg(F.count_distinct("sample").alias("samples"))
     return seen.groupBy("target").agg(F.count("*").alias("observed"), F.avg("samples").alias("mean_samples"))
+
+
+def without_samples(tumors: DataFrame, dropped: DataFrame) -> DataFrame:
+    """tumors of samples that aren't in dropped (sample)."""
+    return tumors.join(dropped.select("sample").distinct(), "sample", "left_anti")
+
+
+def power_tails(tumors: DataFrame, x_min: float) -> DataFrame:
+    """target, alpha, x_min, share: the exponent of greatest likelihood of the sizes over x_min, and the share that they are of all."""
+    over = F.col("cells") > x_min
+    sums = tumors.where("cells > 0").groupBy("target").agg(F.count("*").alias("n"), F.count_if(over).alias("k"), F.sum(F.when(over, F.ln(F.col("cells") / x_min))).alias("s"))
+    return sums.where("k > 0").select("target", (1 + F.col("k") / F.col("s")).alias("alpha"), F.lit(float(x_min)).alias("x_min"), (F.col("k") / F.col("n")).alias("share"))
+
+
+def density_curves(tumors: DataFrame, tails: DataFrame, first: float = 3, decades: float = 4, points: int = 100) -> DataFrame:
+    """target, k, size, log_normal, power_law: densities at sizes that are evenly spaced by logarithm, for plots.
+
+    The log-normal is that of greatest likelihood; the tail (tails: target, alpha, x_min, share) is null below its
+    x_min, and scaled as the published plots have it, by alpha.
+    """
+    sized = tumors.where("cells > 0").groupBy("target").agg(F.avg(F.ln("cells")).alias("m"), F.stddev_pop(F.ln("cells")).alias("d"))
+    x, a = F.col("size"), F.col("alpha")
+    placed = sized.join(tails, "target", "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("size", F.pow(F.lit(10.0), first + decades * F.col("k") / (points - 1)))
+    bell = F.when(F.col("d") > 0, F.exp(-F.pow((F.ln(x) - F.col("m")) / F.col("d"), F.lit(2)) / 2) / (x * F.col("d") * F.sqrt(F.lit(2.0) * F.pi())))
+    tail = F.when(x >= F.col("x_min"), a * F.pow(F.col("x_min"), a - 1) * F.pow(x, -a) * F.col("share"))
+    return placed.select("target", "k", "size", bell.alias("log_normal"), tail.alias("power_law"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Classify, Scoring, Template
 from ..functions.estimators import ln_mean, percentile_of_score, stars, two_sided
-from ..functions.sequence import expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, reverse_complement
+from ..functions.sequence import degenerate, expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, reverse_complement
 from ..operators import align, annotate, cohorts, demux, denoise, fits, multiple, pairs, quantify, resample, tumors
 from ..operators import reads as rd
 from ..sources.fastq import fastq_text, header_fields
@@ -45,6 +47,22 @@ LN_MEANS = f"""{TUMORS}, means as (
   select target, count(*) as n, exp(avg(ln(cells)) + var_pop(ln(cells)) / 2) as ln_mean from tumors group by target)"""
 
 
+@query(f"with {TUMORS} select sample, target, barcode, cells from tumors where sample not in (select cast(s_suppkey as varchar) from supplier where s_acctbal < 0)")
+def without_samples(spark: SparkSession, d: str) -> DataFrame:
+    poor = ad.table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("sample"))
+    return tumors.without_samples(ad.tumors(spark, d), poor).select("sample", "target", "barcode", "cells")
+
+
+@query(f"""with {TUMORS}, f as (select target, avg(ln(cells)) as m, stddev_pop(ln(cells)) as d, count(*) as n, count(case when cells > 50000 then 1 end) as k, sum(case when cells > 50000 then ln(cells / 50000) end) as s
+  from tumors where cells > 0 group by target), x as (select cast(i as integer) as k, pow(10.0, 3 + 2.0 * i / 40) as size from range(41) r(i))
+select target, x.k, round(size, 6) as size, round(1e6 * exp(-pow((ln(size) - m) / d, 2) / 2) / (size * d * sqrt(2 * pi())), 6) as log_normal,
+  case when size >= 50000 then round(1e6 * (1 + f.k / s) * pow(50000, f.k / s) * pow(size, -1 - f.k / s) * f.k / n, 6) end as power_law from f, x""")
+def density_curves(spark: SparkSession, d: str) -> DataFrame:
+    own = ad.tumors(spark, d)
+    curves = tumors.density_curves(own, tumors.power_tails(own, 50_000.0), 3.0, 2.0, 41)
+    return rounded(curves.withColumns({c: 1e6 * F.col(c) for c in ("log_normal", "power_law")}), "size", "log_normal", "power_law")
+
+
 @query(f"with {LN_MEANS} select target, n, round(ln_mean, 6) as ln_mean, round(ln_mean / (select median(ln_mean) from means where target in ({INERT_SQL})), 6) as relative from means")
 def relative_ln_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tumors.relative_ln_means(ad.tumors(spark, d), INERT_BRANDS), "ln_mean", "relative")
@@ -230,6 +248,24 @@ def gc_histogram(spark: SparkSession, d: str) -> DataFrame:
     return rd.dense_counts(ad.reads(spark, d).select(gc_count(F.col("dna")).alias("gc")), "gc", 32)
 
 
+_LIKE = "ACGT" * 8
+
+
+@query(f"""with {READS}, s as (select cast(32 - hamming(dna, '{_LIKE}') as integer) as score, count(*) as n from reads group by all)
+select cast(r.i as integer) as score, coalesce(n, 0) as n, r.i >= 10 as passed from range(33) r(i) left join s on s.score = r.i""")
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    score = 32 - hamming(F.col("dna"), F.lit(_LIKE))
+    return rd.score_histogram(ad.reads(spark, d).select(score.alias("score")), "score", 32, 10)
+
+
+@query(f"""with {READS}, placed as (select *, instr(dna, 'ACG') + 2 as start from reads where instr(dna, 'ACG') > 0), cut as (
+  select read_id, substr(dna, cast(start as integer) - 1, 16) as dna, substr(qc, cast(start as integer) - 1, 16) as qc from placed where start >= 2 and start + 14 <= length(dna))
+select * from cut where not contains(dna, 'N')""")
+def cluster_slices(spark: SparkSession, d: str) -> DataFrame:
+    placed = ad.reads(spark, d).where(F.instr("dna", "ACG") > 0).withColumn("start", F.instr("dna", "ACG") + 2)
+    return rd.cluster_slices(placed, "start", length=12, flank=2).select("read_id", "dna", "qc")
+
+
 @query(f"""with {READS}, g as (select cast(length(regexp_replace(dna, '[^GC]', '', 'g')) as integer) as gc, count(*) as n from reads group by all)
 select (select gc from g order by n desc, gc limit 1) as gc, round(max(n) / sum(n), 9) as share from g""")
 def commonest_gc(spark: SparkSession, d: str) -> DataFrame:
@@ -404,6 +440,23 @@ def sgid_annotate_salvage(spark: SparkSession, d: str) -> DataFrame:
     return _annotated(spark, d).select("sample", "sequence", "id", "target", "barcode", "found")
 
 
+@query(f"""with {ad.COPIES}, clusters as (select sample, dna as sequence, count(*) as abundance, 0 as n0, 0 as n1, 0 as nunq, 0 as pval, 0 as birth_pval, 0 as birth_ham from reads where not contains(dna, 'N') group by sample, dna),
+{_OF_CLUSTERS} select sample, sequence, abundance, id, target, barcode, found from annotated""")
+def derep_annotated(spark: SparkSession, d: str) -> DataFrame:
+    exact = rd.dereplicated(ad.copies(spark, d).where(~degenerate(F.col("dna"))))
+    return annotate.annotated(exact, ad.guides(spark, d), ANNOTATE)
+
+
+_FIXED = _COPIES_ANNOTATED.replace(f"length(e.sequence) - {_A} - (cast(any_place as integer) + {_A - 1 + _K})", "16")
+
+
+@query(f"""with {_FIXED} select sample, target as "RNA", barcode, cast(sum(abundance) as bigint) as abundance, cast(sum(nunq) as bigint) as nunq, cast(sum(n0 + n1) as bigint) as n10
+from annotated group by sample, target, barcode""")
+def cluster_merge_fixed(spark: SparkSession, d: str) -> DataFrame:
+    found = annotate.annotated(ad.clusters(spark, d, molecules=400), ad.guides(spark, d), replace(ANNOTATE, barcode_length=20))
+    return annotate.merged_counts(found)
+
+
 @query(f"""with {_COPIES_ANNOTATED}, ids as (select sample, target, barcode, id, count(*) as k from annotated group by all),
 ranked as (select *, row_number() over (partition by sample, target, barcode order by k desc, id) as r from ids)
 select s.sample, s.target, s.barcode, max(r.id) as id, cast(sum(abundance) as bigint) as abundance, cast(sum(n0) as bigint) as n0, cast(sum(n1) as bigint) as n1, cast(sum(nunq) as bigint) as nunq,
