@@ -9,22 +9,29 @@ from ..config import Annotate
 from ..functions.sequence import find_with_substitutions, piece
 
 
+#: Guides that a run may have: each is a column of a salvaged row.
+MOST_GUIDES = 10_000
+
+
 def annotated(clusters: DataFrame, guides: DataFrame, how: Annotate = Annotate()) -> DataFrame:
     """clusters with id, target, barcode and how they were found.
 
     The id stands after the flank, the barcode after it up to the other flank.  An id that is no guide's is
     looked for in a window around its place: if one guide alone is found at the expected place, the
     cluster takes its target; if one alone is found anywhere, its target, its id and the barcode after it;
-    else the target is Unknown.  guides (id, target) has a row for each guide and is broadcast.
+    else the target is Unknown.  guides (id, target) has a row for each guide and is broadcast;
+    more than MOST_GUIDES are an error.
     """
     a, n = how.flank, how.id_length
-    exact = clusters.withColumns({"id": piece(F.col("sequence"), a, a + n), "barcode": piece(F.col("sequence"), F.lit(a + n), F.length("sequence") - a)})
     known = guides.where("id <> ''").select("id", "target")
+    rows = [tuple(r) for r in known.limit(MOST_GUIDES + 1).collect()]
+    if len(rows) > MOST_GUIDES:
+        raise ValueError(f"more than {MOST_GUIDES} guides")
+    exact = clusters.withColumns({"id": piece(F.col("sequence"), a, a + n), "barcode": piece(F.col("sequence"), F.lit(a + n), F.length("sequence") - a)})
     exact = exact.join(F.broadcast(known), "id", "left")
     misses = exact.where("target is null").select("sequence").distinct()
     window = piece(F.col("sequence"), a - how.indel, a + n + how.indel + 1)
     # one column for each guide: as many as the run has, and no row is multiplied
-    rows = [tuple(r) for r in known.collect()]
     hits = F.filter(F.array(*[F.struct(F.lit(i).alias("gid"), F.lit(t).alias("gtarget"), find_with_substitutions(F.col("w"), i, how.substitutions).alias("place")) for i, t in rows]), lambda h: h["place"] >= 0) if rows else F.array()
     tried = misses.withColumn("w", window).withColumn("hits", hits).withColumn("exact_place", F.filter("hits", lambda h: h["place"] == how.indel))
     one_there, one = F.size("exact_place") == 1, F.size("hits") == 1

@@ -34,6 +34,18 @@ def read_sgrnas(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def read_indexes(spark: SparkSession, path: str) -> DataFrame:
+    """sample, barcode of a run's index map: two columns by tab, without a header; as dual_index() takes it."""
+    return spark.read.option("sep", "\t").schema("sample string, barcode string").csv(path).where("barcode is not null")
+
+
+def read_spacers(spark: SparkSession, path: str) -> DataFrame:
+    """input_file, forward_spacer_length, reverse_spacer_length, sample of a spacer map with a header, by the names of its columns."""
+    raw = spark.read.option("header", True).csv(path)
+    lengths = [F.col(f"{k}_spacer_length").cast("int").alias(f"{k}_spacer_length") for k in ("forward", "reverse")]
+    return raw.select("input_file", *lengths, "sample")
+
+
 def read_tallies(spark: SparkSession, path: str) -> DataFrame:
     """sample, mutation, phred, n of mutation tables: from, to, and a column for each Phred score."""
     raw = spark.read.option("header", True).csv(path).withColumn("sample", sample())

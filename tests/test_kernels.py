@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barleycorn.config import Classify, Scoring, Template
 from barleycorn.functions import alignment as al
 from barleycorn.functions import special
-from barleycorn.operators import align, cohorts, denoise, design, fits, pairs, quantify, resample, tumors
+from barleycorn.operators import align, annotate, cohorts, denoise, design, fits, pairs, quantify, resample, tumors
+from barleycorn.operators import reads as rd
 from barleycorn.sources import fastq, tables
 
 
@@ -155,6 +156,10 @@ def test_tables(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("Sequence,ID,target\nAAA,acgt,Neo1\nCCC,acg,X\n")
     with pytest.raises(ValueError):
         tables.read_sgrnas(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "i.tsv").write_text("s1\tACGT\ns2\tTTGA\n")
+    assert {tuple(r) for r in tables.read_indexes(spark, str(tmp_path / "i.tsv")).collect()} == {("s1", "ACGT"), ("s2", "TTGA")}
+    (tmp_path / "sp.csv").write_text("sample,input_file,forward_spacer_length,reverse_spacer_length\nm1,a.fastq,2,3\n")
+    assert [tuple(r) for r in tables.read_spacers(spark, str(tmp_path / "sp.csv")).collect()] == [("a.fastq", 2, 3, "m1")]
     letters, scores = tables.read_matrix(["# c", "A C", "A 3 -1", "C -1 3"])
     assert letters == ["A", "C"] and scores == [[3, -1], [-1, 3]]
     (tmp_path / "t.csv").write_text("a,b,30,31\nA,C,2,\nA,A,7,1\n")
@@ -299,3 +304,33 @@ def test_trimmed_means_are_those_of_sorted_groups(spark, share):
         s = np.sort(value[group == k])
         cut = int(share * len(s))
         assert n == len(s) and abs(mean - s[cut : len(s) - cut].mean()) < 1e-9
+
+
+def test_too_many_guides_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "MOST_GUIDES", 2)
+    clusters = spark.createDataFrame([("s", "ACGT" * 8)], "sample string, sequence string")
+    guides = spark.createDataFrame([("ACGT", "a"), ("CCGT", "b"), ("", "none")], "id string, target string")
+    assert annotate.annotated(clusters, guides).count() == 1
+    with pytest.raises(ValueError):
+        annotate.annotated(clusters, guides.union(spark.createDataFrame([("GGGT", "c")], guides.schema)))
+
+
+def test_slices_and_curves(spark):
+    rows = [(1, "ACGTACGTAC", "0123456789", 3), (2, "ACGTANGTAC", "0123456789", 3), (3, "ACGT", "0123", 3), (4, "ACGTACGTAC", "0123456789", 0), (5, "ACGTACGTAC", "0123456789", None)]
+    reads = spark.createDataFrame(rows, "read_id int, dna string, qc string, start int")
+    assert [(r.read_id, r.dna, r.qc) for r in rd.cluster_slices(reads, "start", length=3, flank=2).collect()] == [(1, "CGTACGT", "1234567")]
+    sizes = [10.0, 100.0, 1000.0, 10000.0]
+    df = spark.createDataFrame([("t", x) for x in sizes] + [("one", 5.0)], "target string, cells double")
+    tails = tumors.power_tails(df, 50.0)
+    (tail,) = tails.collect()
+    assert tail.share == 0.75 and abs(tail.alpha - (1 + 3 / sum(math.log(x / 50) for x in sizes[1:]))) < 1e-12
+    curves = {(r.target, r.k): r for r in tumors.density_curves(df, tails, 1, 3, 4).collect()}
+    logs = [math.log(x) for x in sizes]
+    m = sum(logs) / 4
+    d = math.sqrt(sum((v - m) ** 2 for v in logs) / 4)
+    want = math.exp(-(((math.log(100) - m) / d) ** 2) / 2) / (100 * d * math.sqrt(2 * math.pi))
+    assert abs(curves["t", 1].log_normal - want) < 1e-12 and curves["t", 0].power_law is None
+    assert abs(curves["t", 1].power_law - tail.alpha * 50 ** (tail.alpha - 1) * 100**-tail.alpha * 0.75) < 1e-12
+    # one size has no spread, and no tail where none is over x_min
+    assert curves["one", 1].log_normal is None and curves["one", 1].power_law is None
+    assert tumors.without_samples(spark.createDataFrame([("a",), ("b",)], "sample string"), spark.createDataFrame([("b",), ("b",)], "sample string")).collect() == [("a",)]
