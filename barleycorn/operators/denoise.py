@@ -145,3 +145,10 @@ def _interval(n: pd.Series) -> pd.DataFrame:
 def with_intervals(counts: DataFrame, n: str = "n") -> DataFrame:
     """counts with the exact 95 % interval of each count's mean: low, high."""
     return counts.withColumn("i", F.pandas_udf(_interval, "low double, high double")(F.col(n))).select("*", "i.*").drop("i")
+
+
+def error_intervals(tallies: DataFrame) -> DataFrame:
+    """phred, n, wrong, error, low, high: all samples' errors by quality, with the exact 95 % interval of the count of wrong bases, as shares."""
+    wrong = F.sum(F.when(F.substring("mutation", 1, 1) != F.substring("mutation", 3, 1), F.col("n")).otherwise(0))
+    counts = with_intervals(tallies.groupBy("phred").agg(F.sum("n").alias("n"), wrong.alias("wrong")), "wrong")
+    return counts.select("phred", "n", "wrong", *[F.try_divide(v, "n").alias(c) for c, v in (("error", "wrong"), ("low", "low"), ("high", "high"))])

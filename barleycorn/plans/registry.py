@@ -681,6 +681,11 @@ def bca_intervals(spark: SparkSession, d: str) -> DataFrame:
     return resample.bca_intervals(resample.bootstrap_ln_means(t, 500), tumors.ln_means(t), tumors.jackknife_ln_means(t))
 
 
+@query()
+def error_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return denoise.error_intervals(_tallies(spark, d))
+
+
 @query()
 def histogram_intervals(spark: SparkSession, d: str) -> DataFrame:
     return denoise.with_intervals(tumors.log_histogram(ad.tumors(spark, d)))

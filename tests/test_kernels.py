@@ -334,3 +334,12 @@ def test_slices_and_curves(spark):
     # one size has no spread, and no tail where none is over x_min
     assert curves["one", 1].log_normal is None and curves["one", 1].power_law is None
     assert tumors.without_samples(spark.createDataFrame([("a",), ("b",)], "sample string"), spark.createDataFrame([("b",), ("b",)], "sample string")).collect() == [("a",)]
+
+
+def test_intervals_of_errors(spark):
+    rows = [("a", "A2A", 30, 990), ("a", "A2C", 30, 4), ("b", "C2T", 30, 6), ("a", "G2G", 20, 50)]
+    got = {r.phred: r for r in denoise.error_intervals(spark.createDataFrame(rows, "sample string, mutation string, phred int, n long")).collect()}
+    assert (got[30].n, got[30].wrong, got[30].error) == (1000, 10, 0.01) and (got[20].wrong, got[20].low) == (0, 0.0)
+    at_most = lambda k, mu: sum(math.exp(-mu) * mu**i / math.factorial(i) for i in range(k + 1))
+    assert abs(1 - at_most(9, 1000 * got[30].low) - 0.025) < 1e-6 and abs(at_most(10, 1000 * got[30].high) - 0.025) < 1e-6
+    assert abs(at_most(0, 50 * got[20].high) - 0.025) < 1e-6
