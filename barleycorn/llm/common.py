@@ -40,6 +40,6 @@ BROADCAST_ROWS = 1_000_000
 
 def light(df: DataFrame, most: int = BROADCAST_ROWS, weight=None) -> DataFrame:
     """df, of a few numbers a row and cheap to read, marked for a broadcast if its size allows; weight: how many numbers a row has beyond these."""
-    if df.limit(most + 1).count() > most or weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > most:
+    if df.count() > most or weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) > most:
         return df
     return F.broadcast(df)

@@ -179,7 +179,9 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     firsts = written(firsts, "firsts")
     placed = lines.join(light(firsts), ["h", "g"], "left").withColumn("again", F.coalesce(F.struct(*LINE) != F.col("first"), F.lit(False)))
     equal = written(placed.where("again").select(*LINE), "equal")
-    reps = placed.where("not again").select(*LINE, "n", "bits", "more", "crowded", "prefix")
+    # a line of n words has n / (n + 1) at most in common with another set: shorter ones match equal sets only
+    long_enough = f"100 * n >= {how.percent} * (n + 1)"
+    reps = placed.where("not again").where(long_enough).select(*LINE, "n", "bits", "more", "crowded", "prefix")
     words = lambda df: df.select(*[c for c in df.columns if c != "prefix"], F.posexplode("prefix").alias("place", "token"))
     # each line's nearest one is enough here
     first = verified(written(nearest(earliest(words(reps.withColumn("prefix", F.slice("prefix", 1, HEADS)).withColumn("done", F.lit(False))), how)), "nearest"), docs, how)
