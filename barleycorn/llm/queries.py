@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, chat, html, lines, minhash, mixing, packing, quality, secrets, toxicity
+from . import caps, chat, collocations, html, lines, minhash, mixing, neighbours, packing, quality, secrets, spelling, toxicity
 from .common import table
 
 QUERIES: dict = {}
-SQL: dict[str, str] = {"op6_mixing": mixing.sql()}
+SQL: dict[str, str] = {"op6_mixing": mixing.sql(), "op11_collocations": collocations.sql()}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,4 +63,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_packing, op4_quality_rules, op5_embedding_caps, op6_mixing, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_html_extraction)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_minhash, op3_packing, op4_quality_rules, op5_embedding_caps, op6_mixing, op7_toxicity, op8_secret_scan, op9_chat_formatting, op10_html_extraction, op11_collocations, op12_spelling_variants, op13_nearest_neighbours)}

@@ -138,3 +138,70 @@ def near_vectors(rows: list[tuple], cosine: float = 0.98) -> dict[int, tuple[int
 
 def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def collocations(docs: list[tuple[str | None, str | None]], longest: int = 3, least: int = 10, percent: int = 50, top: int = 2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in docs:
+        own = counts[lang or "und" if lang is None else lang]
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", ascii_lower(text or "")):
+            w = [x for x in re.split("[\\x20\\x09]+", piece) if x]
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    own[tuple(w[i : i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        found = {p: c for p, c in f.items() if len(p) > 1 and c >= least}
+        gone = {q for p, c in found.items() for k in range(2, len(p)) for i in range(len(p) - k + 1) if 100 * c >= percent * found[q := p[i : i + k]]}
+        scored = []
+        for p, a in found.items():
+            if p not in gone:
+                score, k = min((1000000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return sorted(out)
+
+
+def spelling_variants(docs: list[tuple[int | None, str | None]], letters: int = 7, least: int = 2, times: int = 10) -> list[tuple]:
+    """(word, form, root, n, n_near, form_n) of (doc_id, text) rows."""
+    counts: Counter = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-z\\u00C0-\\u00FF]+", text or ""):
+            w = ascii_lower(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= letters and c >= least}
+    holes = defaultdict(set)
+    for w in n:
+        holes[w].add(w)
+        for i in range(len(w)):
+            holes[w[:i] + w[i + 1 :]].add(w)
+
+    def one_edit(a: str, b: str) -> bool:
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    near = defaultdict(set)
+    for group in holes.values():
+        for a in group:
+            near[a] |= {b for b in group if b not in near[a] and b != a and one_edit(a, b)}
+    form = {}
+    for w, c in n.items():
+        if near[w]:
+            best = min(near[w], key=lambda x: (-n[x], x))
+            if n[best] >= times * c:
+                form[w] = best
+    out = []
+    for w, c in n.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, c, len(near[w]), n[form[w]] if w in form else None))
+    return sorted(out, key=lambda r: r[0])
