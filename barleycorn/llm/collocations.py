@@ -33,7 +33,7 @@ KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text that are looked at together.
-SLICE = 1 << 24
+SLICE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,7 @@ def counted_buckets(texts: DataFrame, maps, k: int, how: Phrases) -> DataFrame:
                 for words, at, bucket in grams(t, known, k, how.bits):
                     if words == k:
                         held.append(bucket[at].astype(np.int32))
-                if sum(map(len, held)) > 1 << 22:
+                if sum(map(len, held)) > 1 << 21:
                     yield buckets()
         if held:
             yield buckets()
@@ -335,7 +335,7 @@ def counts(texts: DataFrame, tries: dict, how: Phrases) -> DataFrame:
     """(shard, state, n) of the accepting states of the broadcast tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {k: thawed(b.value) for k, b in tries.items()}
+        made = {k: b.value for k, b in tries.items()}
         sums = {k: np.zeros(len(m["check"]), np.int64) for k, m in made.items()}
         for batch in batches:
             for t in tokens(batch):
@@ -371,7 +371,7 @@ def frequent_phrases(texts: DataFrame, found: DataFrame, how: Phrases) -> DataFr
         tries = {}
         for k in range(low, min(shards, low + how.at_once)):
             for row in made.where((F.col("state") == -1) & (F.col("shard") == k)).select("trie").collect():
-                tries[k] = spark.sparkContext.broadcast(bytes(row["trie"]))
+                tries[k] = spark.sparkContext.broadcast(thawed(bytes(row["trie"])))
         out.append(written(counts(texts, tries, how).where(F.col("n") >= how.least), "counts"))
         for b in tries.values():
             b.unpersist()
