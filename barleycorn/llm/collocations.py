@@ -32,8 +32,8 @@ KIND[[0x20, 0x09]] = 1
 KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Bytes of text that are looked at together.
-SLICE = 1 << 22
+#: Bytes of text that are looked at together, and rows that are handed on together.
+SLICE, ROWS = 1 << 21, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -157,27 +157,37 @@ def counted_buckets(texts: DataFrame, maps, k: int, how: Phrases) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        words: list[pa.Table] = []
         known = maps.value
 
-        def buckets() -> pa.RecordBatch:
+        def buckets() -> Iterator[pa.RecordBatch]:
             b, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            none = pa.array([""] * 1).take(pa.array(np.zeros(len(b), np.int32)))
-            return pa.RecordBatch.from_arrays([none, none, pa.array(b, pa.int32()), pa.array(n, pa.int64())], names=["lang", "word", "bucket", "n"])
+            for low in range(0, len(b), ROWS):
+                none = pa.array([""]).take(pa.array(np.zeros(len(b[low : low + ROWS]), np.int32)))
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(b[low : low + ROWS], pa.int32()), pa.array(n[low : low + ROWS], pa.int64())], names=["lang", "word", "bucket", "n"])
+
+        def sums() -> pa.Table:
+            out = pa.concat_tables(words).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+            return pa.table([out["lang"], out["word"], pa.array(np.full(out.num_rows, -1), pa.int32()), out["n_sum"]], names=["lang", "word", "bucket", "n"])
 
         for batch in batches:
             for t in tokens(batch):
                 if k == 2:
                     key, n = np.unique(t.lang * len(t.words) + t.code, return_counts=True)
-                    of = [t.langs.take(pa.array(key // len(t.words))), t.words.take(pa.array(key % len(t.words)))]
-                    yield pa.RecordBatch.from_arrays([*of, pa.array(np.full(len(key), -1), pa.int32()), pa.array(n, pa.int64())], names=["lang", "word", "bucket", "n"])
-                for words, at, bucket in grams(t, known, k, how.bits):
-                    if words == k:
+                    words.append(pa.table([t.langs.take(pa.array(key // len(t.words))), t.words.take(pa.array(key % len(t.words))), pa.array(n, pa.int64())], names=["lang", "word", "n"]))
+                    if sum(w.num_rows for w in words) > 1 << 19:
+                        yield from sums().to_batches(max_chunksize=ROWS)
+                        words.clear()
+                for size, at, bucket in grams(t, known, k, how.bits):
+                    if size == k:
                         held.append(bucket[at].astype(np.int32))
-                if sum(map(len, held)) > 1 << 21:
-                    yield buckets()
+                if sum(map(len, held)) > 1 << 20:
+                    yield from buckets()
+        if words:
+            yield from sums().to_batches(max_chunksize=ROWS)
         if held:
-            yield buckets()
+            yield from buckets()
 
     found = texts.mapInArrow(run, "lang string, word string, bucket int, n long").groupBy("lang", "word", "bucket").agg(F.sum("n").alias("n"))
     return written(found.where((F.col("bucket") < 0) | (F.col("n") >= how.least)), f"buckets-{k}")
@@ -344,8 +354,8 @@ def counts(texts: DataFrame, tries: dict, how: Phrases) -> DataFrame:
                         sums[k] += np.bincount(state, minlength=len(sums[k]))
         for k, n in sums.items():
             at = np.flatnonzero(n)
-            for low in range(0, len(at), 1 << 17):
-                few = at[low : low + (1 << 17)]
+            for low in range(0, len(at), ROWS):
+                few = at[low : low + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(few), k), pa.int32()), pa.array(few, pa.int32()), pa.array(n[few], pa.int64())], names=["shard", "state", "n"])
 
     return texts.mapInArrow(run, "shard int, state int, n long").groupBy("shard", "state").agg(F.sum("n").alias("n"))
