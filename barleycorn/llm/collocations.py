@@ -48,8 +48,8 @@ class Phrases:
     percent: int = 50
     top: int = 2000
     bits: int = 26
-    shard: int = 1 << 19
-    at_once: int = 6
+    shard: int = 1 << 17
+    at_once: int = 8
 
 
 @dataclass
