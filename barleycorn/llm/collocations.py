@@ -152,53 +152,106 @@ def spelled(t: Tokens, at: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
     return t.langs.take(pa.array(t.lang[at])), pc.binary_join_element_wise(*[t.words.take(pa.array(t.code[at + j])) for j in range(k)], " ")
 
 
-def counted_buckets(texts: DataFrame, maps, k: int, how: Phrases) -> DataFrame:
-    """(lang, word, bucket, n): buckets of phrases of k words with how.least occurrences or more (lang and word empty), and with k = 2 all words (bucket -1)."""
+def merged(tables: list[pa.Table], by: list[str], sums: bool) -> list[pa.Table]:
+    """Tables as one without repetitions, n added up."""
+    whole = pa.concat_tables(tables).group_by(by, use_threads=False)
+    out = whole.aggregate([("n", "sum")] if sums else [])
+    return [pa.table([out[c] for c in by] + ([out["n_sum"]] if sums else []), names=[*by, *(["n"] if sums else [])])]
+
+
+def gathered(found: Iterator[pa.Table], by: list[str], sums: bool, most: int = 1 << 20) -> Iterator[pa.Table]:
+    """The tables merged as far as most rows go."""
+    held: list[pa.Table] = []
+    fresh = 0
+    for table in found:
+        held.append(table)
+        fresh += table.num_rows
+        if fresh > most:
+            held, fresh = merged(held, by, sums), 0
+            if held[0].num_rows > most // 2:
+                yield held.pop()
+    if held:
+        yield merged(held, by, sums)[0]
+
+
+def counted(texts: DataFrame, maps, k: int, how: Phrases) -> DataFrame:
+    """(lang, word, n, cell, places, counts): occurrences of words, if k is 2, and of buckets of phrases of k words.
+
+    Buckets are handed on in cells, as arrays of 16-bit places and counts, so that a row stands for thousands.
+    """
+    shape = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("cell", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        words: list[pa.Table] = []
-        known = maps.value
+        known, held, full = maps.value, [], []
 
-        def buckets() -> Iterator[pa.RecordBatch]:
+        def cells() -> pa.RecordBatch:
             b, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            for low in range(0, len(b), ROWS):
-                none = pa.array([""]).take(pa.array(np.zeros(len(b[low : low + ROWS]), np.int32)))
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(b[low : low + ROWS], pa.int32()), pa.array(n[low : low + ROWS], pa.int64())], names=["lang", "word", "bucket", "n"])
+            n = np.minimum(n, 65535).astype(np.uint16)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(b >> 16)) + 1, [len(b)]])
+            ends = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            low = (b & 65535).astype(np.uint16)
+            none = pa.nulls(len(ends), pa.string())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(ends), pa.int64()), pa.array(b[cut[:-1]] >> 16, pa.int32()), pa.array([low[x:y].tobytes() for x, y in ends], pa.binary()), pa.array([n[x:y].tobytes() for x, y in ends], pa.binary())], schema=shape)
+
+        def words() -> Iterator[pa.Table]:
+            for batch in batches:
+                for t in tokens(batch):
+                    for size, at, bucket in grams(t, known, k, how.bits):
+                        if size == k and len(at):
+                            held.append(bucket[at].astype(np.int32))
+                    if sum(map(len, held)) > 1 << 22:
+                        full.append(cells())
+                    if k == 2:
+                        key, n = np.unique(t.lang * len(t.words) + t.code, return_counts=True)
+                        yield pa.table([t.langs.take(pa.array(key // len(t.words))), t.words.take(pa.array(key % len(t.words))), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+                    else:
+                        yield pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["lang", "word", "n"])
+
+        def out() -> Iterator[pa.Table | pa.RecordBatch]:
+            for table in gathered(words(), ["lang", "word"], True):
+                yield pa.table([table["lang"], table["word"], table["n"], *[pa.nulls(table.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]], schema=shape)
+                while full:
+                    yield full.pop()
+            if held:
+                full.append(cells())
+            while full:
+                yield full.pop()
+
+        for x in out():
+            yield from x.to_batches(max_chunksize=ROWS) if isinstance(x, pa.Table) else [x]
+
+    return written(texts.mapInArrow(run, "lang string, word string, n long, cell int, places binary, counts binary"), f"counted-{k}")
+
+
+def bitmap(found: DataFrame, how: Phrases) -> np.ndarray:
+    """A bit for each bucket with how.least occurrences or more: 2 ** how.bits in all, whatever the input.
+
+    A cell's rows follow each other in a task, which adds them up in an array of 65,536 numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sums = None, np.zeros(65536, np.int64)
+        done: list[tuple[int, bytes]] = []
 
-        def sums() -> pa.Table:
-            out = pa.concat_tables(words).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
-            return pa.table([out["lang"], out["word"], pa.array(np.full(out.num_rows, -1), pa.int32()), out["n_sum"]], names=["lang", "word", "bucket", "n"])
+        def close() -> None:
+            if cell is not None:
+                done.append((cell, np.packbits(sums >= how.least, bitorder="little").tobytes()))
+            sums[:] = 0
 
         for batch in batches:
-            for t in tokens(batch):
-                if k == 2:
-                    key, n = np.unique(t.lang * len(t.words) + t.code, return_counts=True)
-                    words.append(pa.table([t.langs.take(pa.array(key // len(t.words))), t.words.take(pa.array(key % len(t.words))), pa.array(n, pa.int64())], names=["lang", "word", "n"]))
-                    if sum(w.num_rows for w in words) > 1 << 19:
-                        yield from sums().to_batches(max_chunksize=ROWS)
-                        words.clear()
-                for size, at, bucket in grams(t, known, k, how.bits):
-                    if size == k:
-                        held.append(bucket[at].astype(np.int32))
-                if sum(map(len, held)) > 1 << 20:
-                    yield from buckets()
-        if words:
-            yield from sums().to_batches(max_chunksize=ROWS)
-        if held:
-            yield from buckets()
-
-    found = texts.mapInArrow(run, "lang string, word string, bucket int, n long").groupBy("lang", "word", "bucket").agg(F.sum("n").alias("n"))
-    return written(found.where((F.col("bucket") < 0) | (F.col("n") >= how.least)), f"buckets-{k}")
-
-
-def bitmap(buckets: DataFrame, how: Phrases) -> np.ndarray:
-    """A bit for each bucket: 2 ** how.bits in all, whatever the input."""
-    cells = buckets.groupBy(F.shiftright("bucket", 15).alias("cell")).agg(F.bitmap_construct_agg(F.col("bucket").bitwiseAND(F.lit(32767))).alias("bits"))
-    out = np.zeros(max(1 << (how.bits - 3), 4096), np.uint8)
-    for row in cells.toLocalIterator():
-        out[row["cell"] * 4096 : row["cell"] * 4096 + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)[: len(out)]
+            for c, places, counts in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if c != cell:
+                    close()
+                    cell = c
+                sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint16)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.int32()), pa.array([b for _, b in done], pa.binary())], names=["cell", "bits"])
+
+    rows = found.where("cell is not null").select("cell", "places", "counts").repartition("cell").sortWithinPartitions("cell")
+    out = np.zeros(max(1 << (how.bits - 3), 8192), np.uint8)
+    for row in rows.mapInArrow(run, "cell int, bits binary").toLocalIterator():
+        out[row["cell"] * 8192 : row["cell"] * 8192 + 8192] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out
 
 
@@ -207,13 +260,18 @@ def candidates(texts: DataFrame, maps, how: Phrases) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = maps.value
-        for batch in batches:
-            for t in tokens(batch):
-                for k, at, bucket in grams(t, known, how.longest, how.bits):
-                    b = bucket[at]
-                    at = at[((known[k][b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(list(spelled(t, at, k)), names=["lang", "phrase"])
+
+        def phrases() -> Iterator[pa.Table]:
+            for batch in batches:
+                for t in tokens(batch):
+                    for k, at, bucket in grams(t, known, how.longest, how.bits):
+                        b = bucket[at]
+                        at = at[((known[k][b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
+                        if len(at):
+                            yield pa.table(list(spelled(t, at, k)), names=["lang", "phrase"])
+
+        for table in gathered(phrases(), ["lang", "phrase"], False):
+            yield from table.to_batches(max_chunksize=ROWS)
 
     return written(texts.mapInArrow(run, "lang string, phrase string").distinct(), "candidates")
 
@@ -407,16 +465,14 @@ def collocations(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known: dict[int, np.ndarray] = {}
-    words = None
     for k in range(2, how.longest + 1):
         of_less = spark.sparkContext.broadcast(known)
-        level = counted_buckets(texts, of_less, k, how)
-        known[k] = bitmap(level.where("bucket >= 0"), how)
+        level = counted(texts, of_less, k, how)
+        known[k] = bitmap(level, how)
         of_less.unpersist()
         if k == 2:
-            words = level.where("bucket < 0").select("lang", F.col("word").alias("phrase"), "n")
-        else:
-            dropped(level)
+            words = written(level.where("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")), "words")
+        dropped(level)
     maps = spark.sparkContext.broadcast(known)
     found = candidates(texts, maps, how)
     maps.unpersist()
