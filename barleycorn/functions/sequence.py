@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Ways to place substitutions in a motif that one regular expression lists.
+MOST_WILDCARDS = 256
+
+
 def gc_count(dna: Column) -> Column:
     """How many G and C."""
     return F.length(dna) - F.length(F.regexp_replace(dna, "[GC]", ""))
@@ -24,14 +32,23 @@ def bases(dna: Column) -> Column:
     return F.filter(F.split(dna, ""), lambda c: c != "")
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differences of two strings of one length; null for different lengths."""
+def hamming(a: Column, b: Column, length: int | None = None) -> Column:
+    """Differences of two strings of one length; null for different lengths.  With a length, for strings of that length: compared place by place in generated code."""
+    if length is not None:
+        count = sum(((F.substring(a, k + 1, 1) != F.substring(b, k + 1, 1)).cast("int") for k in range(length)), F.lit(0))
+        return F.when((F.length(a) == length) & (F.length(b) == length), count)
     count = F.aggregate(F.zip_with(bases(a), bases(b), lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
     return F.when(F.length(a) == F.length(b), count)
 
 
 def find_with_substitutions(dna: Column, motif: str | Column, most: int) -> Column:
-    """The leftmost 0-based place where motif stands with at most so many substitutions, or -1."""
+    """The leftmost 0-based place where motif stands with at most so many substitutions, or -1.
+
+    A motif that is known beforehand is one regular expression with a wildcard for each substitution.
+    """
+    if isinstance(motif, str) and 0 < most < len(motif) and comb(len(motif), most) <= MOST_WILDCARDS:
+        ways = ["".join("." if k in free else re.escape(c) for k, c in enumerate(motif)) for free in combinations(range(len(motif)), most)]
+        return F.coalesce(F.regexp_instr(dna, F.lit(f"(?s)(?:{'|'.join(ways)})")) - 1, F.lit(-1))
     motif = F.lit(motif) if isinstance(motif, str) else motif
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(dna) - F.length(motif)))
     hits = F.filter(places, lambda i: F.coalesce(hamming(dna.substr(i + 1, F.length(motif)), motif) <= most, F.lit(False)))

@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Annotate
-from ..functions.sequence import find_with_substitutions, piece
+from ..functions.sequence import hamming, piece
 
 
-#: Guides that a run may have: each is a column of a salvaged row.
-MOST_GUIDES = 10_000
+def guides_within(windows: DataFrame, known: DataFrame, length: int, places: int, substitutions: int) -> DataFrame:
+    """(sequence, gid, gtarget, place): the guides with at most so many substitutions at one of the places 0 to places - 1 of each window w, and their leftmost place.
+
+    One of substitutions + 1 pieces of a guide is left whole: an equi-join on pieces, checked on whole ids.
+    """
+    cuts = [length * k // (substitutions + 1) for k in range(substitutions + 2)]
+    pieces = lambda c: F.array(*[F.struct(F.lit(k).alias("k"), c.substr(F.lit(x + 1), F.lit(y - x)).alias("part")) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    keyed = known.where(F.length("id") == length).select(F.col("id").alias("gid"), F.col("target").alias("gtarget"), F.explode(pieces(F.col("id"))).alias("g")).select("gid", "gtarget", "g.*")
+    seen = windows.select("sequence", F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.substring("w", p + 1, length).alias("id")) for p in range(places)])).alias("x")).select("sequence", "x.*")
+    seen = seen.where(F.length("id") == length).withColumn("g", F.explode(pieces(F.col("id")))).select("sequence", "place", "id", "g.*")
+    near = seen.join(keyed, ["k", "part"]).where(hamming(F.col("id"), F.col("gid"), length) <= substitutions)
+    return near.groupBy("sequence", "gid", "gtarget").agg(F.min("place").alias("place"))
 
 
 def annotated(clusters: DataFrame, guides: DataFrame, how: Annotate = Annotate()) -> DataFrame:
@@ -19,36 +29,33 @@ def annotated(clusters: DataFrame, guides: DataFrame, how: Annotate = Annotate()
     The id stands after the flank, the barcode after it up to the other flank.  An id that is no guide's is
     looked for in a window around its place: if one guide alone is found at the expected place, the
     cluster takes its target; if one alone is found anywhere, its target, its id and the barcode after it;
-    else the target is Unknown.  guides (id, target) has a row for each guide and is broadcast;
-    more than MOST_GUIDES are an error.
+    else the target is Unknown.  guides (id, target) has a row for each guide, with ids of how.id_length.
     """
     a, n = how.flank, how.id_length
     known = guides.where("id <> ''").select("id", "target")
-    rows = [tuple(r) for r in known.limit(MOST_GUIDES + 1).collect()]
-    if len(rows) > MOST_GUIDES:
-        raise ValueError(f"more than {MOST_GUIDES} guides")
     exact = clusters.withColumns({"id": piece(F.col("sequence"), a, a + n), "barcode": piece(F.col("sequence"), F.lit(a + n), F.length("sequence") - a)})
-    exact = exact.join(F.broadcast(known), "id", "left")
+    exact = exact.join(known, "id", "left")
     misses = exact.where("target is null").select("sequence").distinct()
     window = piece(F.col("sequence"), a - how.indel, a + n + how.indel + 1)
-    # one column for each guide: as many as the run has, and no row is multiplied
-    hits = F.filter(F.array(*[F.struct(F.lit(i).alias("gid"), F.lit(t).alias("gtarget"), find_with_substitutions(F.col("w"), i, how.substitutions).alias("place")) for i, t in rows]), lambda h: h["place"] >= 0) if rows else F.array()
-    tried = misses.withColumn("w", window).withColumn("hits", hits).withColumn("exact_place", F.filter("hits", lambda h: h["place"] == how.indel))
-    one_there, one = F.size("exact_place") == 1, F.size("hits") == 1
-    salvaged = tried.select(
+    hits = guides_within(misses.withColumn("w", window), known, n, 2 * how.indel + 2, how.substitutions)
+    there, one_there, one = F.col("place") == how.indel, F.col("n_there") == 1, F.col("n") == 1
+    found = hits.groupBy("sequence").agg(
+        F.count("*").alias("n"), F.count(F.when(there, 1)).alias("n_there"), F.max(F.when(there, F.col("gtarget"))).alias("there_target"), F.max(F.struct("gtarget", "gid", "place")).alias("any")
+    )
+    salvaged = found.select(
         "sequence",
-        F.when(one_there, F.get("exact_place", F.lit(0))["gtarget"]).when(one, F.get("hits", F.lit(0))["gtarget"]).otherwise("Unknown").alias("s_target"),
-        F.when(~one_there & one, F.get("hits", F.lit(0))["gid"]).alias("s_id"),
-        F.when(~one_there & one, F.get("hits", F.lit(0))["place"]).alias("s_place"),
-    ) if rows else misses.select("sequence", F.lit("Unknown").alias("s_target"), F.lit(None).cast("string").alias("s_id"), F.lit(None).cast("int").alias("s_place"))
+        F.when(one_there, F.col("there_target")).when(one, F.col("any.gtarget")).otherwise("Unknown").alias("s_target"),
+        F.when(~one_there & one, F.col("any.gid")).alias("s_id"),
+        F.when(~one_there & one, F.col("any.place")).alias("s_place"),
+    )
     out = exact.join(salvaged, "sequence", "left")
     begin = F.col("s_place") + a - how.indel + n
     stop = begin + how.barcode_length - n if how.barcode_length else F.length("sequence") - a
-    found = F.when(F.col("target").isNotNull(), "exact").when(F.col("s_target") == "Unknown", "unknown").otherwise("salvaged")
+    found = F.when(F.col("target").isNotNull(), "exact").when(F.coalesce("s_target", F.lit("Unknown")) == "Unknown", "unknown").otherwise("salvaged")
     return out.select(
         *clusters.columns,
         F.coalesce("s_id", "id").alias("id"),
-        F.coalesce("target", "s_target").alias("target"),
+        F.coalesce("target", "s_target", F.lit("Unknown")).alias("target"),
         F.when(F.col("s_place").isNotNull(), piece(F.col("sequence"), begin, stop)).otherwise(F.col("barcode")).alias("barcode"),
         found.alias("found"),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import fill_from_mate, find_with_substitutions, hamming
+from ..functions.sequence import fill_from_mate, find_with_substitutions
 
 
 def neighbours(index: Column, letters: str = "ACGTN") -> Column:
@@ -59,10 +59,9 @@ def tallied(assigned: DataFrame, by: list[str]) -> DataFrame:
 def with_spacers(reads: DataFrame, dna: str, anchor: str, spacers: list[int], indel: int, substitutions: int, name: str) -> DataFrame:
     """reads with the spacer length whose neighbourhood the anchor begins in, or null: the anchor's place within indel of it."""
     place = find_with_substitutions(F.col(dna), anchor, substitutions)
-    cases = F.lit(None).cast("int")
-    for s in sorted(spacers, reverse=True):
-        cases = F.when((F.col("__place") >= s - indel) & (F.col("__place") <= s + indel), s).otherwise(cases)
-    return reads.withColumn("__place", place).withColumn(name, cases).drop("__place")
+    # the place is looked up once; of spacers that overlap the shortest counts
+    by_place = [next((s for s in sorted(spacers) if abs(s - p) <= indel), None) for p in range(max(spacers) + indel + 1)]
+    return reads.withColumn(name, F.get(F.array(*[F.lit(s).cast("int") for s in by_place]), place))
 
 
 def routed_by_spacer(reads: DataFrame, routes: DataFrame, use_reverse: bool = False) -> DataFrame:
@@ -84,7 +83,3 @@ def mate_files(forward: DataFrame, reverse: DataFrame) -> DataFrame:
     """(name, mates): names that both, only the first or only the second table has."""
     a, b = forward.select("name").distinct().withColumn("f", F.lit(True)), reverse.select("name").distinct().withColumn("r", F.lit(True))
     return a.join(b, "name", "full").select("name", F.when(F.col("f") & F.col("r"), "both").when(F.col("f"), "forward").otherwise("reverse").alias("mates"))
-
-
-def within(distance: int, a: Column, b: Column) -> Column:
-    return F.coalesce(hamming(a, b) <= distance, F.lit(False))

@@ -6,12 +6,13 @@ is too abundant to be its errors, under one error rate or under rates by quality
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import bases, hamming, piece
-from ..functions.special import poisson_cdf, poisson_interval
+from ..functions.special import log_abundance_p, poisson_interval
 from ..storage import written
 
 
@@ -20,8 +21,14 @@ def transitions(reads: DataFrame, reference: str | Column) -> DataFrame:
 
     reference: a string as long as the reads, or a column with each read's own.
     """
-    ref = F.lit(reference) if isinstance(reference, str) else reference
-    places = F.zip_with(F.zip_with(bases(ref), bases(F.col("dna")), lambda a, b: F.concat(a, F.lit("2"), b)), bases(F.col("qc")), lambda m, c: F.struct(m.alias("mutation"), (F.ascii(c) - 33).alias("phred")))
+    if isinstance(reference, str):  # a number for base, quality and reference at each place, so that rows are short and the code is generated
+        base = lambda k: F.instr(F.lit("ACGT"), F.substring("dna", k + 1, 1))
+        packed = lambda k, r: F.when((F.length("dna") > k) & (F.length("qc") > k), (base(k) + 8 * r) * 128 + F.ascii(F.substring("qc", k + 1, 1)) - 33)
+        each = [packed(k, "ACGT".index(c)) for k, c in enumerate(reference) if c in "ACGT"]
+        counted = reads.select("sample", F.explode(F.array(*each)).alias("x")).where(F.shiftright("x", 7) % 8 > 0).groupBy("sample", "x").agg(F.count("*").alias("n"))
+        letter = lambda i: F.substring(F.lit("ACGT"), i, F.lit(1))
+        return counted.select("sample", F.concat(letter(F.shiftright("x", 10) + 1), F.lit("2"), letter(F.shiftright("x", 7) % 8)).alias("mutation"), (F.col("x") % 128).alias("phred"), "n")
+    places = F.zip_with(F.zip_with(bases(reference), bases(F.col("dna")), lambda a, b: F.concat(a, F.lit("2"), b)), bases(F.col("qc")), lambda m, c: F.struct(m.alias("mutation"), (F.ascii(c) - 33).alias("phred")))
     counted = reads.select("sample", F.explode(places).alias("x")).groupBy("sample", F.col("x.mutation").alias("mutation"), F.col("x.phred").alias("phred")).agg(F.count("*").alias("n"))
     return counted.where(F.col("mutation").rlike("^[ACGT]2[ACGT]$"))
 
@@ -60,11 +67,11 @@ def largest_shares(clusters: DataFrame) -> DataFrame:
 
 def abundance_p(abundance: pd.Series, expected: pd.Series) -> pd.Series:
     """P(X >= abundance | X >= 1) of a Poisson variable."""
-    return pd.Series([min(1.0, (1 - poisson_cdf(a - 1, e)) / max(1 - poisson_cdf(0, e), 1e-300)) for a, e in zip(abundance, expected, strict=True)])
+    return pd.Series(np.exp(log_abundance_p(abundance.to_numpy(np.float64), expected.to_numpy(np.float64))))
 
 
-def close_pairs(derep: DataFrame, most: int, length: int | None = None) -> DataFrame:
-    """(sample, sequence, abundance, parent, larger, ham): pairs of sequences of one length and sample with few substitutions, parent the more abundant.
+def close_pairs(derep: DataFrame, most: int, length: int | None = None, fold: float = 2.0) -> DataFrame:
+    """(sample, sequence, abundance, parent, larger, ham): pairs of sequences of one length and sample with few substitutions, parent fold times as abundant at least.
 
     Sequences are cut into most + 1 parts, one of which a close pair has in common: an equi-join on parts.
     length: only sequences of that length.
@@ -74,7 +81,8 @@ def close_pairs(derep: DataFrame, most: int, length: int | None = None) -> DataF
     parts = F.array(*[F.struct(F.lit(k).alias("k"), piece(F.col("sequence"), cut(k), cut(k + 1)).alias("part")) for k in range(most + 1)])
     keyed = of_length(derep, length).select("sample", "sequence", "abundance", n.alias("length"), F.explode(parts).alias("p")).select("sample", "sequence", "abundance", "length", "p.*")
     other = keyed.select("sample", F.col("sequence").alias("parent"), F.col("abundance").alias("larger"), "length", "k", "part")
-    more = (F.col("larger") > F.col("abundance")) | (F.col("larger") == F.col("abundance")) & (F.col("parent") < F.col("sequence"))
+    more = F.col("larger") >= fold * F.col("abundance")
+    other = other.where(F.col("larger") >= fold)
     joined = keyed.join(other, ["sample", "length", "k", "part"]).where(more).withColumn("ham", hamming(F.col("sequence"), F.col("parent"))).where(F.col("ham") <= most)
     return joined.select("sample", "sequence", "abundance", "parent", "larger", "ham").distinct()
 

@@ -65,6 +65,13 @@ def gc_fit(residuals: DataFrame, how: Quantify = Quantify(), orders: tuple[int,
     return max(fits, key=lambda f: -np.inf if np.isnan(f[1]) else f[1])
 
 
+def gc_fitted(residuals: DataFrame, how: Quantify = Quantify(), orders: tuple[int, ...] = (2, 3, 4, 5, 6)) -> DataFrame:
+    """(gcs, order, fitted): the fit of the order with the best adjusted R squared, at each GC count that occurs."""
+    coefficients, _ = gc_fit(residuals, how, orders)
+    powers = [float(c) * F.pow(F.col("gcs").cast("double"), F.lit(float(k))) for k, c in enumerate(coefficients)]
+    return residuals.select("gcs").distinct().select("gcs", F.lit(len(coefficients) - 1).alias("order"), sum(powers[1:], powers[0]).alias("fitted"))
+
+
 def gc_corrected(residuals: DataFrame, coefficients: np.ndarray) -> DataFrame:
     """residuals with the metric without the GC count's effect; the group's mean stays in it."""
     powers = [float(c) * F.pow(F.col("gcs").cast("double"), F.lit(float(k))) for k, c in enumerate(coefficients)]

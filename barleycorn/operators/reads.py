@@ -50,12 +50,14 @@ def dereplicated(reads: DataFrame) -> DataFrame:
 def mean_qualities(reads: DataFrame) -> DataFrame:
     """sample, sequence, abundance and the mean Phred score of each place.
 
-    Sums are kept for each place, not the reads, so an abundant sequence needs no more memory than a rare one.
+    A mean is kept for each place up to the longest read's, not the reads, so an abundant sequence needs no
+    more memory than a rare one; no read is taken apart into rows.
     """
-    places = reads.select("sample", F.col("dna").alias("sequence"), F.posexplode(F.filter(F.split("qc", ""), lambda c: c != "")).alias("place", "c"))
-    means = places.groupBy("sample", "sequence", "place").agg(F.count("*").alias("abundance"), F.avg(F.ascii("c") - 33).alias("q"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "q"))), lambda x: x["q"])
-    return means.groupBy("sample", "sequence").agg(F.max("abundance").alias("abundance"), listed.alias("mean_q"))
+    longest = reads.agg(F.max(F.length("qc"))).first()[0] or 0
+    places = [F.avg(F.when(F.length("qc") > k, F.ascii(F.substring("qc", k + 1, 1)) - 33)).alias(f"q{k}") for k in range(longest)]
+    means = reads.groupBy("sample", F.col("dna").alias("sequence")).agg(F.count("*").alias("abundance"), *places)
+    listed = F.array_compact(F.array(*[F.col(f"q{k}") for k in range(longest)])) if longest else F.array().cast("array<double>")
+    return means.select("sample", "sequence", "abundance", listed.alias("mean_q"))
 
 
 def dense_counts(df: DataFrame, column: str, most: int) -> DataFrame:

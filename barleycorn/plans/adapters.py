@@ -17,7 +17,8 @@ SPIKE_BARCODES = 150
 INERT_BRANDS = tuple(f"Brand#{k}" for k in range(1, 6))
 SPIKE_BRAND = "Brand#25"
 ANNOTATE = Annotate(flank=6, id_length=4, indel=1, substitutions=1)
-QUANTIFY = Quantify(spike_target=SPIKE_BRAND, spike_share=0.005, metric="n0 + n1", order=1)
+#: Cells of the spike-in such that others lie on both sides of the final filter's limits.
+QUANTIFY = Quantify(spike_cells=2500.0, spike_target=SPIKE_BRAND, spike_share=0.005, metric="n0 + n1", order=1)
 
 HEX, BASES, PHRED = "0123456789abcdef", "ACGTACGTACGTACGT", "!#%)+-/1357:=@DI"
 
@@ -81,6 +82,18 @@ def copies(spark: SparkSession, sf_dir: str, molecules: int = 40) -> DataFrame:
     return _reads(spark, sf_dir, copied(molecules))
 
 
+def referenced(spark: SparkSession, sf_dir: str, molecules: int = 40) -> DataFrame:
+    """sample, reference, dna, qc: copies() with the molecule that each is a read of."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <> 3")
+    reference = F.translate(F.md5((F.col("l_partkey") % molecules).cast("string").cast("binary")), HEX, BASES)
+    return rows.select(F.col("l_suppkey").cast("string").alias("sample"), reference.alias("reference"), copied(molecules).alias("dna"), F.translate(_digest("l_linenumber", "l_orderkey"), HEX, PHRED).alias("qc"))
+
+
+REFERENCED = f"""reads as (
+  select cast(l_suppkey as varchar) as sample, translate(md5(cast(l_partkey % 40 as varchar)), '{HEX}', '{BASES}') as reference, {_copied_sql(40)} as dna, translate(md5(l_linenumber || '-' || l_orderkey), '{HEX}', '{PHRED}') as qc
+  from lineitem where l_linenumber <> 3)"""
+
+
 COPIES = READS.replace(f"translate(md5(l_orderkey || '-' || l_linenumber), '{HEX}', '{BASES}')", _copied_sql(40))
 
 

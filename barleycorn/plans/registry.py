@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Classify, Scoring, Template
 from ..functions.estimators import ln_mean, percentile_of_score, stars, two_sided
 from ..functions.sequence import degenerate, expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, reverse_complement
-from ..operators import align, annotate, cohorts, demux, denoise, fits, multiple, pairs, quantify, resample, tumors
+from ..operators import align, annotate, cohorts, demux, denoise, errormodel, fits, multiple, pairs, quantify, resample, tumors
 from ..operators import reads as rd
 from ..sources.fastq import fastq_text, header_fields
 from ..sources.tables import merge_replicates, sam_lines, transition_matrix, with_metadata
@@ -254,7 +255,7 @@ _LIKE = "ACGT" * 8
 @query(f"""with {READS}, s as (select cast(32 - hamming(dna, '{_LIKE}') as integer) as score, count(*) as n from reads group by all)
 select cast(r.i as integer) as score, coalesce(n, 0) as n, r.i >= 10 as passed from range(33) r(i) left join s on s.score = r.i""")
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
-    score = 32 - hamming(F.col("dna"), F.lit(_LIKE))
+    score = 32 - hamming(F.col("dna"), F.lit(_LIKE), 32)
     return rd.score_histogram(ad.reads(spark, d).select(score.alias("score")), "score", 32, 10)
 
 
@@ -313,7 +314,7 @@ def find_motif(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {READS} select read_id, cast(hamming(substr(dna, 1, 16), substr(dna, 17, 16)) as integer) as distance from reads")
 def half_distances(spark: SparkSession, d: str) -> DataFrame:
-    return ad.reads(spark, d).select("read_id", hamming(F.substring("dna", 1, 16), F.substring("dna", 17, 16)).alias("distance"))
+    return ad.reads(spark, d).select("read_id", hamming(F.substring("dna", 1, 16), F.substring("dna", 17, 16), 16).alias("distance"))
 
 
 @query(f"""with {READS}, ids as (select distinct substr(dna, 1, 8) as id from reads where not contains(dna, 'N'))
@@ -378,7 +379,7 @@ _SPACED = f"""{READS}, placed as (select read_id, sample, cast(coalesce(list_fil
   cast(coalesce(list_filter(range(0, 29), lambda i: hamming(substr(reverse(translate(dna, 'ACGT', 'TGCA')), cast(i as integer) + 1, 4), 'CATG') <= 1)[1], -1) as integer) as q from reads),
 spaced as (select read_id, sample, cast(case when p between 1 and 3 then 2 when p between 4 and 6 then 5 when p between 7 and 9 then 8 end as integer) as forward,
   cast(case when q between 1 and 3 then 2 when q between 4 and 6 then 5 when q between 7 and 9 then 8 end as integer) as reverse from placed),
-routes as (select cast(n_nationkey % 3 * 3 + 2 as integer) as forward, cast(n_nationkey // 3 % 3 * 3 + 2 as integer) as reverse, min(n_name) as sample from nation where n_nationkey < 7 group by all),
+routes as (select cast(n_nationkey % 3 * 3 + 2 as integer) as forward, cast(n_nationkey // 3 % 3 * 3 + 2 as integer) as reverse, min(n_name) as sample from nation group by all),
 routed as (select s.read_id, s.sample as file, s.forward, s.reverse, coalesce(r.sample, (select min_by(sample, t.reverse) from routes t where t.forward = s.forward), 'Failed') as assigned from spaced s left join routes r on r.forward = s.forward and r.reverse = s.reverse)"""
 
 
@@ -386,7 +387,7 @@ def _routed(spark: SparkSession, d: str) -> DataFrame:
     r = ad.reads(spark, d).select("read_id", F.col("sample").alias("file"), "dna").withColumn("dna2", reverse_complement(F.col("dna")))
     spaced = demux.with_spacers(demux.with_spacers(r, "dna", "ACGT", [2, 5, 8], 1, 1, "forward"), "dna2", "CATG", [2, 5, 8], 1, 1, "reverse")
     k = F.col("n_nationkey")
-    routes = ad.table(spark, d, "nation").where(k < 7).groupBy((k % 3 * 3 + 2).cast("int").alias("forward"), (F.floor(k / 3) % 3 * 3 + 2).cast("int").alias("reverse")).agg(F.min("n_name").alias("sample"))
+    routes = ad.table(spark, d, "nation").groupBy((k % 3 * 3 + 2).cast("int").alias("forward"), (F.floor(k / 3) % 3 * 3 + 2).cast("int").alias("reverse")).agg(F.min("n_name").alias("sample"))
     return demux.routed_by_spacer(spaced.drop("dna", "dna2"), routes)
 
 
@@ -485,13 +486,13 @@ def largest_cluster_share(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- quantification
 
-_RESIDUALS = f"""{COMBINED}, y as (select *, length(regexp_replace(id || barcode, '[^GC]', '', 'g')) as gcs, ln(cast(n0 + n1 as double)) as y from combined),
-residuals as (select *, y - avg(y) over (partition by sample, target) as residual from y)"""
-_FIT = f"""{_RESIDUALS}, ranked as (select gcs, residual, row_number() over (partition by gcs order by residual) as r, count(*) over (partition by gcs) as n from residuals),
+_RESIDUALS = f"""{COMBINED}, y as materialized (select *, length(regexp_replace(id || barcode, '[^GC]', '', 'g')) as gcs, ln(cast(n0 + n1 as double)) as y from combined),
+residuals as materialized (select *, y - avg(y) over (partition by sample, target) as residual from y)"""
+_FIT = f"""{_RESIDUALS}, ranked as materialized (select gcs, residual, row_number() over (partition by gcs order by residual) as r, count(*) over (partition by gcs) as n from residuals),
 points as materialized (select gcs, avg(residual) as trimmed, max(n) as n from ranked where r > floor(0.01 * n) and r <= n - floor(0.01 * n) group by gcs),
 sums as (select sum(n) as w, sum(n * gcs) as wx, sum(n * trimmed) as wy, sum(n * gcs * gcs) as wxx, sum(n * gcs * trimmed) as wxy from points),
 fit as materialized (select (wxy * w - wx * wy) / (wxx * w - wx * wx) as slope, (wy - (wxy * w - wx * wy) / (wxx * w - wx * wx) * wx) / w as intercept from sums)"""
-_CORRECTED = f"{_FIT}, corrected as (select r.*, exp(y - intercept - slope * gcs) as gc_corrected from residuals r, fit)"
+_CORRECTED = f"{_FIT}, corrected as materialized (select r.*, exp(y - (select intercept from fit) - (select slope from fit) * gcs) as gc_corrected from residuals r)"
 _SPIKES = f"""{_CORRECTED}, spike_sums as (select barcode, sum(gc_corrected) as s from corrected where target = '{SPIKE_BRAND}' group by barcode),
 spikes as materialized (select barcode, s / whole as share from spike_sums, (select sum(s) as whole from spike_sums) where s / whole > {QUANTIFY.spike_share})"""
 _CELLS = f"""{_SPIKES}, scales as (select sample, {QUANTIFY.spike_cells} / avg(gc_corrected) as scale from corrected where target = '{SPIKE_BRAND}' and barcode in (select barcode from spikes) group by sample),
@@ -525,6 +526,26 @@ def gc_fit_order1(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_corrected(spark, d), "gc_corrected", digits=5).select("sample", "target", "barcode", "gc_corrected")
 
 
+def _search_sql(orders: tuple[int, ...] = (2, 3, 4, 5, 6)) -> str:
+    """Weighted fits of all orders by orthogonal polynomials: each has its sums over the points, of which there is one for each GC count."""
+    steps, most = [f"{_FIT}, t0 as materialized (select gcs, cast(gcs as double) as x, trimmed as y, cast(n as double) as w, cast(1 as double) as p0 from points)"], max(orders)
+    for k in range(most + 1):
+        steps.append(f"n{k} as materialized (select sum(w * p{k} * p{k}) as d, sum(w * x * p{k} * p{k}) / sum(w * p{k} * p{k}) as a, sum(w * y * p{k}) / sum(w * p{k} * p{k}) as c from t{k})")
+        if k < most:
+            less = f" - (select d from n{k}) / (select d from n{k - 1}) * p{k - 1}" if k else ""
+            steps.append(f"t{k + 1} as materialized (select *, (x - (select a from n{k})) * p{k}{less} as p{k + 1} from t{k})")
+    fitted = {k: " + ".join(f"(select c from n{j}) * p{j}" for j in range(k + 1)) for k in orders}
+    whole = f"(select sum(w * (y - (select c from n0)) * (y - (select c from n0))) from t{most})"
+    steps.append("tried as materialized (" + " union all ".join(f"select {k} as k, 1 - (select sum(w * (y - ({fitted[k]})) * (y - ({fitted[k]}))) from t{most}) / {whole} * ((select count(*) from t{most}) - 1) / ((select count(*) from t{most}) - {k} - 1) as r2" for k in orders) + ")")
+    steps.append("best as materialized (select k from tried order by r2 desc, k limit 1)")
+    return f"with {', '.join(steps)} select cast(gcs as integer) as gcs, (select k from best) as \"order\", round(case (select k from best) {' '.join(f'when {k} then {fitted[k]}' for k in orders)} end, 6) as fitted from t{most}"
+
+
+@query(_search_sql())
+def gc_fit_search(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quantify.gc_fitted(_residuals(spark, d), QUANTIFY), "fitted")
+
+
 @query(f"with {_SPIKES} select barcode, round(share, 7) as share from spikes")
 def spike_infer(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quantify.spikes(_corrected(spark, d), QUANTIFY), "share", digits=7)
@@ -550,7 +571,7 @@ _TALLIES = f"""{READS}, tallies as (select sample, substr({_REF}, cast(r.i as in
 
 
 def _tallies(spark: SparkSession, d: str) -> DataFrame:
-    return denoise.transitions(ad.reads(spark, d), F.translate(F.md5(F.lit("reference").cast("binary")), ad.HEX, ad.BASES))
+    return denoise.transitions(ad.reads(spark, d), hashlib.md5(b"reference").hexdigest().translate(str.maketrans(ad.HEX, ad.BASES)))
 
 
 @query(f"with {_TALLIES} select sample, mutation, phred, n from tallies")
@@ -588,6 +609,53 @@ def transition_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
     return transition_matrix(_tallies(spark, d), 40)
 
 
+_REFERENCED = f"""{ad.REFERENCED}, tallies as (select substr(reference, cast(r.i as integer), 1) || '2' || substr(dna, cast(r.i as integer), 1) as mutation, cast(ascii(substr(qc, cast(r.i as integer), 1)) - 33 as integer) as phred, count(*) as n
+  from reads, range(1, 33) r(i) group by all)"""
+_BASE = "(values ('A'), ('C'), ('G'), ('T'))"
+_LOESS = f"""{_REFERENCED}, grid as materialized (
+  select m.mutation, p.phred, coalesce(c.n, 0) as n, cast(sum(coalesce(c.n, 0)) over (partition by m.mutation[1], p.phred) as double) as total
+  from (select a || '2' || b as mutation from {_BASE} t(a), {_BASE} u(b)) m cross join (select unnest(range(0, (select max(phred) + 1 from tallies))) as phred) p left join tallies c on c.mutation = m.mutation and c.phred = p.phred),
+points as materialized (select mutation, cast(phred as double) as x, log10((n + 1) / total) as y, total as w from grid where mutation[1] <> mutation[3] and total > 0),
+ends as (select mutation, min(x) as f, max(x) as l, cast(greatest(1, floor(count(*) * 0.75 + 1e-5)) as integer) as k from points group by mutation),
+spread as materialized (select g.mutation, g.phred, k, p.x - least(greatest(cast(g.phred as double), f), l) as u, p.y, p.w from grid g join ends e on e.mutation = g.mutation join points p on p.mutation = g.mutation),
+reach as (select mutation, phred, list_sort(list(abs(u)))[max(k)] as h from spread group by all),
+weighed as (select s.mutation, s.phred, u, y, w * case when h > 0 then pow(1 - pow(least(abs(u) / h, 1.0), 3), 3) else cast(u = 0 as integer) end as v from spread s join reach r on r.mutation = s.mutation and r.phred = s.phred),
+sums as (select mutation, phred, {', '.join(f'sum(v * pow(u, {k})) as s{k}' for k in range(5))}, {', '.join(f'sum(v * pow(u, {k}) * y) as t{k}' for k in range(3))} from weighed group by all),
+wrong as materialized (select s.mutation, s.phred, g.n, least(greatest(pow(10.0, {errormodel.QUADRATIC}), {errormodel.LEAST_RATE}), {errormodel.MOST_RATE}) as rate from sums s join grid g on g.mutation = s.mutation and g.phred = s.phred),
+model as materialized (select mutation, phred, n, rate from wrong
+  union all select g.mutation, g.phred, g.n, 1 - (select sum(rate) from wrong w where w.mutation[1] = g.mutation[1] and w.phred = g.phred) as rate from grid g where g.mutation[1] = g.mutation[3])"""
+
+
+def _model(spark: SparkSession, d: str) -> DataFrame:
+    return errormodel.loess_rates(denoise.transitions(ad.referenced(spark, d), F.col("reference")))
+
+
+@query(f"with {_LOESS} select mutation, phred, n, round(rate, 9) as rate from model")
+def loess_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_model(spark, d), "rate", digits=9)
+
+
+@query(f"""with {_LOESS} select cast((phred >= 10)::int + (phred >= 20)::int + (phred >= 25)::int + (phred >= 30)::int + (phred >= 35)::int as integer) as cohort, min(phred) as low, cast(sum(n) as bigint) as n,
+  round(sum(case when mutation[1] <> mutation[3] then n else 0 end) / nullif(sum(n), 0), 9) as error, round(1 - avg(case when mutation[1] = mutation[3] then rate end), 9) as smoothed from model group by 1""")
+def loess_cohorts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(errormodel.cohort_rates(_model(spark, d)), "error", "smoothed", digits=9)
+
+
+@query()
+def trained_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Training reads are those of one molecule a sample."""
+    reads = rd.mean_qualities(rd.without_degenerate(ad.amplified(spark, d, molecules=1)))
+    return errormodel.trained(reads)[0]
+
+
+@query()
+def divided_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of whole reads of many molecules a sample under the rates that the training reads show."""
+    reads = rd.mean_qualities(rd.without_degenerate(ad.amplified(spark, d)))
+    model = errormodel.rates_of(trained_error_rates(spark, d))
+    return errormodel.clusters(reads, model)
+
+
 # ---- kernels, tested against plain versions
 
 TEMPLATE = Template("ACGTTGCA" + "N" * 29 + "CATGGACT", flank=8)
