@@ -131,8 +131,14 @@ def mixtures(x: np.ndarray, n: np.ndarray, parts: int, starts: int = 50, seed: i
     return *out, best
 
 
-def ratio_mixtures(ratios: DataFrame, bins: int = 64, most: float = 0.5) -> DataFrame:
-    """a, b, mean, spread, weight, bic, contaminant, fraction: the mixture's narrow component, if there is just one, over each pair's bounded histogram."""
+def ratio_mixtures(ratios: DataFrame, bins: int = 64, least: float = 0.05, most: float = 0.25) -> DataFrame:
+    """a, b, mean, spread, weight, bic, contaminant, fraction: the mixture's contaminating component over each pair's bounded histogram.
+
+    A component may be one whose mean ratio (the square of its mean) lies between 1 and 1 / least, whose squared
+    weight is over least and whose spread is at most most; if there is exactly one and the mixture's BIC is
+    negative, the pair is contaminated, and fraction is b's share in it.  mean, spread, weight and fraction are
+    null unless there is exactly one.
+    """
 
     @F.pandas_udf("mean double, spread double, weight double, bic double, contaminant boolean, fraction double")
     def fit(histogram: pd.Series) -> pd.DataFrame:
@@ -148,9 +154,11 @@ def ratio_mixtures(ratios: DataFrame, bins: int = 64, most: float = 0.5) -> Data
                 x[i, : lengths[at]] = [(r["bin"] + 0.5) / bins for r in histogram.iloc[at]]
                 n[i, : lengths[at]] = [r["n"] for r in histogram.iloc[at]]
             for at, mean, spread, weight, bic in zip(few, *mixtures(x, n, parts=min(3, int(lengths[few].min()))), strict=True):
-                narrow = np.flatnonzero((spread / mean < most) & (weight > 0.1))
-                k = int(narrow[0]) if len(narrow) else 0
-                rows[at] = (mean[k], spread[k], weight[k], bic, len(narrow) == 1 and bic < 0, 1 / (1 + mean[k] ** 2))
+                fits = np.flatnonzero((mean**2 > 1) & (mean**2 < 1 / least) & (weight**2 > least) & (spread <= most))
+                alone = len(fits) == 1
+                k = int(fits[0]) if alone else 0
+                own = (mean[k], spread[k], weight[k]) if alone else (None, None, None)
+                rows[at] = (*own, bic, alone and bic < 0, 1 / (1 + mean[k] ** 2) if alone else None)
         return pd.DataFrame(rows, columns=["mean", "spread", "weight", "bic", "contaminant", "fraction"])
 
     listed = ratios.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"))

@@ -111,11 +111,11 @@ TUMORS = """tumors as (
   from lineitem join part on l_partkey = p_partkey)"""
 
 
-def contaminated(spark: SparkSession, sf_dir: str, every: int = 25) -> DataFrame:
-    """tumors(), and a hundredth of each tumour of one sample in every once more in the next sample."""
+def contaminated(spark: SparkSession, sf_dir: str, every: int = 25, share: int = 100) -> DataFrame:
+    """tumors(), and one in share cells of each tumour of one sample in every once more in the next sample."""
     own = tumors(spark, sf_dir)
     number = F.col("sample").cast("long")
-    return own.unionByName(own.where(number % every == 0).withColumns({"sample": (number + 1).cast("string"), "cells": F.col("cells") / 100}))
+    return own.unionByName(own.where(number % every == 0).withColumns({"sample": (number + 1).cast("string"), "cells": F.col("cells") / share}))
 
 
 CONTAMINATED = f"""{TUMORS}, contaminated as (

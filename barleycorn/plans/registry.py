@@ -702,6 +702,40 @@ def inert_p_values(spark: SparkSession, d: str) -> DataFrame:
     return resample.inert_p_values(ad.tumors(spark, d), INERT_BRANDS, 300)
 
 
+@query()
+def ln_mean_summary(spark: SparkSession, d: str) -> DataFrame:
+    return resample.ln_mean_summary(ad.tumors(spark, d), INERT_BRANDS, replicates=300)
+
+
+@query()
+def percentile_table(spark: SparkSession, d: str) -> DataFrame:
+    return resample.percentile_table(ad.tumors(spark, d), INERT_BRANDS)
+
+
+@query()
+def bootstrap_within_samples(spark: SparkSession, d: str) -> DataFrame:
+    t = ad.tumors(spark, d)
+    return resample.intervals(resample.ln_means_of(resample.level_sums(t, ["target"], ["sample"], 200)), tumors.ln_means(t))
+
+
+_LARGE = 80_000
+
+
+@query(f"""with recursive {TUMORS}, sized as materialized (
+  select sample, target, count(*) as n, list(ln(cells) order by cells) as ys from tumors where cells > {_LARGE} group by all having count(*) <= 5),
+picks(n, p) as (
+  select n, [i] from (select distinct n from sized), range(1, 6) r(i) where i <= n
+  union all select n, list_append(p, j) from picks, range(1, 6) r(j) where len(p) < n and j >= p[len(p)] and j <= n),
+drawn as (select sample, target, ys, list_transform(p, lambda i: ys[i]) as y from sized s join picks k on k.n = s.n where len(p) = k.n),
+boots as (select sample, target, exp(list_avg(y) + greatest(0, list_avg(list_transform(y, lambda v: v * v)) - list_avg(y) * list_avg(y)) / 2) as b,
+  exp(list_avg(ys) + greatest(0, list_avg(list_transform(ys, lambda v: v * v)) - list_avg(ys) * list_avg(ys)) / 2) as ln_mean from drawn)
+select sample, target, count(*) as multisets, round(max(ln_mean), 4) as ln_mean, round(quantile_cont(b, 0.025), 4) as low, round(quantile_cont(b, 0.975), 4) as high from boots group by all""")
+def enumerated_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Of the large tumours of a sample and target, where they are few."""
+    boot = resample.enumerated(ad.tumors(spark, d).where(F.col("cells") > _LARGE), ("sample", "target"), most=5)
+    return rounded(resample.enumerated_intervals(boot, ("sample", "target")), "ln_mean", "low", "high", digits=4)
+
+
 @query()
 def power_analysis(spark: SparkSession, d: str) -> DataFrame:
     return resample.power(ad.tumors(spark, d), [10, 50], inerts=INERT_BRANDS)
@@ -719,8 +753,9 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def contamination_mixture(spark: SparkSession, d: str) -> DataFrame:
-    t = ad.tumors(spark, d).groupBy("sample", "target", "barcode").agg(F.sum("cells").alias("cells"))
-    return cohorts.ratio_mixtures(cohorts.size_ratios(t))
+    """For the pairs of samples that share more large barcodes than chance brings."""
+    t = ad.contaminated(spark, d, share=10).groupBy("sample", "target", "barcode").agg(F.sum("cells").alias("cells"))
+    return cohorts.ratio_mixtures(cohorts.size_ratios(t, cohorts.contaminated_pairs(t, 1000.0, alpha=0.01)))
 
 
 @query()
