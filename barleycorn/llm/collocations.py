@@ -4,7 +4,8 @@ Candidates are Apriori-safe: a phrase is looked for only if its two parts withou
 word can be frequent.  What can be frequent is told by occurrences in hashed buckets, of which there are a fixed
 number, so that nothing that grows with the corpus is broadcast for it, and nothing frequent is missed.
 
-Candidates are dealt out to tries of bounded size, each built in a task.  A trie's symbols are the halves of a
+Candidates are dealt out to tries of bounded size by a hash of their first two words, each built in a task, so that
+a position in a text belongs to one trie.  A trie's symbols are the halves of a
 word's number; it is a double array, where the child of state s by symbol c is base[s] + c if check has s there.
 Tasks take the texts as byte arrays, and numpy advances the states of all words' positions at once, word by word;
 accepting states are counted by bincount.  A few tries are broadcast at a time; their shards of counts are summed.
@@ -48,7 +49,7 @@ class Phrases:
     percent: int = 50
     top: int = 2000
     bits: int = 26
-    shard: int = 1 << 17
+    shard: int = 1 << 19
     at_once: int = 8
 
 
@@ -67,6 +68,12 @@ class Tokens:
         of = lambda names: pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False)
         return of(self.langs)[self.lang], of(self.words)[self.code]
 
+    def pairs(self) -> np.ndarray:
+        """Numbers of a language, a word and the next one, by position but the last, which deal phrases to tries."""
+        lang, word = self.hashes()
+        with np.errstate(over="ignore"):
+            return (mixed(mixed(lang, word)[:-1], word[1:]) >> np.uint64(1)).astype(np.int64)
+
 
 def slices(data: np.ndarray, offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of bytes that end where a text or, in a long one, a piece ends."""
@@ -141,15 +148,15 @@ def grams(t: Tokens, maps: dict[int, np.ndarray], longest: int, bits: int) -> It
                 possible = fits & ((maps[k][bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def spelled(t: Tokens, at: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
-    """The distinct languages and phrases of k words at some positions."""
+def spelled(t: Tokens, at: np.ndarray, k: int, pairs: np.ndarray) -> list[pa.Array]:
+    """The distinct languages and phrases of k words at some positions, with the numbers of their first two words."""
     size, key = len(t.words), t.lang[at]
     for j in range(k):
         if j:
             key = np.unique(key, return_inverse=True)[1]
         key = key * size + t.code[at + j]
     at = at[np.unique(key, return_index=True)[1]]
-    return t.langs.take(pa.array(t.lang[at])), pc.binary_join_element_wise(*[t.words.take(pa.array(t.code[at + j])) for j in range(k)], " ")
+    return [t.langs.take(pa.array(t.lang[at])), pc.binary_join_element_wise(*[t.words.take(pa.array(t.code[at + j])) for j in range(k)], " "), pa.array(pairs[at])]
 
 
 def merged(tables: list[pa.Table], by: list[str], sums: bool) -> list[pa.Table]:
@@ -159,7 +166,7 @@ def merged(tables: list[pa.Table], by: list[str], sums: bool) -> list[pa.Table]:
     return [pa.table([out[c] for c in by] + ([out["n_sum"]] if sums else []), names=[*by, *(["n"] if sums else [])])]
 
 
-def gathered(found: Iterator[pa.Table], by: list[str], sums: bool, most: int = 1 << 20) -> Iterator[pa.Table]:
+def gathered(found: Iterator[pa.Table], by: list[str], sums: bool, most: int = 1 << 21) -> Iterator[pa.Table]:
     """The tables merged as far as most rows go."""
     held: list[pa.Table] = []
     fresh = 0
@@ -168,7 +175,7 @@ def gathered(found: Iterator[pa.Table], by: list[str], sums: bool, most: int = 1
         fresh += table.num_rows
         if fresh > most:
             held, fresh = merged(held, by, sums), 0
-            if held[0].num_rows > most // 2:
+            if held[0].num_rows > most:
                 yield held.pop()
     if held:
         yield merged(held, by, sums)[0]
@@ -256,7 +263,7 @@ def bitmap(found: DataFrame, how: Phrases) -> np.ndarray:
 
 
 def candidates(texts: DataFrame, maps, how: Phrases) -> DataFrame:
-    """(lang, phrase): the distinct Apriori-safe phrases of the texts."""
+    """(lang, phrase, pair): the distinct Apriori-safe phrases of the texts, with the numbers of their first two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = maps.value
@@ -264,16 +271,17 @@ def candidates(texts: DataFrame, maps, how: Phrases) -> DataFrame:
         def phrases() -> Iterator[pa.Table]:
             for batch in batches:
                 for t in tokens(batch):
+                    pairs = t.pairs()
                     for k, at, bucket in grams(t, known, how.longest, how.bits):
                         b = bucket[at]
                         at = at[((known[k][b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
                         if len(at):
-                            yield pa.table(list(spelled(t, at, k)), names=["lang", "phrase"])
+                            yield pa.table(spelled(t, at, k, pairs), names=["lang", "phrase", "pair"])
 
-        for table in gathered(phrases(), ["lang", "phrase"], False):
+        for table in gathered(phrases(), ["lang", "phrase", "pair"], False):
             yield from table.to_batches(max_chunksize=ROWS)
 
-    return written(texts.mapInArrow(run, "lang string, phrase string").distinct(), "candidates")
+    return written(texts.mapInArrow(run, "lang string, phrase string, pair long").distinct(), "candidates")
 
 
 # ---- double arrays
@@ -380,12 +388,12 @@ def advanced(made: dict, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndar
     return ok, to[ok]
 
 
-def accepted(made: dict, t: Tokens, longest: int) -> Iterator[np.ndarray]:
-    """The states that positions reach with each word after the first."""
+def accepted(made: dict, t: Tokens, at: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """The states that the positions at reach with each word after the first."""
     of_word, of_lang = (pc.fill_null(pc.index_in(have, value_set=made[what]), -1).to_numpy(zero_copy_only=False).astype(np.int64) for have, what in ((t.words, "words"), (t.langs, "langs")))
-    code, state = of_word[t.code], of_lang[t.lang]
-    at = np.flatnonzero((code >= 0) & (state >= 0))
-    state = state[at]
+    code, state = of_word[t.code], of_lang[t.lang[at]]
+    on = (code[at] >= 0) & (state >= 0)
+    at, state = at[on], state[on]
     for k in range(longest):
         if k:
             on = t.joined[at + k - 1]
@@ -399,17 +407,31 @@ def accepted(made: dict, t: Tokens, longest: int) -> Iterator[np.ndarray]:
             yield state
 
 
-def counts(texts: DataFrame, tries: dict, how: Phrases) -> DataFrame:
-    """(shard, state, n) of the accepting states of the broadcast tries."""
+def counts(texts: DataFrame, tries: dict, shards: int, how: Phrases) -> DataFrame:
+    """(shard, state, n) of the accepting states of the broadcast tries, of shards in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = {k: b.value for k, b in tries.items()}
         sums = {k: np.zeros(len(m["check"]), np.int64) for k, m in made.items()}
+        held: dict[int, list[np.ndarray]] = {k: [] for k in made}
+
+        def add(k: int) -> None:
+            sums[k] += np.bincount(np.concatenate([np.empty(0, np.int64), *held[k]]), minlength=len(sums[k]))
+            held[k].clear()
+
         for batch in batches:
             for t in tokens(batch):
+                at = np.flatnonzero(t.joined[:-1])
+                shard = t.pairs()[at] % shards
+                order = np.argsort(shard, kind="stable")
+                at, shard = at[order], shard[order]
                 for k, m in made.items():
-                    for state in accepted(m, t, how.longest):
-                        sums[k] += np.bincount(state, minlength=len(sums[k]))
+                    own = at[np.searchsorted(shard, k) : np.searchsorted(shard, k, "right")]
+                    held[k] += accepted(m, t, own, how.longest)
+                    if sum(map(len, held[k])) > 1 << 20:
+                        add(k)
+        for k in made:
+            add(k)
         for k, n in sums.items():
             at = np.flatnonzero(n)
             for low in range(0, len(at), ROWS):
@@ -431,7 +453,7 @@ def frequent_phrases(texts: DataFrame, found: DataFrame, how: Phrases) -> DataFr
         head = pd.DataFrame({"shard": [shard], "state": [-1], "lang": [None], "phrase": [None], "trie": [frozen(made)]})
         return pd.concat([head, pd.DataFrame({"shard": shard, "state": state, "lang": lang, "phrase": phrase, "trie": None})])
 
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
+    dealt = found.select("lang", "phrase", (F.col("pair") % shards).cast("int").alias("shard"))
     # one group a shard, of how.shard phrases or so
     made = written(dealt.groupBy("shard").applyInPandas(build, "shard int, state int, lang string, phrase string, trie binary"), "tries")
     out = []
@@ -440,7 +462,7 @@ def frequent_phrases(texts: DataFrame, found: DataFrame, how: Phrases) -> DataFr
         for k in range(low, min(shards, low + how.at_once)):
             for row in made.where((F.col("state") == -1) & (F.col("shard") == k)).select("trie").collect():
                 tries[k] = spark.sparkContext.broadcast(thawed(bytes(row["trie"])))
-        out.append(written(counts(texts, tries, how).where(F.col("n") >= how.least), "counts"))
+        out.append(written(counts(texts, tries, shards, how).where(F.col("n") >= how.least), "counts"))
         for b in tries.values():
             b.unpersist()
     total = out[0]
