@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import dropped, let, light, written
 
 #: Cells of the table of word frequencies, an array of this many small numbers whatever the input's size.
-CELLS = 1 << 20
+CELLS = 1 << 22
 #: Lines of more distinct words have a second bitmap.
 LONG = 40
 #: A line's rarest words by which it finds an earliest line; parts of the lines of a common word, each with its own.
@@ -86,20 +86,23 @@ def rare_first(line: Column, ranks: Column) -> Column:
 
 
 def with_prefix(lines: DataFrame, ranks: Column, how: Similar) -> DataFrame:
-    """LINE, n, h and g (a digest of the set), bits and more (the parity of words by bit), prefix, and crowded: the place from which its words are common ones, HEADS at most.
+    """LINE, n, h and g (a digest of the set), bits and more (the parity of words by bit), prefix, and crowded: how many of its first HEADS words aren't common ones.
 
-    A line of n words shares one of its first n - ceil(t n) + 1 with any similar line.
+    A line of n words shares one of its first n - ceil(t n) + 1 with any similar line.  Of these prefix has the
+    words that occur more than once, each as its place in the line above and its hash below.
     """
     n, long = F.col("n"), F.col("n") > LONG
+    first = F.slice("tokens", 1, F.greatest(F.lit(0), n - F.expr(f"({how.percent} * n + 99) div 100").cast("int") + 1))
+    known = F.filter(first, lambda t: F.shiftright(t, 56) > 0)
+    packed = F.transform(first, lambda t, k: F.when(F.shiftright(t, 56) > 0, F.shiftleft(k.cast("long"), 32).bitwiseOR(F.hash(t).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
     sized = lines.select(*LINE, rare_first(F.col("text"), ranks).alias("tokens")).withColumn("n", F.size("tokens"))
     flip = "a ^ shiftleft(1L, int(t & 63))"
     parity = lambda step: F.expr(f"aggregate(tokens, 0L, (a, t) -> {step})")
-    first = F.slice("tokens", 1, F.greatest(F.lit(0), n - F.expr(f"({how.percent} * n + 99) div 100").cast("int") + 1))
     return sized.select(
         *LINE, "n", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"),
         # a bitmap for each half of a long line's words
         F.when(long, parity(f"if(t & 64 = 0, {flip}, a)")).otherwise(parity(flip)).alias("bits"), F.when(long, parity(f"if(t & 64 = 0, a, {flip})")).alias("more"),
-        F.transform(first, lambda t: F.hash(t)).alias("prefix"), F.size(F.filter(F.slice(first, 1, HEADS), lambda t: F.shiftright(t, 56) < rank(F.lit(how.crowd)))).alias("crowded"),
+        F.array_compact(packed).alias("prefix"), F.size(F.filter(F.slice(known, 1, HEADS), lambda t: F.shiftright(t, 56) < rank(F.lit(how.crowd)))).alias("crowded"),
     )
 
 
@@ -131,9 +134,9 @@ def both_ends() -> list[Column]:
 
 def earliest(rows: DataFrame, how: Similar) -> DataFrame:
     """Pairs of a line and the earliest one of a word; of a common word, of the line's part of it."""
-    part = F.when(F.col("place") >= F.col("crowded"), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    part = F.when(F.col("k") >= F.col("crowded"), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
     few = ("n", "bits", "more", "place", "done")
-    heads = rows.where(F.col("place") < HEADS).select("token", part.alias("part"), *LINE, *few)
+    heads = rows.where(F.col("k") < HEADS).select("token", part.alias("part"), *LINE, *few)
     first = F.first(F.struct(*LINE, *few)).over(Window.partitionBy("token", "part").orderBy(*LINE))
     return heads.withColumn("b", first).alias("a").where(allowed(how)).select(*both_ends())
 
@@ -182,7 +185,8 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     # a line of n words has n / (n + 1) at most in common with another set: shorter ones match equal sets only
     long_enough = f"100 * n >= {how.percent} * (n + 1)"
     reps = placed.where("not again").where(long_enough).select(*LINE, "n", "bits", "more", "crowded", "prefix")
-    words = lambda df: df.select(*[c for c in df.columns if c != "prefix"], F.posexplode("prefix").alias("place", "token"))
+    exploded = lambda df: df.select(*[c for c in df.columns if c != "prefix"], F.posexplode("prefix").alias("k", "packed"))
+    words = lambda df: exploded(df).withColumns({"place": F.shiftright("packed", 32).cast("int"), "token": F.shiftright(F.shiftleft("packed", 32), 32).cast("int")}).drop("packed")
     # each line's nearest one is enough here
     first = verified(written(nearest(earliest(words(reps.withColumn("prefix", F.slice("prefix", 1, HEADS)).withColumn("done", F.lit(False))), how)), "nearest"), docs, how)
     # those that are left look at all lines, and again at the nearest one first
