@@ -24,7 +24,27 @@ def matrix(scoring: Scoring, n_score: int = 0) -> np.ndarray:
     return m
 
 
-def encode(dna: str) -> np.ndarray:
+class Letters:
+    """An alphabet and the scores of its pairs; small letters count as capital ones, and what isn't in it as *, X or N, the first that is."""
+
+    def __init__(self, letters: list[str], scores: list[list[int]]):
+        self.scores = np.array(scores, np.int32)
+        if self.scores.shape != (len(letters), len(letters)) or not letters:
+            raise ValueError("a square matrix of the letters' scores is needed")
+        other = next((letters.index(c) for c in "*XN" if c in letters), None)
+        if other is None:
+            raise ValueError("no letter stands for others")
+        self.codes = np.full(256, other, np.int8)
+        for k, c in enumerate(letters):
+            self.codes[[ord(c.upper()), ord(c.lower())]] = k
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.codes[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+
+
+def encode(dna: str, letters: Letters | None = None) -> np.ndarray:
+    if letters is not None:
+        return letters.encode(dna)
     return CODES[np.frombuffer(dna.encode("latin-1", "replace"), np.uint8)]
 
 
@@ -83,12 +103,13 @@ def cigar(runs: list[tuple[str, int]]) -> str:
     return "".join(f"{n}{op}" for op, n in runs)
 
 
-def align(reads: list[str], reference: str, scoring: Scoring = Scoring(), mask: int = 15, n_score: int = 0, cells: int = 4_000_000) -> list[dict]:
+def align(reads: list[str], reference: str, scoring: Scoring = Scoring(), mask: int = 15, n_score: int = 0, cells: int = 4_000_000, letters: Letters | None = None) -> list[dict]:
     """The best local alignment of each read: score, score2 (best end elsewhere, mask bases off), 0-based inclusive ends and begins, CIGAR.
 
     The end is the first place of the reference that reaches the score, then the first of the read.
+    letters: scores by a substitution matrix in place of match and mismatch.
     """
-    ref, scores = encode(reference), matrix(scoring, n_score)
+    ref, scores = encode(reference, letters), matrix(scoring, n_score) if letters is None else letters.scores
     out: list[dict] = [{} for _ in reads]
     by_length: dict[int, list[int]] = {}
     for k, read in enumerate(reads):
@@ -97,7 +118,7 @@ def align(reads: list[str], reference: str, scoring: Scoring = Scoring(), mask:
         step = max(1, cells // ((len(ref) + 1) * (length + 1)))
         for at in range(0, len(where), step):
             few = where[at : at + step]
-            coded = np.stack([encode(reads[k]) for k in few]) if length else np.zeros((len(few), 0), np.int8)
+            coded = np.stack([encode(reads[k], letters) for k in few]) if length else np.zeros((len(few), 0), np.int8)
             h, e, f = fill(coded, ref, scores, scoring)
             columns = h.max(2)
             best = columns.max(1)
@@ -116,12 +137,12 @@ def align(reads: list[str], reference: str, scoring: Scoring = Scoring(), mask:
     return out
 
 
-def best_scores(reads: np.ndarray, reference: str, scoring: Scoring = Scoring(), n_score: int = 0) -> np.ndarray:
-    """The score of the best local alignment of each coded read of one length; axes: read, place.
+def best_scores(reads: np.ndarray, reference: str, scoring: Scoring = Scoring(), n_score: int = 0, letters: Letters | None = None) -> np.ndarray:
+    """The score of the best local alignment of each coded read of one length; axes: read, place.  letters: as in align().
 
     Rows of the programme are the places of the reference; only the last one is kept.
     """
-    ref, scores = encode(reference), matrix(scoring, n_score).astype(np.int32)
+    ref, scores = encode(reference, letters), matrix(scoring, n_score) if letters is None else letters.scores
     n, length = reads.shape
     by_base = {b: np.ascontiguousarray(scores[b][reads].T) for b in set(ref.tolist())}
     h, e = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -(10**6), np.int32)

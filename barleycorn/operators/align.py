@@ -64,6 +64,24 @@ def align_all_pairs(queries: DataFrame, targets: list[tuple[str, str]], scoring:
     return out
 
 
+#: Columns of an alignment by a substitution matrix.
+SCORED = "dna string, score int, score2 int, ref_begin int, ref_end int, read_begin int, read_end int, ref_end2 int, cigar string"
+
+
+def align_by_matrix(sequences: DataFrame, reference: str, letters: al.Letters, scoring: Scoring = Scoring(), least: int = 1) -> DataFrame:
+    """The best local alignment of each distinct dna with a reference, of proteins or of bases with ambiguity codes: scores of pairs by letters, gaps by scoring.  Alignments that score less than least go, null and empty sequences too."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in SCORED.split(", ")]
+        for frame in frames:
+            for at in range(0, len(frame), 4096):
+                texts = frame["dna"].iloc[at : at + 4096].tolist()
+                found = al.align(texts, reference, scoring, letters=letters)
+                yield pd.DataFrame([(t, *[f[c] for c in names[1:]]) for t, f in zip(texts, found, strict=True) if f["score"] >= least], columns=names)
+
+    return sequences.select("dna").where("dna <> ''").distinct().mapInPandas(run, SCORED)
+
+
 def mapping_quality(score: Column, second: Column) -> Column:
     apart = F.abs(score - second) / F.greatest(score, F.lit(1))
     return F.when(score == second, 0).otherwise(F.least(F.lit(254), F.floor(F.floor(-4.343 * F.ln(F.greatest(1 - apart, F.lit(1e-30)))) + 4.99))).cast("int")
@@ -108,7 +126,7 @@ def outcomes(classed: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total.scalar())
 
 
-def best_hits(queries: DataFrame, targets: DataFrame, scoring: Scoring = Scoring(mismatch=-2), most_e: float = 1e-10, lam: float = 1.28, k: float = 0.46) -> DataFrame:
+def best_hits(queries: DataFrame, targets: DataFrame, scoring: Scoring = Scoring(mismatch=-2), most_e: float = 1e-10, lam: float = 1.28, k: float = 0.46, letters: al.Letters | None = None) -> DataFrame:
     """dna, target, score, e of each distinct query's best target, the last by name of the best, by Karlin and Altschul's expectation over all targets' bases.
 
     targets: name, sequence; a small table, of which each task has a copy.  Each distinct query meets all
@@ -122,10 +140,10 @@ def best_hits(queries: DataFrame, targets: DataFrame, scoring: Scoring = Scoring
             for _, same in frame.groupby(frame["dna"].str.len()):
                 for at in range(0, len(same), 4096):
                     dna = same["dna"].iloc[at : at + 4096]
-                    coded = np.stack([al.encode(d) for d in dna])
+                    coded = np.stack([al.encode(d, letters) for d in dna])
                     found, score = np.zeros(len(dna), np.int64), np.full(len(dna), -1, np.int32)
                     for t, (_, sequence) in enumerate(known):
-                        own = al.best_scores(coded, sequence, scoring)
+                        own = al.best_scores(coded, sequence, scoring, letters=letters)
                         better = own >= score
                         found[better], score[better] = t, own[better]
                     yield pd.DataFrame({"dna": dna.to_numpy(), "target": [known[t][0] for t in found], "score": score})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Classify, Scoring, Template
+from ..functions.alignment import Letters
 from ..functions.estimators import ln_mean, percentile_of_score, stars, two_sided
 from ..functions.sequence import degenerate, expected_errors, find_with_substitutions, gc_count, hamming, longest_run, passes_chastity, reverse_complement
 from ..operators import align, annotate, cohorts, demux, denoise, errormodel, fits, multiple, pairs, quantify, resample, tumors
@@ -675,6 +676,22 @@ def sw_align(spark: SparkSession, d: str) -> DataFrame:
     return align.align_reads(_amplicons(spark, d), TEMPLATE.reference, STRICT).withColumn("mapq", align.mapping_quality(F.col("score"), F.col("score2")))
 
 
+#: The sets of bases that ambiguity codes stand for.
+AMBIGUOUS = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+
+
+def ambiguity_letters(match: int = 4, mismatch: int = -4) -> Letters:
+    """Scores by the share of base pairs of two codes that are alike."""
+    share = lambda a, b: len(set(AMBIGUOUS[a]) & set(AMBIGUOUS[b])) / (len(AMBIGUOUS[a]) * len(AMBIGUOUS[b]))
+    return Letters([*AMBIGUOUS], [[round(share(a, b) * match + (1 - share(a, b)) * mismatch) for b in AMBIGUOUS] for a in AMBIGUOUS])
+
+
+@query()
+def align_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """Reads against a reference with codes for several bases."""
+    return align.align_by_matrix(_amplicons(spark, d), "ACGTYGCA" + "W" * 4 + "N" * 21 + "S" * 4 + "CATGRACT", ambiguity_letters(), Scoring(gap_open=6, gap_extend=1), least=40)
+
+
 @query()
 def classify_reads(spark: SparkSession, d: str) -> DataFrame:
     how = Classify(training_flank=6, cluster_flank=6)
