@@ -53,6 +53,17 @@ class Phrases:
     at_once: int = 8
 
 
+def hashed(names: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings."""
+    return pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
+def paired(lang: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A positive number for the hashes of a language and two words."""
+    with np.errstate(over="ignore"):
+        return (mixed(mixed(lang, one), two) >> np.uint64(1)).astype(np.int64)
+
+
 @dataclass
 class Tokens:
     """Words of a slice of texts: number among the distinct words, index of the language, and whether the next word stands in the same piece."""
@@ -65,14 +76,12 @@ class Tokens:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hashes of the languages and words by position."""
-        of = lambda names: pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-        return of(self.langs)[self.lang], of(self.words)[self.code]
+        return hashed(self.langs)[self.lang], hashed(self.words)[self.code]
 
     def pairs(self) -> np.ndarray:
         """Numbers of a language, a word and the next one, by position but the last, which deal phrases to tries."""
         lang, word = self.hashes()
-        with np.errstate(over="ignore"):
-            return (mixed(mixed(lang, word)[:-1], word[1:]) >> np.uint64(1)).astype(np.int64)
+        return paired(lang[:-1], word[:-1], word[1:])
 
 
 def slices(data: np.ndarray, offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -148,15 +157,15 @@ def grams(t: Tokens, maps: dict[int, np.ndarray], longest: int, bits: int) -> It
                 possible = fits & ((maps[k][bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def spelled(t: Tokens, at: np.ndarray, k: int, pairs: np.ndarray) -> list[pa.Array]:
-    """The distinct languages and phrases of k words at some positions, with the numbers of their first two words."""
+def spelled(t: Tokens, at: np.ndarray, k: int) -> list[pa.Array]:
+    """The distinct languages and phrases of k words at some positions."""
     size, key = len(t.words), t.lang[at]
     for j in range(k):
         if j:
             key = np.unique(key, return_inverse=True)[1]
         key = key * size + t.code[at + j]
     at = at[np.unique(key, return_index=True)[1]]
-    return [t.langs.take(pa.array(t.lang[at])), pc.binary_join_element_wise(*[t.words.take(pa.array(t.code[at + j])) for j in range(k)], " "), pa.array(pairs[at])]
+    return [t.langs.take(pa.array(t.lang[at])), pc.binary_join_element_wise(*[t.words.take(pa.array(t.code[at + j])) for j in range(k)], " ")]
 
 
 def merged(tables: list[pa.Table], by: list[str], sums: bool) -> list[pa.Table]:
@@ -263,7 +272,7 @@ def bitmap(found: DataFrame, how: Phrases) -> np.ndarray:
 
 
 def candidates(texts: DataFrame, maps, how: Phrases) -> DataFrame:
-    """(lang, phrase, pair): the distinct Apriori-safe phrases of the texts, with the numbers of their first two words."""
+    """(lang, phrase): the distinct Apriori-safe phrases of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = maps.value
@@ -271,17 +280,16 @@ def candidates(texts: DataFrame, maps, how: Phrases) -> DataFrame:
         def phrases() -> Iterator[pa.Table]:
             for batch in batches:
                 for t in tokens(batch):
-                    pairs = t.pairs()
                     for k, at, bucket in grams(t, known, how.longest, how.bits):
                         b = bucket[at]
                         at = at[((known[k][b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
                         if len(at):
-                            yield pa.table(spelled(t, at, k, pairs), names=["lang", "phrase", "pair"])
+                            yield pa.table(spelled(t, at, k), names=["lang", "phrase"])
 
-        for table in gathered(phrases(), ["lang", "phrase", "pair"], False):
+        for table in gathered(phrases(), ["lang", "phrase"], False):
             yield from table.to_batches(max_chunksize=ROWS)
 
-    return written(texts.mapInArrow(run, "lang string, phrase string, pair long").distinct(), "candidates")
+    return written(texts.mapInArrow(run, "lang string, phrase string").distinct(), "candidates")
 
 
 # ---- double arrays
@@ -453,7 +461,13 @@ def frequent_phrases(texts: DataFrame, found: DataFrame, how: Phrases) -> DataFr
         head = pd.DataFrame({"shard": [shard], "state": [-1], "lang": [None], "phrase": [None], "trie": [frozen(made)]})
         return pd.concat([head, pd.DataFrame({"shard": shard, "state": state, "lang": lang, "phrase": phrase, "trie": None})])
 
-    dealt = found.select("lang", "phrase", (F.col("pair") % shards).cast("int").alias("shard"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, words = batch.column(0), pc.split_pattern(batch.column(1), " ")
+            number = paired(hashed(lang), *(hashed(pc.list_element(words, k)) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([lang, batch.column(1), pa.array((number % shards).astype(np.int32))], names=["lang", "phrase", "shard"])
+
+    dealt = found.mapInArrow(deal, "lang string, phrase string, shard int")
     # one group a shard, of how.shard phrases or so
     made = written(dealt.groupBy("shard").applyInPandas(build, "shard int, state int, lang string, phrase string, trie binary"), "tries")
     out = []
