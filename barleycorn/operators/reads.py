@@ -38,6 +38,11 @@ def few_errors(reads: DataFrame, most: float = 2.0) -> DataFrame:
     return reads.where(expected_errors(F.col("qc")) <= most)
 
 
+def matching(reads: DataFrame, condition: str) -> DataFrame:
+    """Reads for which an SQL condition on their columns holds; where it is null it doesn't."""
+    return reads.where(F.expr(condition))
+
+
 def trusted_quality(reads: DataFrame, bad: str = "#") -> DataFrame:
     return reads.where(~F.contains("qc", F.lit(bad)))
 
@@ -72,6 +77,11 @@ def score_histogram(scores: DataFrame, column: str, most: int, least: int) -> Da
     return dense_counts(scores, column, most).withColumn("passed", F.col(column) >= least)
 
 
+def wrong_lengths(classed: DataFrame, most: int = 299) -> DataFrame:
+    """(length, n) for each length from 0 to most: the barcodes of reads that were put aside for their length."""
+    return dense_counts(classed.where(F.col("outcome") == "Wrong Barcode Length").where(F.col("length").between(0, most)), "length", most)
+
+
 def cluster_slices(reads: DataFrame, start: str, length: int = 29, flank: int = 7) -> DataFrame:
     """reads with dna and qc cut to the barcode at the 0-based place start and flank bases on either side; reads without start, those that end before the cut does, and cuts with an N go."""
     width = length + 2 * flank

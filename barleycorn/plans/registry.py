@@ -327,6 +327,19 @@ def sgid_design_filters(spark: SparkSession, d: str) -> DataFrame:
     return usable(ids, 8, ("GAATTC", "GGATCC"), "GC", "AT")
 
 
+@query(f"""with recursive {READS}, ids as (select distinct substr(dna, 1, 6) as id from reads where not contains(dna, 'N')),
+fit as materialized (select id, row_number() over (order by id) as k from ids where length(regexp_replace(id, '[^GC]', '', 'g')) = 3 and not regexp_matches(id, 'AAA|CCC|GGG|TTT')),
+g(k, taken) as (select cast(0 as bigint), cast([] as varchar[]) union all
+  select f.k, case when len(list_filter(taken, lambda t: hamming(t, f.id) < 3)) = 0 then list_append(taken, f.id) else taken end from g join fit f on f.k = g.k + 1)
+select unnest(taken) as id from g where k = (select count(*) from fit)""")
+def sgid_design(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that reads show, at least three substitutions from each other."""
+    from ..operators.design import taken_apart, usable
+
+    ids = rd.without_degenerate(ad.reads(spark, d)).select(F.substring("dna", 1, 6).alias("id")).distinct()
+    return taken_apart(usable(ids, 6), 6)
+
+
 @query(f"""with {READS} select read_id, cast(list_max(list_transform(regexp_extract_all(dna, 'A+|C+|G+|T+|N+'), lambda r: length(r))) as integer) as longest from reads""")
 def longest_runs(spark: SparkSession, d: str) -> DataFrame:
     return ad.reads(spark, d).select("read_id", longest_run(F.col("dna")).alias("longest"))
@@ -681,15 +694,15 @@ AMBIGUOUS = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S":
 
 
 def ambiguity_letters(match: int = 4, mismatch: int = -4) -> Letters:
-    """Scores by the share of base pairs of two codes that are alike."""
-    share = lambda a, b: len(set(AMBIGUOUS[a]) & set(AMBIGUOUS[b])) / (len(AMBIGUOUS[a]) * len(AMBIGUOUS[b]))
+    """Scores by the share of base pairs of two codes that are alike; N neither helps nor harms."""
+    share = lambda a, b: 0.5 if "N" in (a, b) else len(set(AMBIGUOUS[a]) & set(AMBIGUOUS[b])) / (len(AMBIGUOUS[a]) * len(AMBIGUOUS[b]))
     return Letters([*AMBIGUOUS], [[round(share(a, b) * match + (1 - share(a, b)) * mismatch) for b in AMBIGUOUS] for a in AMBIGUOUS])
 
 
 @query()
 def align_ambiguous(spark: SparkSession, d: str) -> DataFrame:
     """Reads against a reference with codes for several bases."""
-    return align.align_by_matrix(_amplicons(spark, d), "ACGTYGCA" + "W" * 4 + "N" * 21 + "S" * 4 + "CATGRACT", ambiguity_letters(), Scoring(gap_open=6, gap_extend=1), least=40)
+    return align.align_by_matrix(_amplicons(spark, d), "ACGTYGCA" + "W" * 4 + "N" * 21 + "S" * 4 + "CATGRACT", ambiguity_letters(), Scoring(gap_open=6, gap_extend=1), least=24)
 
 
 @query()

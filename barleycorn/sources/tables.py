@@ -88,6 +88,12 @@ def read_matrix(lines: list[str]) -> tuple[list[str], list[list[int]]]:
     return letters, scores
 
 
+def sam_header(targets: DataFrame) -> DataFrame:
+    """(value): the header lines of a SAM file, of targets (name, sequence), in order: the version, then each target's name and length."""
+    first = targets.sparkSession.createDataFrame([("@HD\tVN:1.4\tSO:queryname",)], "value string")
+    return first.unionByName(targets.orderBy("name").select(F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.length("sequence").cast("string")).alias("value")))
+
+
 def sam_lines(aligned: DataFrame, reference_name: str) -> DataFrame:
     """(value) SAM records of reads with score, score2, ref_begin, ref_begin's cigar and nm; unaligned reads have flag 4."""
     apart = F.abs(F.col("score") - F.col("score2")) / F.greatest(F.col("score"), F.lit(1))

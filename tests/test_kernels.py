@@ -343,3 +343,14 @@ def test_intervals_of_errors(spark):
     at_most = lambda k, mu: sum(math.exp(-mu) * mu**i / math.factorial(i) for i in range(k + 1))
     assert abs(1 - at_most(9, 1000 * got[30].low) - 0.025) < 1e-6 and abs(at_most(10, 1000 * got[30].high) - 0.025) < 1e-6
     assert abs(at_most(0, 50 * got[20].high) - 0.025) < 1e-6
+
+
+def test_conditions_lengths_and_headers(spark):
+    from barleycorn.operators import reads as rd
+    from barleycorn.sources.tables import sam_header
+
+    df = spark.createDataFrame([("a", 3, "Wrong Barcode Length"), ("b", 3, "Wrong Barcode Length"), ("c", 500, "Wrong Barcode Length"), ("d", 4, "Clustered"), (None, None, "Unaligned")], "name string, length int, outcome string")
+    assert [r.name for r in rd.matching(df, "length > 3 and name <> 'c'").collect()] == ["d"]
+    assert [(r.length, r.n) for r in rd.wrong_lengths(df, 5).orderBy("length").collect()] == [(0, 0), (1, 0), (2, 0), (3, 2), (4, 0), (5, 0)]
+    targets = spark.createDataFrame([("z", "ACGT"), ("b", "AC")], "name string, sequence string")
+    assert [r.value for r in sam_header(targets).collect()] == ["@HD\tVN:1.4\tSO:queryname", "@SQ\tSN:b\tLN:2", "@SQ\tSN:z\tLN:4"]
