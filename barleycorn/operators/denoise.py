@@ -71,7 +71,7 @@ def abundance_p(abundance: pd.Series, expected: pd.Series) -> pd.Series:
 
 
 def close_pairs(derep: DataFrame, most: int, length: int | None = None, fold: float = 2.0) -> DataFrame:
-    """(sample, sequence, abundance, parent, larger, ham): pairs of sequences of one length and sample with few substitutions, parent fold times as abundant at least.
+    """(sample, sequence, abundance, parent, larger, ham): pairs of sequences of one length and sample with few substitutions, parent fold times as abundant at least; with a fold of 1 the smaller sequence of two equally abundant ones is the parent.
 
     Sequences are cut into most + 1 parts, one of which a close pair has in common: an equi-join on parts.
     length: only sequences of that length.
@@ -81,7 +81,8 @@ def close_pairs(derep: DataFrame, most: int, length: int | None = None, fold: fl
     parts = F.array(*[F.struct(F.lit(k).alias("k"), piece(F.col("sequence"), cut(k), cut(k + 1)).alias("part")) for k in range(most + 1)])
     keyed = of_length(derep, length).select("sample", "sequence", "abundance", n.alias("length"), F.explode(parts).alias("p")).select("sample", "sequence", "abundance", "length", "p.*")
     other = keyed.select("sample", F.col("sequence").alias("parent"), F.col("abundance").alias("larger"), "length", "k", "part")
-    more = F.col("larger") >= fold * F.col("abundance")
+    tied = (F.col("larger") == F.col("abundance")) & (F.col("parent") < F.col("sequence"))
+    more = F.col("larger") >= fold * F.col("abundance") if fold > 1 else (F.col("larger") > F.col("abundance")) | tied
     other = other.where(F.col("larger") >= fold)
     joined = keyed.join(other, ["sample", "length", "k", "part"]).where(more).withColumn("ham", hamming(F.col("sequence"), F.col("parent"))).where(F.col("ham") <= most)
     return joined.select("sample", "sequence", "abundance", "parent", "larger", "ham").distinct()
@@ -113,20 +114,20 @@ def followed(up: DataFrame, what: str = "roots") -> DataFrame:
             return ends
 
 
-def clustered(derep: DataFrame, length: int | None = None, error: float = 0.003, omega: float = 1e-10, most: int = 2, rates: dict[int, float] | None = None) -> DataFrame:
+def clustered(derep: DataFrame, length: int | None = None, error: float = 0.003, omega: float = 1e-10, most: int = 2, rates: dict[int, float] | None = None, fold: float = 2.0) -> DataFrame:
     """sample, sequence, abundance, n0, n1, nunq, pval, birth_pval, birth_ham of each cluster.
 
     derep: sample, sequence, abundance, and mean_q (an array) if rates are given: error rates by quality, as
     error_rates() finds them; otherwise all bases have one rate, error.  Each sequence's parent is the one of
-    its length that explains most of it; one whose abundance it can't explain (P below omega) is a cluster of
+    its length, fold times as abundant, that explains most of it; one whose abundance it can't explain (P below omega) is a cluster of
     its own.  Chains of parents are followed to their ends.  length: only sequences of that length are looked at.
     """
     derep = of_length(derep, length)
     if rates is None:
         lam = F.pow(F.lit(error / 3), F.col("ham")) * F.pow(F.lit(1 - error), F.length("sequence") - F.col("ham"))
-        pairs = close_pairs(derep, most).withColumn("expected", F.col("larger") * lam)
+        pairs = close_pairs(derep, most, fold=fold).withColumn("expected", F.col("larger") * lam)
     else:
-        pairs = close_pairs(derep, most).join(derep.select("sample", "sequence", "mean_q"), ["sample", "sequence"])
+        pairs = close_pairs(derep, most, fold=fold).join(derep.select("sample", "sequence", "mean_q"), ["sample", "sequence"])
         pairs = pairs.withColumn("expected", F.col("larger") * rate_of_errors(F.col("sequence"), F.col("parent"), F.col("mean_q"), rates, error)).drop("mean_q")
     best = pairs.groupBy("sample", "sequence").agg(F.max_by(F.struct("parent", "expected", "ham"), F.struct("expected", "parent")).alias("b"), F.max("abundance").alias("abundance"))
     tested = best.select("sample", "sequence", "b.*", "abundance").withColumn("p", F.pandas_udf(abundance_p, "double")(F.col("abundance").cast("double"), "expected"))

@@ -15,16 +15,25 @@ from barleycorn.plans import registry
 
 
 def test_every_overlapping_pair_gets_a_mixture(spark, tables):
-    t = ad.tumors(spark, tables).groupBy("sample", "target", "barcode").agg(F.sum("cells").alias("cells")).collect()
+    df = ad.tumors(spark, tables).groupBy("sample", "target", "barcode").agg(F.sum("cells").alias("cells"))
+    t = df.collect()
     sizes = {}
     for r in t:
         sizes.setdefault(r.sample, {})[r.target, r.barcode] = r.cells
     expected = {(a, b) for a in sizes for b in sizes if a != b and any(k in sizes[b] and x / sizes[b][k] >= 0.75 for k, x in sizes[a].items())}
-    got = [(r.a, r.b) for r in registry.QUERIES["contamination_mixture"](spark, tables).collect()]
+    got = [(r.a, r.b) for r in cohorts.ratio_mixtures(cohorts.size_ratios(df)).collect()]
     assert len(expected) > 20
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_flagged_pairs_get_a_mixture(spark):
+    """The query fits the pairs that share more large barcodes than chance brings: those planted."""
+    got = {(r.a, r.b): r for r in registry.QUERIES["contamination_mixture"](spark, "/root/testdata/sf0.01").collect()}
+    assert {(str(25 * k), str(25 * k + 1)) for k in range(1, 4)} <= set(got) and len(got) < 10
+    assert all(got[str(25 * k), str(25 * k + 1)].contaminant for k in range(1, 4))
+    assert all(abs(got[str(25 * k), str(25 * k + 1)].fraction - 1 / 11) < 0.01 for k in range(1, 4))
+
+
 def test_mixtures_together_equal_mixtures_alone():
     rng = np.random.default_rng(2)
     for length in (1, 2, 5, 11):
@@ -41,7 +50,7 @@ def test_mixtures_together_equal_mixtures_alone():
 def test_long_chains_keep_their_reads(spark):
     chain = ["C" * k + "A" * (40 - k) for k in range(41)]
     rows = [("s", c, 1) for c in chain] + [("s", "GATTACA" * 3, 5), ("t", "GATTACA" * 3, 2)]
-    found = denoise.clustered(spark.createDataFrame(rows, "sample string, sequence string, abundance long"), error=0.01).collect()
+    found = denoise.clustered(spark.createDataFrame(rows, "sample string, sequence string, abundance long"), error=0.01, fold=1.0).collect()
     assert {(r.sample, r.sequence): (r.abundance, r.nunq) for r in found} == {("s", "A" * 40): (41, 41), ("s", "GATTACA" * 3): (5, 1), ("t", "GATTACA" * 3): (2, 1)}
 
 
