@@ -7,7 +7,9 @@ shared word stands.  Candidate pairs that pass these filters are verified on the
 earlier match is removed.
 
 DataFrame expressions only.  For a line one earlier match is enough: lines are first compared with the earliest
-line that has one of their HEADS rarest words, and only those that are left look at all the others.
+line that has one of their heads and with the BACK lines before them that have it, and only those that are left look
+at all the others.  Heads are the HEADS rarest words and, as those of near copies in a crowd may be what each has of
+its own, the TAILS last words of the prefix where they are common.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from .common import dropped, let, light, written
 CELLS = 1 << 22
 #: Lines of more distinct words have a second bitmap.
 LONG = 40
-#: A line's rarest words by which it finds an earliest line; parts of the lines of a common word, each with its own.
-HEADS, PARTS = 3, 32
+#: A line's rarest words, and the last of its prefix, by which it finds an earliest line; parts of the lines of a common word, each with its own.
+HEADS, TAILS, PARTS = 3, 3, 32
+#: Marks a common word in a prefix.
+COMMON = 1 << 62
+#: Lines before a line that are looked at beside the earliest one of a word.
+BACK = 3
 #: What names a line, in the order of lines: its document, a text's own number where rows repeat a doc_id, its place.
 LINE = ("doc", "twin", "line")
 
@@ -86,15 +92,16 @@ def rare_first(line: Column, ranks: Column) -> Column:
 
 
 def with_prefix(lines: DataFrame, ranks: Column, how: Similar) -> DataFrame:
-    """LINE, n, h and g (a digest of the set), bits and more (the parity of words by bit), prefix, and crowded: how many of its first HEADS words aren't common ones.
+    """LINE, n, h and g (a digest of the set), bits and more (the parity of words by bit), and prefix.
 
     A line of n words shares one of its first n - ceil(t n) + 1 with any similar line.  Of these prefix has the
-    words that occur more than once, each as its place in the line above and its hash below.
+    words that occur more than once, each as its place in the line above and its hash below; COMMON is added to those
+    that occur more often than how.crowd.
     """
     n, long = F.col("n"), F.col("n") > LONG
     first = F.slice("tokens", 1, F.greatest(F.lit(0), n - F.expr(f"({how.percent} * n + 99) div 100").cast("int") + 1))
-    known = F.filter(first, lambda t: F.shiftright(t, 56) > 0)
-    packed = F.transform(first, lambda t, k: F.when(F.shiftright(t, 56) > 0, F.shiftleft(k.cast("long"), 32).bitwiseOR(F.hash(t).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    common = lambda t: F.when(F.shiftright(t, 56) >= rank(F.lit(how.crowd)), F.lit(COMMON)).otherwise(F.lit(0).cast("long"))
+    packed = F.transform(first, lambda t, k: F.when(F.shiftright(t, 56) > 0, F.shiftleft(k.cast("long"), 32).bitwiseOR(F.hash(t).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseOR(common(t))))
     sized = lines.select(*LINE, rare_first(F.col("text"), ranks).alias("tokens")).withColumn("n", F.size("tokens"))
     flip = "a ^ shiftleft(1L, int(t & 63))"
     parity = lambda step: F.expr(f"aggregate(tokens, 0L, (a, t) -> {step})")
@@ -102,7 +109,7 @@ def with_prefix(lines: DataFrame, ranks: Column, how: Similar) -> DataFrame:
         *LINE, "n", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"),
         # a bitmap for each half of a long line's words
         F.when(long, parity(f"if(t & 64 = 0, {flip}, a)")).otherwise(parity(flip)).alias("bits"), F.when(long, parity(f"if(t & 64 = 0, a, {flip})")).alias("more"),
-        F.array_compact(packed).alias("prefix"), F.size(F.filter(F.slice(known, 1, HEADS), lambda t: F.shiftright(t, 56) < rank(F.lit(how.crowd)))).alias("crowded"),
+        F.array_compact(packed).alias("prefix"),
     )
 
 
@@ -117,34 +124,39 @@ ENDS = [f"{c}_{x}" for x in "ab" for c in LINE]
 FAR = "if(a.more is null or b.more is null, bit_count(a.bits ^ coalesce(a.more, 0L) ^ b.bits ^ coalesce(b.more, 0L)), bit_count(a.bits ^ b.bits) + bit_count(a.more ^ b.more))"
 
 
-def allowed(how: Similar) -> Column:
-    """Whether b is earlier than a, and two lines with a common word in their prefixes pass the length, positional and bitmap filters; a line that is done looks at no other."""
+def allowed(how: Similar, b: str = "b", first: bool = False) -> str:
+    """Whether b is earlier than a, and two lines with a common word in their prefixes pass the length, positional and bitmap filters; a line that is done looks at no other.
+
+    first: the word has to be the first one that the lines share.  A word isn't if the same one stands before it in both
+    prefixes; the pair passes by that one, as fewer words stand before it.
+    """
     need = f"({how.percent} * (a.n + b.n) + {99 + how.percent}) div {100 + how.percent}"
     later = "(b.doc < a.doc or b.doc = a.doc and (b.twin < a.twin or b.twin = a.twin and b.line < a.line))"
     length = f"100 * least(a.n, b.n) >= {how.percent} * greatest(a.n, b.n)"
-    # before the shared word at most the smaller place's words are common, after it at most the smaller rest
-    positional = f"if(a.done, -1 - int(b.done), least(a.place, b.place) + least(a.n - a.place, b.n - b.place)) >= {need}"
+    # before the shared word at most the smaller place's words are common, none if it is the first, after it at most the smaller rest
+    common = f"{'' if first else 'least(a.place, b.place) + '}least(a.n - a.place, b.n - b.place)"
+    positional = f"if(a.done, -1 - int(b.done), {common}) >= {need}"
+    fresh = " and coalesce(a.before <> b.before, true)" if first else ""
     # each word that only one has changes the parity of one bit at most
-    return F.expr(f"{later} and {length} and {positional} and {FAR} <= a.n + b.n - 2 * ({need})")
-
-
-def both_ends() -> list[Column]:
-    return [*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in (*LINE, "n")], F.expr(FAR).alias("far")]
+    return f"{later} and {length} and {positional}{fresh} and {FAR} <= a.n + b.n - 2 * ({need})".replace("b.", f"{b}.")
 
 
 def earliest(rows: DataFrame, how: Similar) -> DataFrame:
-    """Pairs of a line and the earliest one of a word; of a common word, of the line's part of it."""
-    part = F.when(F.col("k") >= F.col("crowded"), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
-    few = ("n", "bits", "more", "place", "done")
-    heads = rows.where(F.col("k") < HEADS).select("token", part.alias("part"), *LINE, *few)
-    first = F.first(F.struct(*LINE, *few)).over(Window.partitionBy("token", "part").orderBy(*LINE))
-    return heads.withColumn("b", first).alias("a").where(allowed(how)).select(*both_ends())
+    """Pairs of a line and the nearest one of the earliest one of a word and the BACK ones before the line; of a common word, of the line's part of it."""
+    part = F.when(F.col("common"), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    heads = rows.select("token", part.alias("part"), F.struct(*LINE, "n", "bits", "more", "place", "done").alias("a"))
+    order = Window.partitionBy("token", "part").orderBy(*[f"a.{c}" for c in LINE])
+    others = {"b0": F.first("a").over(order)} | {f"b{i}": F.lag("a", i).over(order) for i in range(1, BACK + 1)}
+    found = [F.when(F.expr(allowed(how, b)), F.struct(F.expr(FAR.replace("b.", f"{b}.")).alias("far"), *[F.col(f"{b}.{c}").alias(f"{c}_b") for c in (*LINE, "n")])) for b in others]
+    near = heads.select("a", *[c.alias(b) for b, c in others.items()]).select("a", F.least(*found).alias("m")).where("m is not null")
+    return near.select(*[F.col(f"a.{c}").alias(f"{c}_a") for c in (*LINE, "n")], "m.*")
 
 
 def candidates(rows: DataFrame, how: Similar) -> DataFrame:
-    """Pairs of a line that isn't done and an earlier one with a common word in their prefixes."""
+    """Pairs of a line that isn't done and an earlier one, by the first word that their prefixes share."""
+    ends = [*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in (*LINE, "n")], F.expr(FAR).alias("far")]
     # the condition reads done of either side, so that both have one shuffle
-    return rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & allowed(how)).select(*both_ends()).distinct()
+    return rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & F.expr(allowed(how, first=True))).select(*ends).distinct()
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -184,14 +196,18 @@ def later_matches(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
     equal = written(placed.where("again").select(*LINE), "equal")
     # a line of n words has n / (n + 1) at most in common with another set: shorter ones match equal sets only
     long_enough = f"100 * n >= {how.percent} * (n + 1)"
-    reps = placed.where("not again").where(long_enough).select(*LINE, "n", "bits", "more", "crowded", "prefix")
-    exploded = lambda df: df.select(*[c for c in df.columns if c != "prefix"], F.posexplode("prefix").alias("k", "packed"))
-    words = lambda df: exploded(df).withColumns({"place": F.shiftright("packed", 32).cast("int"), "token": F.shiftright(F.shiftleft("packed", 32), 32).cast("int")}).drop("packed")
+    reps = placed.where("not again").where(long_enough).select(*LINE, "n", "bits", "more", "prefix")
+    heads = F.filter("prefix", lambda x, k: (k < HEADS) | (x >= COMMON) & (k >= F.size("prefix") - TAILS))
+    exploded = lambda df: df.select("*", F.posexplode("prefix").alias("k", "packed"))
+    word = lambda packed: F.shiftright(F.shiftleft(packed, 32), 32).cast("int")
+    above = F.shiftright("packed", 32).cast("int")
+    parts = {"place": above.bitwiseAND(F.lit((1 << 30) - 1)), "common": F.col("packed") >= COMMON, "token": word("packed"), "before": word(F.get("prefix", F.col("k") - 1))}
+    words = lambda df: exploded(df).withColumns(parts).drop("packed", "prefix", "k")
     # each line's nearest one is enough here
-    first = verified(written(nearest(earliest(words(reps.withColumn("prefix", F.slice("prefix", 1, HEADS)).withColumn("done", F.lit(False))), how)), "nearest"), docs, how)
+    first = verified(written(nearest(earliest(words(reps.withColumns({"prefix": heads, "done": F.lit(False)})), how)), "nearest"), docs, how)
     # those that are left look at all lines, and again at the nearest one first
-    marked = reps.drop("crowded").join(light(first.withColumn("found", F.lit(True))), list(LINE), "left").withColumn("done", F.coalesce("found", F.lit(False))).drop("found")
-    pairs = written(candidates(words(marked), how), "pairs")
+    marked = reps.join(light(first.withColumn("found", F.lit(True))), list(LINE), "left").withColumn("done", F.coalesce("found", F.lit(False))).drop("found")
+    pairs = written(candidates(words(marked).drop("common"), how), "pairs")
     near = written(nearest(pairs), "nearest")
     second = verified(near, docs, how)
     ends = [f"{c}_a" for c in LINE]

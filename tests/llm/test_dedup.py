@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barleycorn.llm import caps, lines, minhash
 from barleycorn.llm.queries import op1_line_dedup, op2_minhash, op5_embedding_caps
@@ -102,6 +103,35 @@ def test_line_matches_are_exact(spark, crowd):
     assert {t for t in late if len(set(brute.words(docs[t[0]].split("\n")[t[1]]))) < 5}
 
 
+def test_few_pairs_of_a_crowd_of_near_copies(spark, monkeypatch):
+    rng, pairs = random.Random(3), []
+    base = [f"word{k}" for k in range(70)]
+    docs = {}
+    for k in range(300):
+        line = list(base)
+        for at in rng.sample(range(70), rng.randrange(3, 9)):
+            line[at] = f"other{rng.randrange(400)}"
+        docs[k] = " ".join(line)
+    kept = lines.written
+
+    def counted(df, what):
+        out = kept(df, what)
+        pairs.extend([out.count()] if what == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(lines, "written", counted)
+    late = {(r.doc, r.line) for r in lines.later_matches(lines.numbered(frame(spark, docs))).collect()}
+    assert late == brute.later_lines(docs)
+    assert pairs[0] < 4500  # 5,333 with the earliest line of the three rarest words alone
+
+
+def test_a_pair_is_found_by_its_first_common_word(spark):
+    rows = [(k, 0, 0, 40, 0, None, place, token, before, False) for k in (1, 2) for place, token, before in ((0, 7 * k, None), (1, 5, 7 * k), (2, 6, 5), (3, 8, 6))]
+    rows = spark.createDataFrame(rows, "doc long, twin long, line int, n int, bits long, more long, place int, token int, before int, done boolean")
+    joined = rows.alias("a").join(rows.alias("b"), F.expr(f"a.token = b.token and {lines.allowed(lines.Similar(), first=True)}"))
+    assert [(r.token, r.place) for r in joined.select("a.token", "a.place").collect()] == [(5, 1)]
+
+
 def test_line_dedup_keeps_columns_and_rows(spark):
     docs = {1: "a b c d e f\nx", 2: "f e d c b a\ny", 3: None, 4: ""}
     rows = lines.deduplicated(frame(spark, docs)).collect()
