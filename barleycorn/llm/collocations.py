@@ -4,6 +4,12 @@ Candidates are Apriori-safe: a phrase is looked for only if its two parts withou
 word can be frequent.  What can be frequent is told by occurrences in hashed buckets, of which there are a fixed
 number, so that nothing that grows with the corpus is broadcast for it, and nothing frequent is missed.
 
+Most frequent phrases come nowhere near a language's first ones.  A floor below the score of its last one is guessed
+from a part of the phrases, by a hash of them, that is counted over all texts.  A phrase is a candidate if its bucket
+leaves it a score of the floor, or if a phrase inside it, or one that it is a part of, needs its occurrences.  As every
+phrase from the floor on is found and dropped or kept rightly, a language that keeps enough of them has its first ones
+exactly; one that keeps fewer is done again without a floor.
+
 Candidates are dealt out to tries of bounded size by a hash of their first two words, each built in a task, so that
 a position in a text belongs to one trie.  A trie's symbols are the halves of a
 word's number; it is a double array, where the child of state s by symbol c is base[s] + c if check has s there.
@@ -42,6 +48,7 @@ class Phrases:
     """longest: words of a phrase at most; least: occurrences of a candidate; percent: a candidate goes if a longer one that holds it has that share of its occurrences; top: phrases of a language.
 
     bits: 2 ** bits buckets; shard: phrases of a trie; at_once: tries that are broadcast together.
+    every: one in so many phrases is counted for the floors; known: frequent words whose occurrences are broadcast, at most.
     """
 
     longest: int = 3
@@ -51,6 +58,8 @@ class Phrases:
     bits: int = 26
     shard: int = 1 << 19
     at_once: int = 8
+    every: int = 64
+    known: int = 1 << 18
 
 
 def hashed(names: pa.Array) -> np.ndarray:
@@ -139,6 +148,22 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Buckets have levels: 0 with fewer than the least occurrences, then one more for each doubling, up to LEVELS.
+LEVELS = 15
+
+
+def level(levels: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The levels of buckets, two of which share a byte."""
+    return (levels[bucket >> 1] >> ((bucket & 1) << 2).astype(np.uint8)) & 15
+
+
+def most(levels: np.ndarray, bucket: np.ndarray, how: Phrases) -> np.ndarray:
+    """What a phrase of a bucket may occur at most; 0 if it can't be frequent."""
+    upper = how.least * 2.0 ** np.arange(LEVELS + 1) - 1
+    upper[[0, LEVELS]] = 0, np.inf
+    return upper[level(levels, bucket)]
+
+
 def grams(t: Tokens, maps: dict[int, np.ndarray], longest: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words, positions, buckets) for phrases of 2 to longest words, as long as maps tell which shorter ones can be frequent."""
     lang, word = t.hashes()
@@ -154,18 +179,19 @@ def grams(t: Tokens, maps: dict[int, np.ndarray], longest: int, bits: int) -> It
             yield k, np.flatnonzero(fits), bucket
             possible = fits
             if k in maps:
-                possible = fits & ((maps[k][bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1).astype(bool)
+                possible = fits & (level(maps[k], bucket) > 0)
 
 
-def spelled(t: Tokens, at: np.ndarray, k: int) -> list[pa.Array]:
-    """The distinct languages and phrases of k words at some positions."""
+def spelled(t: Tokens, at: np.ndarray, k: int) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """The distinct languages and phrases of k words at some positions, their first positions, and how many have each."""
     size, key = len(t.words), t.lang[at]
     for j in range(k):
         if j:
             key = np.unique(key, return_inverse=True)[1]
         key = key * size + t.code[at + j]
-    at = at[np.unique(key, return_index=True)[1]]
-    return [t.langs.take(pa.array(t.lang[at])), pc.binary_join_element_wise(*[t.words.take(pa.array(t.code[at + j])) for j in range(k)], " ")]
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    at = at[first]
+    return [t.langs.take(pa.array(t.lang[at])), pc.binary_join_element_wise(*[t.words.take(pa.array(t.code[at + j])) for j in range(k)], " ")], at, n
 
 
 def merged(tables: list[pa.Table], by: list[str], sums: bool) -> list[pa.Table]:
@@ -240,8 +266,8 @@ def counted(texts: DataFrame, maps, k: int, how: Phrases) -> DataFrame:
     return written(texts.mapInArrow(run, "lang string, word string, n long, cell int, places binary, counts binary"), f"counted-{k}")
 
 
-def bitmap(found: DataFrame, how: Phrases) -> np.ndarray:
-    """A bit for each bucket with how.least occurrences or more: 2 ** how.bits in all, whatever the input.
+def leveled(found: DataFrame, how: Phrases) -> np.ndarray:
+    """The level of each bucket by its occurrences: 2 ** how.bits in all, whatever the input.
 
     A cell's rows follow each other in a task, which adds them up in an array of 65,536 numbers.
     """
@@ -252,7 +278,8 @@ def bitmap(found: DataFrame, how: Phrases) -> np.ndarray:
 
         def close() -> None:
             if cell is not None:
-                done.append((cell, np.packbits(sums >= how.least, bitorder="little").tobytes()))
+                levels = np.searchsorted(how.least << np.arange(LEVELS), sums, "right").astype(np.uint8)
+                done.append((cell, (levels[::2] | levels[1::2] << 4).tobytes()))
             sums[:] = 0
 
         for batch in batches:
@@ -260,19 +287,25 @@ def bitmap(found: DataFrame, how: Phrases) -> np.ndarray:
                 if c != cell:
                     close()
                     cell = c
-                sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint16)
+                n = np.frombuffer(counts, np.uint16).astype(np.int64)
+                n[n == 65535] = 1 << 40  # as many or more
+                sums[np.frombuffer(places, np.uint16)] += n
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.int32()), pa.array([b for _, b in done], pa.binary())], names=["cell", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.int32()), pa.array([b for _, b in done], pa.binary())], names=["cell", "levels"])
 
     rows = found.where("cell is not null").select("cell", "places", "counts").repartition("cell").sortWithinPartitions("cell")
-    out = np.zeros(max(1 << (how.bits - 3), 8192), np.uint8)
-    for row in rows.mapInArrow(run, "cell int, bits binary").toLocalIterator():
-        out[row["cell"] * 8192 : row["cell"] * 8192 + 8192] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    out = np.zeros(max(1 << (how.bits - 1), 32768), np.uint8)
+    for row in rows.mapInArrow(run, "cell int, levels binary").toLocalIterator():
+        out[row["cell"] * 32768 : row["cell"] * 32768 + 32768] = np.frombuffer(bytes(row["levels"]), np.uint8)
     return out
 
 
-def candidates(texts: DataFrame, maps, how: Phrases) -> DataFrame:
-    """(lang, phrase): the distinct Apriori-safe phrases of the texts."""
+# ---- floors
+
+
+def part_of_phrases(texts: DataFrame, maps, how: Phrases) -> DataFrame:
+    """(lang, phrase, n, left, right) of one in how.every phrases: its occurrences, and what its parts without the last and without the first word may have at most, null for single words."""
+    shape = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("left", pa.float64()), ("right", pa.float64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = maps.value
@@ -280,11 +313,96 @@ def candidates(texts: DataFrame, maps, how: Phrases) -> DataFrame:
         def phrases() -> Iterator[pa.Table]:
             for batch in batches:
                 for t in tokens(batch):
+                    before = None
                     for k, at, bucket in grams(t, known, how.longest, how.bits):
-                        b = bucket[at]
-                        at = at[((known[k][b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)]
+                        at = at[(bucket[at] % how.every == 0) & (level(known[k], bucket[at]) > 0)]
                         if len(at):
-                            yield pa.table(spelled(t, at, k), names=["lang", "phrase"])
+                            names, at, n = spelled(t, at, k)
+                            ends = [pa.array(most(known[k - 1], before[at + j], how)) for j in (0, 1)] if k > 2 else [pa.nulls(len(at), pa.float64())] * 2
+                            yield pa.table([*names, *ends, pa.array(n, pa.int64())], schema=shape)
+                        before = bucket
+
+        for table in gathered(phrases(), ["lang", "phrase", "left", "right"], True):
+            yield from table.to_batches(max_chunksize=ROWS)
+
+    found = texts.mapInArrow(run, "lang string, phrase string, left double, right double, n long")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right")).where(F.col("n") >= how.least)
+
+
+def guessed_floors(part: DataFrame, words: DataFrame, how: Phrases) -> dict[str, int]:
+    """By language a score that twice how.top phrases or so reach, if there are as many; a shorter phrase, which a longer one may explain, counts a quarter."""
+    split = F.split("phrase", " ", -1)
+    ends = part.select("lang", "n", "left", "right", F.size(split).alias("k"), F.element_at(split, 1).alias("one"), F.element_at(split, -1).alias("two"))
+    l, r = (words.select("lang", F.col("phrase").alias(end), F.col("n").alias(name)) for end, name in (("one", "l"), ("two", "r")))
+    with_ends = ends.join(l, ["lang", "one"]).join(r, ["lang", "two"])
+    score = F.lit(1e6) * F.col("n") * F.col("n") / F.when(F.col("k") == 2, F.col("l").cast("double") * F.col("r")).otherwise(F.greatest(F.col("l") * F.col("right"), F.col("left") * F.col("r")))
+    weight = F.when(F.col("k") == how.longest, 1.0).otherwise(0.25)
+    steps = with_ends.select("lang", F.floor(4 * F.log2(score + 1)).alias("step"), weight.alias("weight")).groupBy("lang", "step").agg(F.sum("weight").alias("weight"))
+    above = F.sum("weight").over(Window.partitionBy("lang").orderBy(F.desc("step")))
+    enough = steps.withColumn("above", above).where(F.col("above") * how.every >= 2 * how.top).groupBy("lang").agg(F.max("step").alias("step"))
+    return {row["lang"]: floor for row in enough.collect() if (floor := int(2 ** (row["step"] / 4) - 1)) > 0}
+
+
+def frequent_words(words: DataFrame, floors: dict[str, int], how: Phrases) -> tuple[pa.Array, np.ndarray]:
+    """The most frequent words of the languages with floors, how.known at most, as language, line end and word, and their occurrences."""
+    if not floors:
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    own = words.where(F.col("lang").isin(list(floors)))
+    least, total = 64, 0
+    for row in own.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().orderBy(F.desc("step")).collect():
+        total += row["count"]
+        if total > how.known:
+            break
+        least = row["step"]
+    table = own.where(F.col("n") >= 2.0**least).select(F.concat_ws("\n", "lang", "phrase").alias("word"), "n").toArrow()
+    return table["word"].combine_chunks().cast(pa.string()), table["n"].to_numpy()
+
+
+def wanted(t: Tokens, maps: dict[int, np.ndarray], floors: dict[str, int], words: tuple[pa.Array, np.ndarray], how: Phrases) -> dict[int, np.ndarray]:
+    """By words of a phrase the positions of those that have to be counted, if scores below floors don't matter.
+
+    A phrase with a occurrences, whose parts have l and r, has 1000000 a a / (l r), and neither l nor r is less than a.
+    It counts as well if it may explain a phrase inside it that reaches the floor, or is a part of one that counts.
+    """
+    floor = np.array([floors.get(x, 0) for x in t.langs.to_pylist()])[t.lang] / 1e6 * (1 - 1e-9)
+    n = np.zeros(len(t.code))
+    if floor.any() and len(words[1]):
+        pair, back = np.unique(t.lang * len(t.words) + t.code, return_inverse=True)
+        names = pc.binary_join_element_wise(t.langs.take(pa.array(pair // len(t.words))), t.words.take(pa.array(pair % len(t.words))), "\n")
+        place = pc.fill_null(pc.index_in(names, value_set=words[0]), -1).to_numpy(zero_copy_only=False)
+        n = np.where(place >= 0, words[1][place], 0).astype(float)[back]
+    found: dict[int, np.ndarray] = {}
+    inside = None  # the least occurrences by which a phrase explains one inside it
+    for k, at, bucket in grams(t, maps, how.longest, how.bits):
+        may = np.zeros(len(bucket))
+        may[at] = most(maps[k], bucket[at], how)
+        first, last = n[: len(bucket)], n[k - 1 :]
+        need = np.maximum(how.least, floor[: len(bucket)] * np.maximum(first, last))
+        if k == 2:
+            need = np.maximum(need, np.sqrt(floor[: len(bucket)] * first * last))
+        reached = (may > 0) & (may >= need)
+        held = np.full(len(bucket), np.inf) if inside is None else np.minimum(inside[:-1], inside[1:])
+        found[k] = reached | (may > 0) & (may >= held)
+        inside = np.minimum(held, np.where(reached, need * how.percent / 100, np.inf))
+    for k in sorted(found, reverse=True)[:-1]:
+        found[k - 1][:-1] |= found[k]
+        found[k - 1][1:] |= found[k]
+    return {k: np.flatnonzero(x) for k, x in found.items()}
+
+
+def candidates(texts: DataFrame, maps, floors, how: Phrases) -> DataFrame:
+    """(lang, phrase): the distinct Apriori-safe phrases of the texts that have to be counted; floors: a broadcast of those and of frequent_words()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = maps.value
+        of_lang, words = floors.value
+
+        def phrases() -> Iterator[pa.Table]:
+            for batch in batches:
+                for t in tokens(batch):
+                    for k, at in wanted(t, known, of_lang, words, how).items():
+                        if len(at):
+                            yield pa.table(spelled(t, at, k)[0], names=["lang", "phrase"])
 
         for table in gathered(phrases(), ["lang", "phrase"], False):
             yield from table.to_batches(max_chunksize=ROWS)
@@ -503,22 +621,35 @@ def collocations(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     known: dict[int, np.ndarray] = {}
     for k in range(2, how.longest + 1):
         of_less = spark.sparkContext.broadcast(known)
-        level = counted(texts, of_less, k, how)
-        known[k] = bitmap(level, how)
+        found = counted(texts, of_less, k, how)
+        known[k] = leveled(found, how)
         of_less.unpersist()
         if k == 2:
-            words = written(level.where("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")), "words")
-        dropped(level)
+            words = written(found.where("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")), "words")
+        dropped(found)
     maps = spark.sparkContext.broadcast(known)
-    found = candidates(texts, maps, how)
+    part = written(part_of_phrases(texts, maps, how), "part")
+    floors = guessed_floors(part, words, how)
+    dropped(part)
+    while True:
+        both = spark.sparkContext.broadcast((floors, frequent_words(words, floors, how)))
+        found = candidates(texts, maps, both, how)
+        both.unpersist()
+        frequent = frequent_phrases(texts, found, how)
+        dropped(found)
+        out = ranked(words, frequent, floors, how)
+        if not floors:
+            break
+        enough = {row["lang"] for row in out.where(F.col("rank") == how.top).select("lang").collect()}
+        if enough >= floors.keys():
+            break
+        floors = {lang: floor for lang, floor in floors.items() if lang in enough}
     maps.unpersist()
-    frequent = frequent_phrases(texts, found, how)
-    dropped(found)
-    return ranked(words, frequent, how)
+    return out
 
 
-def ranked(words: DataFrame, frequent: DataFrame, how: Phrases) -> DataFrame:
-    """The scores and ranks of frequent phrases, of words and phrases (lang, phrase, n) with their occurrences."""
+def ranked(words: DataFrame, frequent: DataFrame, floors: dict[str, int], how: Phrases) -> DataFrame:
+    """The scores and ranks of frequent phrases, of words and phrases (lang, phrase, n) with their occurrences; those below the floor of their language go."""
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     parts = words.where(F.col("n") >= how.least).unionByName(frequent)
     split, size = F.split("phrase", " ", -1), F.size(F.split("phrase", " ", -1))
@@ -532,6 +663,10 @@ def ranked(words: DataFrame, frequent: DataFrame, how: Phrases) -> DataFrame:
     scored = cuts.join(l, ["lang", "one"]).join(r, ["lang", "two"])
     score = F.expr("cast(1000000 as decimal(7, 0)) * (cast(a as decimal(15, 0)) * cast(a as decimal(15, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
     best = scored.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
+    if floors:
+        spark = best.sparkSession
+        of_lang = spark.createDataFrame(list(floors.items()), "lang string, floor long")
+        best = best.join(F.broadcast(of_lang), "lang", "left").where(F.col("score") >= F.coalesce("floor", F.lit(0))).drop("floor")
     # each task passes on how.top phrases of a language at most
     best = written(best, "scored")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -48,6 +48,48 @@ def test_collocations_of_odd_texts(spark, salad, size, how, monkeypatch):
     assert got == brute.collocations(salad, how.get("longest", 3), top=how.get("top", 2000)) and got
 
 
+@pytest.fixture(scope="module")
+def planted():
+    """All pairs of forty words, each often enough, and phrases of words that seldom stand elsewhere."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(40)]
+    rows = [("en", " ".join(rng.choice(common) for _ in range(800))) for _ in range(50)]
+    for lang, many in (("en", 60), ("de", 30)):
+        for k in range(many):
+            phrase = " ".join(f"{lang}{k}x{j}" for j in range(rng.choice((2, 3, 4, 5))))
+            rows += [(lang, f"{rng.choice(common)} {phrase} {rng.choice(common)}. {phrase.split()[0]} {rng.choice(common)}")] * rng.randrange(10, 40)
+    return rows + [(None, "so few of them")] * 11
+
+
+@pytest.mark.parametrize("how", [{}, {"longest": 4}, {"longest": 2}, {"known": 20}, {"bits": 15}])
+def test_phrases_far_below_the_first_ones_are_no_candidates(spark, planted, how, monkeypatch):
+    seen, plain = [], collocations.frequent_phrases
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda texts, found, how: seen.append(found.count()) or plain(texts, found, how))
+    docs = spark.createDataFrame(planted, "lang string, text string")
+    got = phrases(collocations.collocations(docs, collocations.Phrases(top=5, every=1, **how)))
+    assert got == brute.collocations(planted, how.get("longest", 3), top=5) and len(got) > 10
+    assert phrases(collocations.collocations(docs, collocations.Phrases(top=5, every=1 << 40, **how))) == got
+    assert len(seen) == 2 and seen[1] > 1600 and ("known" in how or "bits" in how or seen[0] < 0.6 * seen[1]), seen
+
+
+@pytest.mark.parametrize("floors", [{"en": 999_999, "de": 1}, {"en": 10**6, "de": 10**6, "und": 10**6}, {"en": 2, "und": 1}])
+def test_floors_that_are_too_high_are_taken_back(spark, planted, floors, monkeypatch):
+    monkeypatch.setattr(collocations, "guessed_floors", lambda part, words, how: floors)
+    docs = spark.createDataFrame(planted, "lang string, text string")
+    assert phrases(collocations.collocations(docs, collocations.Phrases(top=50))) == brute.collocations(planted, top=50)
+
+
+def test_levels_of_buckets_never_fall_short(spark):
+    n = [0, 9, 10, 19, 20, 163839, 163840, 65535, 65535 * 3]
+    pieces = [[0, 9, 10, 10, 20, 60000, 60000, 65535, 65535], [0, 0, 0, 9, 0, 60000, 60000, 0, 65535], [0, 0, 0, 0, 0, 43839, 43840, 0, 65535]]
+    rows = [(0, np.arange(9, dtype=np.uint16).tobytes(), np.array(x, np.uint16).tobytes()) for x in pieces]
+    how = collocations.Phrases(bits=15)
+    levels = collocations.leveled(spark.createDataFrame(rows, "cell int, places binary, counts binary"), how)
+    assert collocations.level(levels, np.arange(10)).tolist() == [0, 0, 1, 1, 2, 14, 15, 15, 15, 0]
+    may = collocations.most(levels, np.arange(9), how)
+    assert all(m >= k for m, k in zip(may, n, strict=True) if k >= 10) and (may[:2] == 0).all()
+
+
 def test_texts_are_cut_at_the_ends_of_pieces():
     texts = ["", "ab cd. ef gh", "x" * 50, "a, b", ""]
     data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
