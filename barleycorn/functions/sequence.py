@@ -6,6 +6,8 @@ import re
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +84,16 @@ def longest_run(dna: Column) -> Column:
     """The length of the longest run of one base."""
     runs = F.regexp_extract_all(dna, F.lit("((.)\\2*)"), F.lit(1))
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0))
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' characters, one byte each (? for those beyond ASCII), and where each text begins; null counts as empty."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    starts = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    if len(texts) and (data[starts[0] : starts[-1]] > 127).any():
+        plain = [t.encode("ascii", "replace") for t in texts.to_pylist()]
+        return np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0, *map(len, plain)])
+    return data, starts

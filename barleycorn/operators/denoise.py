@@ -6,31 +6,111 @@ is too abundant to be its errors, under one error rate or under rates by quality
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import bases, hamming, piece
+from ..functions.sequence import bases, hamming, piece, text_bytes
 from ..functions.special import log_abundance_p, poisson_interval
 from ..storage import written
 
 
-def transitions(reads: DataFrame, reference: str | Column) -> DataFrame:
+def transitions(reads: DataFrame, reference: str | Column, by_sample: bool = True, cells: int = 4_000_000) -> DataFrame:
     """(sample, mutation, phred, n): how often each base of the reference was read as another at each quality; N isn't counted.
 
-    reference: a string as long as the reads, or a column with each read's own.
+    reference: a string as long as the reads, or a column with each read's own.  Without by_sample, (mutation,
+    phred, n) of all samples together.  Tasks count in an array of samples by mutations and qualities, of at most
+    so many cells before they hand it on; reads are dealt by ranges of samples, crowded ones over several tasks.
     """
-    if isinstance(reference, str):  # a number for base, quality and reference at each place, so that rows are short and the code is generated
-        base = lambda k: F.instr(F.lit("ACGT"), F.substring("dna", k + 1, 1))
-        packed = lambda k, r: F.when((F.length("dna") > k) & (F.length("qc") > k), (base(k) + 8 * r) * 128 + F.ascii(F.substring("qc", k + 1, 1)) - 33)
-        each = [packed(k, "ACGT".index(c)) for k, c in enumerate(reference) if c in "ACGT"]
-        counted = reads.select("sample", F.explode(F.array(*each)).alias("x")).where(F.shiftright("x", 7) % 8 > 0).groupBy("sample", "x").agg(F.count("*").alias("n"))
-        letter = lambda i: F.substring(F.lit("ACGT"), i, F.lit(1))
-        return counted.select("sample", F.concat(letter(F.shiftright("x", 10) + 1), F.lit("2"), letter(F.shiftright("x", 7) % 8)).alias("mutation"), (F.col("x") % 128).alias("phred"), "n")
-    places = F.zip_with(F.zip_with(bases(reference), bases(F.col("dna")), lambda a, b: F.concat(a, F.lit("2"), b)), bases(F.col("qc")), lambda m, c: F.struct(m.alias("mutation"), (F.ascii(c) - 33).alias("phred")))
-    counted = reads.select("sample", F.explode(places).alias("x")).groupBy("sample", F.col("x.mutation").alias("mutation"), F.col("x.phred").alias("phred")).agg(F.count("*").alias("n"))
-    return counted.where(F.col("mutation").rlike("^[ACGT]2[ACGT]$"))
+    own, text = isinstance(reference, Column), reference if isinstance(reference, str) else ""
+    rows = reads.select(*(["sample"] if by_sample else []), "dna", "qc", *([reference.alias("reference")] if own else [])).where("dna is not null and qc is not null")
+    if by_sample:
+        rows = rows.repartitionByRange("sample", F.xxhash64("dna", "qc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, int] = {}
+        columns, counts = np.full(TALLIED, -1, np.int64), np.zeros((0, 0), np.int64)
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            names, kinds = pa.array(list(known), pa.string()), np.empty(counts.shape[1], np.int32)
+            kinds[columns[columns >= 0]] = np.flatnonzero(columns >= 0)
+            row, column = counts[: len(known)].nonzero()
+            for at in range(0, len(row), 1 << 16):
+                r, c = row[at : at + (1 << 16)], column[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([*([names.take(pa.array(r))] if by_sample else []), pa.array(kinds[c]), pa.array(counts[r, c])], names=[*(["sample"] if by_sample else []), "x", "n"])
+
+        for batch in batches:
+            if by_sample:
+                coded = batch.column(0).dictionary_encode()
+                code = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+                found = [*coded.dictionary.to_pylist(), None]
+                here = np.array([known.setdefault(found[k], len(known)) for k in np.unique(code)], np.int64)
+                place = here[np.unique(code, return_inverse=True)[1]]
+            else:
+                known[None] = 0
+                place = np.zeros(batch.num_rows, np.int64)
+            dna, qc = text_bytes(batch.column("dna")), text_bytes(batch.column("qc"))
+            for at, x in _paired(dna, qc, text_bytes(batch.column("reference")) if own else text):
+                here = np.bincount(x.ravel(), minlength=TALLIED + 1)[:TALLIED]
+                fresh = np.flatnonzero((here > 0) & (columns < 0))
+                columns[fresh] = np.arange(counts.shape[1], counts.shape[1] + len(fresh))
+                if len(known) > counts.shape[0] or len(fresh):
+                    grown = np.zeros((max(counts.shape[0], len(known) + (4096 if by_sample else 0)), counts.shape[1] + len(fresh)), np.int64)
+                    grown[: counts.shape[0], : counts.shape[1]] = counts
+                    counts = grown
+                if by_sample:
+                    key = (place[at] * counts.shape[1])[:, None] + columns[np.minimum(x, TALLIED - 1)]
+                    np.add.at(counts.reshape(-1), key[x < TALLIED], 1)
+                else:
+                    counts[0, columns[here > 0]] += here[here > 0]
+            if len(known) * counts.shape[1] > cells:
+                yield from handed_on()
+                known, counts = {}, np.zeros((0, 0), np.int64)
+                columns[:] = -1
+        yield from handed_on()
+
+    parts = rows.mapInArrow(run, ("sample string, " if by_sample else "") + "x int, n long")
+    keys = ["sample"] if by_sample else []
+    counted = parts.groupBy(*keys, "x").agg(F.sum("n").alias("n"))
+    letter = lambda i: F.substring(F.lit("ACGT"), i + 1, F.lit(1))
+    phred = F.when(F.col("x") % 256 != MISSING, F.col("x") % 256 - 33)
+    return counted.select(*keys, F.concat(letter(F.shiftright("x", 10)), F.lit("2"), letter(F.shiftright("x", 8) % 4)).alias("mutation"), phred.alias("phred"), "n")
+
+
+#: Kinds of a base: what the reference has and what was read, by quality character; one of these stands for none.
+TALLIED, MISSING = 16 * 256, 255
+_TALLY = np.full(256, 4, np.uint8)
+_TALLY[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def _paired(dna: tuple[np.ndarray, np.ndarray], qc: tuple[np.ndarray, np.ndarray], reference: tuple[np.ndarray, np.ndarray] | str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, kinds) for rows of like lengths: of each read and place its kind, TALLIED where there is none.  A base without a quality counts only where each read has its own reference."""
+    own = not isinstance(reference, str)
+    if not own:
+        whole = np.frombuffer(reference.encode("ascii", "replace"), np.uint8)
+    lengths = np.stack([np.diff(dna[1]), np.diff(qc[1]), np.diff(reference[1]) if own else np.full(len(dna[1]) - 1, len(whole))], 1)
+
+    def cut(of: tuple[np.ndarray, np.ndarray], at: np.ndarray, places: int) -> np.ndarray:
+        begin = of[1][:-1][at]
+        if len(at) and begin[-1] - begin[0] == (len(at) - 1) * places and (np.diff(begin) == places).all():  # all of one length: no copy
+            return of[0][begin[0] : begin[0] + len(at) * places].reshape(len(at), places)
+        return of[0][begin[:, None] + np.arange(places)]
+
+    same = len(lengths) > 0 and (lengths == lengths[0]).all()
+    for size in lengths[:1] if same else np.unique(lengths, axis=0):
+        at = np.arange(len(lengths)) if same else np.flatnonzero((lengths == size).all(1))
+        places = int(min(size[0], size[2]) if own else size.min())
+        a, b = _TALLY[cut(reference, at, places)] if own else _TALLY[whole[:places]][None, :], _TALLY[cut(dna, at, places)]
+        x = (a * np.uint8(4) + b).astype(np.int32) << 8
+        rated = min(places, int(size[1]))
+        x[:, :rated] += cut(qc, at, rated)
+        x[:, rated:] += MISSING
+        x[(a > 3) | (b > 3)] = TALLIED
+        yield at, x
 
 
 def error_rates(tallies: DataFrame) -> DataFrame:
@@ -47,8 +127,9 @@ def error_excess(rates: DataFrame) -> DataFrame:
 
 def mutation_excess(tallies: DataFrame) -> DataFrame:
     """mutation, excess: over a third of the error that the quality says, among the bases of its kind, weighted by bases."""
-    total = tallies.groupBy(F.substring("mutation", 1, 1).alias("base"), "phred").agg(F.sum("n").alias("total"))
-    each = tallies.groupBy("mutation", "phred").agg(F.sum("n").alias("n")).withColumn("base", F.substring("mutation", 1, 1)).where(F.substring("mutation", 1, 1) != F.substring("mutation", 3, 1)).join(total, ["base", "phred"])
+    first, last = F.substring("mutation", 1, 1), F.substring("mutation", 3, 1)
+    counts = tallies.groupBy("mutation", "phred").agg(F.sum("n").alias("n"))
+    each = counts.withColumn("total", F.sum("n").over(Window.partitionBy(first, "phred"))).where(first != last)
     expected = F.pow(F.lit(10.0), -F.col("phred") / 10.0)
     return each.groupBy("mutation").agg((F.sum((F.col("n") / F.col("total") - expected / 3) * F.col("total")) / F.sum("total")).alias("excess"))
 

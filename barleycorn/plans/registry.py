@@ -584,8 +584,8 @@ _TALLIES = f"""{READS}, tallies as (select sample, substr({_REF}, cast(r.i as in
   from reads, range(1, 33) r(i) where substr(dna, cast(r.i as integer), 1) <> 'N' group by all)"""
 
 
-def _tallies(spark: SparkSession, d: str) -> DataFrame:
-    return denoise.transitions(ad.reads(spark, d), hashlib.md5(b"reference").hexdigest().translate(str.maketrans(ad.HEX, ad.BASES)))
+def _tallies(spark: SparkSession, d: str, by_sample: bool = True) -> DataFrame:
+    return denoise.transitions(ad.reads(spark, d), hashlib.md5(b"reference").hexdigest().translate(str.maketrans(ad.HEX, ad.BASES)), by_sample)
 
 
 @query(f"with {_TALLIES} select sample, mutation, phred, n from tallies")
@@ -609,7 +609,7 @@ def error_excess(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_TALLIES}, totals as (select mutation[1] as base, phred, sum(n) as total from tallies group by all), each as (select mutation, phred, sum(n) as n from tallies where mutation[1] <> mutation[3] group by all)
 select mutation, round(sum((n / total - pow(10.0, -e.phred / 10.0) / 3) * total) / sum(total), 9) as excess from each e join totals t on t.base = e.mutation[1] and t.phred = e.phred group by mutation""")
 def mutation_excess(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(denoise.mutation_excess(_tallies(spark, d)), "excess", digits=9)
+    return rounded(denoise.mutation_excess(_tallies(spark, d, by_sample=False)), "excess", digits=9)
 
 
 @query(f"""with {_TALLIES} select cast((phred >= 10)::int + (phred >= 20)::int + (phred >= 25)::int + (phred >= 30)::int + (phred >= 35)::int as integer) as cohort, cast(sum(n) as bigint) as n,
