@@ -615,7 +615,7 @@ def mutation_excess(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_TALLIES} select cast((phred >= 10)::int + (phred >= 20)::int + (phred >= 25)::int + (phred >= 30)::int + (phred >= 35)::int as integer) as cohort, cast(sum(n) as bigint) as n,
   round(1 - sum(case when mutation[1] = mutation[3] then n else 0 end) / sum(n), 9) as error from tallies group by 1""")
 def error_cohorts(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(denoise.cohort_errors(_tallies(spark, d)), "error", digits=9)
+    return rounded(denoise.cohort_errors(_tallies(spark, d, by_sample=False)), "error", digits=9)
 
 
 @query(f"with {_TALLIES} select mutation, {', '.join(f'cast(coalesce(sum(case when phred = {p} then n end), 0) as bigint) as \"{p}\"' for p in range(41))} from tallies group by mutation")
