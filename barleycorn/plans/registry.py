@@ -816,7 +816,7 @@ def bca_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def error_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return denoise.error_intervals(_tallies(spark, d))
+    return denoise.error_intervals(_tallies(spark, d, by_sample=False))
 
 
 @query()
