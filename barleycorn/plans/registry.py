@@ -620,7 +620,7 @@ def error_cohorts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_TALLIES} select mutation, {', '.join(f'cast(coalesce(sum(case when phred = {p} then n end), 0) as bigint) as \"{p}\"' for p in range(41))} from tallies group by mutation")
 def transition_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
-    return transition_matrix(_tallies(spark, d), 40)
+    return transition_matrix(_tallies(spark, d, by_sample=False), 40)
 
 
 _REFERENCED = f"""{ad.REFERENCED}, tallies as (select substr(reference, cast(r.i as integer), 1) || '2' || substr(dna, cast(r.i as integer), 1) as mutation, cast(ascii(substr(qc, cast(r.i as integer), 1)) - 33 as integer) as phred, count(*) as n
