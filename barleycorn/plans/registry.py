@@ -641,7 +641,7 @@ model as materialized (select mutation, phred, n, rate from wrong
 
 
 def _model(spark: SparkSession, d: str) -> DataFrame:
-    return errormodel.loess_rates(denoise.transitions(ad.referenced(spark, d), F.col("reference")))
+    return errormodel.loess_rates(denoise.transitions(ad.referenced(spark, d), F.col("reference"), by_sample=False))
 
 
 @query(f"with {_LOESS} select mutation, phred, n, round(rate, 9) as rate from model")
