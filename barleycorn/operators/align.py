@@ -1,4 +1,4 @@
-"""Alignment and classification of reads; each distinct sequence is aligned once."""
+"""Alignment and classification of reads."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import Classify, Scoring, Template
 from ..functions import alignment as al
@@ -17,31 +20,40 @@ from ..functions.sequence import passes_chastity, piece, reverse_complement
 ALIGNED = "dna string, score int, score2 int, ref_begin int, ref_end int, read_begin int, read_end int, ref_end2 int, cigar string, nm int, bc_start int, bc_stop int, repaired string"
 
 
-def aligned(sequences: DataFrame, reference: str, scoring: Scoring = Scoring()) -> DataFrame:
-    """dna with its best local alignment to reference, extended CIGAR, NM, the place of the reference's N run, and the read with its N repaired.
+def aligned(reads: DataFrame, reference: str, scoring: Scoring = Scoring(), turned: bool = False) -> DataFrame:
+    """reads with the best local alignment of their dna to reference, extended CIGAR, NM, the place of the reference's N run, and the read with its N repaired; nulls where dna is null.
 
-    sequences: dna, distinct; tasks are independent.
+    Tasks are independent, and nothing is dealt anew: each distinct sequence of a batch is aligned once.  turned:
+    dna or its reverse complement, whichever scores strictly higher, takes dna's place; reverse tells which.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 2048):
-                reads = frame["dna"].iloc[at : at + 2048].tolist()
-                rows = []
-                for read, found in zip(reads, al.align(reads, reference, scoring), strict=True):
-                    hit = found["score"] > 0
-                    cigar, nm = al.marked(read, reference, found) if hit else ("", 0)
-                    start, stop = al.between_degenerate(read, reference, found) if hit else (-1, -1)
-                    rows.append((read, *[found[k] for k in ("score", "score2", "ref_begin", "ref_end", "read_begin", "read_end", "ref_end2")], cigar, nm, start, stop, al.repaired(read, reference, found) if hit else read))
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in ALIGNED.split(", ")])
-
-    return sequences.select("dna").where("dna is not null").mapInPandas(run, ALIGNED)
+    names, at_dna, found_fields = reads.columns, reads.columns.index("dna"), [f.split() for f in ALIGNED.split(", ")[1:]]
+    shape = StructType([*reads.schema.fields, *StructType.fromDDL(ALIGNED).fields[1:], *(StructType.fromDDL("reverse boolean").fields if turned else [])])
+    given = shape.names
+    if turned:
+        reads = reads.withColumn("__turned", reverse_complement(F.col("dna")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, n = list(batch.columns), batch.num_rows
+            dna = columns[at_dna]
+            coded = (pa.concat_arrays([dna, columns.pop()]) if turned else dna).dictionary_encode()
+            found = al.described(coded.dictionary.to_pylist(), reference, scoring)
+            arrays = [pa.array(found[c], pa.int32() if kind == "int" else pa.string()) for c, kind in found_fields]
+            at = coded.indices.slice(0, n)
+            if turned:
+                other = coded.indices.slice(n)
+                better = pc.fill_null(pc.greater(arrays[0].take(other), arrays[0].take(at)), False)
+                at = pc.if_else(better, other, at)
+                columns[at_dna] = coded.dictionary.take(at)
+            yield pa.RecordBatch.from_arrays([*columns, *[a.take(at) for a in arrays], *([better] if turned else [])], names=given)
+
+    out = reads.mapInArrow(run, shape)
+    return out.select("dna", *[c for c in given if c != "dna"]) if names[0] != "dna" else out
 
 
 def align_reads(reads: DataFrame, reference: str, scoring: Scoring = Scoring(), least: int = 0) -> DataFrame:
-    """reads with their alignments of at least so high a score.  A third of all reads may be one sequence: it is aligned once."""
-    found = aligned(reads.select("dna").distinct(), reference, scoring).where(F.col("score") >= least)
-    return reads.join(found, "dna")
+    """reads with their alignments of at least so high a score."""
+    return aligned(reads.where("dna is not null"), reference, scoring).where(F.col("score") >= least)
 
 
 def align_both_strands(reads: DataFrame, reference: str, scoring: Scoring = Scoring()) -> DataFrame:
@@ -95,7 +107,7 @@ def classified(reads: DataFrame, template: Template, how: Classify = Classify(),
     are given whenever both flanks are whole and free of N.
     """
     best = template.best_score(scoring)
-    found = reads.join(aligned(reads.select("dna").distinct(), template.reference, scoring), "dna", "left")
+    found = reads.join(aligned(reads.select("dna").where("dna is not null").distinct(), template.reference, scoring), "dna", "left")
     start = F.col("read_begin") if how.leading else F.col("bc_start")
     stop = F.col("read_begin") if how.leading else F.col("bc_stop")
     length = stop if how.leading else stop - start

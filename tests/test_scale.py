@@ -49,3 +49,32 @@ def test_tallies_of_all_samples_are_not_dealt_by_sample(spark, tables, name):
     tallies = denoise.transitions(ad.reads(spark, tables), "ACGT" * 8, by_sample=False)
     assert "sample" not in tallies.columns
     assert "Generate" not in plan(tallies) and "RepartitionByExpression" not in plan(tallies) and "RepartitionByExpression" not in plan(registry.QUERIES[name](spark, tables))
+
+
+TEMPLATE = "ACGTTGCA" + "N" * 9 + "CATGGACT"
+READS = ["ACGTTGCAACGTACGTACATGGACT", "AGTCCATGTACGTACGTTGCAACGT", "acgttgcaACGTNCGTACATGGACT", "ACGTTGCAACGTACGACATGGACT", "ACGTTNCAACGTACGTACATGGACTTT", "", "é" * 9, "GGG", None]
+
+
+def test_described_reads_equal_single_ones():
+    from barleycorn.config import Scoring
+    from barleycorn.functions import alignment as al
+
+    reads = [r for r in READS if r is not None] * 2
+    for scoring in (Scoring(), Scoring(mismatch=-1), Scoring(mismatch=-2, gap_open=1, gap_extend=2), Scoring(match=4000, mismatch=-3000, gap_open=5000, gap_extend=100)):
+        found = al.described(reads, TEMPLATE, scoring)
+        for k, (read, one) in enumerate(zip(reads, al.align(reads, TEMPLATE, scoring), strict=True)):
+            hit = one["score"] > 0
+            expected = (*(al.marked(read, TEMPLATE, one) if hit else ("", 0)), *(al.between_degenerate(read, TEMPLATE, one) if hit else (-1, -1)), al.repaired(read, TEMPLATE, one) if hit else read)
+            assert tuple(found[c][k] for c in ("cigar", "nm", "bc_start", "bc_stop", "repaired")) == expected
+
+
+def test_reads_are_aligned_where_they_are(spark):
+    from barleycorn.config import Scoring
+    from barleycorn.operators import align
+
+    reads = spark.createDataFrame([(k, r) for k, r in enumerate(READS * 2)], "k int, dna string")
+    found = align.align_reads(reads, TEMPLATE, Scoring(mismatch=-1))
+    assert not {"Join", "Aggregate"} & set(plan(found).replace("(", " ").split())
+    rows = {r.k: r for r in found.collect()}
+    assert found.columns[:3] == ["dna", "k", "score"] and sorted(rows) == [k for k in range(18) if k % 9 != 8]
+    assert all(rows[k][2:] == rows[k + 9][2:] for k in range(8)) and rows[0].score == 32 and rows[0].cigar == "8=9X8="
