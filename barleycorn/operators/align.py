@@ -57,14 +57,10 @@ def align_reads(reads: DataFrame, reference: str, scoring: Scoring = Scoring(),
 
 
 def align_both_strands(reads: DataFrame, reference: str, scoring: Scoring = Scoring()) -> DataFrame:
-    """Alignments of reads or of their reverse complements, whichever scores strictly higher; reverse tells which."""
-    one = reads.withColumn("original", F.col("dna")).withColumn("strand", F.lit(0))
-    two = one.withColumn("dna", reverse_complement(F.col("original"))).withColumn("strand", F.lit(1))
-    both = align_reads(one.unionByName(two), reference, scoring)
+    """Alignments of reads or of their reverse complements, whichever scores strictly higher; reverse tells which.  A row for each read, like ones too."""
+    found = aligned(reads.where("dna is not null"), reference, scoring, turned=True)
     keys = [c for c in reads.columns if c != "dna"]
-    rest = [c for c in both.columns if c not in keys]
-    best = both.groupBy(*keys, "original").agg(F.max_by(F.struct(*[c for c in rest if c != "original"]), F.struct("score", -F.col("strand"))).alias("b"))
-    return best.select(*keys, "b.*").withColumn("reverse", F.col("strand") == 1).drop("strand")
+    return found.select(*keys, *[c for c in found.columns if c not in keys])
 
 
 def align_all_pairs(queries: DataFrame, targets: list[tuple[str, str]], scoring: Scoring = Scoring(), least: int = 0) -> DataFrame:

@@ -78,3 +78,13 @@ def test_reads_are_aligned_where_they_are(spark):
     rows = {r.k: r for r in found.collect()}
     assert found.columns[:3] == ["dna", "k", "score"] and sorted(rows) == [k for k in range(18) if k % 9 != 8]
     assert all(rows[k][2:] == rows[k + 9][2:] for k in range(8)) and rows[0].score == 32 and rows[0].cigar == "8=9X8="
+
+
+def test_both_strands_keep_like_reads(spark):
+    from barleycorn.config import Scoring
+    from barleycorn.operators import align
+
+    reads = spark.createDataFrame([("s", r) for r in [READS[0], READS[0], READS[1], None]], "sample string, dna string")
+    found = align.align_both_strands(reads, TEMPLATE, Scoring(mismatch=-1))
+    assert "Join" not in plan(found) and "Aggregate" not in plan(found)
+    assert sorted((r.dna, r.reverse) for r in found.collect()) == [(READS[0], False), (READS[0], False), (READS[0], True)]
