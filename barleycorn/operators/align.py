@@ -103,7 +103,7 @@ def classified(reads: DataFrame, template: Template, how: Classify = Classify(),
     are given whenever both flanks are whole and free of N.
     """
     best = template.best_score(scoring)
-    found = reads.join(aligned(reads.select("dna").where("dna is not null").distinct(), template.reference, scoring), "dna", "left")
+    found = aligned(reads, template.reference, scoring)
     start = F.col("read_begin") if how.leading else F.col("bc_start")
     stop = F.col("read_begin") if how.leading else F.col("bc_stop")
     length = stop if how.leading else stop - start
