@@ -130,8 +130,7 @@ def classified(reads: DataFrame, template: Template, how: Classify = Classify(),
 def outcomes(classed: DataFrame) -> DataFrame:
     """outcome, n, share."""
     counts = classed.groupBy("outcome").agg(F.count("*").alias("n"))
-    total = classed.agg(F.count("*").alias("total"))
-    return counts.withColumn("share", F.col("n") / total.scalar())
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each outcome
 
 
 def best_hits(queries: DataFrame, targets: DataFrame, scoring: Scoring = Scoring(mismatch=-2), most_e: float = 1e-10, lam: float = 1.28, k: float = 0.46, letters: al.Letters | None = None) -> DataFrame:

@@ -88,3 +88,7 @@ def test_both_strands_keep_like_reads(spark):
     found = align.align_both_strands(reads, TEMPLATE, Scoring(mismatch=-1))
     assert "Join" not in plan(found) and "Aggregate" not in plan(found)
     assert sorted((r.dna, r.reverse) for r in found.collect()) == [(READS[0], False), (READS[0], False), (READS[0], True)]
+
+
+def test_outcomes_classify_once(spark, tables):
+    assert plan(registry.QUERIES["read_outcomes"](spark, tables)).count("Relation") == 1
