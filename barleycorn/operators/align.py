@@ -79,15 +79,14 @@ SCORED = "dna string, score int, score2 int, ref_begin int, ref_end int, read_be
 def align_by_matrix(sequences: DataFrame, reference: str, letters: al.Letters, scoring: Scoring = Scoring(), least: int = 1) -> DataFrame:
     """The best local alignment of each distinct dna with a reference, of proteins or of bases with ambiguity codes: scores of pairs by letters, gaps by scoring.  Alignments that score less than least go, null and empty sequences too."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in SCORED.split(", ")]
-        for frame in frames:
-            for at in range(0, len(frame), 4096):
-                texts = frame["dna"].iloc[at : at + 4096].tolist()
-                found = al.align(texts, reference, scoring, letters=letters)
-                yield pd.DataFrame([(t, *[f[c] for c in names[1:]]) for t, f in zip(texts, found, strict=True) if f["score"] >= least], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            found, paths = al.alignments(texts, reference, scoring, letters=letters)
+            kept = np.flatnonzero(found["score"] >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), *[pa.array(found[c][kept]) for c in al.PLACES], pa.array(al.plain_cigars([paths[k] for k in kept]), pa.string())], names=["dna", *al.PLACES, "cigar"])
 
-    return sequences.select("dna").where("dna <> ''").distinct().mapInPandas(run, SCORED)
+    return sequences.select("dna").where("dna <> ''").distinct().mapInArrow(run, SCORED)
 
 
 def mapping_quality(score: Column, second: Column) -> Column:
