@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import bisect, poisson_cdf
+from ..storage import written
+from . import overlaps
 
 
 def poisson_share(k: pd.Series, mu: pd.Series) -> pd.Series:
@@ -20,23 +22,30 @@ def contaminated_pairs(tumors: DataFrame, min_size: float, smallest: float = 0.0
     """a, b, expected, observed, p, fwer: pairs where sample b holds more of a's large barcodes than chance brings.
 
     A barcode is large in a if its size is over min_size / smallest.  Three samples are needed; sizes of one
-    barcode in one sample are added up first.
+    barcode in one sample are added up first.  Pairs that share too few barcodes for any expectation to make them
+    significant are dropped where they are counted.
     """
-    sized = tumors.groupBy("sample", "target", "barcode").agg(F.sum("cells").alias("cells"))
-    samples = sized.agg(F.count_distinct("sample").alias("n"))
-    per_sample = sized.groupBy("sample").agg(F.count("*").alias("barcodes"))
-    mean = per_sample.agg(F.avg("barcodes").alias("m"))
-    spread = sized.groupBy("target", "barcode").agg(F.count("*").alias("present"))
-    large = sized.where(F.col("cells") > min_size / smallest).select(F.col("sample").alias("a"), "target", "barcode")
-    chance = (F.col("present") - 1) / (samples.scalar() - 1)
-    rates = large.join(spread, ["target", "barcode"]).groupBy("a").agg(F.sum(chance).alias("rate"))
-    shared = large.join(sized.select(F.col("sample").alias("b"), "target", "barcode"), ["target", "barcode"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("observed"))
-    pairs = shared.join(rates, "a").join(per_sample.select(F.col("sample").alias("b"), "barcodes"), "b").withColumn("expected", F.col("rate") * F.col("barcodes") / mean.scalar())
+    numbers, every = overlaps.numbered(tumors)
+    n = numbers.where("sample is not null").count()
+    sized = overlaps.by_number(tumors, numbers, every).groupBy("number", "target", "barcode").agg(F.sum("cells").alias("cells"))
+    holders = sized.withColumn("asks", F.coalesce(F.col("cells") > min_size / smallest, F.lit(False)))
+    found = written(overlaps.counted(overlaps.listed(holders, every, later=False), every, fewest_shared(n, alpha), totals=True), "shared")
+    totals = found.where("b is null")
+    mean = totals.agg(F.avg("barcodes").alias("m"))
+    rates = totals.select("a", F.try_divide("links", F.lit(n - 1)).alias("rate"))
+    pairs = found.where("b is not null").select("a", "b", F.col("shared").alias("observed")).join(rates, "a").join(totals.select(F.col("a").alias("b"), "barcodes"), "b")
+    pairs = overlaps.named(pairs, numbers, every).withColumn("expected", F.col("rate") * F.col("barcodes") / mean.scalar())
     out = pairs.withColumn("p", F.pandas_udf(poisson_share, "double")("expected", F.col("observed").cast("double")))
-    n = samples.scalar()
     return out.withColumn("fwer", F.least(F.lit(0.5), F.col("p") * n * (n - 1))).where(F.col("fwer") < alpha).select("a", "b", "expected", "observed", "p", "fwer")
 
 
+def fewest_shared(n: int, alpha: float) -> int:
+    """The fewest common barcodes that can make one of n samples' pairs significant: P(X <= k) of a Poisson variable is exp(-mean) at least, and means over 30 are left to the test itself."""
+    if n < 2 or not 0 < alpha <= 0.5:
+        return 1
+    return max(1, min(30, math.floor(math.log(n * (n - 1) / alpha))))
+
+
 def size_ratios(tumors: DataFrame, pairs: DataFrame | None = None, least: float = 0.75, bins: int = 64) -> DataFrame:
     """(a, b, bin, n): the square roots of the ratios of sizes of shared barcodes, counted in bins of 1 / bins; of all ordered pairs of samples if none are given."""
     one = tumors.select(F.col("sample").alias("a"), "target", "barcode", F.col("cells").alias("x"))

@@ -92,3 +92,35 @@ def test_both_strands_keep_like_reads(spark):
 
 def test_outcomes_classify_once(spark, tables):
     assert plan(registry.QUERIES["read_outcomes"](spark, tables)).count("Relation") == 1
+
+
+def held(spark):
+    """Samples with barcodes of their own and in common, one barcode that all hold, odd rows."""
+    rows = [(f"s{k}", "t", f"b{(k * 7 + i * i) % 40}", 30_000.0 if (k + i) % 3 else 10.0) for k in range(30) for i in range(9)]
+    rows += [(f"s{k}", "t", "hot", 30_000.0) for k in range(30)] + [(None, "t", "hot", 30_000.0), ("s1", None, "b1", 30_000.0), ("s2", None, "b1", 30_000.0), ("s3", "t", None, 5.0), ("s4", "t", None, 5.0)]
+    return spark.createDataFrame(rows, "sample string, target string, barcode string, cells double"), rows
+
+
+def test_contaminated_pairs_equal_the_plain_count(spark, monkeypatch):
+    from barleycorn.functions.special import poisson_cdf
+    from barleycorn.operators import cohorts
+
+    df, rows = held(spark)
+    sized = {}
+    for s, t, b, c in rows:
+        sized[s, t, b] = sized.get((s, t, b), 0) + c
+    names = sorted({s for s, _, _ in sized if s is not None})
+    whole = {s: {(t, b) for x, t, b in sized if x == s} for s in [*names, None]}
+    large = {s: {(t, b) for (x, t, b), c in sized.items() if x == s and c > 20_000 and t and b} for s in names}
+    present = {k: sum(k in w for w in whole.values()) for w in whole.values() for k in w}
+    n, mean, expected = len(names), sum(map(len, whole.values())) / len(whole), {}
+    for a in names:
+        for b in names:
+            common = len(large[a] & whole[b])
+            if a != b and common:
+                e = sum(present[k] - 1 for k in large[a]) / (n - 1) * len(whole[b]) / mean
+                expected[a, b] = (common, round(e, 9), round(min(0.5, poisson_cdf(e, common) * n * (n - 1)), 9))
+    found = {(r.a, r.b): (r.observed, round(r.expected, 9), round(r.fwer, 9)) for r in cohorts.contaminated_pairs(df, 1000.0, alpha=0.9).collect()}
+    assert found == expected
+    assert cohorts.fewest_shared(60_000, 0.01) == 26 and cohorts.fewest_shared(30, 0.9) == 1
+    assert all(poisson_cdf(k / 2, m) * 30 * 29 >= 0.01 for m in range(cohorts.fewest_shared(30, 0.01)) for k in range(60))
