@@ -50,9 +50,13 @@ def size_ratios(tumors: DataFrame, pairs: DataFrame | None = None, least: float
     """(a, b, bin, n): the square roots of the ratios of sizes of shared barcodes, counted in bins of 1 / bins; of all ordered pairs of samples if none are given."""
     one = tumors.select(F.col("sample").alias("a"), "target", "barcode", F.col("cells").alias("x"))
     two = tumors.select(F.col("sample").alias("b"), "target", "barcode", F.col("cells").alias("y"))
-    both = one.join(two, ["target", "barcode"]).where("a <> b").withColumn("ratio", F.try_divide("x", "y")).where(F.col("ratio") >= least)
-    if pairs is not None:
-        both = both.join(pairs.select("a", "b").distinct(), ["a", "b"])
+    if pairs is None:
+        both = one.join(two, ["target", "barcode"]).where("a <> b")
+    else:  # few pairs: each looks its own barcodes up, and no other pair is made
+        asked = written(pairs.select("a", "b").distinct().where("a <> b"), "asked")
+        asked = F.broadcast(asked) if asked.count() <= overlaps.BROADCAST else asked
+        both = one.join(asked, "a").join(two, ["b", "target", "barcode"])
+    both = both.withColumn("ratio", F.try_divide("x", "y")).where(F.col("ratio") >= least)
     return both.groupBy("a", "b", F.floor(F.least(F.sqrt("ratio"), F.lit(1000.0)) * bins).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -170,7 +174,9 @@ def ratio_mixtures(ratios: DataFrame, bins: int = 64, least: float = 0.05, most:
                 rows[at] = (*own, bic, alone and bic < 0, 1 / (1 + mean[k] ** 2) if alone else None)
         return pd.DataFrame(rows, columns=["mean", "spread", "weight", "bic", "contaminant", "fraction"])
 
-    listed = ratios.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"))
+    # fits take long and their rows are few: dealt over as many tasks as are asked for
+    dealt = ratios.repartition(int(ratios.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    listed = dealt.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"))
     return listed.withColumn("m", fit("h")).select("a", "b", "m.*")
 
 

@@ -124,3 +124,15 @@ def test_contaminated_pairs_equal_the_plain_count(spark, monkeypatch):
     assert found == expected
     assert cohorts.fewest_shared(60_000, 0.01) == 26 and cohorts.fewest_shared(30, 0.9) == 1
     assert all(poisson_cdf(k / 2, m) * 30 * 29 >= 0.01 for m in range(cohorts.fewest_shared(30, 0.01)) for k in range(60))
+
+
+def test_ratios_of_given_pairs_make_no_others(spark):
+    from barleycorn.operators import cohorts
+
+    df, _ = held(spark)
+    tumors = df.where("sample is not null and barcode is not null")
+    asked = spark.createDataFrame([("s1", "s2"), ("s1", "s2"), ("s5", "s5")], "a string, b string")
+    found = cohorts.size_ratios(tumors, asked)
+    every = cohorts.size_ratios(tumors).where("a = 's1' and b = 's2'")
+    assert sorted(found.collect()) == sorted(every.collect()) and found.collect()
+    assert "(a#" not in "".join(line for line in plan(found).splitlines() if "NOT" in line)
