@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import INERTS, PERCENTILES
 from ..functions.estimators import ESTIMATORS, ln_mean
+from . import overlaps
 
 
 def ln_means(tumors: DataFrame, by: tuple[str, ...] = ("target",), value: str = "cells") -> DataFrame:
@@ -66,10 +67,11 @@ def levels_r2(df: DataFrame, levels: list[str], value: str) -> DataFrame:
 
 
 def barcode_overlaps(tumors: DataFrame) -> DataFrame:
-    """(a, b, shared) for samples a < b with common (target, barcode); counts are made on distinct rows by a self-join on the barcode."""
-    one = tumors.select("sample", "target", "barcode").distinct()
-    two = one.select(F.col("sample").alias("b"), "target", "barcode")
-    return one.withColumnRenamed("sample", "a").join(two, ["target", "barcode"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """(a, b, shared) for samples a < b with common (target, barcode)."""
+    numbers, n = overlaps.numbered(tumors)
+    holders = overlaps.by_number(tumors.where("sample is not null").select("sample", "target", "barcode"), numbers, n).distinct().withColumn("asks", F.lit(True))
+    pairs = overlaps.counted(overlaps.listed(holders, n, later=True), n).select("a", "b", "shared")
+    return overlaps.named(pairs, numbers, n).select("a", "b", "shared")
 
 
 def observed_barcodes(tumors: DataFrame) -> DataFrame:

@@ -101,6 +101,21 @@ def held(spark):
     return spark.createDataFrame(rows, "sample string, target string, barcode string, cells double"), rows
 
 
+@pytest.mark.parametrize("block", (5, 4_000_000))
+def test_shared_barcodes_equal_all_pairs(spark, monkeypatch, block):
+    from barleycorn.operators import overlaps, tumors
+
+    monkeypatch.setattr(overlaps, "BLOCK", block)
+    monkeypatch.setattr(overlaps, "_kind", lambda n: __import__("numpy").uint32 if block == 5 else __import__("numpy").uint16)
+    df, rows = held(spark)
+    keys = {}
+    for s, t, b, _ in rows:
+        if None not in (s, t, b):
+            keys.setdefault(s, set()).add((t, b))
+    expected = {(a, b): len(keys[a] & keys[b]) for a in keys for b in keys if a < b and keys[a] & keys[b]}
+    assert {(r.a, r.b): r.shared for r in tumors.barcode_overlaps(df).collect()} == expected
+
+
 def test_contaminated_pairs_equal_the_plain_count(spark, monkeypatch):
     from barleycorn.functions.special import poisson_cdf
     from barleycorn.operators import cohorts
